@@ -25,5 +25,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
 def load() -> None:
     """Import the modules whose decorators fill the registry."""
     from voxloom.catalog import (  # noqa: F401
+        arrays,
+        evaluation,
         labels,
+        spatial,
     )

@@ -86,8 +86,10 @@ def stride_downsample(voxels: DataFrame, factors: Sequence[int], dims: Sequence[
         target = size // factor
         if target == size:
             continue
-        nearest = F.create_map(*[F.lit(v) for i in range(target) for v in (i * size // target, i)])
-        out = out.withColumn(axis, nearest[F.col(axis)]).where(F.col(axis).isNotNull())
+        # the only target row that can read source row s, kept if it really does
+        out = (out.withColumn("_t", F.expr(f"({axis} * {target}L + {size - 1}) div {size}"))
+               .where((F.col("_t") < target) & (F.expr(f"(_t * {size}) div {target}") == F.col(axis)))
+               .withColumn(axis, F.col("_t").cast("int")).drop("_t"))
     return out
 
 
