@@ -28,5 +28,6 @@ def load() -> None:
         arrays,
         evaluation,
         labels,
+        morphology,
         spatial,
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxloom.bindings import CELLS, LATTICE, VOX, voxels
 from voxloom.catalog import query
 from voxloom.operators import blobs, components, evaluate
-from voxloom.support import full_offsets
+from voxloom.support import full_offsets, materialize
 
 V = ["volume_id"]
 PLACE = ["volume_id", "z", "y", "x"]
@@ -64,7 +64,7 @@ def region_sizes(spark, sf):
 SELECT c.volume_id, c.z, c.y, c.x, c.code AS gt, c.component FROM cc c JOIN sizes s ON s.volume_id = c.volume_id AND s.component = c.component
 JOIN m ON m.volume_id = c.volume_id AND m.code = c.code AND m.top = s.voxels""")
 def keep_largest(spark, sf):
-    labelled = _by_gt(spark, sf, 6)
+    labelled = materialize(_by_gt(spark, sf, 6))
     kept = components.largest(components.component_sizes(labelled, V, "gt"), ["volume_id", "gt"])
     return components.keep_components(labelled, kept, V)
 
@@ -98,7 +98,7 @@ def largest_per_organ(spark, sf):
 SELECT volume_id, component FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY volume_id ORDER BY voxels DESC, component) AS r FROM sizes) WHERE r = 1)
 SELECT volume_id, z, y, x, component FROM cc JOIN one USING (volume_id, component)""")
 def largest_foreground(spark, sf):
-    labelled = components.connected_components(voxels(spark, sf).select(*PLACE), V, LATTICE, 6)
+    labelled = materialize(components.connected_components(voxels(spark, sf).select(*PLACE), V, LATTICE, 6))
     kept = components.largest(components.component_sizes(labelled, V), V, ties=False)
     return components.keep_components(labelled, kept, V)
 
@@ -195,7 +195,7 @@ def postprocess_decision(spark, sf):
         return (counts.groupBy("label").agg(F.avg(evaluate.dice_with_policy("undefined")).alias("dice"))
                 .withColumn("label", F.col("label").cast("int")))
     pred = vox.where(F.col("pred") > 0).select(*PLACE, "pred")
-    labelled = components.connected_components(pred, V, LATTICE, 26)
+    labelled = materialize(components.connected_components(pred, V, LATTICE, 26))
     kept = components.keep_components(
         labelled, components.largest(components.component_sizes(labelled, V), V), V)
     return evaluate.postprocess_decision(mean_dice(pred), mean_dice(kept), (1, 2, 3))

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.support import ZYX
+from voxloom.support import ZYX, materialize
 
 
 def distance(a: Sequence[Column], b: Sequence[Column]) -> Column:
@@ -41,6 +41,7 @@ def characterize(labelled: DataFrame, keys: Sequence[str], blob: str = "componen
     tables are joined back by blob.
     """
     group = [*keys, blob]
+    labelled = materialize(labelled.select(*group, *ZYX))
     base = labelled.groupBy(*group).agg(
         F.count("*").alias("volume"),
         *[f for a in ZYX for f in (F.min(a).alias(f"o{a}"), (F.max(a) - F.min(a) + 1).alias(f"b{a}"),
@@ -49,9 +50,9 @@ def characterize(labelled: DataFrame, keys: Sequence[str], blob: str = "componen
     base = base.withColumns({f"c{a}": F.rint((F.col(f"_s{a}") - F.col(f"o{a}") * F.col("volume")) / F.col("volume"))
                             .cast("int") for a in ZYX}).drop(*[f"_s{a}" for a in ZYX])
     centre = base.select(*group, F.struct(*[(F.col(f"o{a}") + F.col(f"c{a}")).alias(a) for a in ZYX]).alias("_c"))
-    first = (labelled.select(*group, *ZYX).join(centre, group).groupBy(*group).agg(_far(_square("_c")).alias("_f"))
+    first = (labelled.join(centre, group).groupBy(*group).agg(_far(_square("_c")).alias("_f"))
              .select(*group, F.col("_f.p").alias("_p")))
-    second = (labelled.select(*group, *ZYX).join(first, group).groupBy(*group)
+    second = (labelled.join(first, group).groupBy(*group)
               .agg(F.max(_square("_p", -1)).alias("_d")))
     ball = 2 * F.pow(F.col("volume") / F.lit(4 / 3 * math.pi), F.lit(1 / 3))
     string = F.least(F.greatest(1 - ball / F.col("max_dist"), F.lit(0.0)), F.lit(1.0)) * 100

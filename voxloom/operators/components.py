@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from voxloom.support import ZYX, half_offsets, linear_index, materialize, offset_array
+from voxloom.support import ZYX, attach, half_offsets, materialize, offset_array
 
 TILE = (64, 64, 64)
 
@@ -59,10 +59,6 @@ def label_points(points: np.ndarray, codes: np.ndarray, connectivity: int) -> np
     return union_labels(len(points), left, right)
 
 
-def _tile_of(axis: str, size: int):
-    return F.floor(F.col(axis) / size).cast("int").alias(f"_t{axis}")
-
-
 def star_roots(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, node, root) with the smallest reachable node, for nodes a <> b in ``edges``.
 
@@ -174,11 +170,12 @@ def largest(sizes: DataFrame, keys: Sequence[str], ties: bool = True, floor: flo
 
     Aggregates the maximum instead of sorting a group that may hold many components.
     """
-    pick = F.max(by) if ties else F.max(F.struct(F.col(by), -F.col("component")))
-    top = materialize(sizes.groupBy(*keys).agg(pick.alias("_top")))
-    best = F.col(by) == F.col("_top") if ties else -F.col("component") == F.col("_top.col2")
+    sizes = materialize(sizes)
+    top = sizes.groupBy(*keys).agg(F.max(by).alias("_top") if ties else F.max(
+        F.struct(F.col(by).alias("n"), (-F.col("component")).alias("c"))).alias("_top"))
+    best = F.col(by) == F.col("_top") if ties else -F.col("component") == F.col("_top.c")
     keep = best if floor is None else best | (F.col(by) >= floor)
-    return sizes.join(top, list(keys)).where(keep).drop("_top")
+    return attach(sizes, top, keys).where(keep).drop("_top")
 
 
 def largest_n(sizes: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
@@ -205,9 +202,10 @@ def small_object_filter(sizes: DataFrame, keys: Sequence[str], code: str, minimu
     if not keep_largest:
         return sizes.where(big)
     group = [*keys, code]
-    top = materialize(sizes.groupBy(*group).agg(
-        F.max(F.struct(F.col("voxels").alias("n"), (-F.col("component")).alias("c"))).alias("_top")))
-    return sizes.join(top, group).where(big | (F.col("_top.c") == -F.col("component"))).drop("_top")
+    sizes = materialize(sizes)
+    top = sizes.groupBy(*group).agg(
+        F.max(F.struct(F.col("voxels").alias("n"), (-F.col("component")).alias("c"))).alias("_top"))
+    return attach(sizes, top, group).where(big | (F.col("_top.c") == -F.col("component"))).drop("_top")
 
 
 def left_right_fix(labelled: DataFrame, keys: Sequence[str], label: str, pairs: Sequence[tuple[int, int]], width: int,
@@ -219,7 +217,7 @@ def left_right_fix(labelled: DataFrame, keys: Sequence[str], label: str, pairs:
     for right_code, left_code in pairs:
         group = F.when(F.col(label).isin(right_code, left_code), right_code).otherwise(group)
         right[right_code], left[right_code] = right_code, left_code
-    rows = labelled.withColumn("_g", group)
+    rows = materialize(labelled.withColumn("_g", group))
     means = (rows.where(F.col("_g").isNotNull()).groupBy(*keys, "_g", "component")
              .agg((F.sum("x") / F.count("*") < width / 2).alias("_first")))
     joined = rows.join(means, [*keys, "_g", "component"], "left")
