@@ -26,7 +26,9 @@ def load() -> None:
     """Import the modules whose decorators fill the registry."""
     from voxloom.catalog import (  # noqa: F401
         arrays,
+        datasets,
         evaluation,
+        graphs,
         labels,
         morphology,
         spatial,

@@ -19,14 +19,30 @@ def _offset_values(offsets):
     return ", ".join(f"({z}, {y}, {x})" for z, y, x in offsets)
 
 
-@query("border_voxels", f"""WITH {VOX}, o(dz, dy, dx) AS (VALUES {_offset_values(full_offsets(6))}),
-inside AS (SELECT v.*, dz, dy, dx FROM vox v, o WHERE z + dz BETWEEN 0 AND 40 AND y + dy BETWEEN 0 AND 42 AND x + dx BETWEEN 0 AND 46)
-SELECT DISTINCT i.volume_id, i.z, i.y, i.x, i.gt FROM inside i LEFT JOIN vox n
-  ON n.volume_id = i.volume_id AND n.z = i.z + i.dz AND n.y = i.y + i.dy AND n.x = i.x + i.dx WHERE n.gt IS NULL OR n.gt <> i.gt""")
+BLOCKS = f"""{VOX}, o(dz, dy, dx) AS (VALUES {_offset_values(full_offsets(6))}),
+blocks AS (SELECT DISTINCT volume_id, CAST(z // 3 AS INT) AS z, CAST(y // 3 AS INT) AS y, CAST(x // 3 AS INT) AS x, 1 AS code FROM vox)"""
+
+
+def _blocks(spark, sf):
+    # occupied 3x3x3 blocks are dense enough to have an inside
+    return voxels(spark, sf).select("volume_id", *[F.expr(f"{a} div 3").cast("int").alias(a) for a in "zyx"],
+                                    F.lit(1).alias("code")).distinct()
+
+
+@query("border_voxels", f"""WITH {BLOCKS},
+inside AS (SELECT v.*, dz, dy, dx FROM blocks v, o WHERE z + dz BETWEEN 0 AND 13 AND y + dy BETWEEN 0 AND 14 AND x + dx BETWEEN 0 AND 15)
+SELECT DISTINCT i.volume_id, i.z, i.y, i.x, i.code FROM inside i LEFT JOIN blocks n
+  ON n.volume_id = i.volume_id AND n.z = i.z + i.dz AND n.y = i.y + i.dy AND n.x = i.x + i.dx WHERE n.code IS NULL""")
 def border_voxels(spark, sf):
     # instance borders: the volume edge itself does not erode
-    return stencil.border_voxels(voxels(spark, sf).select(*PLACE, "gt"), V, "gt", LATTICE, full_offsets(6), False,
-                                 tile=SMALL_TILE)
+    return stencil.border_voxels(_blocks(spark, sf), V, "code", (14, 15, 16), full_offsets(6), False, tile=(8, 8, 8))
+
+
+@query("surface_voxels", f"""WITH {BLOCKS}
+SELECT DISTINCT i.volume_id, i.z, i.y, i.x, i.code FROM (SELECT v.*, dz, dy, dx FROM blocks v, o) i LEFT JOIN blocks n
+  ON n.volume_id = i.volume_id AND n.z = i.z + i.dz AND n.y = i.y + i.dy AND n.x = i.x + i.dx WHERE n.code IS NULL""")
+def surface_voxels(spark, sf):
+    return surface.surface(_blocks(spark, sf), V, "code", (14, 15, 16), tile=(8, 8, 8))
 
 
 @query("neighbour_count", f"""WITH {VOX}, o(dz, dy, dx) AS (VALUES {_offset_values(full_offsets(26))}),
@@ -101,10 +117,34 @@ def instance_grow(spark, sf):
     return stencil.instances_from_core_and_border(voxels(spark, sf), V, "pred", LATTICE)
 
 
-@query("instance_grow_refined")
+REFINED = (0.2, 0.125, 0.125)
+
+
+def _z_steps(spacing, reach):
+    # the growth step at which the slice axis has moved 0, 1, 2, ... times
+    moves = [any(o[0] for o in step) for step in stencil.growth_steps(spacing, 4 * reach)]
+    return [0] + [i + 1 for i, m in enumerate(moves) if m][:reach]
+
+
+@query("instance_grow_refined", f"""WITH RECURSIVE {VOX}, {component_sql('raw', 'vox', 26, where='pred = 1')},
+big AS (SELECT volume_id, component FROM raw GROUP BY 1, 2 HAVING COUNT(*) > 2),
+core AS (SELECT raw.* FROM raw JOIN big USING (volume_id, component)),
+parts AS (SELECT v.volume_id, v.z, v.y, v.x, CASE WHEN c.component IS NULL THEN 2 ELSE 1 END AS code FROM vox v
+  LEFT JOIN core c ON c.volume_id = v.volume_id AND c.z = v.z AND c.y = v.y AND c.x = v.x WHERE v.pred IN (1, 2)),
+zstep(dz, k) AS (VALUES {', '.join(f'({i}, {k})' for i, k in enumerate(_z_steps(REFINED, 41)))}),
+cost AS (SELECT b.volume_id, b.z, b.y, b.x, c.component, GREATEST(ABS(b.z - c.z) + ABS(b.y - c.y) + ABS(b.x - c.x), k) AS d
+  FROM parts b JOIN core c ON c.volume_id = b.volume_id JOIN zstep ON dz = ABS(b.z - c.z) WHERE b.code = 2),
+grown AS (SELECT volume_id, z, y, x, component AS instance FROM core
+  UNION ALL SELECT volume_id, z, y, x, MAX_BY(component, -d * 1000000 + component) FROM cost GROUP BY ALL),
+{component_sql('obj', 'parts', 26)},
+lonely AS (SELECT o.volume_id, o.component FROM obj o JOIN parts v ON v.volume_id = o.volume_id AND v.z = o.z AND v.y = o.y AND v.x = o.x
+  GROUP BY 1, 2 HAVING NOT BOOL_OR(v.code = 1) AND COUNT(*) >= 3)
+SELECT g.volume_id, g.z, g.y, g.x, COALESCE(l.component, g.instance) AS instance FROM grown g
+  LEFT JOIN obj o ON o.volume_id = g.volume_id AND o.z = g.z AND o.y = g.y AND o.x = g.x
+  LEFT JOIN lonely l ON l.volume_id = o.volume_id AND l.component = o.component""")
 def instance_grow_refined(spark, sf):
-    return stencil.instances_from_core_and_border(voxels(spark, sf), V, "pred", LATTICE, (0.2, 0.125, 0.125),
-                                                  small_core=2, isolated_border=3, tile=(32, 32, 32))
+    return stencil.instances_from_core_and_border(voxels(spark, sf), V, "pred", LATTICE, REFINED,
+                                                  small_core=2, isolated_border=3)
 
 
 @query("isolated_border", f"""WITH RECURSIVE {VOX}, {component_sql('obj', 'vox', 26, where='pred IN (1, 2)')},

@@ -7,7 +7,7 @@ few steps, each round written to the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -143,6 +143,18 @@ def _rounds(steps: Sequence[Offsets], per_round: int) -> Iterator[list[Offsets]]
         yield list(steps[start:start + per_round])
 
 
+def _grower(keys: Sequence[str], dims, tile, halo, chunk: Sequence[Offsets]) -> Callable:
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        window = Window(pdf, dims, tile, halo)
+        grid = np.zeros(window.shape, np.uint8)
+        grid[window.place(pdf)] = 1
+        for structure in chunk:
+            grid = _dilate_grid(grid, structure)
+        points, _ = window.core_points(grid[window.core])
+        return _key_frame(pdf, keys, points)
+    return grow
+
+
 def dilate(voxels: DataFrame, keys: Sequence[str], dims: Sequence[int], structure: Offsets, iterations: int = 1,
            per_round: int = 16, tile: Sequence[int] = TILE) -> DataFrame:
     """Binary dilation repeated ``iterations`` times, inside the volume."""
@@ -152,15 +164,7 @@ def dilate(voxels: DataFrame, keys: Sequence[str], dims: Sequence[int], structur
     for number, chunk in enumerate(chunks):
         halo = tuple(int(r) for r in sum(reach_of(s) for s in chunk))
 
-        def grow(pdf: pd.DataFrame, chunk=chunk, halo=halo) -> pd.DataFrame:
-            window = Window(pdf, dims, tile, halo)
-            grid = np.zeros(window.shape, np.uint8)
-            grid[window.place(pdf)] = 1
-            for structure_here in chunk:
-                grid = _dilate_grid(grid, structure_here)
-            points, _ = window.core_points(grid[window.core])
-            return _key_frame(pdf, keys, points)
-
+        grow = _grower(keys, dims, tile, halo, chunk)
         state = with_halo(state, dims, tile, halo).groupBy(*keys, *TILE_COLUMNS).applyInPandas(grow, schema)
         if number + 1 < len(chunks):
             state = materialize(state)
@@ -264,6 +268,27 @@ def growth_steps(spacing: Sequence[float], count: int, done: int = 0) -> list[Of
     return out[done:]
 
 
+def _instance_grower(keys: Sequence[str], dims, tile, halo, steps: Sequence[Offsets]) -> Callable:
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        window = Window(pdf, dims, tile, halo)
+        goal = pdf["target"].to_numpy(bool)
+        grid = np.zeros(window.shape, np.int64)
+        grid[window.place(pdf[~goal])] = pdf["label"].to_numpy(np.int64)[~goal]
+        asked = pdf[goal]
+        place = window.place(asked)
+        answer = np.zeros(len(asked), np.int64)
+        for structure in steps:
+            was_free = grid[place] == 0
+            grid = _dilate_grid(grid, structure)
+            answer = np.where(was_free, grid[place], answer)
+        core = grid[window.core]
+        points, inside = window.core_points(core > 0)
+        spread = _key_frame(pdf, keys, points, label=core[tuple(inside.T)], target=False)
+        reply = _key_frame(pdf, keys, asked[list(ZYX)].to_numpy(np.int64), label=answer, target=True)
+        return pd.concat([spread, reply], ignore_index=True)
+    return grow
+
+
 def grow_instances(cores: DataFrame, border: DataFrame, keys: Sequence[str], dims: Sequence[int],
                    spacing: Sequence[float] = (1.0, 1.0, 1.0), instance: str = "instance", per_round: int = 6,
                    tile: Sequence[int] = TILE) -> DataFrame:
@@ -288,24 +313,7 @@ def grow_instances(cores: DataFrame, border: DataFrame, keys: Sequence[str], dim
         halo = tuple(int(r) for r in sum(reach_of(s) for s in steps))
         done += per_round
 
-        def grow(pdf: pd.DataFrame, steps=steps, halo=halo) -> pd.DataFrame:
-            window = Window(pdf, dims, tile, halo)
-            goal = pdf["target"].to_numpy(bool)
-            grid = np.zeros(window.shape, np.int64)
-            grid[window.place(pdf[~goal])] = pdf["label"].to_numpy(np.int64)[~goal]
-            asked = pdf[goal]
-            place = window.place(asked)
-            answer = np.zeros(len(asked), np.int64)
-            for structure in steps:
-                was_free = grid[place] == 0
-                grid = _dilate_grid(grid, structure)
-                answer = np.where(was_free, grid[place], answer)
-            core = grid[window.core]
-            points, inside = window.core_points(core > 0)
-            spread = _key_frame(pdf, keys, points, label=core[tuple(inside.T)], target=False)
-            reply = _key_frame(pdf, keys, asked[list(ZYX)].to_numpy(np.int64), label=answer, target=True)
-            return pd.concat([spread, reply], ignore_index=True)
-
+        grow = _instance_grower(keys, dims, tile, halo, steps)
         moving = attach(state, active, keys, "left_semi").withColumn("target", F.lit(False))
         asking = left.select(*columns, F.lit(0).cast("long").alias("label"), F.lit(True).alias("target"))
         rows = (with_halo(moving, dims, tile, halo)
