@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxloom.bindings import CELLS, LATTICE, PROB, VOX, probabilities, table, voxels
 from voxloom.catalog import query
 from voxloom.operators import intensity, masking, resample, tiles
+from voxloom.plans.quantification import nerve_quantification
 from voxloom.support import materialize
 
 V = ["volume_id"]
@@ -159,6 +160,13 @@ def resample_linear(spark, sf):
     return out.withColumn("intensity", F.round("intensity", 7))
 
 
+@query("resample_cubic")
+def resample_cubic(spark, sf):
+    rows = voxels(spark, sf).select(*PLACE, F.col("intensity").cast("double").alias("intensity"))
+    out = resample.resample_cubic(rows, V, "intensity", LATTICE, RESAMPLED)
+    return out.withColumn("intensity", F.round("intensity", 6))
+
+
 SEG = f"""{VOX}, {GRIDS}, cover AS (SELECT volume_id, gz.i AS z, gy.i AS y, x, gt,
   ROUND(SUM((1 - ABS(gz.c - z)) * (1 - ABS(gy.c - y))), 9) AS w
 FROM vox JOIN gz ON ABS(gz.c - z) < 1 JOIN gy ON ABS(gy.c - y) < 1 GROUP BY 1, 2, 3, 4, 5)"""
@@ -313,3 +321,13 @@ def tiled_prediction(spark, sf):
                                     "volume_id long, z int, y int, x int, w0 int, w1 int, w2 int, p double",
                                     ["volume_id", "w0", "w1", "w2"])
     return tiles.stitch(predicted, V, "p").withColumn("p", F.round("p", 6))
+
+
+@query("nerve_report", f"""WITH {TILED}, s AS (SELECT volume_id, z, y, x, AVG((intensity + (w0 + w1 + w2) % 3) / 53.0::DOUBLE) AS p FROM tiled GROUP BY 1, 2, 3, 4)
+SELECT v.volume_id, v.gt AS label, COUNT(*) AS label_n, COUNT(CASE WHEN ROUND(s.p, 6) >= 0.5 THEN 1 END) AS nerve_label_n,
+  ROUND(COUNT(CASE WHEN ROUND(s.p, 6) >= 0.5 THEN 1 END) / CAST(COUNT(*) AS DOUBLE), 6) AS density
+FROM vox v JOIN s ON s.volume_id = v.volume_id AND s.z = v.z AND s.y = v.y AND s.x = v.x GROUP BY 1, 2""")
+def nerve_report(spark, sf):
+    scored = _tiled(spark, sf).withColumn(
+        "p", (F.col("intensity") + (F.col("w0") + F.col("w1") + F.col("w2")) % 3) / F.lit(53.0))
+    return nerve_quantification(scored, voxels(spark, sf).select(*PLACE, "gt"), V, "p", "gt")
