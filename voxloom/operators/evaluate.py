@@ -107,8 +107,8 @@ def complete_groups(scores: DataFrame, by: Sequence[str], member: str, expected:
 
 def fold_mean_of_means(scores: DataFrame, by: Sequence[str], fold: str, folds: Sequence[int]) -> DataFrame:
     kept = scores.join(complete_groups(scores, by, fold, folds), list(by), "left_semi")
-    per_fold = kept.groupBy(*by, fold).agg(F.avg("value").alias("m"))
-    return per_fold.groupBy(*by).agg(F.round(F.avg("m"), 6).alias("mean"))
+    per_fold = kept.groupBy(*by, fold).agg(F.avg("value").alias("_m"))
+    return per_fold.groupBy(*by).agg(F.round(F.avg("_m"), 6).alias("mean"))
 
 
 def fold_pooled(scores: DataFrame, by: Sequence[str], fold: str, folds: Sequence[int]) -> DataFrame:
@@ -119,8 +119,8 @@ def fold_pooled(scores: DataFrame, by: Sequence[str], fold: str, folds: Sequence
 def all_task_mean(scores: DataFrame, by: Sequence[str], task: str, tasks: Sequence[int]) -> DataFrame:
     """Mean over the required tasks, only for groups that have all of them."""
     kept = scores.where(F.col(task).isin(list(tasks)))
-    per_task = kept.groupBy(*by, task).agg(F.avg("value").alias("m"))
-    return (per_task.groupBy(*by).agg(F.count("*").alias("_k"), F.round(F.avg("m"), 6).alias("mean"))
+    per_task = kept.groupBy(*by, task).agg(F.avg("value").alias("_m"))
+    return (per_task.groupBy(*by).agg(F.count("*").alias("_k"), F.round(F.avg("_m"), 6).alias("mean"))
             .where(F.col("_k") == len(tasks)).drop("_k"))
 
 

@@ -89,8 +89,8 @@ def graph_summary(vertices: DataFrame, edges: DataFrame, radii: DataFrame, keys:
     by_vertex = vertices.groupBy(*keys).agg(F.max(F.greatest(*ZYX)).alias("ref_vertices"))
     points = radii.groupBy(*keys).agg(F.round(F.avg("radius"), 6).alias("avg_thickness_points"),
                                       F.max("radius").alias("max_thickness_points"))
-    lines = (radii.groupBy(*keys, "eid").agg(F.avg("radius").alias("r")).groupBy(*keys)
-             .agg(F.round(F.avg("r"), 6).alias("avg_thickness_line"), F.round(F.max("r"), 6).alias("max_thickness_line")))
+    lines = (radii.groupBy(*keys, "eid").agg(F.avg("radius").alias("_r")).groupBy(*keys)
+             .agg(F.round(F.avg("_r"), 6).alias("avg_thickness_line"), F.round(F.max("_r"), 6).alias("max_thickness_line")))
     out = by_degree
     for part in (by_edge, by_vertex, points, lines):
         out = out.join(part, keys, "left")

@@ -140,7 +140,7 @@ def resample_cubic(voxels: DataFrame, keys: Sequence[str], value: str, old: Sequ
     most bundle[0] x bundle[1] of them; values below 1e-12 are dropped.
     """
     keys = list(keys)
-    rows = voxels.select(*keys, *ZYX, F.col(value).cast("double").alias("v"))
+    rows = voxels.select(*keys, *ZYX, F.col(value).cast("double").alias("_v"))
     # absent voxels are 0 and belong to the range
     limits = voxels.groupBy(*keys).agg(F.least(F.min(value), F.lit(0)).alias("_lo"), F.greatest(F.max(value), F.lit(0)).alias("_hi"))
     schema = T.StructType(rows.schema.fields)
@@ -151,7 +151,7 @@ def resample_cubic(voxels: DataFrame, keys: Sequence[str], value: str, old: Sequ
         blocks = {f"_b{i}": F.floor(F.col(c) / s).cast("int") for i, (c, s) in enumerate(zip(rest, bundle))}
         rows = rows.withColumns(blocks).groupBy(*keys, "_b0", "_b1").applyInPandas(
             _line_resampler(keys, axis, rest, int(a), int(b), tuple(bundle)), schema)
-    clipped = F.least(F.greatest(F.col("v"), F.col("_lo")), F.col("_hi"))
+    clipped = F.least(F.greatest(F.col("_v"), F.col("_lo")), F.col("_hi"))
     return (attach(rows, limits, keys).withColumn(value, clipped).where(F.abs(value) > 1e-12)
             .select(*keys, *ZYX, value))
 
@@ -162,13 +162,13 @@ def _line_resampler(keys, axis, rest, old, new, bundle):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         corner = [int(pdf[f"_b{i}"].iloc[0]) * bundle[i] for i in range(2)]
         grid = np.zeros((old, *bundle))
-        grid[pdf[name], pdf[rest[0]] - corner[0], pdf[rest[1]] - corner[1]] = pdf["v"]
+        grid[pdf[name], pdf[rest[0]] - corner[0], pdf[rest[1]] - corner[1]] = pdf["_v"]
         done = (cubic_matrix(old, new) @ grid.reshape(old, -1)).reshape(new, *bundle)
         points = np.argwhere(np.abs(done) > 1e-12)
         place = {name: points[:, 0], rest[0]: points[:, 1] + corner[0], rest[1]: points[:, 2] + corner[1]}
         out = {k: np.repeat(pdf[k].iloc[:1].to_numpy(), len(points)) for k in keys}
         out.update({a: place[a].astype(np.int32) for a in ZYX})
-        out["v"] = done[tuple(points.T)]
+        out["_v"] = done[tuple(points.T)]
         return pd.DataFrame(out)
     return run
 

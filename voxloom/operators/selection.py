@@ -25,9 +25,9 @@ def rank_average(scores: DataFrame, competitor: str, metric: str, case: str, val
     The rank windows hold one row per competitor.
     """
     order = W.partitionBy(metric, case).orderBy(F.desc(value))
-    per_metric = (scores.withColumn("r", F.rank().over(order)).groupBy(competitor, metric)
-                  .agg(F.avg("r").alias("m")))
-    overall = per_metric.groupBy(competitor).agg(F.round(F.avg("m"), 6).alias("mean_rank"))
+    per_metric = (scores.withColumn("_r", F.rank().over(order)).groupBy(competitor, metric)
+                  .agg(F.avg("_r").alias("_m")))
+    overall = per_metric.groupBy(competitor).agg(F.round(F.avg("_m"), 6).alias("mean_rank"))
     return overall.withColumn("final_rank", F.rank().over(W.orderBy("mean_rank")))
 
 
@@ -44,8 +44,8 @@ def rank_candidates(scores: DataFrame, candidates: Sequence[str], candidate: str
     dense = (maps.select(dataset, "_m", names)
              .select(dataset, candidate, F.coalesce(F.col("_m")[F.col(candidate)], F.lit(0.0)).alias("best")))
     order = W.partitionBy(dataset).orderBy(F.desc("best"), candidate)
-    ranked = dense.withColumn("r", F.row_number().over(order) - 1)
-    return (ranked.groupBy(candidate).agg(F.round(F.avg("r"), 6).alias("mean_rank"), F.count("*").alias("datasets"))
+    ranked = dense.withColumn("_r", F.row_number().over(order) - 1)
+    return (ranked.groupBy(candidate).agg(F.round(F.avg("_r"), 6).alias("mean_rank"), F.count("*").alias("datasets"))
             .withColumn("winner", F.row_number().over(W.orderBy("mean_rank", candidate)) == 1))
 
 

@@ -31,7 +31,7 @@ def write_specimens(summary: DataFrame, specimen: str, path: str) -> None:
 def write_region_summary(summary: DataFrame, path: str) -> None:
     """Case rows and summary rows with four decimals; undefined scores as nan."""
     regions = [c for c in summary.columns if c != "casename"]
-    text = [F.coalesce(F.format_string("%.4f", F.col(r)), F.lit("nan")).alias(r) for r in regions]
+    text = [F.when(F.col(r).isNull(), "nan").otherwise(F.format_string("%.4f", F.col(r))).alias(r) for r in regions]
     summary.select("casename", *text).write.csv(path, header=True, mode="overwrite")
 
 

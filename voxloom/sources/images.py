@@ -195,12 +195,24 @@ def _unpack_chunk(content: bytes, codec: str | None) -> bytes:
     raise ValueError(f"chunk codec {codec} is not supported")
 
 
+def _hidden_text(spark: SparkSession, path: str) -> str:
+    # scans skip names that start with a dot, so the small header is opened directly
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = files.open(where)
+    try:
+        return bytes(stream.readNBytes(1 << 20)).decode()
+    finally:
+        stream.close()
+
+
 def read_chunked_array(spark: SparkSession, path: str) -> DataFrame:
     """Nonzero voxels of a zarr v2 directory array of shape [..., z, y, x].
 
     Every chunk file is decoded by the task that reads it; leading axes must be 1.
     """
-    meta = json.loads(spark.read.text(f"{path}/.zarray", wholetext=True).first()[0])
+    meta = json.loads(_hidden_text(spark, f"{path}/.zarray"))
     shape, chunk, dtype = meta["shape"], meta["chunks"], np.dtype(meta["dtype"])
     codec = (meta.get("compressor") or {}).get("id")
     separator = meta.get("dimension_separator", ".")
