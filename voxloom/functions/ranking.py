@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from voxloom.support import materialize
+
 
 def rank_in_buckets(df: DataFrame, keys: Sequence[str], buckets: Sequence[tuple[str, Column]],
                     order: Sequence[Column | str], rank: str = "rank", total: str | None = None) -> DataFrame:
@@ -20,7 +22,8 @@ def rank_in_buckets(df: DataFrame, keys: Sequence[str], buckets: Sequence[tuple[
     """
     names = [n for n, _ in buckets]
     rows = df.withColumns(dict(buckets))
-    counts = rows.groupBy(*keys, *names).agg(F.count("*").alias("_n"))
+    # one row per bucket, staged because every level below reads it
+    counts = materialize(rows.groupBy(*keys, *names).agg(F.count("*").alias("_n")))
     offsets = counts
     offset = F.lit(0).cast("long")
     for depth in range(len(names), 0, -1):
@@ -37,6 +40,7 @@ def rank_in_buckets(df: DataFrame, keys: Sequence[str], buckets: Sequence[tuple[
         offsets = offsets.join(sizes, list(keys))
         wanted.append(F.col(total))
     inside = W.partitionBy(*keys, *names).orderBy(*order)
-    return (rows.join(offsets.select(*wanted), [*keys, *names])
+    offsets = materialize(offsets.select(*wanted))
+    return (rows.join(offsets, [*keys, *names])
             .withColumn(rank, F.col("_offset") + F.row_number().over(inside) - 1)
             .drop("_offset", *[n for n in names if n not in df.columns]))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from voxloom.support import attach, literal_map
+from voxloom.support import attach, literal_map, materialize
 
 # Organ codes 12 and 13 join 11, later codes move down by two.
 ORGAN_MERGE = {12: 11, 13: 11, **{code: code - 2 for code in range(14, 23)}}
@@ -79,9 +79,8 @@ def sample_class_locations(voxels: DataFrame, keys: Sequence[str], label: str, s
     straddles the quota is ordered, so no task holds a whole class.
     """
     group = [*keys, label]
-    buckets = 4096
     hashed = (voxels.withColumn("_h", F.xxhash64(F.lit(seed), *group, "z", "y", "x"))
-              .withColumn("_b", F.shiftrightunsigned("_h", 64 - 12)))
+              .withColumn("_b", F.shiftrightunsigned("_h", 64 - 16)))
     sizes = hashed.groupBy(*group, "_b").agg(F.count("*").alias("_c"))
     total = W.partitionBy(*group)
     before = total.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -90,7 +89,7 @@ def sample_class_locations(voxels: DataFrame, keys: Sequence[str], label: str, s
         *group, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), "_c",
         F.greatest(F.least(F.lit(floor), n), F.ceil(n * share)).alias("_quota"))
     plan = plan.where(F.col("_before") < F.col("_quota"))
-    picked = hashed.join(plan, [*group, "_b"])
+    picked = hashed.join(materialize(plan), [*group, "_b"])
     whole = F.col("_before") + F.col("_c") <= F.col("_quota")
     inside = W.partitionBy(*group, "_b").orderBy("_h", "z", "y", "x")
     edge = (picked.where(~whole).withColumn("_r", F.row_number().over(inside))

@@ -147,7 +147,8 @@ def poly_lr(epoch: Column, epochs: int, lr0: float = 0.01, exponent: float = 0.9
 
 
 # A fixed odd multiplier spreads consecutive case numbers; its result is the shuffle order.
-SHUFFLE_MULTIPLIER, SHUFFLE_MODULUS = 48271, 2147483647
+# Dropping SHUFFLE_BITS of it leaves the bucket a case is ranked in.
+SHUFFLE_MULTIPLIER, SHUFFLE_MODULUS, SHUFFLE_BITS = 48271, 2147483647, 15
 
 
 def shuffle_key(case: Column) -> Column:
@@ -160,7 +161,7 @@ def kfold(cases: DataFrame, case: str, folds: int) -> DataFrame:
     The first n mod k folds hold one case more.
     """
     key = shuffle_key(F.col(case))
-    bucket = F.floor(key / (SHUFFLE_MODULUS // 4096 + 1))
+    bucket = F.shiftright(key, SHUFFLE_BITS)
     ranked = rank_in_buckets(cases.withColumn("_g", F.lit(0)).withColumn("_k", key), ["_g"], [("_b", bucket)],
                              ["_k", case], "_rank", "_total")
     size, extra = F.floor(F.col("_total") / folds), F.col("_total") % folds
@@ -178,7 +179,7 @@ def stratified_split(cases: DataFrame, case: str, stratum: str, strata: Sequence
     of all strata. Result: fold, role, case.
     """
     key = shuffle_key(F.col(case))
-    bucket = F.floor(key / (SHUFFLE_MODULUS // 4096 + 1))
+    bucket = F.shiftright(key, SHUFFLE_BITS)
     ranked = rank_in_buckets(cases.where(F.col(stratum).isin(list(strata))).withColumn("_k", key), [stratum],
                              [("_b", bucket)], ["_k", case], "_rank", "_total")
     trains = F.col("_rank") < F.rint(F.col("_total") * share)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.operators.stencil import TILE, border_voxels
-from voxloom.support import ZYX, div0, full_offsets
+from voxloom.support import ZYX, attach, div0, full_offsets, materialize
 
 WIDTH, LINES = 64, 8
 # Fixed value: distance reported when only one of the masks is empty.
@@ -29,6 +29,24 @@ def surface(voxels: DataFrame, keys: Sequence[str], code: str, dims: Sequence[in
     return border_voxels(voxels, keys, code, dims, full_offsets(6), outside_is_border=True, tile=tile)
 
 
+def _line_gaps(lines: np.ndarray, width: int, columns: np.ndarray, batch: int = 256) -> np.ndarray:
+    """Steps from each of the columns to the nearest occupied one, per line."""
+    out = np.empty((len(lines), len(columns)), np.int64)
+    every = np.arange(width)
+    for start in range(0, len(lines), batch):
+        part = lines[start:start + batch]
+        owner = np.repeat(np.arange(len(part)), [len(xs) for xs in part])
+        taken = np.concatenate(part)
+        left = np.full((len(part), width), -2 * width)
+        left[owner, taken] = taken
+        right = np.full((len(part), width), 3 * width)
+        right[owner, taken] = taken
+        left = np.maximum.accumulate(left, axis=1)
+        right = np.minimum.accumulate(right[:, ::-1], axis=1)[:, ::-1]
+        out[start:start + batch] = np.minimum(every - left, right - every)[:, columns]
+    return out
+
+
 def nearest_distance(points: DataFrame, targets: DataFrame, keys: Sequence[str], dims: Sequence[int],
                      spacing: Sequence[float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """Squared distance ``d2`` from each point to its nearest target of the same keys.
@@ -39,29 +57,38 @@ def nearest_distance(points: DataFrame, targets: DataFrame, keys: Sequence[str],
     sz, sy, sx = (float(s) for s in spacing)
     height, width = int(dims[1]), int(dims[2])
     key_fields = [points.schema[k] for k in keys]
-    # along x: one row per occupied line, repeated for each block of columns
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((width - 1) // WIDTH))).alias("_xb")
-    lines = (targets.groupBy(*keys, "z", "y").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-             .select(*keys, "z", "y", "xs", blocks).withColumn("_zb", F.floor(F.col("z") / LINES).cast("int")))
+    asked = points.select(*keys, *ZYX).withColumns({
+        "_yb": F.floor(F.col("y") / LINES).cast("int"), "_xb": F.floor(F.col("x") / WIDTH).cast("int")})
+    # distances are only needed where points lie: their range of row and column blocks
+    needed = asked.groupBy(*keys).agg(F.min("_yb").alias("_y0"), F.max("_yb").alias("_y1"),
+                                      F.min("_xb").alias("_x0"), F.max("_xb").alias("_x1"))
+    # along x: one row per occupied line, repeated for each needed block of columns
+    lines = targets.groupBy(*keys, "z", "y").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    lines = attach(lines, needed, keys).select(
+        *keys, "z", "y", "xs", "_y0", "_y1", F.explode(F.sequence("_x0", "_x1")).alias("_xb"),
+        F.floor(F.col("z") / LINES).cast("int").alias("_zb"))
+    # block distances travel as raw bytes, one row per plane and row block
     planes = T.StructType([*key_fields, T.StructField("z", T.IntegerType()), T.StructField("_yb", T.IntegerType()),
                            T.StructField("_xb", T.IntegerType()),
-                           T.StructField("d2", T.ArrayType(T.DoubleType()))])
+                           T.StructField("d2", T.BinaryType())])
 
     def along_y(pdf: pd.DataFrame) -> pd.DataFrame:
         first = int(pdf["_xb"].iloc[0]) * WIDTH
         columns = np.arange(first, min(first + WIDTH, width))
-        ys = np.arange(height)
-        out = []
-        for z, plane in pdf.groupby("z"):
-            best = np.full((height, len(columns)), np.inf)
-            for y, xs in zip(plane["y"].to_numpy(), plane["xs"].to_numpy()):
-                at = np.searchsorted(xs, columns)
-                gap = np.minimum(np.abs(columns - xs[np.minimum(at, len(xs) - 1)]),
-                                 np.abs(columns - xs[np.maximum(at - 1, 0)]))
-                line = (gap * sx) ** 2
-                np.minimum(best, line[None, :] + ((ys - y) * sy)[:, None] ** 2, out=best)
-            for yb in range((height - 1) // LINES + 1):
-                out.append((z, yb, best[yb * LINES:(yb + 1) * LINES].ravel()))
+        low, high = int(pdf["_y0"].iloc[0]) * LINES, min((int(pdf["_y1"].iloc[0]) + 1) * LINES, height)
+        rows = np.arange(low, high)
+        levels, plane = np.unique(pdf["z"].to_numpy(), return_inverse=True)
+        best = np.full((len(levels), len(rows), len(columns)), np.inf)
+        ys = pdf["y"].to_numpy()
+        square = (_line_gaps(pdf["xs"].to_numpy(), width, columns) * sx) ** 2
+        along = np.full((len(levels), len(columns)), np.inf)
+        for y in np.unique(ys):
+            here = ys == y
+            along[:] = np.inf
+            along[plane[here]] = square[here]
+            np.minimum(best, along[:, None, :] + (((rows - y) * sy) ** 2)[None, :, None], out=best)
+        out = [(z, yb, best[i, yb * LINES - low:(yb + 1) * LINES - low].tobytes())
+               for i, z in enumerate(levels) for yb in range(int(pdf["_y0"].iloc[0]), int(pdf["_y1"].iloc[0]) + 1)]
         frame = pd.DataFrame(out, columns=["z", "_yb", "d2"])
         frame["_xb"] = int(pdf["_xb"].iloc[0])
         for k in keys:
@@ -69,8 +96,6 @@ def nearest_distance(points: DataFrame, targets: DataFrame, keys: Sequence[str],
         return frame[[*keys, "z", "_yb", "_xb", "d2"]]
 
     flat = lines.groupBy(*keys, "_zb", "_xb").applyInPandas(along_y, planes)
-    asked = points.select(*keys, *ZYX).withColumns({
-        "_yb": F.floor(F.col("y") / LINES).cast("int"), "_xb": F.floor(F.col("x") / WIDTH).cast("int")})
     answer = T.StructType([*points.select(*keys, *ZYX).schema.fields, T.StructField("d2", T.DoubleType())])
 
     def along_z(query: pd.DataFrame, planes_here: pd.DataFrame) -> pd.DataFrame:
@@ -81,7 +106,7 @@ def nearest_distance(points: DataFrame, targets: DataFrame, keys: Sequence[str],
         index = (y - int(query["_yb"].iloc[0]) * LINES) * wide + (x - int(query["_xb"].iloc[0]) * WIDTH)
         best = np.full(len(query), np.inf)
         for level, values in zip(planes_here["z"].to_numpy(), planes_here["d2"].to_numpy()):
-            np.minimum(best, values[index] + ((z - level) * sz) ** 2, out=best)
+            np.minimum(best, np.frombuffer(values)[index] + ((z - level) * sz) ** 2, out=best)
         out = query[[*keys, *ZYX]].copy()
         out["d2"] = best
         return out
@@ -93,8 +118,8 @@ def nearest_distance(points: DataFrame, targets: DataFrame, keys: Sequence[str],
 def distance_counts(test: DataFrame, reference: DataFrame, keys: Sequence[str], dims: Sequence[int],
                     spacing: Sequence[float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """Number of surface voxels per (keys, from_test, distance), both directions."""
-    both = (test.select(*keys, *ZYX, F.lit(True).alias("from_test"))
-            .unionByName(reference.select(*keys, *ZYX, F.lit(False).alias("from_test"))))
+    both = materialize(test.select(*keys, *ZYX, F.lit(True).alias("from_test"))
+                       .unionByName(reference.select(*keys, *ZYX, F.lit(False).alias("from_test"))))
     # each side asks for the other side's surface
     other = both.withColumn("from_test", ~F.col("from_test"))
     found = nearest_distance(both, other, [*keys, "from_test"], dims, spacing)
