@@ -331,3 +331,32 @@ def nerve_report(spark, sf):
     scored = _tiled(spark, sf).withColumn(
         "p", (F.col("intensity") + (F.col("w0") + F.col("w1") + F.col("w2")) % 3) / F.lit(53.0))
     return nerve_quantification(scored, voxels(spark, sf).select(*PLACE, "gt"), V, "p", "gt")
+
+
+@query("mask_by_channel", f"""WITH {VOX} SELECT volume_id, z, y, x, CASE WHEN pred - 1 < 0 THEN -5.0::DOUBLE ELSE CAST(intensity AS DOUBLE) END AS value FROM vox""")
+def mask_by_channel(spark, sf):
+    value = masking.mask_by_channel(F.col("intensity").cast("double"), F.col("pred") - 1, -5.0)
+    return voxels(spark, sf).select(*PLACE, value.alias("value"))
+
+
+@query("patch_boxes", f"""WITH {VOX} SELECT volume_id, z, y, x, GREATEST(-2, z - 8) AS z0, GREATEST(-2, z - 8) + 16 AS z1,
+GREATEST(0, y - 10) AS y0, GREATEST(0, y - 10) + 20 AS y1, GREATEST(-8, x - 16) AS x0, GREATEST(-8, x - 16) + 32 AS x1,
+volume_id % 4 >= 3 AS forced FROM vox WHERE intensity > 45""")
+def patch_boxes(spark, sf):
+    centres = voxels(spark, sf).where(F.col("intensity") > 45).select(*PLACE)
+    boxes = tiles.patch_boxes(centres, (16, 20, 32), LATTICE, padded=(20, 20, 48))
+    return boxes.withColumn("forced", tiles.forced_in_batch(F.col("volume_id") % 4, 4, 0.33))
+
+
+@query("cascade_argmax", f"""WITH {VOX}, {GRIDS}, p AS (SELECT volume_id, z, y, x, 0 AS class, intensity / 50.0::DOUBLE AS p FROM vox
+  UNION ALL SELECT volume_id, z, y, x, 1, 1 - intensity / 50.0::DOUBLE FROM vox),
+r AS (SELECT volume_id, gz.i AS z, gy.i AS y, x, class, ROUND(SUM(p * (1 - ABS(gz.c - z)) * (1 - ABS(gy.c - y))), 9) AS p
+  FROM p JOIN gz ON ABS(gz.c - z) < 1 JOIN gy ON ABS(gy.c - y) < 1 GROUP BY 1, 2, 3, 4, 5)
+SELECT volume_id, z, y, x, class FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY volume_id, z, y, x ORDER BY p DESC, class) AS r FROM r WHERE p <> 0) WHERE r = 1""")
+def cascade_argmax(spark, sf):
+    # class scores of the coarse stage on the next stage's grid, then the best class
+    p = F.col("intensity") / F.lit(50.0)
+    scores = voxels(spark, sf).select(*PLACE, F.posexplode(F.array(p, 1 - p)).alias("class", "p"))
+    finer = resample.resample_linear(scores, ["volume_id", "class"], "p", LATTICE, RESAMPLED)
+    rounded = finer.withColumn("p", F.round("p", 9)).where(F.col("p") != 0)
+    return tiles.argmax_class(rounded, PLACE).drop("p")

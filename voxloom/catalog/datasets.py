@@ -164,3 +164,12 @@ def integrity_violations(spark, sf):
         cases.stragglers(listed, files, "case_id"), cases.geometry_mismatch(files, "case_id", ["spacing"]),
         cases.orientation_mismatch(files, "case_id", "axes"),
         cases.unexpected_labels(vox, "case_id", "gt", (0, 1, 2)), cases.nan_values(noisy, "case_id", "value"))
+
+
+@query("volume_file_name", """SELECT o_orderkey, printf('mouse%d_xy%d_z%d_%04d.nii.gz', o_custkey, 1 + o_orderkey % 4, 1 + o_orderkey % 3, o_orderkey % 2) AS name FROM orders""")
+def volume_file_name(spark, sf):
+    key = F.col("o_orderkey")
+    channel = F.when(key % 2 == 1, "C02_signal").otherwise("C01_auto")
+    name = F.concat(F.lit("mouse"), "o_custkey", F.lit("_xy"), 1 + key % 4, F.lit("_z"), 1 + key % 3,
+                    names.channel_suffix(channel), F.lit(".nii.gz"))
+    return table(spark, sf, "orders").select("o_orderkey", name.alias("name"))

@@ -112,3 +112,9 @@ UNION ALL SELECT source + a.o, target + b.o, 'fused' FROM pairs JOIN off a ON a.
 def graph_fuse(spark, sf):
     local = edges(spark, sf).withColumns({"src": F.col("src") % 150, "dst": F.col("dst") % 150})
     return graph.fuse_graphs(vertices(spark, sf), local, _pairs(spark, sf, hot=50), [], "graph_id", "vid")
+
+
+@query("degree_histogram", f"WITH {DEGREE} SELECT graph_id, LEAST(4, CAST(FLOOR(degree / 2.0::DOUBLE) AS INT)) AS bin, COUNT(*) AS n FROM deg WHERE degree <= 10 GROUP BY 1, 2")
+def degree_histogram(spark, sf):
+    degrees = graph.vertex_degree(vertices(spark, sf), edges(spark, sf), G)
+    return quantify.histogram(degrees, G, "degree", 0.0, 10.0, 5)

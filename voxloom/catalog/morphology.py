@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxloom.bindings import LATTICE, VOX, voxels
+from voxloom.bindings import CELLS, LATTICE, VOX, voxels
 from voxloom.catalog import query
 from voxloom.catalog.spatial import component_sql
-from voxloom.operators import stencil, surface
-from voxloom.support import full_offsets
+from voxloom.operators import evaluate, stencil, surface
+from voxloom.support import full_offsets, materialize
 
 V = ["volume_id"]
 PLACE = ["volume_id", "z", "y", "x"]
@@ -187,3 +187,52 @@ def surface_dice(spark, sf):
     return surface.surface_dice(_counts(spark, sf), ["volume_id", "code"], 1.0)
 
 
+
+
+@query("surface_metric_table", f"""WITH {SURFACE}, m AS (SELECT volume_id, code, MAX(distance) AS hd, QUANTILE_CONT(distance, 0.95) AS hd95, AVG(CASE WHEN from_test THEN distance END) AS asd,
+  (AVG(CASE WHEN from_test THEN distance END) + AVG(CASE WHEN NOT from_test THEN distance END)) / 2 AS assd FROM near GROUP BY 1, 2),
+labels(code) AS (VALUES (1), (2), (3), (4)), present AS (SELECT v.volume_id, code, COUNT(CASE WHEN gt = code THEN 1 END) AS g, COUNT(CASE WHEN pred = code THEN 1 END) AS p FROM vox v, labels GROUP BY 1, 2),
+j AS (SELECT p.*, hd, hd95, asd, assd FROM present p LEFT JOIN m ON m.volume_id = p.volume_id AND m.code = p.code)
+SELECT volume_id, code, 'Hausdorff Distance' AS metric, ROUND(hd, 6) AS value FROM j UNION ALL SELECT volume_id, code, 'Hausdorff Distance 95', ROUND(hd95, 6) FROM j
+UNION ALL SELECT volume_id, code, 'Avg. Surface Distance', ROUND(asd, 6) FROM j UNION ALL SELECT volume_id, code, 'Avg. Symmetric Surface Distance', ROUND(assd, 6) FROM j
+UNION ALL SELECT volume_id, code, 'hd95 with sentinel', CASE WHEN g = 0 AND p = 0 THEN 0.0 WHEN g = 0 OR p = 0 THEN 373.12866 ELSE ROUND(hd95, 6) END FROM j""")
+def surface_metric_table(spark, sf):
+    vox = voxels(spark, sf)
+    pairs = evaluate.pair_counts(vox.where(F.col("gt") > 0), vox.where(F.col("pred") > 0), V, "gt", "pred")
+    flags = (evaluate.confusion(pairs, V, {str(c): [c] for c in (1, 2, 3, 4)}, CELLS)
+             .withColumn("code", F.col("label").cast("int")))
+    key = ["volume_id", "code"]
+    metrics = materialize(surface.distance_metrics(_counts(spark, sf), key))
+    plain = surface.with_empty_masks(metrics, flags, key)
+    kept = surface.with_empty_masks(metrics, flags, key, sentinel=True)
+    return surface.metric_rows(plain, key).unionByName(kept.select(
+        *key, F.lit("hd95 with sentinel").alias("metric"), F.col("hd95").alias("value")))
+
+
+REGION_SURFACE = f"""{VOX}, o(dz, dy, dx) AS (VALUES {_offset_values(full_offsets(6))}),
+reg(code, lo) AS (VALUES (0, 1), (1, 2), (2, 3)),
+seg AS (SELECT volume_id, z, y, x, code, FALSE AS from_test FROM vox, reg WHERE gt >= lo UNION ALL SELECT volume_id, z, y, x, code, TRUE FROM vox, reg WHERE pred >= lo),
+surf AS (SELECT DISTINCT s.volume_id, s.code, s.from_test, s.z, s.y, s.x FROM (SELECT seg.*, dz, dy, dx FROM seg, o) s LEFT JOIN seg n
+  ON n.volume_id = s.volume_id AND n.from_test = s.from_test AND n.code = s.code AND n.z = s.z + s.dz AND n.y = s.y + s.dy AND n.x = s.x + s.dx WHERE n.code IS NULL),
+near AS (SELECT a.volume_id, a.code, a.from_test, a.z, a.y, a.x, SQRT(MIN((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))) AS distance
+  FROM surf a JOIN surf b ON a.volume_id = b.volume_id AND a.code = b.code AND a.from_test <> b.from_test GROUP BY ALL)"""
+
+
+@query("region_case_table", f"""WITH {REGION_SURFACE}, h AS (SELECT volume_id, code, ROUND(QUANTILE_CONT(distance, 0.95), 6) AS hd95 FROM near GROUP BY 1, 2),
+d AS (SELECT volume_id, code, ROUND(CAST(2 * COUNT(CASE WHEN gt >= lo AND pred >= lo THEN 1 END) AS DOUBLE) / (COUNT(CASE WHEN gt >= lo THEN 1 END) + COUNT(CASE WHEN pred >= lo THEN 1 END)), 6) AS dice FROM vox, reg GROUP BY 1, 2)
+SELECT volume_id, CASE code WHEN 0 THEN 'whole' WHEN 1 THEN 'core' ELSE 'enh' END AS region, dice, hd95 FROM d JOIN h USING (volume_id, code)""")
+def region_case_table(spark, sf):
+    regions = {"whole": [1, 2, 3], "core": [2, 3], "enh": [3]}
+    vox = voxels(spark, sf)
+    pairs = evaluate.pair_counts(vox.where(F.col("gt") > 0), vox.where(F.col("pred") > 0), V, "gt", "pred")
+    counts = evaluate.confusion(pairs, V, regions, CELLS).withColumnRenamed("label", "region")
+    dice = counts.withColumn("dice", F.round(evaluate.dice_with_policy("lenient"), 6))
+
+    def outline(column):
+        member = F.array(*[F.when(F.col(column).isin(codes), F.lit(r)) for r, codes in regions.items()])
+        rows = vox.select(*PLACE, F.explode(F.array_compact(member)).alias("region"), F.lit(1).alias("code"))
+        return surface.surface(rows, ["volume_id", "region"], "code", LATTICE)
+    key = ["volume_id", "region"]
+    metrics = surface.distance_metrics(surface.distance_counts(outline("pred"), outline("gt"), key, LATTICE), key)
+    hd = surface.with_empty_masks(metrics, dice, key, sentinel=True)
+    return dice.select(*key, "dice").join(hd, key)

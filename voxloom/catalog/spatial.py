@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxloom.bindings import CELLS, LATTICE, VOX, voxels
 from voxloom.catalog import query
 from voxloom.operators import blobs, components, evaluate
+from voxloom.plans.evaluation import determine_postprocessing
 from voxloom.support import full_offsets, materialize
 
 V = ["volume_id"]
@@ -175,7 +176,7 @@ def point_distance(spark, sf):
     return voxels(spark, sf).select(*PLACE, F.round(d, 6).alias("dist"))
 
 
-@query("postprocess_decision", f"""WITH RECURSIVE {VOX}, {component_sql('cc', 'vox', 26, where='pred > 0')},
+@query("postprocess_decision", f"""WITH RECURSIVE {VOX}, {component_sql('cc', 'vox', 6, where='pred > 0')},
 big AS (SELECT volume_id, component FROM (SELECT volume_id, component, RANK() OVER (PARTITION BY volume_id ORDER BY COUNT(*) DESC) AS r FROM cc GROUP BY 1, 2) WHERE r = 1),
 post AS (SELECT v.volume_id, v.gt, v.pred, CASE WHEN b.component IS NULL THEN 0 ELSE v.pred END AS pp FROM vox v
   LEFT JOIN cc ON cc.volume_id = v.volume_id AND cc.z = v.z AND cc.y = v.y AND cc.x = v.x LEFT JOIN big b ON b.volume_id = cc.volume_id AND b.component = cc.component),
@@ -195,9 +196,38 @@ def postprocess_decision(spark, sf):
         return (counts.groupBy("label").agg(F.avg(evaluate.dice_with_policy("undefined")).alias("dice"))
                 .withColumn("label", F.col("label").cast("int")))
     pred = vox.where(F.col("pred") > 0).select(*PLACE, "pred")
-    labelled = materialize(components.connected_components(pred, V, LATTICE, 26))
+    labelled = materialize(components.connected_components(pred, V, LATTICE, 6))
     kept = components.keep_components(
         labelled, components.largest(components.component_sizes(labelled, V), V), V)
     return evaluate.postprocess_decision(mean_dice(pred), mean_dice(kept), (1, 2, 3))
 
 
+
+
+def _class_dice(name, column):
+    return f"""{name} AS (SELECT l, AVG(d) AS dice FROM (SELECT volume_id, l, CAST(2 * COUNT(CASE WHEN gt = l AND {column} = l THEN 1 END) AS DOUBLE)
+  / NULLIF(COUNT(CASE WHEN gt = l THEN 1 END) + COUNT(CASE WHEN {column} = l THEN 1 END), 0) AS d FROM filtered, (VALUES (1), (2), (3)) t(l) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query("postprocess_plan", f"""WITH RECURSIVE {VOX}, {component_sql('ca', 'vox', 6, where='pred > 0')}, {component_sql('cp', 'vox', 6, 'pred', where='pred > 0')},
+ta AS (SELECT volume_id, component FROM (SELECT volume_id, component, RANK() OVER (PARTITION BY volume_id ORDER BY COUNT(*) DESC) AS r FROM ca GROUP BY 1, 2) WHERE r = 1),
+tp AS (SELECT volume_id, component FROM (SELECT volume_id, code, component, RANK() OVER (PARTITION BY volume_id, code ORDER BY COUNT(*) DESC) AS r FROM cp GROUP BY 1, 2, 3) WHERE r = 1),
+filtered AS (SELECT v.volume_id, v.gt, v.pred, CASE WHEN ta.component IS NULL THEN 0 ELSE v.pred END AS joint, CASE WHEN tp.component IS NULL THEN 0 ELSE v.pred END AS single
+  FROM vox v LEFT JOIN ca ON ca.volume_id = v.volume_id AND ca.z = v.z AND ca.y = v.y AND ca.x = v.x LEFT JOIN ta ON ta.volume_id = ca.volume_id AND ta.component = ca.component
+  LEFT JOIN cp ON cp.volume_id = v.volume_id AND cp.z = v.z AND cp.y = v.y AND cp.x = v.x LEFT JOIN tp ON tp.volume_id = cp.volume_id AND tp.component = cp.component),
+{_class_dice('raw', 'pred')}, {_class_dice('j', 'joint')}, {_class_dice('s', 'single')}
+SELECT CAST(NULL AS INT) AS label, ROUND(AVG(raw.dice), 6) AS before, ROUND(AVG(j.dice), 6) AS after, BOOL_OR(j.dice > raw.dice) AND NOT BOOL_OR(j.dice < raw.dice) AS apply FROM raw JOIN j USING (l)
+UNION ALL SELECT l, ROUND(raw.dice, 6), ROUND(s.dice, 6), s.dice > raw.dice FROM raw JOIN s USING (l)""")
+def postprocess_plan(spark, sf):
+    # the joint step does not help on this table, so the class steps start from the raw prediction
+    vox = _fg(spark, sf)
+    return determine_postprocessing(vox.select(*PLACE, "pred"), vox, V, "pred", "gt", LATTICE, (1, 2, 3))
+
+
+@query("organ_filter_dispatch", f"""WITH RECURSIVE {VOX}, {GT26}, {SIZES}, r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY volume_id, code ORDER BY voxels DESC, component) AS r FROM sizes)
+SELECT volume_id, code AS gt, component, voxels FROM r
+WHERE (code = 1 AND r = 1) OR (code = 2 AND voxels * 1.5 > 6) OR (code = 3 AND (r = 1 OR voxels * 1.5 > 60))""")
+def organ_filter_dispatch(spark, sf):
+    sizes = components.component_sizes(_by_gt(spark, sf, 26), V, "gt")
+    return components.filter_organs(sizes, V, "gt", {1: "largest", 2: "small", 3: "small_keep_one"},
+                                    {2: 6.0, 3: 60.0}, 1.5)

@@ -62,3 +62,8 @@ def hex_rgb(code: Column) -> Column:
 def blend(grey: Column, colour: Column, labelled: Column, intensity: float) -> Column:
     """Grey pixel (0..255) with the label colour added where labelled."""
     return F.when(labelled, grey + F.lit(intensity) * colour).otherwise(grey)
+
+
+def channel_suffix(channel: Column) -> Column:
+    """Second channel (C02) files end in _0001, all others in _0000."""
+    return F.when(F.contains(channel, F.lit("C02")), "_0001").otherwise("_0000")

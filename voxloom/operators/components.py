@@ -224,3 +224,43 @@ def left_right_fix(labelled: DataFrame, keys: Sequence[str], label: str, pairs:
     other = F.create_map(*[F.lit(v) for k, c in left.items() for v in (k, c)])
     fixed = F.when(F.col("_g").isNull(), F.col(label)).when(F.col("_first"), F.col("_g")).otherwise(other[F.col("_g")])
     return joined.withColumn(label, fixed).select(*labelled.columns)
+
+
+def filter_organs(sizes: DataFrame, keys: Sequence[str], code: str, methods: dict[int, str],
+                  minimum: dict[int, float], voxel_volume: float, rate: float = 1.0) -> DataFrame:
+    """Kept components with a method per organ: ``largest``, ``small`` (drop small
+    ones), ``small_keep_one`` (but never the largest) or ``all``. Organs without
+    a method are dropped."""
+    def of(method: str) -> list[int]:
+        return [c for c, m in methods.items() if m == method]
+    unknown = set(methods.values()) - {"largest", "small", "small_keep_one", "all"}
+    if unknown:
+        raise ValueError(f"unknown methods {unknown}")
+    sizes = materialize(sizes)
+    group = [*keys, code]
+    parts = [sizes.where(F.col(code).isin(of("all")))]
+    if of("largest"):
+        parts.append(largest(sizes.where(F.col(code).isin(of("largest"))), group, ties=False))
+    for method, keep in (("small", False), ("small_keep_one", True)):
+        if of(method):
+            parts.append(small_object_filter(sizes.where(F.col(code).isin(of(method))), keys, code, minimum,
+                                             voxel_volume, rate, keep))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def keep_largest_per_group(voxels: DataFrame, keys: Sequence[str], label: str, dims: Sequence[int],
+                           groups: Sequence[Sequence[int]], floors: dict[tuple[int, ...], float] | None = None,
+                           connectivity: int = 6, tile: Sequence[int] = TILE) -> DataFrame:
+    """Apply a largest-object decision: each group of classes is one foreground
+    whose largest objects (all of them on ties) stay, with objects of at least
+    the group's floor. Groups are applied one after the other."""
+    out = voxels
+    for codes in groups:
+        inside = F.col(label).isin(list(codes))
+        labelled = materialize(connected_components(out.where(inside), keys, dims, connectivity, tile=tile))
+        kept = largest(component_sizes(labelled, keys), keys, floor=(floors or {}).get(tuple(codes)))
+        out = out.where(~inside).unionByName(keep_components(labelled, kept, keys).select(*out.columns))
+    return out

@@ -135,3 +135,8 @@ def fill_from_sampled_slices(slices: DataFrame, sampled: DataFrame, keys: Sequen
     return (attach(found, last, keys, "left")
             .withColumn("source_z", F.when(F.col("_have"), F.col("_wanted")).otherwise(F.col("_last")))
             .drop("_wanted", "_have", "_last"))
+
+
+def mask_by_channel(value: Column, mask: Column, constant: float = 0.0) -> Column:
+    """Constant where the mask channel is negative (outside the image)."""
+    return F.when(mask < 0, F.lit(constant)).otherwise(value)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxloom.functions.metrics import SURFACE_METRICS
 from voxloom.operators.stencil import TILE, border_voxels
 from voxloom.support import ZYX, attach, div0, full_offsets, materialize
 
@@ -166,3 +167,10 @@ def surface_dice(counts: DataFrame, keys: Sequence[str], threshold: float) -> Da
     tp = share(a, True) + share(b, True)
     return counts.groupBy(*keys).agg(
         F.round(tp / (tp + share(a, False) + share(b, False) + 1e-8), 6).alias("surface_dice"))
+
+
+def metric_rows(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Long form with the report names of the distance metrics."""
+    pairs = F.array(*[F.struct(F.lit(name).alias("metric"), F.col(c).alias("value"))
+                      for name, c in zip(SURFACE_METRICS, ("hd", "hd95", "asd", "assd"))])
+    return metrics.select(*keys, F.inline(pairs))

@@ -123,3 +123,24 @@ def mirrored_mean(tiles: DataFrame, keys: Sequence[str], value: str, patch: Sequ
                               .otherwise(F.col(a)).cast("int") for i, (a, n) in enumerate(zip(ZYX, patch))})
     predicted = turn(predict(turn(tiles.select("*", mirror))))
     return predicted.groupBy(*keys, *ZYX).agg(F.avg(value).alias(value))
+
+
+def patch_boxes(centres: DataFrame, patch: Sequence[int], dims: Sequence[int], padded: Sequence[int] | None = None,
+                ) -> DataFrame:
+    """Box of a training patch around each given voxel (columns z0..x1, half-open).
+
+    The box may leave the volume by half the room that ``padded`` asks for
+    beyond it; what lies outside is padding.
+    """
+    wanted = padded or patch
+    out = {}
+    for axis, p, w, n in zip(ZYX, patch, wanted, dims):
+        room = max(w - n, w - p, 0)
+        low = F.greatest(F.lit(-(room // 2)), F.col(axis) - p // 2).cast("int")
+        out[axis + "0"], out[axis + "1"] = low, (low + p).cast("int")
+    return centres.withColumns(out)
+
+
+def forced_in_batch(index: Column, batch: int, share: float) -> Column:
+    """The last part of a batch must contain foreground."""
+    return index >= F.lit(round(batch * (1 - share)))

@@ -49,3 +49,50 @@ def choose_model(scores: DataFrame, model: str, label: str, value: str) -> DataF
     means = scores.groupBy(model, label).agg(F.avg(value).alias(value))
     ranked = evaluate.foreground_mean(means, [model], label, value)
     return selection.best_models(ranked.withColumn("_all", F.lit(0)), ["_all"], model, "foreground").drop("_all")
+
+
+def consolidate_folds(folds: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Predictions of all validation folds as one set; a case may occur once only."""
+    tagged = [f.withColumn("fold", F.lit(i)) for i, f in enumerate(folds)]
+    out = tagged[0]
+    for fold in tagged[1:]:
+        out = out.unionByName(fold)
+    twice = out.groupBy(keys[0]).agg(F.count_distinct("fold").alias("_n")).where(F.col("_n") > 1).limit(5).collect()
+    if twice:
+        raise ValueError(f"cases in several folds: {[r[keys[0]] for r in twice]}")
+    return out
+
+
+def mean_dice(reference: DataFrame, test: DataFrame, keys: Sequence[str], reference_label: str, test_label: str,
+              classes: Sequence[int], cells: int) -> DataFrame:
+    """(label, dice): mean over the cases where the Dice is defined."""
+    pairs = evaluate.pair_counts(reference, test, keys, reference_label, test_label)
+    counts = evaluate.confusion(pairs, keys, {str(c): [c] for c in classes}, cells)
+    return (counts.groupBy(F.col("label").cast("int").alias("label"))
+            .agg(F.avg(evaluate.dice_with_policy("undefined")).alias("dice")))
+
+
+def determine_postprocessing(predicted: DataFrame, reference: DataFrame, keys: Sequence[str], label: str,
+                             reference_label: str, dims: Sequence[int], classes: Sequence[int], threshold: float = 0.0,
+                             ) -> DataFrame:
+    """Which largest-object filters help: first all foreground as one, then class by class.
+
+    One row for the joint step (label NULL) and one per class with the Dice
+    before and after. The class steps start from the result of the joint step if
+    that is applied.
+    """
+    cells = dims[0] * dims[1] * dims[2]
+    predicted = materialize(predicted.where(F.col(label).isin(list(classes))))
+    joint = materialize(components.keep_largest_per_group(predicted, keys, label, dims, [list(classes)]))
+    score = lambda df: materialize(mean_dice(reference, df, keys, reference_label, label, classes, cells))
+    raw, all_dice = score(predicted), score(joint)
+    decision = evaluate.postprocess_decision(raw, all_dice, classes, threshold)
+    use_joint = bool(decision.first()["apply"])
+    source, base = (joint, all_dice) if use_joint else (predicted, raw)
+    single = components.keep_largest_per_group(source, keys, label, dims, [[c] for c in classes])
+    per_class = score(single).select("label", F.col("dice").alias("after"))
+    rows = (base.select("label", F.col("dice").alias("before")).join(per_class, "label")
+            .withColumn("apply", F.col("after") > F.col("before") + threshold))
+    first = decision.select(F.lit(None).cast("int").alias("label"), "before", "after", "apply")
+    return first.unionByName(rows.select("label", F.round("before", 6).alias("before"),
+                                         F.round("after", 6).alias("after"), "apply"))

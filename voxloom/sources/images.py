@@ -161,6 +161,24 @@ def read_geometry(spark: SparkSession, path: str, glob: str = "*.nii*") -> DataF
             .mapInPandas(decode, "volume_id string, size array<int>, spacing array<double>"))
 
 
+def read_analyze(spark: SparkSession, path: str) -> DataFrame:
+    """Planes of ANALYZE pairs: every .img joined with the .hdr of the same name."""
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, header, content in zip(batch["volume_id"], batch["header"], batch["content"]):
+                # the header is 348 bytes and the pixels start at 0 of the other file
+                head = bytearray(header[:348].ljust(352, b"\0"))
+                order = "<" if struct.unpack("<i", head[:4])[0] == 348 else ">"
+                struct.pack_into(order + "3f", head, 108, 352.0, 1.0, 0.0)
+                for z, plane in enumerate(nifti_volume(bytes(head) + content)):
+                    yield _frame([_plane_row(name, z, plane)])
+    name = F.regexp_replace("path", r"\.(hdr|img)$", "")
+    headers = _binary(spark, path, "*.hdr").select(name.alias("_p"), F.col("content").alias("header"))
+    images = _binary(spark, path, "*.img").select(name.alias("_p"), "content")
+    both = images.join(headers, "_p").select(F.regexp_extract("_p", r"([^/]+)$", 1).alias("volume_id"), "header", "content")
+    return both.mapInPandas(decode, PLANE)
+
+
 def _stack(spark: SparkSession, path: str, glob: str, pages) -> DataFrame:
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
