@@ -88,9 +88,7 @@ def binary_metrics(spark, sf):
     pairs = table(spark, sf, "labels").groupBy(
         F.lit("all").alias("volume_id"), F.col("quality").alias("ref"), F.col("toxic").alias("pred")
     ).agg(F.count("*").alias("n"))
-    counts = evaluate.confusion(pairs, V, {"binary": [1]}, 0).drop("tn")
-    size = pairs.groupBy("volume_id").agg(F.sum("n").alias("size"))
-    counts = counts.join(size, "volume_id").withColumn("tn", F.col("size") - F.col("tp") - F.col("fp") - F.col("fn"))
+    counts = evaluate.confusion(pairs, V, {"binary": [1]}, None)
     return evaluate.metric_table(counts, V, digits=6)
 
 

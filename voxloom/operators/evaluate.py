@@ -20,24 +20,27 @@ def pair_counts(reference: DataFrame, test: DataFrame, keys: Sequence[str], ref:
             .agg(F.count("*").alias("n")))
 
 
-def confusion(pairs: DataFrame, keys: Sequence[str], labels: Mapping[str, Sequence[int]], cells: int | Column,
-              ) -> DataFrame:
+def confusion(pairs: DataFrame, keys: Sequence[str], labels: Mapping[str, Sequence[int]],
+              cells: int | None) -> DataFrame:
     """tp, fp, fn, tn per case and label; a label may join several codes.
 
     Works on the per-code counts, so the label list never multiplies voxels.
+    ``cells`` is the size of a volume; without it the pairs themselves are taken
+    to cover everything, background included.
     """
     options = F.array(*[F.struct(F.lit(name).alias("label"), F.array(*[F.lit(c) for c in codes]).alias("codes"))
                         for name, codes in labels.items()])
-    size = cells if isinstance(cells, Column) else F.lit(cells).cast("long")
+    size = F.col("_size")
     in_ref, in_pred = F.array_contains("o.codes", F.col("ref")), F.array_contains("o.codes", F.col("pred"))
     hits = [F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long").alias(name) for name, cond in (
         ("tp", in_ref & in_pred), ("fp", ~in_ref & in_pred), ("fn", in_ref & ~in_pred))]
+    hits.append((F.sum("n") if cells is None else F.max(F.lit(cells))).cast("long").alias("_size"))
     return (pairs.withColumn("o", F.explode(options)).groupBy(*keys, F.col("o.label").alias("label")).agg(*hits)
             .withColumn("tn", size - F.col("tp") - F.col("fp") - F.col("fn"))
             .withColumns({
                 "test_empty": F.col("tp") + F.col("fp") == 0, "test_full": F.col("tp") + F.col("fp") == size,
                 "reference_empty": F.col("tp") + F.col("fn") == 0,
-                "reference_full": F.col("tp") + F.col("fn") == size}))
+                "reference_full": F.col("tp") + F.col("fn") == size}).drop("_size"))
 
 
 def metric_table(counts: DataFrame, keys: Sequence[str], names: Sequence[str] | None = None,
