@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxloom.bindings import CELLS, LATTICE, PROB, VOX, probabilities, table, voxels
 from voxloom.catalog import query
 from voxloom.operators import intensity, masking, resample, tiles
+from voxloom.plans.preprocessing import fingerprint_table
 from voxloom.plans.quantification import nerve_quantification
 from voxloom.support import materialize
 
@@ -72,31 +73,25 @@ def target_spacing(spark, sf):
     return intensity.target_spacing(_cases(spark, sf), ["dataset"])
 
 
-FG = f"""{VOX}, fgr AS (SELECT intensity AS value, ROW_NUMBER() OVER (PARTITION BY volume_id ORDER BY z, y, x) - 1 AS r FROM vox WHERE gt > 0),
-st AS (SELECT {STATS} FROM fgr WHERE r % 10 = 0)"""
-
-
-def _dataset_stats(vox):
-    modal = vox.select(*PLACE, "gt", F.lit(0).alias("modality"), F.col("intensity").alias("value"))
-    stats = intensity.fingerprint(modal, "volume_id", "modality", "value", F.col("gt") > 0)
-    return materialize(stats.where(F.col("volume_id").isNull()).drop("volume_id"))
+FG = f"""{MODAL}, fgr AS (SELECT modality, value, ROW_NUMBER() OVER (PARTITION BY volume_id, modality ORDER BY z, y, x) - 1 AS r FROM modal WHERE gt > 0),
+st AS (SELECT modality, {STATS} FROM fgr WHERE r % 10 = 0 GROUP BY 1)"""
 
 
 @query("normalize_ct", f"""WITH {FG}
-SELECT volume_id, z, y, x, ROUND((LEAST(GREATEST(intensity, p0_5), p99_5) - mean) / sd, 6) AS normalized FROM vox, st""")
+SELECT volume_id, z, y, x, modality, ROUND((LEAST(GREATEST(value, p0_5), p99_5) - mean) / sd, 6) AS normalized FROM modal JOIN st USING (modality)""")
 def normalize_ct(spark, sf):
-    vox = voxels(spark, sf)
-    rows = vox.select(*PLACE, "intensity", F.lit(0).alias("modality"))
-    return intensity.normalize_ct(rows, _dataset_stats(vox), ["modality"], "intensity").drop("modality", "intensity")
+    rows = _modal(spark, sf)
+    stats = fingerprint_table(rows, "volume_id", "modality", "value", "gt")
+    return intensity.normalize_ct(rows, stats, ["modality"], "value").drop("value", "gt")
 
 
-@query("normalize_ct2", f"""WITH {FG}, b AS (SELECT volume_id, z, y, x, intensity, p0_5, p99_5 FROM vox, st),
-c AS (SELECT volume_id, AVG(intensity) AS m, STDDEV_POP(intensity) AS s FROM b WHERE intensity > p0_5 AND intensity < p99_5 GROUP BY 1)
-SELECT volume_id, z, y, x, ROUND((LEAST(GREATEST(intensity, p0_5), p99_5) - m) / s, 6) AS normalized FROM b JOIN c USING (volume_id)""")
+@query("normalize_ct2", f"""WITH {FG}, b AS (SELECT volume_id, z, y, x, modality, value, p0_5, p99_5 FROM modal JOIN st USING (modality)),
+c AS (SELECT volume_id, modality, AVG(value) AS m, STDDEV_POP(value) AS s FROM b WHERE value > p0_5 AND value < p99_5 GROUP BY 1, 2)
+SELECT volume_id, z, y, x, modality, ROUND((LEAST(GREATEST(value, p0_5), p99_5) - m) / s, 6) AS normalized FROM b JOIN c USING (volume_id, modality)""")
 def normalize_ct2(spark, sf):
-    vox = voxels(spark, sf)
-    rows = vox.select(*PLACE, "intensity", F.lit(0).alias("modality"))
-    return intensity.normalize_ct2(rows, _dataset_stats(vox), ["modality"], V, "intensity").drop("modality", "intensity")
+    rows = _modal(spark, sf)
+    stats = fingerprint_table(rows, "volume_id", "modality", "value", "gt")
+    return intensity.normalize_ct2(rows, stats, ["modality"], ["volume_id", "modality"], "value").drop("value", "gt")
 
 
 @query("normalize_z", f"""WITH {VOX}, s AS (SELECT volume_id, AVG(intensity) AS m, STDDEV_POP(intensity) AS s FROM vox WHERE pred > 0 GROUP BY 1)

@@ -195,15 +195,15 @@ def fold_slices(spark, sf):
     return out.select("*", channel.cast("int").alias("channel"), z.alias("z"))
 
 
-@query("slice_asof_fill", """WITH have AS (SELECT o_orderkey AS z FROM orders WHERE o_orderkey % 10 = 0),
-w AS (SELECT o_orderkey AS z, CASE WHEN o_orderkey % 10 <= 5 THEN o_orderkey - o_orderkey % 10
-                                   ELSE o_orderkey - o_orderkey % 10 + 10 END AS wanted FROM orders)
-SELECT w.z, COALESCE(have.z, (SELECT MAX(z) FROM have)) AS source_z FROM w LEFT JOIN have ON w.wanted = have.z""")
+@query("slice_asof_fill", """WITH s AS (SELECT o_orderkey // 1500 AS stack, o_orderkey % 1500 AS z FROM orders), have AS (SELECT * FROM s WHERE z % 10 = 0),
+w AS (SELECT stack, z, CASE WHEN z % 10 <= 5 THEN z - z % 10 ELSE z - z % 10 + 10 END AS wanted FROM s),
+l AS (SELECT stack, MAX(z) AS last FROM have GROUP BY 1)
+SELECT w.stack, w.z, COALESCE(have.z, l.last) AS source_z FROM w LEFT JOIN have ON w.stack = have.stack AND w.wanted = have.z LEFT JOIN l ON l.stack = w.stack""")
 def slice_asof_fill(spark, sf):
-    # one stack; only every tenth slice carries labels, which is what is filled in
-    slices = table(spark, sf, "orders").select(F.lit(0).alias("stack"), F.col("o_orderkey").alias("z"))
+    # only every tenth slice of a stack carries labels, which is what is filled in
+    slices = table(spark, sf, "orders").select(F.expr("o_orderkey div 1500").alias("stack"), (F.col("o_orderkey") % 1500).alias("z"))
     sampled = slices.where(F.col("z") % 10 == 0)
-    return masking.fill_from_sampled_slices(slices, sampled, ["stack"], 10).drop("stack")
+    return masking.fill_from_sampled_slices(slices, sampled, ["stack"], 10)
 
 
 @query("label_volume", f"""WITH {VOX}

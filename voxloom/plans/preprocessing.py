@@ -12,19 +12,20 @@ from voxloom.support import materialize
 
 
 def crop_and_normalize(voxels: DataFrame, keys: Sequence[str], value: str, seg: str, scheme: str,
-                       dataset_stats: DataFrame | None = None) -> DataFrame:
-    """Crop to the nonzero box, mark outside voxels and normalize by scheme."""
+                       dataset_stats: DataFrame | None = None, modality: str = "modality") -> DataFrame:
+    """Crop to the nonzero box, mark outside voxels and normalize by scheme.
+
+    The CT schemes take the pooled statistics of the voxel's modality.
+    """
     boxes = masking.bounding_box(voxels, keys, F.col(value) != 0)
     cropped = masking.crop_to_box(voxels, boxes, keys)
     cropped = cropped.withColumn(seg, masking.mark_outside(F.col(seg), F.col(value) != 0))
     if scheme == "noNorm":
         return cropped.withColumn("normalized", F.col(value).cast("double"))
     if scheme in ("CT", "CT2"):
-        tagged = cropped.withColumn("_d", F.lit(0))
-        stats = dataset_stats.withColumn("_d", F.lit(0))
-        done = (intensity.normalize_ct(tagged, stats, ["_d"], value) if scheme == "CT"
-                else intensity.normalize_ct2(tagged, stats, ["_d"], keys, value))
-        return done.drop("_d")
+        if scheme == "CT":
+            return intensity.normalize_ct(cropped, dataset_stats, [modality], value)
+        return intensity.normalize_ct2(cropped, dataset_stats, [modality], [*keys, modality], value)
     return intensity.normalize_z(cropped, keys, value, F.col(seg) >= 0)
 
 
