@@ -156,8 +156,8 @@ def test_dilate(spark, iterations, per_round):
     grid = random_grid(7, 0.004)
     expected = grid
     for _ in range(iterations):
-        expected = grow_once(expected, stencil.head_structure())
-    got = stencil.dilate(frame(spark, grid), ["volume_id"], DIMS, stencil.head_structure(), iterations, per_round, TILE)
+        expected = grow_once(expected, stencil.box_offsets(stencil.HEAD_BOXES))
+    got = stencil.dilate(frame(spark, grid), ["volume_id"], DIMS, stencil.HEAD_BOXES, iterations, per_round, TILE)
     assert np.array_equal(dense(got.withColumn("one", F.lit(1)), "one"), expected > 0)
 
 

@@ -52,14 +52,14 @@ def neighbour_count(spark, sf):
     return stencil.neighbour_count(voxels(spark, sf), V, "gt", 26)
 
 
-HEAD = stencil.head_structure()
+HEAD = stencil.box_offsets(stencil.HEAD_BOXES)
 
 
 @query("dilate", f"""WITH {VOX}, o(dz, dy, dx) AS (VALUES {_offset_values(HEAD)})
 SELECT DISTINCT volume_id, z + dz AS z, y + dy AS y, x + dx AS x FROM vox, o
 WHERE intensity = 50 AND z + dz BETWEEN 0 AND 40 AND y + dy BETWEEN 0 AND 42 AND x + dx BETWEEN 0 AND 46""")
 def dilate(spark, sf):
-    return stencil.dilate(voxels(spark, sf).where(F.col("intensity") == 50), V, LATTICE, HEAD)
+    return stencil.dilate(voxels(spark, sf).where(F.col("intensity") == 50), V, LATTICE, stencil.HEAD_BOXES)
 
 
 # n-fold growth has a closed form: |dy|,|dx| <= n, |dz| <= 3n and ceil(|dz|/3) + |dy| + |dx| <= 2n
@@ -69,7 +69,7 @@ SELECT DISTINCT h.volume_id, g.z, g.y, g.x FROM h JOIN g ON g.z BETWEEN h.z - 15
 WHERE (ABS(g.z - h.z) + 2) // 3 + ABS(g.y - h.y) + ABS(g.x - h.x) <= 10""")
 def dilate_repeated(spark, sf):
     head = voxels(spark, sf).where((F.col("intensity") == 50) & (F.col("gt") == 1))
-    return stencil.dilate(head, V, LATTICE, HEAD, iterations=5, per_round=2, tile=(32, 32, 32))
+    return stencil.dilate(head, V, LATTICE, stencil.HEAD_BOXES, iterations=5, per_round=2, tile=(32, 32, 32))
 
 
 @query("expand_labels", f"""WITH {VOX}, o AS (SELECT CAST(dz - 3 AS INT) AS dz, CAST(dy - 3 AS INT) AS dy, CAST(dx - 3 AS INT) AS dx FROM range(7) a(dz), range(7) b(dy), range(7) c(dx)

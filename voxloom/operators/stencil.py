@@ -7,6 +7,8 @@ few steps, each round written to the shared folder.
 
 from __future__ import annotations
 
+import itertools
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -125,9 +127,13 @@ def ball_offsets(radius: float, spacing: Sequence[float]) -> list[tuple[int, int
     return [tuple(int(c) for c in o) for o in grid[((grid / scale) ** 2).sum(axis=1) <= 1.0]]
 
 
-def head_structure() -> list[tuple[int, int, int]]:
-    """Union of the three centre planes of a box of 7 slices by 3 by 3."""
-    return [(z, y, x) for z in range(-3, 4) for y in (-1, 0, 1) for x in (-1, 0, 1) if 0 in (z, y, x)]
+# Half sizes (z, y, x) of the three centre planes of a box of 7 slices by 3 by 3.
+HEAD_BOXES = ((0, 1, 1), (3, 0, 1), (3, 1, 0))
+
+
+def box_offsets(boxes: Sequence[Sequence[int]]) -> list[tuple[int, int, int]]:
+    """All offsets of a union of centred boxes."""
+    return sorted({o for box in boxes for o in itertools.product(*[range(-r, r + 1) for r in box])})
 
 
 def _dilate_grid(grid: np.ndarray, offsets: Offsets) -> np.ndarray:
@@ -138,37 +144,155 @@ def _dilate_grid(grid: np.ndarray, offsets: Offsets) -> np.ndarray:
     return out
 
 
-def _rounds(steps: Sequence[Offsets], per_round: int) -> Iterator[list[Offsets]]:
-    for start in range(0, len(steps), per_round):
-        yield list(steps[start:start + per_round])
+def _widen(grid: np.ndarray, axis: int, radius: int) -> np.ndarray:
+    """Maximum over ``radius`` cells to both sides of one axis."""
+    out = grid.copy()
+    for d in range(1, radius + 1):
+        ahead, behind = [slice(None)] * 3, [slice(None)] * 3
+        ahead[axis], behind[axis] = slice(d, None), slice(None, -d)
+        np.maximum(out[tuple(behind)], grid[tuple(ahead)], out=out[tuple(behind)])
+        np.maximum(out[tuple(ahead)], grid[tuple(behind)], out=out[tuple(ahead)])
+    return out
+
+
+def _dilate_boxes(grid: np.ndarray, boxes: Sequence[Sequence[int]]) -> np.ndarray:
+    """Binary dilation by a union of boxes; a box is widened axis by axis."""
+    shared: dict[tuple, np.ndarray] = {}
+
+    def widened(radii: tuple) -> np.ndarray:
+        if not any(radii):
+            return grid
+        if radii not in shared:
+            last = max(a for a in range(3) if radii[a])
+            shared[radii] = _widen(widened(radii[:last] + (0,) * (3 - last)), last, radii[last])
+        return shared[radii]
+    out = widened(tuple(boxes[0]))
+    for box in boxes[1:]:
+        out = np.maximum(out, widened(tuple(box)))
+    return out
+
+
+def _pack(block: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(block).tobytes(), 1)
+
+
+def _unpack(data: bytes, shape: Sequence[int], dtype) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), dtype).reshape(shape)
+
+
+def _key_fields(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
+    return [df.schema[k] for k in keys]
 
 
-def _grower(keys: Sequence[str], dims, tile, halo, chunk: Sequence[Offsets]) -> Callable:
+def _tile_fields() -> list[T.StructField]:
+    return [T.StructField(c, T.IntegerType()) for c in TILE_COLUMNS]
+
+
+def packed_tiles(voxels: DataFrame, keys: Sequence[str], value: str | None, dims, tile, dtype) -> DataFrame:
+    """One row per tile with its dense, compressed block (``block``)."""
+    rows = with_halo(voxels.select(*keys, *ZYX, *([value] if value else [])), dims, tile, (0, 0, 0))
+    schema = T.StructType([*_key_fields(voxels, keys), *_tile_fields(), T.StructField("block", T.BinaryType())])
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        window = Window(pdf, dims, tile, (0, 0, 0))
+        grid = np.zeros(window.shape, dtype)
+        grid[window.place(pdf)] = pdf[value].to_numpy() if value else 1
+        out = pdf[[*keys, *TILE_COLUMNS]].iloc[:1].copy()
+        out["block"] = [_pack(grid)]
+        return out
+    return rows.groupBy(*keys, *TILE_COLUMNS).applyInPandas(pack, schema)
+
+
+def unpacked_voxels(tiles: DataFrame, keys: Sequence[str], block: str, value: str | None, dims, tile, dtype) -> DataFrame:
+    """Nonzero voxels of the blocks."""
+    fields = [*_key_fields(tiles, keys), *[T.StructField(a, T.IntegerType()) for a in ZYX]]
+    if value:
+        fields.append(T.StructField(value, T.LongType()))
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = batch.iloc[i:i + 1]
+                window = Window(row, dims, tile, (0, 0, 0))
+                grid = _unpack(row[block].iloc[0], window.shape, dtype)
+                points, inside = window.core_points(grid != 0)
+                extra = {value: grid[tuple(inside.T)].astype(np.int64)} if value else {}
+                yield _key_frame(row, keys, points, **extra)
+    return tiles.select(*keys, *TILE_COLUMNS, block).mapInPandas(unpack, T.StructType(fields))
+
+
+def halo_pieces(tiles: DataFrame, keys: Sequence[str], block: str, dims, tile, halo, dtype) -> DataFrame:
+    """Send each tile's block to itself and, cut to what they need, to the tiles
+    whose halo overlaps it. Empty cuts are not sent."""
+    corner = [T.StructField(c + a, T.IntegerType()) for c in ("_lo", "_hi") for a in ZYX]
+    schema = T.StructType([*_key_fields(tiles, keys), *_tile_fields(), *corner, T.StructField("piece", T.BinaryType())])
+    size, extent, reach = np.array(tile), np.array(dims), np.array(halo)
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = batch.iloc[i:i + 1]
+                window = Window(row, dims, tile, (0, 0, 0))
+                grid = _unpack(row[block].iloc[0], window.shape, dtype)
+                first = np.maximum(window.core_low - reach, 0) // size
+                last = np.minimum(window.core_high - 1 + reach, extent - 1) // size
+                found = []
+                for target in itertools.product(*[range(f, n + 1) for f, n in zip(first, last)]):
+                    low = np.maximum(np.array(target) * size - reach, window.core_low)
+                    high = np.minimum((np.array(target) + 1) * size + reach, window.core_high)
+                    cut = grid[tuple(slice(p - o, q - o) for p, q, o in zip(low, high, window.core_low))]
+                    if cut.any():
+                        found.append((*target, *low, *high, _pack(cut)))
+                out = pd.DataFrame(found, columns=[*TILE_COLUMNS, *[f.name for f in corner], "piece"])
+                for k in keys:
+                    out[k] = row[k].iloc[0]
+                yield out[schema.names]
+    return tiles.select(*keys, *TILE_COLUMNS, block).mapInPandas(send, schema)
+
+
+def _assemble(pdf: pd.DataFrame, window: Window, dtype) -> np.ndarray:
+    grid = np.zeros(window.shape, dtype)
+    for row in pdf.itertuples(index=False, name=None):
+        data = dict(zip(pdf.columns, row))
+        low = np.array([data["_lo" + a] for a in ZYX])
+        high = np.array([data["_hi" + a] for a in ZYX])
+        where = tuple(slice(p - o, q - o) for p, q, o in zip(low, high, window.low))
+        grid[where] = _unpack(data["piece"], high - low, dtype)
+    return grid
+
+
+def _dilator(keys: Sequence[str], dims, tile, halo, boxes, iterations: int) -> Callable:
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         window = Window(pdf, dims, tile, halo)
-        grid = np.zeros(window.shape, np.uint8)
-        grid[window.place(pdf)] = 1
-        for structure in chunk:
-            grid = _dilate_grid(grid, structure)
-        points, _ = window.core_points(grid[window.core])
-        return _key_frame(pdf, keys, points)
+        grid = _assemble(pdf, window, np.uint8)
+        for _ in range(iterations):
+            if grid[window.core].all():
+                break
+            grid = _dilate_boxes(grid, boxes)
+        out = pdf[[*keys, *TILE_COLUMNS]].iloc[:1].copy()
+        out["block"] = [_pack(grid[window.core])]
+        return out if grid[window.core].any() else out.iloc[:0]
     return grow
 
 
-def dilate(voxels: DataFrame, keys: Sequence[str], dims: Sequence[int], structure: Offsets, iterations: int = 1,
-           per_round: int = 16, tile: Sequence[int] = TILE) -> DataFrame:
-    """Binary dilation repeated ``iterations`` times, inside the volume."""
-    state = voxels.select(*keys, *ZYX)
-    schema = state.schema
-    chunks = list(_rounds([structure] * iterations, per_round))
-    for number, chunk in enumerate(chunks):
-        halo = tuple(int(r) for r in sum(reach_of(s) for s in chunk))
+def dilate(voxels: DataFrame, keys: Sequence[str], dims: Sequence[int], boxes: Sequence[Sequence[int]],
+           iterations: int = 1, per_round: int = 16, tile: Sequence[int] = TILE) -> DataFrame:
+    """Binary dilation by a union of boxes, repeated ``iterations`` times inside the volume.
 
-        grow = _grower(keys, dims, tile, halo, chunk)
-        state = with_halo(state, dims, tile, halo).groupBy(*keys, *TILE_COLUMNS).applyInPandas(grow, schema)
-        if number + 1 < len(chunks):
+    Between rounds the volume travels as compressed tile blocks, not as voxels.
+    """
+    keys = list(keys)
+    state = packed_tiles(voxels, keys, None, dims, tile, np.uint8)
+    schema = state.schema
+    for start in range(0, iterations, per_round):
+        steps = min(per_round, iterations - start)
+        halo = tuple(int(r) * steps for r in np.max(boxes, axis=0))
+        pieces = halo_pieces(state, keys, "block", dims, tile, halo, np.uint8)
+        grow = _dilator(keys, dims, tile, halo, boxes, steps)
+        state = pieces.groupBy(*keys, *TILE_COLUMNS).applyInPandas(grow, schema)
+        if start + steps < iterations:
             state = materialize(state)
-    return state
+    return unpacked_voxels(state, keys, "block", None, dims, tile, np.uint8)
 
 
 def expand_labels(voxels: DataFrame, keys: Sequence[str], label: str, dims: Sequence[int], radius: int,
@@ -271,21 +395,25 @@ def growth_steps(spacing: Sequence[float], count: int, done: int = 0) -> list[Of
 def _instance_grower(keys: Sequence[str], dims, tile, halo, steps: Sequence[Offsets]) -> Callable:
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         window = Window(pdf, dims, tile, halo)
-        goal = pdf["target"].to_numpy(bool)
-        grid = np.zeros(window.shape, np.int64)
-        grid[window.place(pdf[~goal])] = pdf["label"].to_numpy(np.int64)[~goal]
-        asked = pdf[goal]
-        place = window.place(asked)
-        answer = np.zeros(len(asked), np.int64)
+        asking = pdf["asked"]
+        grid = _assemble(pdf[~asking], window, np.int64)
+        wanted = np.zeros([h - c for c, h in zip(window.core_low, window.core_high)], np.uint8)
+        for data in pdf.loc[asking, "piece"]:
+            wanted = _unpack(data, wanted.shape, np.uint8).copy()
+        answer = np.zeros(wanted.shape, np.int64)
         for structure in steps:
-            was_free = grid[place] == 0
+            free = grid[window.core] == 0
             grid = _dilate_grid(grid, structure)
-            answer = np.where(was_free, grid[place], answer)
-        core = grid[window.core]
-        points, inside = window.core_points(core > 0)
-        spread = _key_frame(pdf, keys, points, label=core[tuple(inside.T)], target=False)
-        reply = _key_frame(pdf, keys, asked[list(ZYX)].to_numpy(np.int64), label=answer, target=True)
-        return pd.concat([spread, reply], ignore_index=True)
+            fresh = free & (wanted > 0) & (grid[window.core] > 0)
+            answer[fresh] = grid[window.core][fresh]
+        wanted[answer > 0] = 0
+        out = pdf[[*keys, *TILE_COLUMNS]].iloc[:1].copy()
+        out["block"] = [_pack(grid[window.core])]
+        out["wanted"] = [_pack(wanted)]
+        out["answer"] = [_pack(answer)]
+        out["open"] = [int(wanted.sum())]
+        out["grown"] = [bool(grid[window.core].any())]
+        return out
     return grow
 
 
@@ -295,35 +423,40 @@ def grow_instances(cores: DataFrame, border: DataFrame, keys: Sequence[str], dim
     """Give each border voxel the instance whose growth reaches it first.
 
     Instances grow through the whole volume; where several arrive together the
-    largest id wins. Volumes without any core leave their border at 0.
+    largest id wins. Volumes without any core leave their border at 0. Between
+    rounds labels and open border voxels travel as compressed tile blocks.
     """
     keys = list(keys)
     columns = [*keys, *ZYX]
-    state = materialize(cores.select(*columns, F.col(instance).cast("long").alias("label")))
-    left = materialize(border.select(*columns))
-    schema = T.StructType([*left.schema.fields, T.StructField("label", T.LongType()),
-                           T.StructField("target", T.BooleanType())])
-    result = cores.select(*columns, F.col(instance).cast("long").alias(instance))
+    seeds = cores.select(*columns, F.col(instance).cast("long").alias("label"))
+    state = packed_tiles(seeds, keys, "label", dims, tile, np.int64)
+    left = packed_tiles(border, keys, None, dims, tile, np.uint8).withColumnRenamed("block", "wanted")
+    schema = T.StructType([*_key_fields(cores, keys), *_tile_fields(), *[
+        T.StructField(n, T.BinaryType()) for n in ("block", "wanted", "answer")],
+        T.StructField("open", T.LongType()), T.StructField("grown", T.BooleanType())])
+    result = seeds.withColumnRenamed("label", instance)
+    # cases with border but no core can never be answered
+    started = cores.select(*keys).distinct()
+    result = result.unionByName(
+        border.select(*columns).join(materialize(started), keys, "left_anti").withColumn(instance, F.lit(0).cast("long")))
+    left = left.join(materialize(started), keys, "left_semi")
     done = 0
     while True:
-        active = left.select(*keys).distinct().join(state.select(*keys).distinct(), keys)
-        if active.isEmpty():
-            break
         steps = growth_steps(spacing, per_round, done)
         halo = tuple(int(r) for r in sum(reach_of(s) for s in steps))
         done += per_round
-
+        pieces = halo_pieces(state, keys, "block", dims, tile, halo, np.int64).withColumn("asked", F.lit(False))
+        asking = left.select(*keys, *TILE_COLUMNS, *[F.lit(0).alias(c + a) for c in ("_lo", "_hi") for a in ZYX],
+                             F.col("wanted").alias("piece"), F.lit(True).alias("asked"))
         grow = _instance_grower(keys, dims, tile, halo, steps)
-        moving = attach(state, active, keys, "left_semi").withColumn("target", F.lit(False))
-        asking = left.select(*columns, F.lit(0).cast("long").alias("label"), F.lit(True).alias("target"))
-        rows = (with_halo(moving, dims, tile, halo)
-                .unionByName(with_halo(asking, dims, tile, (0, 0, 0))))
-        out = materialize(rows.groupBy(*keys, *TILE_COLUMNS).applyInPandas(grow, schema))
-        state = out.where(~F.col("target")).select(*columns, "label")
-        answered = out.where(F.col("target"))
-        result = result.unionByName(answered.where(F.col("label") > 0).select(*columns, F.col("label").alias(instance)))
-        left = answered.where(F.col("label") == 0).select(*columns)
-    return result.unionByName(left.select(*columns, F.lit(0).cast("long").alias(instance)))
+        out = materialize(pieces.unionByName(asking).groupBy(*keys, *TILE_COLUMNS).applyInPandas(grow, schema))
+        result = result.unionByName(unpacked_voxels(out, keys, "answer", instance, dims, tile, np.int64))
+        waiting = materialize(out.groupBy(*keys).agg(F.sum("open").alias("_o")).where(F.col("_o") > 0).select(*keys))
+        if waiting.isEmpty():
+            return result
+        # only the cases that still wait go on
+        state = attach(out.where("grown").select(*keys, *TILE_COLUMNS, "block"), waiting, keys, "left_semi")
+        left = out.where(F.col("open") > 0).select(*keys, *TILE_COLUMNS, "wanted")
 
 
 def instances_from_core_and_border(voxels: DataFrame, keys: Sequence[str], code: str, dims: Sequence[int],

@@ -25,7 +25,7 @@ def nerve_quantification(tile_scores: DataFrame, organs: DataFrame, keys: Sequen
 def prepare_organs(organs: DataFrame, keys: Sequence[str], label: str, dims: Sequence[int], head: int,
                    head_iterations: int, radius: int) -> tuple[DataFrame, DataFrame]:
     """The grown head mask, and the other organs with their labels expanded."""
-    grown = stencil.dilate(organs.where(F.col(label) == head), keys, dims, stencil.head_structure(), head_iterations)
+    grown = stencil.dilate(organs.where(F.col(label) == head), keys, dims, stencil.HEAD_BOXES, head_iterations)
     others = stencil.expand_labels(organs.where(F.col(label) != head), keys, label, dims, radius)
     return grown, others
 
