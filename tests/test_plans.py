@@ -117,3 +117,24 @@ def test_envelope_is_not_the_global_percentile(spark):
     low_high = intensity.envelope(values, KEY, "z", "v", 5).first()
     assert low_high.low == pytest.approx(np.percentile(np.arange(1, 101), 5))
     assert low_high.high == pytest.approx(np.percentile(np.arange(200, 301), 95))
+
+
+def test_staged_tables_can_be_dropped(spark):
+    from voxloom import support
+    support.drop_staged(spark)
+    staged = support.materialize(spark.range(5))
+    assert staged.count() == 5
+    assert support.drop_staged(spark) == 1 and support.drop_staged(spark) == 0
+
+
+def test_broadcast_depends_on_the_measured_size(spark):
+    from voxloom.support import attach
+    big = spark.range(1000).withColumn("v", F.col("id") % 10)
+    stats = big.groupBy("v").agg(F.count("*").alias("n"))
+    plan = lambda: attach(big, stats, ["v"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        assert "SortMergeJoin" in plan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -336,9 +336,9 @@ def mask_by_channel(spark, sf):
 
 @query("patch_boxes", f"""WITH {VOX} SELECT volume_id, z, y, x, GREATEST(-2, z - 8) AS z0, GREATEST(-2, z - 8) + 16 AS z1,
 GREATEST(0, y - 10) AS y0, GREATEST(0, y - 10) + 20 AS y1, GREATEST(-8, x - 16) AS x0, GREATEST(-8, x - 16) + 32 AS x1,
-volume_id % 4 >= 3 AS forced FROM vox WHERE intensity > 45""")
+volume_id % 4 >= 3 AS forced FROM vox""")
 def patch_boxes(spark, sf):
-    centres = voxels(spark, sf).where(F.col("intensity") > 45).select(*PLACE)
+    centres = voxels(spark, sf).select(*PLACE)
     boxes = tiles.patch_boxes(centres, (16, 20, 32), LATTICE, padded=(20, 20, 48))
     return boxes.withColumn("forced", tiles.forced_in_batch(F.col("volume_id") % 4, 4, 0.33))
 

@@ -79,11 +79,11 @@ def case_name_build(spark, sf):
         F.regexp_replace(case, "case", "prediction").alias("submission"))
 
 
-@query("task_id_parse", """WITH t AS (SELECT DISTINCT c_nationkey AS id, printf('Task%03d_%s', c_nationkey, c_mktsegment) AS name FROM customer WHERE c_acctbal > 9000)
+@query("task_id_parse", """WITH t AS (SELECT DISTINCT c_nationkey AS id, printf('Task%03d_%s', c_nationkey, CASE WHEN c_nationkey % 2 = 0 THEN 'Organs' ELSE c_mktsegment END) AS name FROM customer)
 SELECT CAST(id AS INT) AS task_id, COUNT(*) AS candidates, CASE WHEN COUNT(*) = 1 THEN MIN(name) END AS name FROM t GROUP BY 1""")
 def task_id_parse(spark, sf):
-    built = table(spark, sf, "customer").where(F.col("c_acctbal") > 9000).select(
-        names.task_name(F.col("c_nationkey"), F.col("c_mktsegment")).alias("name")).distinct()
+    title = F.when(F.col("c_nationkey") % 2 == 0, "Organs").otherwise(F.col("c_mktsegment"))
+    built = table(spark, sf, "customer").select(names.task_name(F.col("c_nationkey"), title).alias("name")).distinct()
     # more than one name for a number is an ambiguity and leaves the name open
     return (built.groupBy(names.task_id(F.col("name")).alias("task_id"))
             .agg(F.count("*").alias("candidates"), F.min("name").alias("_n"))

@@ -303,15 +303,20 @@ def ema_corrected(spark, sf):
     return selection.corrected_average(epochs(spark, sf), ["run"], "epoch", "value")
 
 
-@query("best_epoch", f"""WITH RECURSIVE {RUN}, e AS (
-SELECT run, n, value AS best, epoch AS best_epoch, CAST(NULL AS INT) AS stopped_at FROM c WHERE n = 1
+@query("best_epoch", f"""WITH RECURSIVE {RUN}, a AS (
+SELECT run, epoch, n, value AS ma FROM c WHERE n = 1
+UNION ALL SELECT c.run, c.epoch, c.n, 0.93::DOUBLE * a.ma + 0.07::DOUBLE * c.value FROM a JOIN c ON c.run = a.run AND c.n = a.n + 1),
+m AS (SELECT run, epoch, n, ROUND(ma, 6) AS ma FROM a), e AS (
+SELECT run, n, ma AS best, epoch AS best_epoch, CAST(NULL AS INT) AS stopped_at FROM m WHERE n = 1
 UNION ALL SELECT run, n, nb, ne, CASE WHEN epoch - ne > 6 THEN epoch END FROM (
-  SELECT c.run, c.n, c.epoch, CASE WHEN c.value + 5 < e.best THEN c.value ELSE e.best END AS nb,
-         CASE WHEN c.value + 5 < e.best THEN c.epoch ELSE e.best_epoch END AS ne
-  FROM e JOIN c ON c.run = e.run AND c.n = e.n + 1 WHERE e.stopped_at IS NULL))
+  SELECT m.run, m.n, m.epoch, CASE WHEN m.ma + 0.5 < e.best THEN m.ma ELSE e.best END AS nb,
+         CASE WHEN m.ma + 0.5 < e.best THEN m.epoch ELSE e.best_epoch END AS ne
+  FROM e JOIN m ON m.run = e.run AND m.n = e.n + 1 WHERE e.stopped_at IS NULL))
 SELECT run, best, best_epoch, stopped_at FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY run ORDER BY n DESC) AS r FROM e) WHERE r = 1""")
 def best_epoch(spark, sf):
-    return selection.patience(epochs(spark, sf), ["run"], "epoch", "value", wait=6, eps=5.0)
+    # patience looks at the moving average of the training loss
+    average = selection.moving_average(epochs(spark, sf), ["run"], "epoch", "value", 0.93)
+    return selection.patience(average, ["run"], "epoch", "ma", wait=6, eps=0.5)
 
 
 @query("poly_lr", f"""WITH {EPOCH} SELECT run, epoch,

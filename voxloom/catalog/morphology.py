@@ -55,31 +55,38 @@ def neighbour_count(spark, sf):
 HEAD = stencil.box_offsets(stencil.HEAD_BOXES)
 
 
-@query("dilate", f"""WITH {VOX}, o(dz, dy, dx) AS (VALUES {_offset_values(HEAD)})
-SELECT DISTINCT volume_id, z + dz AS z, y + dy AS y, x + dx AS x FROM vox, o
-WHERE intensity = 50 AND z + dz BETWEEN 0 AND 40 AND y + dy BETWEEN 0 AND 42 AND x + dx BETWEEN 0 AND 46""")
+ORGANS = f"""{VOX}, organ AS (SELECT volume_id, z, y, x, intensity % 23 AS organ FROM vox)"""
+
+
+def _organs(spark, sf):
+    # organ 5 is the head, 0 is background
+    return voxels(spark, sf).select(*PLACE, (F.col("intensity") % 23).alias("organ"))
+
+
+@query("dilate", f"""WITH {ORGANS}, o(dz, dy, dx) AS (VALUES {_offset_values(HEAD)})
+SELECT DISTINCT volume_id, z + dz AS z, y + dy AS y, x + dx AS x FROM organ, o
+WHERE organ = 5 AND z + dz BETWEEN 0 AND 40 AND y + dy BETWEEN 0 AND 42 AND x + dx BETWEEN 0 AND 46""")
 def dilate(spark, sf):
-    return stencil.dilate(voxels(spark, sf).where(F.col("intensity") == 50), V, LATTICE, stencil.HEAD_BOXES)
+    head = _organs(spark, sf).where(F.col("organ") == 5)
+    return stencil.dilate(head, V, LATTICE, stencil.HEAD_BOXES)
 
 
 # n-fold growth has a closed form: |dy|,|dx| <= n, |dz| <= 3n and ceil(|dz|/3) + |dy| + |dx| <= 2n
-@query("dilate_repeated", f"""WITH {VOX}, g AS (SELECT CAST(zz AS INT) AS z, CAST(yy AS INT) AS y, CAST(xx AS INT) AS x FROM range(41) a(zz), range(43) b(yy), range(47) c(xx)),
-h AS (SELECT * FROM vox WHERE intensity = 50 AND gt = 1)
-SELECT DISTINCT h.volume_id, g.z, g.y, g.x FROM h JOIN g ON g.z BETWEEN h.z - 15 AND h.z + 15 AND g.y BETWEEN h.y - 5 AND h.y + 5 AND g.x BETWEEN h.x - 5 AND h.x + 5
-WHERE (ABS(g.z - h.z) + 2) // 3 + ABS(g.y - h.y) + ABS(g.x - h.x) <= 10""")
+@query("dilate_repeated", f"""WITH {ORGANS}, o AS (SELECT CAST(a - 15 AS INT) AS dz, CAST(b - 5 AS INT) AS dy, CAST(c - 5 AS INT) AS dx FROM range(31) t(a), range(11) u(b), range(11) w(c)
+  WHERE (ABS(a - 15) + 2) // 3 + ABS(b - 5) + ABS(c - 5) <= 10)
+SELECT DISTINCT volume_id, z + dz AS z, y + dy AS y, x + dx AS x FROM organ, o
+WHERE organ = 5 AND z + dz BETWEEN 0 AND 40 AND y + dy BETWEEN 0 AND 42 AND x + dx BETWEEN 0 AND 46""")
 def dilate_repeated(spark, sf):
-    head = voxels(spark, sf).where((F.col("intensity") == 50) & (F.col("gt") == 1))
+    head = _organs(spark, sf).where(F.col("organ") == 5)
     return stencil.dilate(head, V, LATTICE, stencil.HEAD_BOXES, iterations=5, per_round=2, tile=(32, 32, 32))
 
 
-@query("expand_labels", f"""WITH {VOX}, o AS (SELECT CAST(dz - 3 AS INT) AS dz, CAST(dy - 3 AS INT) AS dy, CAST(dx - 3 AS INT) AS dx FROM range(7) a(dz), range(7) b(dy), range(7) c(dx)
+@query("expand_labels", f"""WITH {ORGANS}, o AS (SELECT CAST(dz - 3 AS INT) AS dz, CAST(dy - 3 AS INT) AS dy, CAST(dx - 3 AS INT) AS dx FROM range(7) a(dz), range(7) b(dy), range(7) c(dx)
   WHERE (dz - 3) * (dz - 3) + (dy - 3) * (dy - 3) + (dx - 3) * (dx - 3) <= 9),
-s AS (SELECT volume_id, z + dz AS z, y + dy AS y, x + dx AS x, dz * dz + dy * dy + dx * dx AS d2, gt FROM vox, o WHERE intensity > 45),
-r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY volume_id, z, y, x ORDER BY d2, gt) AS r FROM s WHERE z BETWEEN 0 AND 40 AND y BETWEEN 0 AND 42 AND x BETWEEN 0 AND 46)
-SELECT volume_id, z, y, x, gt FROM r WHERE r = 1""")
+s AS (SELECT volume_id, z + dz AS z, y + dy AS y, x + dx AS x, (dz * dz + dy * dy + dx * dx) * 100 + organ AS near FROM organ, o WHERE organ NOT IN (0, 5))
+SELECT volume_id, z, y, x, CAST(MIN(near) % 100 AS INT) AS organ FROM s WHERE z BETWEEN 0 AND 40 AND y BETWEEN 0 AND 42 AND x BETWEEN 0 AND 46 GROUP BY ALL""")
 def expand_labels(spark, sf):
-    organs = voxels(spark, sf).where(F.col("intensity") > 45).select(*PLACE, "gt")
-    return stencil.expand_labels(organs, V, "gt", LATTICE, 3, tile=SMALL_TILE)
+    return stencil.expand_labels(_organs(spark, sf).where(F.col("organ") != 5), V, "organ", LATTICE, 3, tile=SMALL_TILE)
 
 
 def _complement(vox):

@@ -52,7 +52,7 @@ def classes_of_instances(voxels: DataFrame, metadata: DataFrame, keys: Sequence[
     """
     last = metadata.groupBy(*keys, instance).agg(F.max_by("class_label", order).alias("class_label"))
     known = F.coalesce("class_label", F.lit(0))
-    return (voxels.join(last, [*keys, instance], "left")
+    return (attach(voxels, last, [*keys, instance], "left")
             .withColumn("class_label", F.when(known == -1, ignore_code).otherwise(known)))
 
 

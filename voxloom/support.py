@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 ZYX = ("z", "y", "x")
 _local_dirs: dict[str, str] = {}
+_staged: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,9 +43,20 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "stage-" + uuid.uuid4().hex)
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables staged by this process; results built on them must be saved before."""
+    context = spark.sparkContext
+    dropped = 0
+    while _staged:
+        where = context._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        dropped += bool(where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True))
+    return dropped
+
+
 def half_offsets(connectivity: int) -> list[tuple[int, int, int]]:
     """One offset of every opposite pair in a 6, 18 or 26 neighbourhood."""
     reach = {6: 1, 18: 2, 26: 3}[connectivity]
