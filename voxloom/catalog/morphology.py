@@ -49,7 +49,7 @@ def surface_voxels(spark, sf):
 s AS (SELECT volume_id, z + dz AS z, y + dy AS y, x + dx AS x, gt, COUNT(*) AS n FROM vox, o GROUP BY ALL)
 SELECT volume_id, z, y, x, gt, COALESCE(n, 0) AS neighbours FROM vox LEFT JOIN s USING (volume_id, z, y, x, gt)""")
 def neighbour_count(spark, sf):
-    return stencil.neighbour_count(voxels(spark, sf), V, "gt", 26)
+    return stencil.neighbour_count(voxels(spark, sf), V, "gt", LATTICE, 26, tile=SMALL_TILE)
 
 
 HEAD = stencil.box_offsets(stencil.HEAD_BOXES)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from voxloom.support import ZYX, attach, half_offsets, materialize, offset_array
+from voxloom.support import ZYX, attach, half_offsets, materialize, offset_array, spread
 
 TILE = (64, 64, 64)
 
@@ -119,7 +119,7 @@ def connected_components(voxels: DataFrame, keys: Sequence[str], dims: Sequence[
         out["component"] = component
         return out
 
-    labelled = rows.groupBy(*keys, "_tz", "_ty", "_tx").applyInPandas(label_tile, schema)
+    labelled = spread(rows, *keys, "_tz", "_ty", "_tx").groupBy(*keys, "_tz", "_ty", "_tx").applyInPandas(label_tile, schema)
     if all(d <= s for d, s in zip(dims, tile)):
         return labelled  # one tile per volume: nothing can cross a tile face
     labelled = materialize(labelled)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.support import ZYX, attach
+from voxloom.support import ZYX, attach, spread
 
 ANISOTROPY_LIMIT = 3.0
 
@@ -149,7 +149,7 @@ def resample_cubic(voxels: DataFrame, keys: Sequence[str], value: str, old: Sequ
             continue
         rest = [x for x in ZYX if x != ZYX[axis]]
         blocks = {f"_b{i}": F.floor(F.col(c) / s).cast("int") for i, (c, s) in enumerate(zip(rest, bundle))}
-        rows = rows.withColumns(blocks).groupBy(*keys, "_b0", "_b1").applyInPandas(
+        rows = spread(rows.withColumns(blocks), *keys, "_b0", "_b1").groupBy(*keys, "_b0", "_b1").applyInPandas(
             _line_resampler(keys, axis, rest, int(a), int(b), tuple(bundle)), schema)
     clipped = F.least(F.greatest(F.col("_v"), F.col("_lo")), F.col("_hi"))
     return (attach(rows, limits, keys).withColumn(value, clipped).where(F.abs(value) > 1e-12)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.operators.components import connected_components, label_points, star_roots
-from voxloom.support import ZYX, attach, full_offsets, materialize, offset_array
+from voxloom.support import ZYX, attach, full_offsets, materialize, spread
 
 TILE = (64, 64, 64)
 TILE_COLUMNS = ("_tz", "_ty", "_tx")
@@ -116,7 +116,7 @@ def border_voxels(voxels: DataFrame, keys: Sequence[str], code: str, dims: Seque
                 edge |= ~inside
         return pdf.loc[edge & window.in_core(pdf), columns]
 
-    return rows.groupBy(*keys, *TILE_COLUMNS).applyInPandas(pick, voxels.select(*columns).schema)
+    return spread(rows, *keys, *TILE_COLUMNS).groupBy(*keys, *TILE_COLUMNS).applyInPandas(pick, voxels.select(*columns).schema)
 
 
 def ball_offsets(radius: float, spacing: Sequence[float]) -> list[tuple[int, int, int]]:
@@ -200,7 +200,7 @@ def packed_tiles(voxels: DataFrame, keys: Sequence[str], value: str | None, dims
         out = pdf[[*keys, *TILE_COLUMNS]].iloc[:1].copy()
         out["block"] = [_pack(grid)]
         return out
-    return rows.groupBy(*keys, *TILE_COLUMNS).applyInPandas(pack, schema)
+    return spread(rows, *keys, *TILE_COLUMNS).groupBy(*keys, *TILE_COLUMNS).applyInPandas(pack, schema)
 
 
 def unpacked_voxels(tiles: DataFrame, keys: Sequence[str], block: str, value: str | None, dims, tile, dtype) -> DataFrame:
@@ -218,7 +218,7 @@ def unpacked_voxels(tiles: DataFrame, keys: Sequence[str], block: str, value: st
                 points, inside = window.core_points(grid != 0)
                 extra = {value: grid[tuple(inside.T)].astype(np.int64)} if value else {}
                 yield _key_frame(row, keys, points, **extra)
-    return tiles.select(*keys, *TILE_COLUMNS, block).mapInPandas(unpack, T.StructType(fields))
+    return spread(tiles.select(*keys, *TILE_COLUMNS, block), *keys, *TILE_COLUMNS).mapInPandas(unpack, T.StructType(fields))
 
 
 def halo_pieces(tiles: DataFrame, keys: Sequence[str], block: str, dims, tile, halo, dtype) -> DataFrame:
@@ -247,7 +247,7 @@ def halo_pieces(tiles: DataFrame, keys: Sequence[str], block: str, dims, tile, h
                 for k in keys:
                     out[k] = row[k].iloc[0]
                 yield out[schema.names]
-    return tiles.select(*keys, *TILE_COLUMNS, block).mapInPandas(send, schema)
+    return spread(tiles.select(*keys, *TILE_COLUMNS, block), *keys, *TILE_COLUMNS).mapInPandas(send, schema)
 
 
 def _assemble(pdf: pd.DataFrame, window: Window, dtype) -> np.ndarray:
@@ -289,7 +289,7 @@ def dilate(voxels: DataFrame, keys: Sequence[str], dims: Sequence[int], boxes: S
         halo = tuple(int(r) * steps for r in np.max(boxes, axis=0))
         pieces = halo_pieces(state, keys, "block", dims, tile, halo, np.uint8)
         grow = _dilator(keys, dims, tile, halo, boxes, steps)
-        state = pieces.groupBy(*keys, *TILE_COLUMNS).applyInPandas(grow, schema)
+        state = spread(pieces, *keys, *TILE_COLUMNS).groupBy(*keys, *TILE_COLUMNS).applyInPandas(grow, schema)
         if start + steps < iterations:
             state = materialize(state)
     return unpacked_voxels(state, keys, "block", None, dims, tile, np.uint8)
@@ -324,7 +324,7 @@ def expand_labels(voxels: DataFrame, keys: Sequence[str], label: str, dims: Sequ
         return _key_frame(pdf, keys, points, **{label: (core[tuple(inside.T)] % limit).astype(np.int32)})
 
     schema = T.StructType([*voxels.select(*keys, *ZYX).schema.fields, T.StructField(label, T.IntegerType())])
-    return rows.groupBy(*keys, *TILE_COLUMNS).applyInPandas(nearest, schema)
+    return spread(rows, *keys, *TILE_COLUMNS).groupBy(*keys, *TILE_COLUMNS).applyInPandas(nearest, schema)
 
 
 def fill_holes(mask: DataFrame, keys: Sequence[str], dims: Sequence[int], tile: Sequence[int] = TILE) -> DataFrame:
@@ -364,7 +364,7 @@ def fill_holes(mask: DataFrame, keys: Sequence[str], dims: Sequence[int], tile:
         keep = ~is_open | rim  # the inside of an open component is never needed
         return _key_frame(pdf, keys, points[keep], component=lin[roots][keep], open=is_open[keep])
 
-    found = rows.groupBy(*keys, *TILE_COLUMNS).applyInPandas(background, schema)
+    found = spread(rows, *keys, *TILE_COLUMNS).groupBy(*keys, *TILE_COLUMNS).applyInPandas(background, schema)
     if all(n == 1 for n in counts):
         return found.where(~F.col("open")).select(*keys, *ZYX)
     found = materialize(found)
@@ -449,7 +449,8 @@ def grow_instances(cores: DataFrame, border: DataFrame, keys: Sequence[str], dim
         asking = left.select(*keys, *TILE_COLUMNS, *[F.lit(0).alias(c + a) for c in ("_lo", "_hi") for a in ZYX],
                              F.col("wanted").alias("piece"), F.lit(True).alias("asked"))
         grow = _instance_grower(keys, dims, tile, halo, steps)
-        out = materialize(pieces.unionByName(asking).groupBy(*keys, *TILE_COLUMNS).applyInPandas(grow, schema))
+        rows = spread(pieces.unionByName(asking), *keys, *TILE_COLUMNS)
+        out = materialize(rows.groupBy(*keys, *TILE_COLUMNS).applyInPandas(grow, schema))
         result = result.unionByName(unpacked_voxels(out, keys, "answer", instance, dims, tile, np.int64))
         waiting = materialize(out.groupBy(*keys).agg(F.sum("open").alias("_o")).where(F.col("_o") > 0).select(*keys))
         if waiting.isEmpty():
@@ -504,11 +505,24 @@ def isolated_objects(parts: DataFrame, keys: Sequence[str], code: str, dims: Seq
             .select(*keys, *ZYX, F.col("component").alias("_own")))
 
 
-def neighbour_count(voxels: DataFrame, keys: Sequence[str], code: str, connectivity: int = 6) -> DataFrame:
-    """Equal-code neighbours of each voxel as one equi-join aggregation."""
-    place = [*keys, *ZYX, code]
-    sent = (voxels.select(*place, F.explode(offset_array(full_offsets(connectivity))).alias("_o"))
-            .select(*keys, *[(F.col(a) + F.col("_o.d" + a)).cast("int").alias(a) for a in ZYX], code)
-            .groupBy(*place).agg(F.count("*").alias("neighbours")))
-    return (voxels.select(*place).join(sent, place, "left")
-            .withColumn("neighbours", F.coalesce("neighbours", F.lit(0))))
+def neighbour_count(voxels: DataFrame, keys: Sequence[str], code: str, dims: Sequence[int], connectivity: int = 6,
+                    tile: Sequence[int] = TILE) -> DataFrame:
+    """Number of equal-code neighbours of each voxel."""
+    keys = list(keys)
+    columns = [*keys, *ZYX, code]
+    rows = with_halo(voxels.select(*columns), dims, tile, (1, 1, 1))
+    schema = T.StructType([*voxels.select(*columns).schema.fields, T.StructField("neighbours", T.LongType())])
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        window = Window(pdf, dims, tile, (1, 1, 1))
+        grid = np.zeros([n + 2 for n in window.shape], np.int64)
+        z, y, x = (p + 1 for p in window.place(pdf))
+        codes = pdf[code].to_numpy(np.int64)
+        grid[z, y, x] = codes
+        inside = window.in_core(pdf)
+        z, y, x, codes = z[inside], y[inside], x[inside], codes[inside]
+        out = pdf.loc[inside, columns].copy()
+        out["neighbours"] = sum((grid[z + dz, y + dy, x + dx] == codes).astype(np.int64)
+                                for dz, dy, dx in full_offsets(connectivity))
+        return out
+    return spread(rows, *keys, *TILE_COLUMNS).groupBy(*keys, *TILE_COLUMNS).applyInPandas(count, schema)

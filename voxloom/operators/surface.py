@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from voxloom.functions.metrics import SURFACE_METRICS
 from voxloom.operators.stencil import TILE, border_voxels
-from voxloom.support import ZYX, attach, div0, full_offsets, materialize
+from voxloom.support import ZYX, attach, div0, full_offsets, materialize, spread
 
 WIDTH, LINES = 64, 8
 # Fixed value: distance reported when only one of the masks is empty.
@@ -96,7 +96,7 @@ def nearest_distance(points: DataFrame, targets: DataFrame, keys: Sequence[str],
             frame[k] = pdf[k].iloc[0]
         return frame[[*keys, "z", "_yb", "_xb", "d2"]]
 
-    flat = lines.groupBy(*keys, "_zb", "_xb").applyInPandas(along_y, planes)
+    flat = spread(lines, *keys, "_zb", "_xb").groupBy(*keys, "_zb", "_xb").applyInPandas(along_y, planes)
     answer = T.StructType([*points.select(*keys, *ZYX).schema.fields, T.StructField("d2", T.DoubleType())])
 
     def along_z(query: pd.DataFrame, planes_here: pd.DataFrame) -> pd.DataFrame:

@@ -90,6 +90,15 @@ def div0(num: Column, den: Column) -> Column:
     return F.when(den != 0, num.cast("double") / den.cast("double"))
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partition for numpy work per group.
+
+    The partition count is explicit: such groups are small in bytes but costly,
+    and would otherwise be coalesced into a few tasks by size.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join large ``rows`` with a one-row-per-case table without shuffling the rows.
 
