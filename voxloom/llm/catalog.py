@@ -18,7 +18,7 @@ SQL: dict[str, str] = {}
 WORDS_SQL = """
 texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 words AS (SELECT doc_id, text,
-                 list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS words FROM texts)"""
+                 list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM texts)"""
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
