@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import byte_bpe, packing, substring_dedup, token_counts
+from voxloom.llm import (byte_bpe, html_extract, license_scan, packing, quality_classifier, rule_ledger,
+                         substring_dedup, token_counts)
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -39,11 +40,55 @@ def op1(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op4_quality_classifier")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op5_html_extract")
+def op5(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op6_rule_ledger", f"""
+WITH {WORDS_SQL},
+lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)),
+                                     lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM words),
+runs AS (SELECT doc_id, s, array_to_string(words[s + 1:s + 3], ' ') AS k
+         FROM (SELECT doc_id, words, unnest(range(greatest(len(words) - 2, 0))) AS s FROM words)),
+again AS (SELECT doc_id, s FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM runs) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT s + i) AS n FROM again, range(3) AS t(i) GROUP BY doc_id),
+measured AS (
+    SELECT w.doc_id, len(words)::BIGINT AS n_words,
+           length(array_to_string(words, ''))::BIGINT AS word_chars,
+           length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+           (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+           coalesce(n, 0)::BIGINT AS n_repeat_words,
+           length(regexp_replace(text, '\\P{{Lu}}', '', 'g')) AS n_upper
+    FROM words w JOIN lines l ON w.doc_id = l.doc_id LEFT JOIN covered c ON w.doc_id = c.doc_id),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_upper > word_chars) AS kept
+FROM judged
+""")
+def op6(spark, sf_dir):
+    entries = rule_ledger.ledger(table(spark, sf_dir, "documents"))
+    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                          (~rule_ledger.passes("base")).alias("base_failed"),
+                          rule_ledger.passes("v1").alias("kept"))
+
+
 @query("op7_token_counts")
 def op7(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op8_license_scan")
+def op8(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op9_byte_bpe")
 def op9(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
