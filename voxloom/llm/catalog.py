@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import (byte_bpe, html_extract, license_scan, packing, quality_classifier, rule_ledger,
+from voxloom.llm import (binary_codes, byte_bpe, html_extract, license_scan, packing, quality_classifier, rule_ledger,
                          substring_dedup, token_counts)
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,12 @@ def op1(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op3_rotated_codes")
+def op3(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return binary_codes.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 @query("op4_quality_classifier")
 def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

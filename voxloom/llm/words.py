@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 
 U64 = np.uint64
@@ -127,7 +128,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str, size: int) -> I
             continue
         texts = batch.column(batch.schema.get_field_index(column))
         lengths = texts.cast(pa.large_string()) if pa.types.is_string(texts.type) else texts
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(lengths), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(lengths), 0), dtype=np.int64)
         group = np.cumsum(sizes) // max(1, size)
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
