@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import (binary_codes, byte_bpe, html_extract, license_scan, packing, quality_classifier, rule_ledger,
-                         substring_dedup, token_counts)
+from voxloom.llm import (binary_codes, byte_bpe, html_extract, license_scan, ngram_join, packing,
+                         quality_classifier, rule_ledger, substring_dedup, token_counts)
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -40,6 +40,11 @@ def op1(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op2_ngram_forest")
+def op2(spark, sf_dir):
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 @query("op3_rotated_codes")
 def op3(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
