@@ -1,29 +1,66 @@
-"""The corpus pipeline: stages over `documents`, each written and read again as Parquet."""
+"""The corpus pipeline: five stages over `documents`, each written as Parquet and read again as the next one's input."""
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxloom.llm import substring_dedup
+from voxloom.llm import ngram_join, packing, quality_classifier, rule_ledger, substring_dedup
 from voxloom.support import shared_dir
 
+#: Version of the rule policy that filters, and the tokenizer that packs.
+POLICY, TOKENIZER = "v1", "word_bpe_49k.json"
 
-def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the word windows that an earlier document, or the same one earlier, holds."""
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches the threshold; the model learns from the labelled rows among ``docs``."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_classifier.keep_good(docs, quality_classifier.fit(docs, labels))
+
+
+def rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose failure bits hold none of the policy's."""
+    prefix = "_rule_"
+    measured = rule_ledger.measure(docs, prefix=prefix)
+    bits = rule_ledger.failure_bits(prefix).bitwiseAND(F.lit(rule_ledger.POLICIES[POLICY]).cast("long"))
+    return measured.where(bits == 0).select(*docs.columns)
+
+
+def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id.
+
+    Rows that share a doc_id stay or go together; a null doc_id counts as the smallest.
+    """
+    found = ngram_join.join(docs)
+    gone = (found.where(~F.col("doc_id").eqNullSafe(F.col("class_id")))
+            .select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def repeat_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the word windows that start earlier, in another document or the same; n_chars follows."""
     kept = substring_dedup.remove_repeats(docs)
-    return kept.withColumn("n_chars", _length(kept, docs)).select(*docs.columns)
+    length = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
-def _length(kept: DataFrame, docs: DataFrame):
-    from pyspark.sql import functions as F
-    return F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(
-        docs.schema["n_chars"].dataType)
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 4096 tokens along the space-filling curve."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
-STAGES = [("substring dedup", drop_repeats)]
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("quality rules", rule_filter),
+    ("n-gram join", near_duplicate_filter),
+    ("substring dedup", repeat_filter),
+    ("packing", packed),
+]
 
+#: Compression, trained here, and tokenization have no SQL form; a test holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
