@@ -63,6 +63,11 @@ def _features(sizes: np.ndarray) -> np.ndarray:
     return np.stack([difference, difference ** 2, ratio, ratio ** 2, difference * ratio, np.log(raw)], axis=1)
 
 
+def _standard(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Features in standard deviations; very short texts are not extrapolated beyond four."""
+    return np.clip((x - centre) / scale, -4, 4)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Ridge-penalised logistic regression by Newton steps."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -119,14 +124,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_texts: int = SAMPLE_TEXTS,
     y = np.array([q for q, _ in texts], dtype=float)
     weight = np.where(y == 1, share / max(y.sum(), 1), (1 - share) / max((1 - y).sum(), 1)) * len(y)
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    beta = _logistic((x - centre) / scale, y, weight)
+    beta = _logistic(_standard(x, centre, scale), y, weight)
     return Model(good, bad, tuple(beta), tuple(centre), tuple(scale))
 
 
 def _scores(texts: list[str | None], model: Model) -> np.ndarray:
     if not texts:
         return np.zeros(0)
-    x = (_features(np.array([_sizes(t, model.good, model.bad) for t in texts])) - model.centre) / model.scale
+    x = _features(np.array([_sizes(t, model.good, model.bad) for t in texts]))
+    x = _standard(x, np.array(model.centre), np.array(model.scale))
     return 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights[:-1]) + model.weights[-1], -30, 30)))
 
 

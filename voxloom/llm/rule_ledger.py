@@ -53,29 +53,29 @@ def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     words = F.array_remove(F.split(body, _BLANK), "")
     # each step is a column of its own and is used more than once below, so it is computed once
-    step = docs.withColumn("_w", words)
-    runs = F.transform(F.slice("_w", 1, F.greatest(F.size("_w") - 2, F.lit(0))), lambda w, i: F.struct(
-        F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i")))
-    step = step.withColumn("_g", F.sort_array(runs))
-    step = step.withColumn("_p", _repeat_words(F.col("_g")))
+    step = docs.withColumn("__ledger_w", words)
+    runs = F.transform(F.slice("__ledger_w", 1, F.greatest(F.size("__ledger_w") - 2, F.lit(0))), lambda w, i: F.struct(
+        F.xxhash64(w, F.get("__ledger_w", i + 1), F.get("__ledger_w", i + 2)).alias("h"), i.alias("i")))
+    step = step.withColumn("__ledger_g", F.sort_array(runs))
+    step = step.withColumn("__ledger_p", _repeat_words(F.col("__ledger_g")))
     covered = F.aggregate(
-        F.col("_p"), F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
+        F.col("__ledger_p"), F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
         lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")),
         lambda a: a["n"])
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    step = step.withColumn("_l", lines)
+    step = step.withColumn("__ledger_l", lines)
     letters = F.regexp_replace(body, r"\P{L}+", "")
     values = {
-        "n_words": F.size("_w"),
+        "n_words": F.size("__ledger_w"),
         "word_chars": F.char_length(F.translate(body, " \t\n\x0b\x0c\r", "")),
         "n_symbols": F.char_length(body) - F.char_length(F.translate(body, _SYMBOLS, "")),
-        "n_lines": F.size("_l"),
-        "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")),
+        "n_lines": F.size("__ledger_l"),
+        "n_dup_lines": F.size("__ledger_l") - F.size(F.array_distinct("__ledger_l")),
         "n_repeat_words": covered,
         "n_upper": F.char_length(F.regexp_replace(body, r"\P{Lu}+", "")),
         "n_letters": F.char_length(letters),
     }
-    return step.withColumns({prefix + n: c.cast("long") for n, c in values.items()}).drop("_w", "_g", "_p", "_l")
+    return step.withColumns({prefix + n: c.cast("long") for n, c in values.items()}).drop("__ledger_w", "__ledger_g", "__ledger_p", "__ledger_l")
 
 
 def failure_bits(prefix: str = "") -> Column:
