@@ -23,7 +23,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose failure bits hold none of the policy's."""
-    prefix = "_rule_"
+    prefix = "__rule_"
     measured = rule_ledger.measure(docs, prefix=prefix)
     bits = rule_ledger.failure_bits(prefix).bitwiseAND(F.lit(rule_ledger.POLICIES[POLICY]).cast("long"))
     return measured.where(bits == 0).select(*docs.columns)
@@ -36,15 +36,19 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     found = ngram_join.join(docs)
     gone = (found.where(~F.col("doc_id").eqNullSafe(F.col("class_id")))
-            .select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+            .select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
 
 
 def repeat_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the word windows that start earlier, in another document or the same; n_chars follows."""
-    kept = substring_dedup.remove_repeats(docs)
-    length = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # in a struct, no column of the documents meets one that the operator adds
+    kept = substring_dedup.remove_repeats(docs.select("doc_id", "text", F.struct(*others).alias("other")))
+    length = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("other.n_chars"))
+    columns = {c: F.col(f"other.`{c}`") for c in others} | {c: F.col(c) for c in ("doc_id", "text")}
+    columns["n_chars"] = length.cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
