@@ -80,8 +80,8 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, dimensions: int = DIM
         uid = (context.partitionId() if context else 0) << 40
         for batch, texts in text_batches(batches, "text", 1 << 20):
             packed, sizes, vectors = [], [], np.zeros((len(texts), HASHED))
-            for k, text in enumerate(texts):
-                raw = coder.ids_of(text) + end
+            for k, raw in enumerate(coder.ids_of(texts)):
+                raw += end
                 ids = np.frombuffer(raw, dtype="<u2")
                 vectors[k] = np.bincount(slot[ids], weights=sign[ids], minlength=HASHED)
                 packed.append(pack(raw))
