@@ -53,7 +53,7 @@ class Line:
 def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in _DROPPED:
         return not (tag == "header" and in_article)
-    if tag in _ARTICLE or tag in ("body", "html") or "=" not in attributes:
+    if not attributes.strip() or tag in _ARTICLE or tag in ("body", "html"):
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "")
