@@ -75,7 +75,10 @@ def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
         "n_upper": F.char_length(F.regexp_replace(body, r"\P{Lu}+", "")),
         "n_letters": F.char_length(letters),
     }
-    return step.withColumns({prefix + n: c.cast("long") for n, c in values.items()}).drop("__ledger_w", "__ledger_g", "__ledger_p", "__ledger_l")
+    # a generator of one row: filters on the measurements stay above it, else they would repeat every step per word
+    made = F.struct(*[c.cast("long").alias(prefix + n) for n, c in values.items()])
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    return step.select(*kept, F.inline(F.array(made)))
 
 
 def failure_bits(prefix: str = "") -> Column:
