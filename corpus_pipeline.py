@@ -36,7 +36,7 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     found = ngram_join.join(docs)
     gone = (found.where(~F.col("doc_id").eqNullSafe(F.col("class_id")))
-            .select(F.col("doc_id").alias("__gone")).distinct())
+            .select(F.col("doc_id").alias("__gone")).distinct().hint("merge"))
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
 
 
