@@ -63,8 +63,54 @@ def test_tiff_stack(spark, grid, tmp_path):
     assert sorted(p.name for p in (tmp_path / "a").iterdir())[0] == "label_Z0000.tif"
     assert np.array_equal(dense(images.planes_to_voxels(images.read_tiff_stack(spark, str(tmp_path)))), grid)
     kept = (tmp_path / "a" / "label_Z0001.tif").stat().st_mtime_ns
-    out.write_tiff_slices(planes, str(tmp_path))
+    out.write_tiff_slices(planes, str(tmp_path), skip_existing=True)
     assert (tmp_path / "a" / "label_Z0001.tif").stat().st_mtime_ns == kept
+    changed = out.to_planes(voxels(spark, grid[::-1]), "volume_id", "value", DIMS[1], DIMS[2], "u2", DIMS[0])
+    out.write_tiff_slices(changed, str(tmp_path))
+    assert np.array_equal(dense(images.planes_to_voxels(images.read_tiff_stack(spark, str(tmp_path)))), grid[::-1])
+
+
+def test_pages_of_several_files_are_numbered_on(spark, tmp_path):
+    def pages(planes):
+        whole, first = bytearray(out.tiff_bytes(planes[0])), 8
+        for plane in planes[1:]:
+            at = struct.unpack_from("<I", whole, 4)[0] if first == 8 else first
+            end = at + 2 + 12 * struct.unpack_from("<H", whole, at)[0]
+            one, base = bytearray(out.tiff_bytes(plane)), len(whole)
+            table = struct.unpack_from("<I", one, 4)[0]
+            for k in range(struct.unpack_from("<H", one, table)[0]):
+                if struct.unpack_from("<H", one, table + 2 + 12 * k)[0] == images.OFFSETS:
+                    struct.pack_into("<I", one, table + 10 + 12 * k, 8 + base)
+            struct.pack_into("<I", whole, end, base + table)
+            whole += one
+            first = base + table
+        return bytes(whole)
+
+    stack = np.random.default_rng(9).integers(1, 99, (5, 3, 4)).astype("u2")
+    for folder in ("one/v", "two/v"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "a.tif").write_bytes(pages(stack[:2]))
+        (tmp_path / folder / "b.tif").write_bytes(pages(stack[2:]))
+    back = images.planes_to_voxels(images.read_tiff_stack(spark, str(tmp_path)))
+    assert {r.volume_id for r in back.select("volume_id").distinct().collect()} == {"one/v", "two/v"}
+    assert np.array_equal(dense(back.where("volume_id = 'two/v'"), stack.shape), stack)
+
+
+def test_all_channels_of_a_four_dimensional_file(spark, tmp_path):
+    head = bytearray(352)
+    struct.pack_into("<i", head, 0, 348)
+    struct.pack_into("<8h", head, 40, 4, 4, 3, 2, 2, 1, 1, 1)
+    struct.pack_into("<h", head, 70, 4)
+    struct.pack_into("<3f", head, 108, 352.0, 1.0, 0.0)
+    data = np.arange(1, 49, dtype="<i2")
+    (tmp_path / "f.nii").write_bytes(bytes(head) + data.tobytes())
+    rows = images.planes_to_voxels(images.read_nifti(spark, str(tmp_path))).collect()
+    whole = data.reshape(2, 2, 3, 4)
+    assert len(rows) == 48 and all(whole[r.channel, r.z, r.y, r.x] == r.value for r in rows)
+    size = images.read_geometry(spark, str(tmp_path)).first()
+    assert size["size"] == [2, 3, 4] and size.channels == 2
+    with pytest.raises(ValueError):
+        images.nifti_volume(bytes(head) + data.tobytes())
 
 
 def png(plane):
@@ -116,6 +162,18 @@ def test_chunked_array(spark, grid, tmp_path, codec):
     assert np.array_equal(dense(images.read_chunked_array(spark, str(tmp_path))), grid)
 
 
+def test_absent_chunks_hold_the_fill_value(spark, tmp_path):
+    folder = tmp_path / "vol"
+    folder.mkdir()
+    (folder / ".zarray").write_text(json.dumps({"shape": [3, 2, 2], "chunks": [2, 2, 2], "dtype": "<u2", "order": "C",
+                                                "compressor": None, "fill_value": 7}))
+    (folder / "0.0.0").write_bytes(np.arange(8, dtype="<u2").tobytes())
+    back = images.read_chunked_array(spark, str(folder))
+    whole = np.full((3, 2, 2), 7)
+    whole[:2] = np.arange(8).reshape(2, 2, 2)
+    assert np.array_equal(dense(back, (3, 2, 2)), whole) and back.first().volume_id == "vol"
+
+
 def test_manifest_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(f"c{i}", i % 4 == 0) for i in range(20)], "case string, is_test boolean")
     reports.write_manifest(rows, "case", str(tmp_path / "m"), "T", {"0": "CT"}, {"0": "background"}, parts=3)

@@ -10,7 +10,6 @@ from voxloom.functions import names
 from voxloom.functions.ranking import rank_in_buckets
 from voxloom.operators import cases, evaluate, graph, intensity, masking, remap, resample, selection, tiles
 from voxloom.plans import evaluation as model_choice
-from voxloom.plans import experiment
 
 
 def test_empty_and_full_masks(spark):
@@ -205,12 +204,31 @@ def test_unmatched_cases_fail(spark):
         model_choice.evaluate_cases(a, b, ["v"], "code", "code", {"1": [1]}, 5)
 
 
-def test_pool_planning():
-    plan = experiment.plan_pooling((3.0, 1.0, 1.0), (20, 160, 160), smallest=4, most=5)
-    assert plan.pools[0] < plan.pools[1] == plan.pools[2]
-    assert plan.pool_kernels[0] == [1, 2, 2] and plan.conv_kernels[0] == [1, 3, 3]
-    assert all(p % 2 ** n == 0 for p, n in zip(plan.patch, plan.pools))
-    assert experiment.initial_patch((2.0, 1.0, 1.0), (2000, 2000, 300)) == [512, 1024, 300]
-    step = experiment.low_resolution_spacing((3.0, 1.0, 1.0), (100, 600, 600), lambda s: 128 ** 3)
-    voxels = 100 * 600 * 600 * 3.0 / (step[0] * step[1] * step[2])
-    assert voxels <= 4 * 128 ** 3 < voxels * 1.01 ** 3 and step[0] / step[1] <= 2
+def test_no_row_is_lost_without_statistics_or_outside_bounds(spark):
+    from voxloom.operators import intensity, masking, quantify
+    rows = spark.createDataFrame([(1, "a", 0, 0, 0, 5), (1, "b", 0, 0, 1, 6), (2, "a", 1, 1, 1, 12)],
+                                 "case int, modality string, z int, y int, x int, value int")
+    stats = spark.createDataFrame([("a", 0.0, 10.0, 5.0, 2.0)], "modality string, p0_5 double, p99_5 double, mean double, sd double")
+    got = {(r.case, r.modality): r.normalized for r in intensity.normalize_ct(rows, stats, ["modality"], "value").collect()}
+    assert got == {(1, "a"): 0.0, (1, "b"): None, (2, "a"): 2.5}
+    boxes = spark.createDataFrame([(1, 0, 1, 0, 1, 1, 2)], "case int, z0 int, z1 int, y0 int, y1 int, x0 int, x1 int")
+    kept = masking.crop_to_box(rows, boxes, ["case"]).collect()
+    assert sorted((r.case, r.z, r.y, r.x) for r in kept) == [(1, 0, 0, 0), (2, 1, 1, 1)]
+    assert {r.bin: r.n for r in quantify.histogram(rows, [], "value", 2, 0.0, 6.0).collect()} == {1: 2, 2: 1}
+    assert sum(r.n for r in quantify.histogram(rows, ["case"], "value", 3).collect()) == 3
+
+
+def test_a_voxel_outside_the_declared_shape_is_an_error(spark):
+    from voxloom.support import linear_index
+    rows = spark.createDataFrame([(0, 0, 5)], "z int, y int, x int")
+    assert rows.select(linear_index((1, 1, 6))).first()[0] == 5
+    with pytest.raises(Exception, match="outside the declared shape"):
+        rows.select(linear_index((1, 1, 5))).collect()
+
+
+def test_pooling_windows_start_before_the_edge(spark):
+    from voxloom.operators import resample
+    whole = spark.range(125).selectExpr("1 AS v", "CAST(id div 25 AS INT) AS z", "CAST(id div 5 % 5 AS INT) AS y",
+                                        "CAST(id % 5 AS INT) AS x", "2 AS label")
+    got = resample.average_pool(whole, ["v"], "label", (4, 4, 4), (5, 5, 5)).collect()
+    assert [(r.z, r.y, r.x, r.share) for r in got] == [(0, 0, 0, 1.0)]

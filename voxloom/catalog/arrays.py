@@ -180,11 +180,13 @@ def upsample_labels(spark, sf):
     return resample.resample_labels(voxels(spark, sf).select(*PLACE, "gt"), V, "gt", LATTICE, (41, 86, 141), first_wins=True)
 
 
-@query("avg_pool", f"""WITH {VOX}
-SELECT volume_id, CAST(z // 2 AS INT) AS z, CAST(y // 4 AS INT) AS y, CAST(x // 4 AS INT) AS x, gt, ROUND(COUNT(*) / 32.0::DOUBLE, 6) AS share
-FROM vox GROUP BY 1, 2, 3, 4, 5""")
+@query("avg_pool", f"""WITH {VOX}, w AS (SELECT volume_id, CAST(z // 2 AS INT) AS z, CAST((y + 1) // 4 AS INT) AS y, CAST((x + 1) // 4 AS INT) AS x, gt, COUNT(*) AS n
+  FROM vox GROUP BY 1, 2, 3, 4, 5),
+s AS (SELECT *, (LEAST(2 * z + 2, 41) - 2 * z) * (LEAST(4 * y + 3, 43) - GREATEST(4 * y - 1, 0)) * (LEAST(4 * x + 3, 47) - GREATEST(4 * x - 1, 0)) AS cells FROM w)
+SELECT volume_id, z, y, x, gt, ROUND(n / CAST(cells AS DOUBLE), 6) AS share FROM s
+WHERE z < (41 - 2) // 2 + 1 AND y < (43 + 2 - 4) // 4 + 1 AND x < (47 + 2 - 4) // 4 + 1""")
 def avg_pool(spark, sf):
-    return resample.average_pool(voxels(spark, sf), V, "gt", (2, 4, 4))
+    return resample.average_pool(voxels(spark, sf), V, "gt", (2, 4, 4), LATTICE)
 
 
 @query("pad_shape", """SELECT p_partkey, CAST(CEIL(p_size / POW(2, p_partkey % 6)) * POW(2, p_partkey % 6) AS INT) AS padded,
@@ -280,12 +282,12 @@ def argmax_class(spark, sf):
     return tiles.argmax_class(probabilities(spark, sf), ["model", "voxel"])
 
 
-@query("region_paint", f"""WITH {PROB}, r AS (SELECT model, voxel, class % 3 AS region, 1 / (1 + EXP(-10 * CAST(p AS DOUBLE))) AS p FROM prob WHERE class < 3)
+@query("region_paint", f"""WITH {PROB}, r AS (SELECT model, voxel, class % 3 AS region, 1 / (1 + EXP(-10 * AVG(CAST(p AS DOUBLE)))) AS p FROM prob GROUP BY 1, 2, 3)
 SELECT model, voxel, COALESCE(MAX_BY(CASE region WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END, CASE WHEN p > 0.5 THEN region END), 0) AS label FROM r GROUP BY 1, 2""")
 def region_paint(spark, sf):
-    # the first three class channels are the region channels
-    prob = probabilities(spark, sf).where(F.col("class") < 3).select(
-        "model", "voxel", F.col("class").alias("region"), (1 / (1 + F.exp(-10 * F.col("p").cast("double")))).alias("p"))
+    # every third channel belongs to the same region; a region's score is the mean of its channels
+    prob = probabilities(spark, sf).groupBy("model", "voxel", (F.col("class") % 3).alias("region")).agg(
+        (1 / (1 + F.exp(-10 * F.avg(F.col("p").cast("double"))))).alias("p"))
     return tiles.region_paint(prob, ["model", "voxel"], "region", "p", (1, 2, 4))
 
 

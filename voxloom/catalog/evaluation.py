@@ -157,13 +157,13 @@ def foreground_mean(spark, sf):
     return evaluate.foreground_mean(means, ["experiment"], "metric", "value")
 
 
-# a score above the bound is a missing result, which leaves some fold sets incomplete
-FOLD = f"""{SCORE}, s AS (SELECT *, case_id % 5 AS fold FROM score WHERE value < 300),
+# only groups that cover every fold count
+FOLD = f"""{SCORE}, s AS (SELECT *, case_id % 5 AS fold FROM score),
 ok AS (SELECT experiment, metric FROM s GROUP BY 1, 2 HAVING COUNT(DISTINCT fold) = 5)"""
 
 
 def _folds(spark, sf):
-    return scores(spark, sf).where(F.col("value") < 300).withColumn("fold", F.col("case_id") % 5)
+    return scores(spark, sf).withColumn("fold", F.col("case_id") % 5)
 
 
 @query("fold_mean_of_means", f"""WITH {FOLD}, f AS (SELECT experiment, metric, fold, AVG(value) AS m FROM s JOIN ok USING (experiment, metric) GROUP BY 1, 2, 3)
@@ -179,7 +179,7 @@ def fold_pooled(spark, sf):
     return evaluate.fold_pooled(_folds(spark, sf), ["experiment", "metric"], "fold", range(5))
 
 
-@query("all_task_mean", f"""WITH {SCORE}, t AS (SELECT experiment, metric, case_id, AVG(value) AS m FROM score WHERE value < 300 GROUP BY 1, 2, 3)
+@query("all_task_mean", f"""WITH {SCORE}, t AS (SELECT experiment, metric, case_id, AVG(value) AS m FROM score GROUP BY 1, 2, 3)
 SELECT experiment, metric, ROUND(AVG(m), 6) AS mean FROM t GROUP BY 1, 2 HAVING COUNT(*) = 10""")
 def all_task_mean(spark, sf):
     return evaluate.all_task_mean(_folds(spark, sf), ["experiment", "metric"], "case_id", range(10))
@@ -240,14 +240,14 @@ def rank_avg(spark, sf):
     return selection.rank_average(scores(spark, sf).withColumn("value", value), "experiment", "metric", "case_id", "value")
 
 
-@query("rank_candidates", f"""WITH {SCORE}, b AS (SELECT case_id, experiment, MAX(value) AS best FROM score WHERE value < 300 GROUP BY 1, 2),
+@query("rank_candidates", f"""WITH {SCORE}, b AS (SELECT case_id, experiment, MAX(value) AS best FROM score GROUP BY 1, 2),
 g AS (SELECT d.case_id, n.experiment, COALESCE(b.best, 0) AS best FROM (SELECT DISTINCT case_id FROM b) d
   CROSS JOIN (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) n(experiment) LEFT JOIN b ON b.case_id = d.case_id AND b.experiment = n.experiment),
 r AS (SELECT experiment, ROW_NUMBER() OVER (PARTITION BY case_id ORDER BY best DESC, experiment) - 1 AS r FROM g),
 m AS (SELECT experiment, ROUND(AVG(r), 6) AS mean_rank, COUNT(*) AS datasets FROM r GROUP BY 1)
 SELECT *, ROW_NUMBER() OVER (ORDER BY mean_rank, experiment) = 1 AS winner FROM m""")
 def rank_candidates(spark, sf):
-    return selection.rank_candidates(scores(spark, sf).where(F.col("value") < 300),
+    return selection.rank_candidates(scores(spark, sf),
                                      ("click", "error", "purchase", "signup", "view"), "experiment", "case_id", "value")
 
 

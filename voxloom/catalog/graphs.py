@@ -53,9 +53,9 @@ def branch_radius(spark, sf):
     return graph.branch_radius(_radii(spark, sf), G)
 
 
-@query("radius_histogram", f"""WITH {POINTS} SELECT graph_id, LEAST(9, CAST(FLOOR(radius / 5.0::DOUBLE) AS INT)) AS bin, COUNT(*) AS n FROM rad GROUP BY 1, 2""")
+@query("radius_histogram", f"""WITH {POINTS} SELECT graph_id, CASE WHEN radius < 0 THEN -1 WHEN radius > 50 THEN 10 ELSE LEAST(9, CAST(FLOOR(radius / 5.0::DOUBLE) AS INT)) END AS bin, COUNT(*) AS n FROM rad GROUP BY 1, 2""")
 def radius_histogram(spark, sf):
-    return quantify.histogram(_radii(spark, sf), G, "radius", 0.0, 50.0, 10)
+    return quantify.histogram(_radii(spark, sf), G, "radius", 10, 0.0, 50.0)
 
 
 @query("graph_summary", f"""WITH {DEGREE}, {POINTS},
@@ -114,7 +114,9 @@ def graph_fuse(spark, sf):
     return graph.fuse_graphs(vertices(spark, sf), local, _pairs(spark, sf, hot=50), [], "graph_id", "vid")
 
 
-@query("degree_histogram", f"WITH {DEGREE} SELECT graph_id, LEAST(4, CAST(FLOOR(degree / 2.0::DOUBLE) AS INT)) AS bin, COUNT(*) AS n FROM deg WHERE degree <= 10 GROUP BY 1, 2")
+@query("degree_histogram", f"""WITH {DEGREE}, s AS (SELECT graph_id, MIN(degree)::DOUBLE AS a, MAX(degree)::DOUBLE AS b FROM deg GROUP BY 1),
+e AS (SELECT graph_id, CASE WHEN a = b THEN a - 0.5 ELSE a END AS low, CASE WHEN a = b THEN b + 0.5 ELSE b END AS high FROM s)
+SELECT graph_id, CAST(LEAST(4, FLOOR((degree - low) / ((high - low) / 5))) AS INT) AS bin, COUNT(*) AS n FROM deg JOIN e USING (graph_id) GROUP BY 1, 2""")
 def degree_histogram(spark, sf):
     degrees = graph.vertex_degree(vertices(spark, sf), edges(spark, sf), G)
-    return quantify.histogram(degrees, G, "degree", 0.0, 10.0, 5)
+    return quantify.histogram(degrees, G, "degree", 5)

@@ -33,16 +33,16 @@ def within_box(axes: Sequence[str] = ZYX) -> Column:
 
 
 def crop_to_box(voxels: DataFrame, boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keep voxels inside their case's box and move the origin to its corner."""
-    joined = attach(voxels, boxes, keys).where(within_box())
-    moved = {a: (F.col(a) - F.col(a + "0")).cast("int") for a in ZYX}
+    """Keep voxels inside their case's box and move the origin to its corner; a case without a box stays whole."""
+    joined = attach(voxels, boxes, keys, "left").where(F.col("z0").isNull() | within_box())
+    moved = {a: (F.col(a) - F.coalesce(a + "0", F.lit(0))).cast("int") for a in ZYX}
     return joined.withColumns(moved).select(*voxels.columns)
 
 
 def uncrop(voxels: DataFrame, boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Put cropped voxels back at their place in the zero canvas."""
-    moved = {a: (F.col(a) + F.col(a + "0")).cast("int") for a in ZYX}
-    return attach(voxels, boxes, keys).withColumns(moved).select(*voxels.columns)
+    """Put cropped voxels back at their place in the zero canvas; a case without a box was not moved."""
+    moved = {a: (F.col(a) + F.coalesce(a + "0", F.lit(0))).cast("int") for a in ZYX}
+    return attach(voxels, boxes, keys, "left").withColumns(moved).select(*voxels.columns)
 
 
 def mark_outside(seg: Column, nonzero: Column, code: int = -1) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.support import ZYX, div0
+from voxloom.support import ZYX, attach, div0
 
 
 def overlap(labels: DataFrame, mask: DataFrame, keys: Sequence[str], label: str = "label",
@@ -67,12 +67,28 @@ def axis_sum(voxels: DataFrame, keys: Sequence[str], value: str, axes: Sequence[
             .withColumn("mean", F.round(F.col("total") / F.lit(float(cells)), 6)))
 
 
-def histogram(df: DataFrame, keys: Sequence[str], value: str, low: float, high: float, bins: int) -> DataFrame:
-    """Counts in equal bins; the top edge belongs to the last bin."""
-    width = (high - low) / bins
-    index = F.least(F.lit(bins - 1), F.floor((F.col(value) - low) / width)).cast("int")
-    return (df.where((F.col(value) >= low) & (F.col(value) <= high))
-            .groupBy(*keys, index.alias("bin")).agg(F.count("*").alias("n")))
+def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int, low: float | None = None,
+              high: float | None = None) -> DataFrame:
+    """Counts in equal bins; the top edge belongs to the last bin.
+
+    Without bounds the bins span the values of each key (one unit around a
+    single value).  With bounds, smaller values are counted in bin -1 and larger
+    ones in bin ``bins``, so the counts always sum to all rows with a value.
+    """
+    x = F.col(value).cast("double")
+    counts = df.where(x.isNotNull()).groupBy(*keys, x.alias("_x")).agg(F.count("*").alias("_n"))
+    if low is None or high is None:
+        span = counts.groupBy(*keys).agg(F.min("_x").alias("_a"), F.max("_x").alias("_b"))
+        half = F.when(F.col("_a") == F.col("_b"), F.lit(0.5)).otherwise(F.lit(0.0))
+        counts = attach(counts, span.select(*keys, (F.col("_a") - half).alias("_low"),
+                                            (F.col("_b") + half).alias("_high")), keys)
+    else:
+        counts = counts.withColumns({"_low": F.lit(float(low)), "_high": F.lit(float(high))})
+    width = (F.col("_high") - F.col("_low")) / bins
+    inside = F.least(F.lit(bins - 1), F.floor((F.col("_x") - F.col("_low")) / width))
+    index = (F.when(F.col("_x") < F.col("_low"), F.lit(-1)).when(F.col("_x") > F.col("_high"), F.lit(bins))
+             .otherwise(inside).cast("int"))
+    return counts.groupBy(*keys, index.alias("bin")).agg(F.sum("_n").alias("n"))
 
 
 def voxel_difference(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:

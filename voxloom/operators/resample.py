@@ -173,12 +173,23 @@ def _line_resampler(keys, axis, rest, old, new, bundle):
     return run
 
 
-def average_pool(voxels: DataFrame, keys: Sequence[str], label: str, factors: Sequence[int]) -> DataFrame:
-    """Share of each label per block; background shares are left implicit."""
-    cells = factors[0] * factors[1] * factors[2]
-    block = [F.expr(f"{a} div {f}").cast("int").alias(a) for a, f in zip(ZYX, factors)]
-    return (voxels.groupBy(*keys, *block, label).agg(F.count("*").alias("_n"))
-            .withColumn("share", F.round(F.col("_n") / F.lit(float(cells)), 6)).drop("_n"))
+def average_pool(voxels: DataFrame, keys: Sequence[str], label: str, factors: Sequence[int],
+                 dims: Sequence[int]) -> DataFrame:
+    """Share of each label per pooling window; background shares are left implicit.
+
+    Windows of ``factors`` cells start (f - 1) // 2 cells before the edge of
+    the volume of shape ``dims``.  Cells outside it are not counted, and a
+    window that does not fit the padded axis is left out.
+    """
+    pads = [(f - 1) // 2 for f in factors]
+    window = [F.floor((F.col(a) + p) / f).cast("int").alias(a) for a, f, p in zip(ZYX, factors, pads)]
+    cells, fits = F.lit(1), F.lit(True)
+    for a, f, p, size in zip(ZYX, factors, pads, dims):
+        start = F.col(a) * f - p
+        cells = cells * (F.least(start + f, F.lit(size)) - F.greatest(start, F.lit(0)))
+        fits = fits & (F.col(a) < (size + 2 * p - f) // f + 1)
+    return (voxels.groupBy(*keys, *window, label).agg(F.count("*").alias("_n")).where(fits)
+            .withColumn("share", F.round(F.col("_n") / cells.cast("double"), 6)).drop("_n"))
 
 
 def pad_to_multiple(size: Column, multiple: Column) -> Column:

@@ -66,6 +66,8 @@ def write_nifti(planes: DataFrame, folder: str, depth: int, compress: bool = Fal
                 head = nifti_header((depth, row.height, row.width), np.dtype(row.dtype))
                 handle = os.open(os.path.join(folder, f"{row.volume_id}.nii"), os.O_RDWR | os.O_CREAT, 0o644)
                 try:
+                    # the same length from every task: an older, longer file is cut
+                    os.ftruncate(handle, HEADER_BYTES + depth * len(row.pixels))
                     os.pwrite(handle, head, 0)
                     os.pwrite(handle, row.pixels, HEADER_BYTES + row.z * len(row.pixels))
                 finally:
@@ -112,9 +114,9 @@ def tiff_bytes(plane: np.ndarray) -> bytes:
     return b"II*\0" + struct.pack("<I", 8 + len(padded)) + padded + table + struct.pack("<I", 0)
 
 
-def write_tiff_slices(planes: DataFrame, folder: str, prefix: str = "label_Z", digits: int = 4, skip_existing: bool = True,
+def write_tiff_slices(planes: DataFrame, folder: str, prefix: str = "label_Z", digits: int = 4, skip_existing: bool = False,
                       ) -> None:
-    """One TIFF per plane below ``folder/volume_id``; finished files are kept."""
+    """One TIFF per plane below ``folder/volume_id``; with ``skip_existing`` finished files are kept."""
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             written = 0

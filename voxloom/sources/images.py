@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import gzip
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -29,8 +30,11 @@ WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, ROWS, COUNTS, FORMAT = 256, 257, 258,
 TIFF_KINDS = {1: "u", 2: "i", 3: "f"}
 
 
-def nifti_volume(content: bytes) -> np.ndarray:
-    """(z, y, x) array of a single-file NIfTI-1 or ANALYZE image, scaled if the header says so."""
+def nifti_volumes(content: bytes) -> np.ndarray:
+    """(channel, z, y, x) array of a single-file NIfTI-1 or ANALYZE image, scaled if the header says so.
+
+    Axes beyond the third (time, modality, vector) together count the channels.
+    """
     if content[:2] == b"\x1f\x8b":
         content = gzip.decompress(content)
     order = "<" if struct.unpack("<i", content[:4])[0] == 348 else ">"
@@ -38,7 +42,8 @@ def nifti_volume(content: bytes) -> np.ndarray:
     code = struct.unpack(order + "h", content[70:72])[0]
     offset = int(struct.unpack(order + "f", content[108:112])[0]) or 352
     slope, inter = struct.unpack(order + "2f", content[112:120])
-    shape = [max(1, d) for d in dims[1:4]]
+    axes = [max(1, d) for d in dims[1:1 + dims[0]]] + [1] * (3 - dims[0])
+    shape = [*axes[:3], int(np.prod(axes[3:], dtype=np.int64))]
     data = np.frombuffer(content, order + NIFTI_TYPES[code], count=int(np.prod(shape)), offset=offset)
     volume = data.reshape(shape[::-1])
     if slope not in (0.0, 1.0) or inter != 0.0:
@@ -46,14 +51,23 @@ def nifti_volume(content: bytes) -> np.ndarray:
     return volume
 
 
+def nifti_volume(content: bytes) -> np.ndarray:
+    """(z, y, x) array of an image with one channel."""
+    volumes = nifti_volumes(content)
+    if len(volumes) != 1:
+        raise ValueError(f"the image has {len(volumes)} channels")
+    return volumes[0]
+
+
 def nifti_geometry(content: bytes) -> tuple:
-    """Size and spacing as (z, y, x) from a header."""
+    """Size and spacing as (z, y, x), and the number of channels, from a header."""
     if content[:2] == b"\x1f\x8b":
         content = zlib.decompressobj(31).decompress(content, 352)
     order = "<" if struct.unpack("<i", content[:4])[0] == 348 else ">"
     dims = struct.unpack(order + "8h", content[40:56])
     steps = struct.unpack(order + "8f", content[76:108])
-    return [int(d) for d in dims[3:0:-1]], [float(s) for s in steps[3:0:-1]]
+    axes = [max(1, int(d)) for d in dims[1:1 + dims[0]]] + [1] * (3 - dims[0])
+    return axes[2::-1], [float(s) for s in steps[3:0:-1]], int(np.prod(axes[3:], dtype=np.int64))
 
 
 def tiff_pages(content: bytes) -> Iterator[np.ndarray]:
@@ -128,8 +142,15 @@ def _plane_row(volume_id: str, z: int, plane: np.ndarray) -> tuple:
     return volume_id, z, plane.shape[0], plane.shape[1], little.dtype.str, little.tobytes()
 
 
-def _frame(rows: list) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["volume_id", "z", "height", "width", "dtype", "pixels"])
+def _frame(rows: list, *more: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["volume_id", "z", "height", "width", "dtype", "pixels", *more])
+
+
+def _below(root: str, path: str = "path") -> Column:
+    """A file's path below ``root``, so that equal names in different folders stay apart."""
+    base = re.sub(r"^[a-z0-9]+:/*", "/", root).rstrip("/")
+    name = F.regexp_extract(path, re.escape(base) + "/(.*)$", 1)
+    return F.when(name == "", F.regexp_extract(path, r"([^/]+)$", 1)).otherwise(name)
 
 
 def _binary(spark: SparkSession, path: str, glob: str) -> DataFrame:
@@ -138,15 +159,19 @@ def _binary(spark: SparkSession, path: str, glob: str) -> DataFrame:
 
 
 def read_nifti(spark: SparkSession, path: str, glob: str = "*.nii*") -> DataFrame:
-    """Planes of every NIfTI file below ``path``; the volume id is the file name."""
+    """Planes of every NIfTI file below ``path``, all channels.
+
+    The volume id is the file's path below ``path`` without its suffix.
+    """
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["volume_id"], batch["content"]):
-                volume = nifti_volume(content)
-                for z, plane in enumerate(volume):
-                    yield _frame([_plane_row(name, z, plane)])
-    name = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.(nii|img)(\.gz)?$", "")
-    return _binary(spark, path, glob).select(name.alias("volume_id"), "content").mapInPandas(decode, PLANE)
+                for channel, volume in enumerate(nifti_volumes(content)):
+                    for z, plane in enumerate(volume):
+                        yield _frame([(*_plane_row(name, z, plane), channel)], "channel")
+    name = F.regexp_replace(_below(path), r"\.(nii|img)(\.gz)?$", "")
+    return (_binary(spark, path, glob).select(name.alias("volume_id"), "content")
+            .mapInPandas(decode, PLANE + ", channel int"))
 
 
 def read_geometry(spark: SparkSession, path: str, glob: str = "*.nii*") -> DataFrame:
@@ -155,10 +180,10 @@ def read_geometry(spark: SparkSession, path: str, glob: str = "*.nii*") -> DataF
         for batch in batches:
             found = [nifti_geometry(c) for c in batch["content"]]
             yield pd.DataFrame({"volume_id": batch["volume_id"], "size": [g[0] for g in found],
-                                "spacing": [g[1] for g in found]})
-    name = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.(nii|img)(\.gz)?$", "")
+                                "spacing": [g[1] for g in found], "channels": [g[2] for g in found]})
+    name = F.regexp_replace(_below(path), r"\.(nii|img)(\.gz)?$", "")
     return (_binary(spark, path, glob).select(name.alias("volume_id"), "content")
-            .mapInPandas(decode, "volume_id string, size array<int>, spacing array<double>"))
+            .mapInPandas(decode, "volume_id string, size array<int>, spacing array<double>, channels int"))
 
 
 def read_analyze(spark: SparkSession, path: str) -> DataFrame:
@@ -170,13 +195,14 @@ def read_analyze(spark: SparkSession, path: str) -> DataFrame:
                 head = bytearray(header[:348].ljust(352, b"\0"))
                 order = "<" if struct.unpack("<i", head[:4])[0] == 348 else ">"
                 struct.pack_into(order + "3f", head, 108, 352.0, 1.0, 0.0)
-                for z, plane in enumerate(nifti_volume(bytes(head) + content)):
-                    yield _frame([_plane_row(name, z, plane)])
+                for channel, volume in enumerate(nifti_volumes(bytes(head) + content)):
+                    for z, plane in enumerate(volume):
+                        yield _frame([(*_plane_row(name, z, plane), channel)], "channel")
     name = F.regexp_replace("path", r"\.(hdr|img)$", "")
     headers = _binary(spark, path, "*.hdr").select(name.alias("_p"), F.col("content").alias("header"))
     images = _binary(spark, path, "*.img").select(name.alias("_p"), "content")
-    both = images.join(headers, "_p").select(F.regexp_extract("_p", r"([^/]+)$", 1).alias("volume_id"), "header", "content")
-    return both.mapInPandas(decode, PLANE)
+    both = images.join(headers, "_p").select(_below(path, "_p").alias("volume_id"), "header", "content")
+    return both.mapInPandas(decode, PLANE + ", channel int")
 
 
 def _stack(spark: SparkSession, path: str, glob: str, pages) -> DataFrame:
@@ -185,11 +211,19 @@ def _stack(spark: SparkSession, path: str, glob: str, pages) -> DataFrame:
             for name, z, content in zip(batch["volume_id"], batch["z"], batch["content"]):
                 for page, plane in enumerate(pages(content)):
                     yield _frame([_plane_row(name, int(z) + page, plane)])
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "pages": [sum(1 for _ in pages(c)) for c in batch["content"]]})
+
     files = _binary(spark, path, glob)
-    folder = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
-    # the slice number is the position in the sorted file names of a folder
-    order = (files.select("path", folder.alias("volume_id"))
-             .withColumn("z", F.row_number().over(W.partitionBy("volume_id").orderBy("path")) - 1))
+    below = F.regexp_replace(_below(path), r"/?[^/]+$", "")
+    folder = F.when(below == "", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)).otherwise(below)
+    # a plane's number is the count of pages in the folder's earlier files, in the order of their names
+    order = (files.select("path", "content").mapInPandas(count, "path string, pages int")
+             .withColumn("volume_id", folder)
+             .withColumn("z", F.coalesce(F.sum("pages").over(
+                 W.partitionBy("volume_id").orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+             .drop("pages"))
     return files.select("path", "content").join(order, "path").select("volume_id", "z", "content").mapInPandas(decode, PLANE)
 
 
@@ -226,7 +260,9 @@ def _hidden_text(spark: SparkSession, path: str) -> str:
 
 
 def read_chunked_array(spark: SparkSession, path: str) -> DataFrame:
-    """Nonzero voxels of a zarr v2 directory array of shape [..., z, y, x].
+    """Nonzero voxels of a zarr v2 directory array of shape [..., z, y, x]; the volume id is the folder's name.
+
+    Chunks that are not stored hold the fill value.
 
     Every chunk file is decoded by the task that reads it; leading axes must be 1.
     """
@@ -237,37 +273,53 @@ def read_chunked_array(spark: SparkSession, path: str) -> DataFrame:
     if meta.get("order", "C") != "C" or any(s != 1 for s in shape[:-3]):
         raise ValueError("only C-ordered arrays with three long axes are supported")
     axes = len(shape)
+    fill = {"NaN": np.nan, "Infinity": np.inf, "-Infinity": -np.inf}.get(meta.get("fill_value"), meta.get("fill_value"))
+    volume = path.rstrip("/").rsplit("/", 1)[-1]
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for index, content in zip(batch["index"], batch["content"]):
                 place = np.array([int(i) for i in index[-3:]]) * np.array(chunk[-3:])
-                block = np.frombuffer(_unpack_chunk(content, codec), dtype).reshape(chunk).reshape(chunk[-3:])
+                block = (np.full(chunk[-3:], fill, dtype) if content is None else
+                         np.frombuffer(_unpack_chunk(content, codec), dtype).reshape(chunk).reshape(chunk[-3:]))
                 keep = np.array(shape[-3:]) - place
                 block = block[:keep[0], :keep[1], :keep[2]]
                 points = np.argwhere(block != 0)
                 yield pd.DataFrame({
-                    **{a: (points[:, i] + place[i]).astype(np.int32) for i, a in enumerate("zyx")},
+                    "volume_id": volume, **{a: (points[:, i] + place[i]).astype(np.int32) for i, a in enumerate("zyx")},
                     "value": block[tuple(points.T)].astype(np.float64)})
     pattern = r"((?:\d+" + ("/" if separator == "/" else r"\.") + r"){" + str(axes - 1) + r"}\d+)$"
     name = F.regexp_extract("path", pattern, 1)
     split = F.split(name, "/" if separator == "/" else r"\.")
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
              .select(name.alias("_n"), split.alias("index"), "content").where(F.col("_n") != ""))
-    return files.select("index", "content").mapInPandas(decode, "z int, y int, x int, value double")
+    stored = files.select("index", "content")
+    if fill:
+        counts = [-(-s // c) for s, c in zip(shape, chunk)]
+        index, rest = [], F.col("id")
+        for n in reversed(counts):
+            index.insert(0, (rest % n).cast("long").cast("string"))
+            rest = F.floor(rest / n)
+        every = spark.range(int(np.prod(counts))).select(F.array(*index).alias("index"))
+        stored = stored.unionByName(every.join(stored.select("index"), "index", "left_anti")
+                                    .withColumn("content", F.lit(None).cast("binary")))
+    return stored.mapInPandas(decode, VOXEL)
 
 
 def planes_to_voxels(planes: DataFrame, keep_zero: bool = False) -> DataFrame:
-    """Voxel rows of the planes, without zeros unless asked for."""
+    """Voxel rows of the planes (with their channel, if they have one), without zeros unless asked for."""
+    channel = "channel" in planes.columns
+
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 plane = np.frombuffer(row.pixels, row.dtype).reshape(row.height, row.width)
                 points = np.argwhere(np.ones_like(plane, bool) if keep_zero else plane != 0)
-                yield pd.DataFrame({"volume_id": row.volume_id, "z": np.int32(row.z),
+                more = {"channel": np.int32(row.channel)} if channel else {}
+                yield pd.DataFrame({"volume_id": row.volume_id, **more, "z": np.int32(row.z),
                                     "y": points[:, 0].astype(np.int32), "x": points[:, 1].astype(np.int32),
                                     "value": plane[tuple(points.T)].astype(np.float64)})
-    return planes.mapInPandas(spread, VOXEL)
+    return planes.mapInPandas(spread, VOXEL.replace(", z", ", channel int, z", 1) if channel else VOXEL)
 
 
 def scanner_orientation(voxels: DataFrame, depth: int, height: int) -> DataFrame:

@@ -77,8 +77,13 @@ def offset_array(offsets: Iterable[Sequence[int]]) -> Column:
 
 
 def linear_index(dims: Sequence[int], z: str = "z", y: str = "y", x: str = "x") -> Column:
-    """C-order position of a voxel in a volume of shape ``dims``."""
-    return (F.col(z).cast("long") * dims[1] + F.col(y)) * dims[2] + F.col(x)
+    """C-order position of a voxel in a volume of shape ``dims``; a voxel outside the shape is an error."""
+    inside = F.lit(True)
+    for axis, size in zip((z, y, x), dims):
+        inside = inside & F.col(axis).between(0, size - 1)
+    index = (F.col(z).cast("long") * dims[1] + F.col(y)) * dims[2] + F.col(x)
+    outside = F.raise_error(F.lit(f"a voxel lies outside the declared shape {tuple(dims)}")).cast("long")
+    return F.when(inside, index).otherwise(outside)
 
 
 def literal_map(mapping: dict) -> Column:
