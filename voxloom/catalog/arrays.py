@@ -82,7 +82,7 @@ SELECT volume_id, z, y, x, modality, ROUND((LEAST(GREATEST(value, p0_5), p99_5)
 def normalize_ct(spark, sf):
     rows = _modal(spark, sf)
     stats = fingerprint_table(rows, "volume_id", "modality", "value", "gt")
-    return intensity.normalize_ct(rows, stats, ["modality"], "value").drop("value", "gt")
+    return intensity.normalize_ct(rows, stats, ["modality"], "value", staged=True).drop("value", "gt")
 
 
 @query("normalize_ct2", f"""WITH {FG}, b AS (SELECT volume_id, z, y, x, modality, value, p0_5, p99_5 FROM modal JOIN st USING (modality)),
@@ -91,7 +91,7 @@ SELECT volume_id, z, y, x, modality, ROUND((LEAST(GREATEST(value, p0_5), p99_5)
 def normalize_ct2(spark, sf):
     rows = _modal(spark, sf)
     stats = fingerprint_table(rows, "volume_id", "modality", "value", "gt")
-    return intensity.normalize_ct2(rows, stats, ["modality"], ["volume_id", "modality"], "value").drop("value", "gt")
+    return intensity.normalize_ct2(rows, stats, ["modality"], ["volume_id", "modality"], "value", staged=True).drop("value", "gt")
 
 
 @query("normalize_z", f"""WITH {VOX}, s AS (SELECT volume_id, AVG(intensity) AS m, STDDEV_POP(intensity) AS s FROM vox WHERE pred > 0 GROUP BY 1)

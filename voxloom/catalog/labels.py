@@ -220,13 +220,16 @@ def class_slices(spark, sf):
     return quantify.class_slices(voxels(spark, sf), V, "gt")
 
 
-@query("class_sample")
+@query("class_sample", f"""WITH {VOX}, p AS (SELECT volume_id, z, y, x, gt, (z::BIGINT * 73856093 + y::BIGINT * 19349663 + x::BIGINT * 83492791 + 1234) % 2147483647 AS h FROM vox),
+k AS (SELECT *, (h * h % 2147483647 * 48271 + h) % 2147483647 AS k, COUNT(*) OVER (PARTITION BY volume_id, gt) AS n FROM p),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY volume_id, gt ORDER BY k, z, y, x) AS r FROM k)
+SELECT volume_id, z, y, x, gt FROM r WHERE r <= GREATEST(LEAST(10000, n), CEIL(n * 0.01))""")
 def class_sample(spark, sf):
-    return remap.sample_class_locations(voxels(spark, sf).select(*PLACE, "gt"), V, "gt", seed=1234, floor=100)
+    return remap.sample_class_locations(voxels(spark, sf).select(*PLACE, "gt"), V, "gt", seed=1234)
 
 
 @query("class_sample_sizes", f"""WITH {VOX}
-SELECT volume_id, gt, CAST(GREATEST(LEAST(100, COUNT(*)), CEIL(COUNT(*) * 0.01)) AS BIGINT) AS n FROM vox GROUP BY 1, 2""")
+SELECT volume_id, gt, CAST(GREATEST(LEAST(10000, COUNT(*)), CEIL(COUNT(*) * 0.01)) AS BIGINT) AS n FROM vox GROUP BY 1, 2""")
 def class_sample_sizes(spark, sf):
     return class_sample(spark, sf).groupBy("volume_id", "gt").agg(F.count("*").alias("n"))
 

@@ -73,19 +73,20 @@ def clip(value: Column, low: Column, high: Column) -> Column:
     return F.least(F.greatest(value, low), high)
 
 
-def normalize_ct(voxels: DataFrame, dataset_stats: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def normalize_ct(voxels: DataFrame, dataset_stats: DataFrame, keys: Sequence[str], value: str,
+                 staged: bool = False) -> DataFrame:
     """Clip to the dataset percentiles, then dataset mean and deviation; NULL where the dataset has none."""
     x = clip(F.col(value), F.col("p0_5"), F.col("p99_5"))
-    return (attach(voxels, dataset_stats.select(*keys, "p0_5", "p99_5", "mean", "sd"), keys, "left")
+    return (attach(voxels, dataset_stats.select(*keys, "p0_5", "p99_5", "mean", "sd"), keys, "left", staged)
             .withColumn("normalized", F.round(div0(x - F.col("mean"), F.col("sd")), 6))
             .drop("p0_5", "p99_5", "mean", "sd"))
 
 
 def normalize_ct2(voxels: DataFrame, bounds: DataFrame, bound_keys: Sequence[str], case_keys: Sequence[str],
-                  value: str) -> DataFrame:
+                  value: str, staged: bool = False) -> DataFrame:
     """Clip to the dataset percentiles, then the case's own mean and deviation
     over the values strictly between them."""
-    bounded = attach(voxels, bounds.select(*bound_keys, "p0_5", "p99_5"), bound_keys, "left")
+    bounded = attach(voxels, bounds.select(*bound_keys, "p0_5", "p99_5"), bound_keys, "left", staged)
     inner = F.when((F.col(value) > F.col("p0_5")) & (F.col(value) < F.col("p99_5")), F.col(value))
     stats = bounded.groupBy(*case_keys).agg(F.avg(inner).alias("_m"), F.stddev_pop(inner).alias("_s"))
     x = clip(F.col(value), F.col("p0_5"), F.col("p99_5"))

@@ -74,13 +74,19 @@ def sample_class_locations(voxels: DataFrame, keys: Sequence[str], label: str, s
                            floor: int = 10000, share: float = 0.01) -> DataFrame:
     """Seeded sample per class of max(min(floor, n), ceil(share n)) voxels.
 
-    A voxel is taken when its seeded hash is among the smallest. The hash range
+    A voxel is taken when its seeded key is among the smallest. The key is plain
+    arithmetic modulo 2**31 - 1 on the position. Its range
     is cut into buckets, only bucket counts are ranked, and the one bucket that
     straddles the quota is ordered, so no task holds a whole class.
     """
     group = [*keys, label]
-    hashed = (voxels.withColumn("_h", F.xxhash64(F.lit(seed), *group, "z", "y", "x"))
-              .withColumn("_b", F.shiftrightunsigned("_h", 64 - 16)))
+    prime = (1 << 31) - 1
+    place = (F.col("z").cast("long") * 73_856_093 + F.col("y").cast("long") * 19_349_663
+             + F.col("x").cast("long") * 83_492_791 + seed) % prime
+    # squaring breaks up the lattice of the linear part
+    hashed = (voxels.withColumn("_h", place)
+              .withColumn("_h", (F.col("_h") * F.col("_h") % prime * 48_271 + F.col("_h")) % prime)
+              .withColumn("_b", F.shiftright("_h", 15)))
     sizes = hashed.groupBy(*group, "_b").agg(F.count("*").alias("_c"))
     total = W.partitionBy(*group)
     before = total.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -77,17 +79,29 @@ def _series(df: DataFrame, run: Sequence[str], step: str, value: str) -> DataFra
     return df.groupBy(*run).agg(F.sort_array(F.collect_list(F.struct(F.col(step), F.col(value)))).alias("_s"))
 
 
+def _scan(curve: DataFrame, run: Sequence[str], step: str, value: str, made: str,
+          walk: Callable[[np.ndarray, np.ndarray], pd.DataFrame]) -> DataFrame:
+    """Walk each run's curve once in the order of its steps; a run holds one row per epoch or iteration."""
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([step, value], kind="stable")
+        out = walk(pdf[step].to_numpy(), pdf[value].to_numpy(dtype=float))
+        for k, name in enumerate(run):
+            out.insert(k, name, pdf[name].iloc[0])
+        return out
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in curve.select(*run).schema)
+    return curve.select(*run, step, F.col(value).cast("double").alias(value)).groupBy(*run).applyInPandas(
+        one, f"{keys}, {made}")
+
+
 def moving_average(curve: DataFrame, run: Sequence[str], step: str, value: str, alpha: float) -> DataFrame:
     """ma = alpha * ma + (1 - alpha) * new, starting at the first value."""
-    def push(state, item):
-        new = F.when(F.size(state) == 0, item[value]).otherwise(
-            F.element_at(state, -1)["ma"] * alpha + item[value] * (1 - alpha))
-        return F.concat(state, F.array(F.struct(item[step].alias("step"), new.alias("ma"))))
-    kinds = dict(curve.dtypes)
-    empty = F.expr(f"cast(array() as array<struct<step:{kinds[step]},ma:double>>)")
-    return (_series(curve, run, step, value)
-            .select(*run, F.explode(F.aggregate("_s", empty, push)).alias("p"))
-            .select(*run, F.col("p.step").alias(step), F.round("p.ma", 6).alias("ma")))
+    def walk(steps: np.ndarray, values: np.ndarray) -> pd.DataFrame:
+        out = values.copy()
+        for k in range(1, len(out)):
+            out[k] = out[k - 1] * alpha + values[k] * (1 - alpha)
+        return pd.DataFrame({step: steps, "ma": out})
+    kind = dict(curve.dtypes)[step]
+    return _scan(curve, run, step, value, f"`{step}` {kind}, ma double", walk).withColumn("ma", F.round("ma", 6))
 
 
 def corrected_average(curve: DataFrame, run: Sequence[str], step: str, value: str, beta: float = 0.98,
@@ -99,21 +113,18 @@ def corrected_average(curve: DataFrame, run: Sequence[str], step: str, value: st
     """
     grow = (lr1 / lr0) ** (1 / iterations)
 
-    def push(state, item):
-        n = state["n"] + 1
-        avg = state["avg"] * beta + (item[value] + 1) * (1 - beta)
-        smooth = avg / (1 - F.pow(F.lit(beta), n))
-        stop = state["stop"] | ((n > 1) & (smooth > state["best"] * 4))
-        best = F.when((n == 1) | (smooth < state["best"]), smooth).otherwise(state["best"])
-        log_lr = F.log10(F.lit(lr0) * F.pow(F.lit(grow), n - 1))
-        entry = F.struct(n.alias("step"), smooth.alias("smoothed"), log_lr.alias("log_lr"))
-        out = F.when(stop, state["out"]).otherwise(F.concat(state["out"], F.array(entry)))
-        return F.struct(n.alias("n"), avg.alias("avg"), best.alias("best"), stop.alias("stop"), out.alias("out"))
-    start = F.expr("named_struct('n', 0, 'avg', 0D, 'best', 0D, 'stop', false, 'out', "
-                   "cast(array() as array<struct<step:int,smoothed:double,log_lr:double>>))")
-    return (_series(curve, run, step, value)
-            .select(*run, F.explode(F.aggregate("_s", start, push, lambda s: s["out"])).alias("p"))
-            .select(*run, "p.step", F.round("p.smoothed", 6).alias("smoothed"), F.round("p.log_lr", 6).alias("log_lr")))
+    def walk(steps: np.ndarray, values: np.ndarray) -> pd.DataFrame:
+        average, best, found = 0.0, 0.0, []
+        for n, new in enumerate(values, 1):
+            average = average * beta + (new + 1) * (1 - beta)
+            smooth = average / (1 - beta ** n)
+            if n > 1 and smooth > best * 4:
+                break
+            best = smooth if n == 1 else min(best, smooth)
+            found.append((n, smooth, np.log10(lr0 * grow ** (n - 1))))
+        return pd.DataFrame(found, columns=["step", "smoothed", "log_lr"])
+    out = _scan(curve, run, step, value, "step int, smoothed double, log_lr double", walk)
+    return out.withColumns({"smoothed": F.round("smoothed", 6), "log_lr": F.round("log_lr", 6)})
 
 
 def patience(curve: DataFrame, run: Sequence[str], step: str, value: str, wait: int, eps: float,

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.operators.components import connected_components, label_points, star_roots
-from voxloom.support import ZYX, attach, full_offsets, materialize, spread
+from voxloom.support import ZYX, attach, full_offsets, materialize, spread, stage
 
 TILE = (64, 64, 64)
 TILE_COLUMNS = ("_tz", "_ty", "_tx")
@@ -371,10 +371,13 @@ def fill_holes(mask: DataFrame, keys: Sequence[str], dims: Sequence[int], tile:
     from voxloom.operators.components import touching_pairs
     roots = star_roots(touching_pairs(found, keys, 6, None, tile), keys)
     roots = roots.withColumnRenamed("node", "component")
-    tagged = (found.join(roots, [*keys, "component"], "left")
-              .withColumn("root", F.coalesce("root", "component")))
-    opened = tagged.groupBy(*keys, "root").agg(F.bool_or("open").alias("_open")).where("_open").drop("_open")
-    return tagged.join(opened, [*keys, "root"], "left_anti").select(*keys, *ZYX)
+    # verdicts on components, not voxels: the open outside of a volume is one row per tile component
+    parts = found.groupBy(*keys, "component").agg(F.bool_or("open").alias("open"))
+    parts = materialize(parts.join(roots, [*keys, "component"], "left")
+                        .withColumn("root", F.coalesce("root", "component")))
+    closed = parts.groupBy(*keys, "root").agg(F.bool_or("open").alias("_open")).where(~F.col("_open"))
+    closed = parts.join(closed.drop("_open"), [*keys, "root"], "left_semi").select(*keys, "component")
+    return attach(found, closed, [*keys, "component"], "left_semi").select(*keys, *ZYX)
 
 
 def growth_steps(spacing: Sequence[float], count: int, done: int = 0) -> list[Offsets]:
@@ -441,6 +444,7 @@ def grow_instances(cores: DataFrame, border: DataFrame, keys: Sequence[str], dim
         border.select(*columns).join(materialize(started), keys, "left_anti").withColumn(instance, F.lit(0).cast("long")))
     left = left.join(materialize(started), keys, "left_semi")
     done = 0
+    rounds: list[str] = []
     while True:
         steps = growth_steps(spacing, per_round, done)
         halo = tuple(int(r) for r in sum(reach_of(s) for s in steps))
@@ -450,11 +454,13 @@ def grow_instances(cores: DataFrame, border: DataFrame, keys: Sequence[str], dim
                              F.col("wanted").alias("piece"), F.lit(True).alias("asked"))
         grow = _instance_grower(keys, dims, tile, halo, steps)
         rows = spread(pieces.unionByName(asking), *keys, *TILE_COLUMNS)
-        out = materialize(rows.groupBy(*keys, *TILE_COLUMNS).applyInPandas(grow, schema))
-        result = result.unionByName(unpacked_voxels(out, keys, "answer", instance, dims, tile, np.int64))
+        rounds.append(stage(rows.groupBy(*keys, *TILE_COLUMNS).applyInPandas(grow, schema)))
+        out = cores.sparkSession.read.schema(schema).parquet(rounds[-1])
         waiting = materialize(out.groupBy(*keys).agg(F.sum("open").alias("_o")).where(F.col("_o") > 0).select(*keys))
         if waiting.isEmpty():
-            return result
+            # the answers of all rounds as one table: the plan does not grow with their number
+            answers = cores.sparkSession.read.schema(schema).parquet(*rounds)
+            return result.unionByName(unpacked_voxels(answers, keys, "answer", instance, dims, tile, np.int64))
         # only the cases that still wait go on
         state = attach(out.where("grown").select(*keys, *TILE_COLUMNS, "block"), waiting, keys, "left_semi")
         left = out.where(F.col("open") > 0).select(*keys, *TILE_COLUMNS, "wanted")

@@ -12,10 +12,12 @@ from voxloom.support import materialize
 
 
 def crop_and_normalize(voxels: DataFrame, keys: Sequence[str], value: str, seg: str, scheme: str,
-                       dataset_stats: DataFrame | None = None, modality: str = "modality") -> DataFrame:
+                       dataset_stats: DataFrame | None = None, modality: str = "modality",
+                       staged: bool = False) -> DataFrame:
     """Crop to the nonzero box, mark outside voxels and normalize by scheme.
 
-    The CT schemes take the pooled statistics of the voxel's modality.
+    The CT schemes take the pooled statistics of the voxel's modality (``staged``:
+    already a table of their own, as from ``fingerprint_table``).
     """
     boxes = masking.bounding_box(voxels, keys, F.col(value) != 0)
     cropped = masking.crop_to_box(voxels, boxes, keys)
@@ -24,8 +26,8 @@ def crop_and_normalize(voxels: DataFrame, keys: Sequence[str], value: str, seg:
         return cropped.withColumn("normalized", F.col(value).cast("double"))
     if scheme in ("CT", "CT2"):
         if scheme == "CT":
-            return intensity.normalize_ct(cropped, dataset_stats, [modality], value)
-        return intensity.normalize_ct2(cropped, dataset_stats, [modality], [*keys, modality], value)
+            return intensity.normalize_ct(cropped, dataset_stats, [modality], value, staged)
+        return intensity.normalize_ct2(cropped, dataset_stats, [modality], [*keys, modality], value, staged)
     return intensity.normalize_z(cropped, keys, value, F.col(seg) >= 0)
 
 

@@ -33,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def stage(df: DataFrame) -> str:
+    """Write ``df`` to a folder of its own below the shared one; returns that folder."""
+    path = os.path.join(shared_dir(df.sparkSession), "stage-" + uuid.uuid4().hex)
+    df.write.parquet(path)
+    _staged.append(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -40,11 +48,7 @@ def materialize(df: DataFrame) -> DataFrame:
     carries its real size, so Spark itself broadcasts it only when it is below
     ``spark.sql.autoBroadcastJoinThreshold`` and sort-merges it otherwise.
     """
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "stage-" + uuid.uuid4().hex)
-    df.write.parquet(path)
-    _staged.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(stage(df))
 
 
 def drop_staged(spark: SparkSession) -> int:
@@ -104,10 +108,11 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
-def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner",
+           staged: bool = False) -> DataFrame:
     """Join large ``rows`` with a one-row-per-case table without shuffling the rows.
 
-    The per-case table is staged first, so its measured size decides between a
+    The per-case table is staged first (unless it is ``staged`` already), so its measured size decides between a
     broadcast and a (skew-splitting) sort-merge join.
     """
-    return rows.join(materialize(stats), list(keys), how)
+    return rows.join(stats if staged else materialize(stats), list(keys), how)
