@@ -263,7 +263,8 @@ def join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, trees: i
     parts = groups.groupBy("group").agg(F.ceil(F.count("*") / cell).cast("int").alias("parts"))
     members = materialize(groups.join(parts, "group").join(classes, "uid").withColumn(
         "part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")))
-    members = members.withColumnRenamed("doc_id", "_id")
+    # the same plan at every size: texts are dealt out by id, never joined against a copied side
+    members = members.withColumnRenamed("doc_id", "_id").hint("merge")
     texts = docs.join(members, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "doc_id")
     cells = (texts.withColumn("c", F.explode(_cells(F.col("part"), F.col("parts"))))
              .select("group", "c.i", "c.j", "uid", "part", "copies", *key, "text"))
