@@ -59,11 +59,14 @@ def label_points(points: np.ndarray, codes: np.ndarray, connectivity: int) -> np
     return union_labels(len(points), left, right)
 
 
-def star_roots(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+def star_roots(edges: DataFrame, keys: Sequence[str], hubs: bool = False) -> DataFrame:
     """(keys, node, root) with the smallest reachable node, for nodes a <> b in ``edges``.
 
     Alternates large-star and small-star rounds; every round is written to the
     shared folder, so the plan stays short and lost executors cost one round.
+    With ``hubs`` the minima are staged before they are joined back: then both
+    sides of the join are plain shuffles and AQE can split a node with very
+    many neighbours, at the price of a job.
     """
     keys = list(keys)
 
@@ -73,6 +76,8 @@ def star_roots(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     def hook(df: DataFrame, large: bool) -> DataFrame:
         # df: directed (a, b); every neighbour beyond a moves to the smallest one
         low = df.groupBy(*keys, "a").agg(F.min("b").alias("_m")).withColumn("_m", F.least("a", "_m"))
+        if hubs:
+            low = materialize(low)
         joined = df.join(low, [*keys, "a"])
         moved = joined.where(F.col("b") > F.col("a") if large else F.col("b") != F.col("_m"))
         out = moved.select(*keys, F.col("b").alias("a"), F.col("_m").alias("b"))
