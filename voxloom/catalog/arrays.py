@@ -300,11 +300,13 @@ def softmax(spark, sf):
 
 
 @query("mirror_mean", f"""WITH {VOX}
-SELECT volume_id, z, y, x, ROUND(intensity + (x + (46 - x)) / 2 / 10.0::DOUBLE, 6) AS p FROM vox""")
+SELECT volume_id, z, y, x, ROUND(intensity + (x * x + (46 - x) * (46 - x)) / 200.0::DOUBLE + (y * y + (42 - y) * (42 - y)) / 100.0::DOUBLE
+  + (z * z + (40 - z) * (40 - z)) / 40.0::DOUBLE, 6) AS p FROM vox""")
 def mirror_mean(spark, sf):
-    # a predictor that depends on the column it sees, so that mirroring matters
+    # a predictor that is curved along every axis, so that each mirroring matters
     rows = voxels(spark, sf).select(*PLACE, F.col("intensity").cast("double").alias("p"))
-    out = tiles.mirrored_mean(rows, V, "p", LATTICE, lambda df: df.withColumn("p", F.col("p") + F.col("x") / F.lit(10.0)))
+    out = tiles.mirrored_mean(rows, V, "p", LATTICE, lambda df: df.withColumn(
+        "p", F.col("p") + sum(F.col(a) * F.col(a) / F.lit(d) for a, d in (("x", 100.0), ("y", 50.0), ("z", 20.0)))))
     return out.withColumn("p", F.round("p", 6))
 
 

@@ -332,6 +332,27 @@ def kfold_assign(spark, sf):
     return selection.kfold(table(spark, sf, "customer").select("c_custkey"), "c_custkey", 5)
 
 
+@query("fold_sets", """WITH k AS (SELECT c_custkey, NTILE(5) OVER (ORDER BY (c_custkey + 1) * 48271 % 2147483647, c_custkey) - 1 AS fold FROM customer),
+g AS (SELECT c_custkey, c_nationkey % 3 AS fold FROM customer),
+r AS (SELECT f.fold, c_custkey, ROW_NUMBER() OVER (PARTITION BY f.fold ORDER BY (c_custkey + f.fold + 1) * 48271 % 2147483647, c_custkey) - 1 AS r,
+  COUNT(*) OVER (PARTITION BY f.fold) AS n FROM customer CROSS JOIN (VALUES (7), (8)) f(fold))
+SELECT 'all' AS fold, c_custkey, role FROM customer CROSS JOIN (VALUES ('train'), ('val')) v(role)
+UNION ALL SELECT '2', c_custkey, CASE WHEN fold = 2 THEN 'val' ELSE 'train' END FROM k
+UNION ALL SELECT 'given 1', c_custkey, CASE WHEN fold = 1 THEN 'val' ELSE 'train' END FROM g
+UNION ALL SELECT CASE fold WHEN 7 THEN '7' ELSE 'given 8' END, c_custkey, CASE WHEN r < n * 8 // 10 THEN 'train' ELSE 'val' END FROM r""")
+def fold_sets(spark, sf):
+    cases = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    # a split table of three folds: validation by nation
+    given = cases.select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("fold"), "c_nationkey").select(
+        "fold", "c_custkey", F.when(F.col("c_nationkey") % 3 == F.col("fold"), "val").otherwise("train").alias("role"))
+    out = None
+    for name, fold, splits in (("all", "all", None), ("2", 2, None), ("given 1", 1, given), ("7", 7, None),
+                               ("given 8", 8, given)):
+        one = selection.fold_sets(cases, "c_custkey", fold, 5, splits).withColumn("fold", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("stratified_split", """WITH r AS (SELECT c_custkey, c_mktsegment,
   ROW_NUMBER() OVER (PARTITION BY c_mktsegment ORDER BY (c_custkey + 1) * 48271 % 2147483647, c_custkey) - 1 AS r,
   COUNT(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),

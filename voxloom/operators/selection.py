@@ -182,6 +182,31 @@ def kfold(cases: DataFrame, case: str, folds: int) -> DataFrame:
     return ranked.withColumn("fold", fold.cast("int")).drop("_g", "_k", "_rank", "_total")
 
 
+def fold_sets(cases: DataFrame, case: str, fold: int | str, folds: int = 5,
+              given: DataFrame | None = None) -> DataFrame:
+    """(case, role) of one fold, role being ``train`` or ``val``.
+
+    Fold ``all`` trains and validates on every case.  A ``given`` table (fold,
+    case, role) decides the folds it holds; without one, folds below ``folds``
+    come from ``kfold``.  Any other fold is a shuffle of its own, 80 : 20.
+    """
+    rows = cases.select(case)
+    if fold == "all":
+        return rows.withColumn("role", F.explode(F.array(F.lit("train"), F.lit("val"))))
+    if given is not None:
+        listed = given.where(F.col("fold") == fold).select(case, "role")
+        if not listed.isEmpty():
+            return listed
+    elif fold < folds:
+        role = F.when(F.col("fold") == fold, "val").otherwise("train")
+        return kfold(rows, case, folds).select(case, role.alias("role"))
+    key = shuffle_key(F.col(case) + F.lit(fold))
+    ranked = rank_in_buckets(rows.withColumns({"_g": F.lit(0), "_k": key}), ["_g"],
+                             [("_b", F.shiftright("_k", SHUFFLE_BITS))], ["_k", case], "_rank", "_total")
+    train = F.col("_rank") < F.floor(F.col("_total") * 8 / 10)
+    return ranked.select(case, F.when(train, "train").otherwise("val").alias("role"))
+
+
 def stratified_split(cases: DataFrame, case: str, stratum: str, strata: Sequence[str], share: float,
                      first_fold: int = 5) -> DataFrame:
     """Folds that train on one stratum each, then one that trains on all of them.
