@@ -7,7 +7,6 @@ is a projection plus, for interpolation, one aggregation.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -102,21 +101,21 @@ def resample_labels(voxels: DataFrame, keys: Sequence[str], label: str, old: Seq
     return cover.groupBy(*keys, *ZYX).agg(pick(label).alias(label))
 
 
-@functools.lru_cache(maxsize=16)
-def cubic_matrix(old: int, new: int, margin: int = 12) -> np.ndarray:
-    """Linear map (new x old) of cubic spline interpolation with repeated edges.
+def cubic_lines(lines: np.ndarray, new: int, margin: int = 12) -> np.ndarray:
+    """Cubic spline interpolation with repeated edges along the first axis of (old, m) values.
 
-    The line is padded, the spline coefficients come from the two-pass recursive
-    filter with mirrored ends, and the B-spline is evaluated at the new centres.
+    The lines are padded, the spline coefficients come from the two-pass
+    recursive filter with mirrored ends, and four B-spline taps are summed at
+    each new centre: time and memory grow with the length of the lines.
     """
+    old = len(lines)
     pole = np.sqrt(3.0) - 2.0
-    line = np.pad(np.eye(old), ((margin, margin), (0, 0)), mode="edge") * (1 - pole) * (1 - 1 / pole)
-    n = len(line)
-    coefficient = line.copy()
+    coefficient = np.pad(lines, ((margin, margin), (0, 0)), mode="edge") * (1 - pole) * (1 - 1 / pole)
+    n = len(coefficient)
     powers = pole ** np.arange(n)
     mirror = powers + np.where(np.arange(n) > 0, pole ** (2 * n - 2 - np.arange(n)), 0.0)
     mirror[-1] = pole ** (n - 1)
-    coefficient[0] = mirror @ line / (1 - pole ** (2 * n - 2))
+    coefficient[0] = mirror @ coefficient / (1 - pole ** (2 * n - 2))
     for i in range(1, n):
         coefficient[i] += pole * coefficient[i - 1]
     coefficient[-1] = pole / (pole * pole - 1) * (coefficient[-1] + pole * coefficient[-2])
@@ -124,7 +123,7 @@ def cubic_matrix(old: int, new: int, margin: int = 12) -> np.ndarray:
         coefficient[i] = pole * (coefficient[i + 1] - coefficient[i])
     at = (np.arange(new) + 0.5) * old / new - 0.5 + margin
     first = np.floor(at).astype(int) - 1
-    out = np.zeros((new, old))
+    out = np.zeros((new, lines.shape[1]))
     for k in range(4):
         d = np.abs(at - (first + k))
         weight = np.where(d < 1, 2 / 3 - d * d * (2 - d) / 2, np.maximum(2 - d, 0) ** 3 / 6)
@@ -136,7 +135,7 @@ def resample_cubic(voxels: DataFrame, keys: Sequence[str], value: str, old: Sequ
                    bundle: Sequence[int] = (8, 64)) -> DataFrame:
     """Cubic spline resampling, clipped to the value range of each case.
 
-    One pass per axis. A task multiplies a bundle of lines along that axis, at
+    One pass per axis. A task filters a bundle of lines along that axis, at
     most bundle[0] x bundle[1] of them; values below 1e-12 are dropped.
     """
     keys = list(keys)
@@ -163,7 +162,7 @@ def _line_resampler(keys, axis, rest, old, new, bundle):
         corner = [int(pdf[f"_b{i}"].iloc[0]) * bundle[i] for i in range(2)]
         grid = np.zeros((old, *bundle))
         grid[pdf[name], pdf[rest[0]] - corner[0], pdf[rest[1]] - corner[1]] = pdf["_v"]
-        done = (cubic_matrix(old, new) @ grid.reshape(old, -1)).reshape(new, *bundle)
+        done = cubic_lines(grid.reshape(old, -1), new).reshape(new, *bundle)
         points = np.argwhere(np.abs(done) > 1e-12)
         place = {name: points[:, 0], rest[0]: points[:, 1] + corner[0], rest[1]: points[:, 2] + corner[1]}
         out = {k: np.repeat(pdf[k].iloc[:1].to_numpy(), len(points)) for k in keys}
