@@ -243,3 +243,16 @@ def test_cubic_lines_stay_linear():
         peak.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert peak[1] < 2.5 * peak[0]
+
+
+def test_volumes_of_different_shapes(spark):
+    from voxloom.operators import geometry
+    rows = spark.createDataFrame([(1, 0, 0, 0), (2, 4, 0, 0)], "v int, z int, y int, x int")
+    shapes = spark.createDataFrame([(1, 2, 2, 2), (2, 5, 1, 1)], "v int, depth int, height int, width int")
+    halved = lambda part, s: resample.resample_nearest(part, s, ((s[0] + 1) // 2, s[1], s[2]))
+    got = geometry.per_shape(rows, shapes, ["v"], halved).collect()
+    assert sorted((r.v, r.z) for r in got) == [(1, 0), (2, 2)]
+    with pytest.raises(Exception, match="outside the shape"):
+        geometry.per_shape(rows, shapes.where("v = 1"), ["v"], halved).collect()
+    with pytest.raises(ValueError, match="more than 1 shapes"):
+        geometry.per_shape(rows, shapes, ["v"], halved, limit=1)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from voxloom.bindings import CELLS, LATTICE, PROB, VOX, probabilities, table, voxels
 from voxloom.catalog import query
-from voxloom.operators import intensity, masking, resample, tiles
+from voxloom.operators import geometry, intensity, masking, resample, tiles
+from voxloom.plans import export
 from voxloom.plans.preprocessing import fingerprint_table
 from voxloom.plans.quantification import nerve_quantification
 from voxloom.support import materialize
@@ -189,6 +190,76 @@ def avg_pool(spark, sf):
     return resample.average_pool(voxels(spark, sf), V, "gt", (2, 4, 4), LATTICE)
 
 
+# two class scores per voxel, on the resampling grid of the network, and where each case was cropped
+EXPORT = f"""{VOX}, {GRIDS}, scores AS (SELECT volume_id, z, y, x, gt AS class, intensity / 50.0::DOUBLE AS p FROM vox
+  UNION ALL SELECT volume_id, z, y, x, gt % 3, (50 - intensity) / 60.0::DOUBLE FROM vox WHERE intensity < 50),
+dense AS (SELECT volume_id, gz.i AS z, gy.i AS y, x, class, ROUND(SUM(p * (1 - ABS(gz.c - z)) * (1 - ABS(gy.c - y))), 9) AS p
+  FROM scores JOIN gz ON ABS(gz.c - z) < 1 JOIN gy ON ABS(gy.c - y) < 1 GROUP BY 1, 2, 3, 4, 5)"""
+
+
+def _scores_and_boxes(spark, sf):
+    vox = voxels(spark, sf).select(*PLACE, "gt", "intensity")
+    first = vox.select(*PLACE, F.col("gt").alias("class"), (F.col("intensity") / F.lit(50.0)).alias("p"))
+    second = vox.where(F.col("intensity") < 50).select(
+        *PLACE, (F.col("gt") % 3).alias("class"), ((50 - F.col("intensity")) / F.lit(60.0)).alias("p"))
+    boxes = vox.select("volume_id").distinct().select(
+        "volume_id", (F.col("volume_id") % 5).cast("int").alias("z0"), F.lit(2).alias("y0"), F.lit(1).alias("x0"))
+    return first.unionByName(second), boxes
+
+
+@query("segmentation_export", f"""WITH {EXPORT},
+best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY volume_id, z, y, x ORDER BY p DESC, class) AS r FROM dense)
+SELECT volume_id, CAST(z + volume_id % 5 AS INT) AS z, CAST(y + 2 AS INT) AS y, CAST(x + 1 AS INT) AS x, class AS label
+FROM best WHERE r = 1 AND class <> 0 AND NOT (class = 2 AND x < 20)""")
+def segmentation_export(spark, sf):
+    scores, boxes = _scores_and_boxes(spark, sf)
+    return export.export_segmentation(scores, V, LATTICE, RESAMPLED, boxes, postprocess=lambda labels: labels.where(
+        (F.col("label") != 2) | (F.col("x") >= 20)))
+
+
+@query("region_export", f"""WITH {EXPORT},
+painted AS (SELECT volume_id, z, y, x, COALESCE(MAX_BY(CASE class WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 7 END, CASE WHEN p > 0.5 THEN class END), 0) AS label
+  FROM dense GROUP BY 1, 2, 3, 4)
+SELECT volume_id, CAST(z + volume_id % 5 AS INT) AS z, CAST(y + 2 AS INT) AS y, CAST(x + 1 AS INT) AS x, label FROM painted WHERE label <> 0""")
+def region_export(spark, sf):
+    scores, boxes = _scores_and_boxes(spark, sf)
+    return export.export_segmentation(scores, V, LATTICE, RESAMPLED, boxes, regions=(1, 2, 4, 7))
+
+
+# volumes of different shapes: what lies outside a volume's own shape is cut off first
+SHAPES = """g AS (SELECT DISTINCT volume_id, CAST(41 - volume_id % 3 AS INT) AS d, CAST(43 - volume_id % 2 AS INT) AS h FROM vox),
+own AS (SELECT v.*, d, h FROM vox v JOIN g USING (volume_id) WHERE z < d AND y < h)"""
+
+
+def _shaped(spark, sf):
+    vox = voxels(spark, sf).select(*PLACE, "gt", "intensity")
+    depth, height = (41 - F.col("volume_id") % 3).cast("int"), (43 - F.col("volume_id") % 2).cast("int")
+    geometry = vox.select("volume_id").distinct().select(
+        "volume_id", depth.alias("depth"), height.alias("height"), F.lit(47).alias("width"))
+    return vox.where((F.col("z") < depth) & (F.col("y") < height)), geometry
+
+
+@query("resample_by_shape", f"""WITH {VOX}, {SHAPES},
+gz AS (SELECT volume_id, i, LEAST(GREATEST((i + 0.5) * (d / (d // 2)::DOUBLE) - 0.5, 0), d - 1) AS c FROM (SELECT *, UNNEST(range(d // 2)) AS i FROM g)),
+gy AS (SELECT volume_id, i, LEAST(GREATEST((i + 0.5) * (h / (2 * h)::DOUBLE) - 0.5, 0), h - 1) AS c FROM (SELECT *, UNNEST(range(2 * h)) AS i FROM g))
+SELECT o.volume_id, CAST(gz.i AS INT) AS z, CAST(gy.i AS INT) AS y, x, intensity FROM own o
+JOIN gz ON gz.volume_id = o.volume_id AND ROUND_EVEN(gz.c, 0) = z JOIN gy ON gy.volume_id = o.volume_id AND ROUND_EVEN(gy.c, 0) = y""")
+def resample_by_shape(spark, sf):
+    rows, shapes = _shaped(spark, sf)
+    return geometry.per_shape(rows.select(*PLACE, "intensity"), shapes, V, lambda part, s: resample.resample_nearest(
+        part, s, (s[0] // 2, 2 * s[1], s[2])))
+
+
+@query("pool_by_shape", f"""WITH {VOX}, {SHAPES},
+w AS (SELECT volume_id, d, h, CAST((z + 1) // 4 AS INT) AS z, CAST((y + 1) // 4 AS INT) AS y, CAST(x // 2 AS INT) AS x, gt, COUNT(*) AS n FROM own GROUP BY ALL)
+SELECT volume_id, z, y, x, gt, ROUND(n / CAST((LEAST(4 * z + 3, d) - GREATEST(4 * z - 1, 0)) * (LEAST(4 * y + 3, h) - GREATEST(4 * y - 1, 0))
+  * (LEAST(2 * x + 2, 47) - 2 * x) AS DOUBLE), 6) AS share FROM w WHERE z < (d + 2 - 4) // 4 + 1 AND y < (h + 2 - 4) // 4 + 1 AND x < (47 - 2) // 2 + 1""")
+def pool_by_shape(spark, sf):
+    rows, shapes = _shaped(spark, sf)
+    return geometry.per_shape(rows.select(*PLACE, "gt"), shapes, V, lambda part, s: resample.average_pool(
+        part, V, "gt", (4, 4, 2), s))
+
+
 @query("pad_shape", """SELECT p_partkey, CAST(CEIL(p_size / POW(2, p_partkey % 6)) * POW(2, p_partkey % 6) AS INT) AS padded,
 CAST(LENGTH(BIN((64 + p_partkey % 200) // 4)) - 1 AS INT) AS pools FROM part""")
 def pad_shape(spark, sf):
