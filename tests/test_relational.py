@@ -256,3 +256,10 @@ def test_volumes_of_different_shapes(spark):
         geometry.per_shape(rows, shapes.where("v = 1"), ["v"], halved).collect()
     with pytest.raises(ValueError, match="more than 1 shapes"):
         geometry.per_shape(rows, shapes, ["v"], halved, limit=1)
+
+
+def test_extra_references_are_only_reported(spark):
+    a, b = spark.createDataFrame([(1,), (2,)], "c int"), spark.createDataFrame([(2,)], "c int")
+    assert {(r.c, r.predicted) for r in evaluate.tolerant_pairs(b, a, "c").collect()} == {(1, False), (2, True)}
+    with pytest.raises(Exception, match="no reference for case 1"):
+        evaluate.tolerant_pairs(a, b, "c").collect()

@@ -195,6 +195,12 @@ def unmatched_cases(spark, sf):
                                     orders.where(F.col("o_orderstatus") == "O"), "case_id")
 
 
+@query("tolerant_pairs", """SELECT DISTINCT o_custkey AS case_id, o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AS predicted FROM orders""")
+def tolerant_pairs(spark, sf):
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("case_id"), "o_orderstatus")
+    return evaluate.tolerant_pairs(orders.where(F.col("o_orderstatus") == "F"), orders, "case_id")
+
+
 THRESHOLDS = (0, 10, 50, 100, 200, 500, 750, 1000, 1250, 1300, 1500, 2500, 10000)
 
 

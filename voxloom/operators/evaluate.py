@@ -156,6 +156,18 @@ def unmatched_cases(test: DataFrame, reference: DataFrame, case: str) -> DataFra
             .unionByName(b.join(a, case, "left_anti").withColumn("missing_in", F.lit("test"))))
 
 
+def tolerant_pairs(test: DataFrame, reference: DataFrame, case: str) -> DataFrame:
+    """Every reference case with ``predicted``: whether the test set holds it.
+
+    A test case without a reference is an error; an extra reference case is only
+    reported.
+    """
+    joined = (test.select(case).distinct().withColumn("_t", F.lit(True))
+              .join(reference.select(case).distinct().withColumn("_r", F.lit(True)), case, "full"))
+    alone = F.raise_error(F.concat(F.lit("no reference for case "), F.col(case).cast("string"))).cast("boolean")
+    return joined.select(case, F.when(F.col("_r").isNull(), alone).otherwise(F.col("_t").isNotNull()).alias("predicted"))
+
+
 def threshold_scores(pairs: DataFrame, keys: Sequence[str], code: int, thresholds: Sequence[int]) -> DataFrame:
     """Dice of one class per case and threshold, the class being emptied when
     it holds fewer voxels than the threshold."""
