@@ -8,6 +8,7 @@ from voxloom.bindings import CELLS, LATTICE, VOX, voxels
 from voxloom.catalog import query
 from voxloom.catalog.spatial import component_sql
 from voxloom.operators import evaluate, stencil, surface
+from voxloom.plans import preprocessing
 from voxloom.support import full_offsets, materialize
 
 V = ["volume_id"]
@@ -112,6 +113,57 @@ def fill_holes_tiled(spark, sf):
     return stencil.fill_holes(_complement(voxels(spark, sf).select(*PLACE)), V, LATTICE, tile=(32, 32, 32))
 
 
+# two modalities that cover different blocks, so that the mask needs both
+CASES = f"""{VOX},
+img AS (SELECT volume_id, CAST(z // 3 AS INT) AS z, CAST(y // 3 AS INT) AS y, CAST(x // 3 AS INT) AS x, CASE WHEN gt = 1 THEN 0 ELSE 1 END AS modality,
+  MAX(intensity) AS value FROM vox GROUP BY ALL),
+seg AS (SELECT volume_id, CAST(z // 3 AS INT) AS z, CAST(y // 3 AS INT) AS y, CAST(x // 3 AS INT) AS x, MAX(gt) AS label FROM vox WHERE intensity > 25 GROUP BY ALL),
+mask AS (SELECT DISTINCT volume_id, z, y, x FROM img WHERE value <> 0),
+free AS (SELECT v.volume_id, z, y, x FROM (SELECT DISTINCT volume_id FROM mask) v, range(14) a(z), range(15) b(y), range(16) c(x)
+  EXCEPT SELECT * FROM mask),
+outside AS (SELECT volume_id, z, y, x FROM free WHERE z IN (0, 13) OR y IN (0, 14) OR x IN (0, 15)
+  UNION SELECT f.volume_id, f.z, f.y, f.x FROM outside o JOIN free f ON f.volume_id = o.volume_id AND ABS(f.z - o.z) + ABS(f.y - o.y) + ABS(f.x - o.x) = 1),
+whole AS (SELECT * FROM mask UNION ALL (SELECT * FROM free EXCEPT SELECT * FROM outside)),
+box AS (SELECT volume_id, MIN(z) AS z0, MAX(z) AS z1, MIN(y) AS y0, MAX(y) AS y1, MIN(x) AS x0, MAX(x) AS x1 FROM whole GROUP BY 1),
+cell AS (SELECT volume_id, z, y, x, z0, y0, x0 FROM box, range(14) a(z), range(15) b(y), range(16) c(x)
+  WHERE z BETWEEN z0 AND z1 AND y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1),
+dense AS (SELECT c.*, m.modality, COALESCE(i.value, 0)::DOUBLE AS v,
+    CASE WHEN COALESCE(s.label, 0) = 0 AND w.volume_id IS NULL THEN -1 ELSE COALESCE(s.label, 0) END AS label
+  FROM cell c CROSS JOIN (VALUES (0), (1)) m(modality)
+  LEFT JOIN img i ON i.volume_id = c.volume_id AND i.z = c.z AND i.y = c.y AND i.x = c.x AND i.modality = m.modality
+  LEFT JOIN seg s ON s.volume_id = c.volume_id AND s.z = c.z AND s.y = c.y AND s.x = c.x
+  LEFT JOIN whole w ON w.volume_id = c.volume_id AND w.z = c.z AND w.y = c.y AND w.x = c.x)"""
+
+
+def _cases(spark, sf):
+    vox = voxels(spark, sf)
+    block = [F.expr(f"{a} div 3").cast("int").alias(a) for a in "zyx"]
+    channel = F.when(F.col("gt") == 1, 0).otherwise(1).alias("modality")
+    images = vox.groupBy("volume_id", *block, channel).agg(F.max("intensity").alias("value"))
+    seg = vox.where(F.col("intensity") > 25).groupBy("volume_id", *block).agg(F.max("gt").alias("label"))
+    return images, seg
+
+
+@query("preprocess_cases", f"""WITH RECURSIVE {CASES},
+own AS (SELECT volume_id, modality, AVG(v) AS m, STDDEV_POP(v) AS s FROM dense WHERE label >= 0 GROUP BY 1, 2)
+SELECT d.volume_id, CAST(z - z0 AS INT) AS z, CAST(y - y0 AS INT) AS y, CAST(x - x0 AS INT) AS x, d.modality, label,
+  ROUND(CASE WHEN label < 0 THEN 0 WHEN d.modality = 0 THEN (v - m) / (s + 1e-8) ELSE (LEAST(GREATEST(v, 5), 45) - 20) / 8 END, 6) AS normalized
+FROM dense d JOIN own USING (volume_id, modality)""")
+def preprocess_cases(spark, sf):
+    images, seg = _cases(spark, sf)
+    stats = spark.createDataFrame([(1, 5.0, 45.0, 20.0, 8.0)], "modality int, p0_5 double, p99_5 double, mean double, sd double")
+    return preprocessing.preprocess_cases(images, seg, V, (14, 15, 16), {0: "nonCT", 1: "CT"}, stats, use_mask=True)
+
+
+@query("preprocess_unmasked", f"""WITH RECURSIVE {CASES},
+own AS (SELECT volume_id, modality, AVG(v) AS m, STDDEV_POP(v) AS s FROM dense GROUP BY 1, 2)
+SELECT d.volume_id, CAST(z - z0 AS INT) AS z, CAST(y - y0 AS INT) AS y, CAST(x - x0 AS INT) AS x, d.modality, label,
+  ROUND(CASE WHEN d.modality = 0 THEN (v - m) / (s + 1e-8) ELSE v END, 6) AS normalized FROM dense d JOIN own USING (volume_id, modality)""")
+def preprocess_unmasked(spark, sf):
+    images, seg = _cases(spark, sf)
+    return preprocessing.preprocess_cases(images, seg, V, (14, 15, 16), {0: "nonCT", 1: "noNorm"})
+
+
 CORE = f"""{component_sql('core', 'vox', 26, where='pred = 1')},
 pairs AS (SELECT b.volume_id, b.z, b.y, b.x, c.component, ABS(b.z - c.z) + ABS(b.y - c.y) + ABS(b.x - c.x) AS d
   FROM vox b JOIN core c ON c.volume_id = b.volume_id WHERE b.pred = 2)"""
