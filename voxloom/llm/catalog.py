@@ -40,7 +40,24 @@ def op1(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-@query("op2_ngram_forest")
+@query("op2_ngram_forest", f"""
+WITH RECURSIVE {WORDS_SQL},
+grams AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(
+    CASE WHEN len(words) >= 5 THEN list_transform(range(len(words) - 4), lambda i: array_to_string(words[i + 1:i + 5], ' '))
+         WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS g FROM words)),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+           GROUP BY ALL),
+links AS (SELECT a, b, x.k <> y.k AS other, y.k FROM shared JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+          WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+lowest AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n, count(DISTINCT CASE WHEN other THEN k END) AS t,
+                  count(CASE WHEN NOT other THEN 1 END) + 1 AS copies FROM links GROUP BY a)
+SELECT w.doc_id, least(w.doc_id, coalesce(l.b, w.doc_id)) AS class_id, coalesce(c.n, 0)::BIGINT AS n_links,
+       coalesce(c.t, 0)::BIGINT AS n_text_links, coalesce(c.copies, 1)::BIGINT AS copies
+FROM words w LEFT JOIN lowest l ON l.a = w.doc_id LEFT JOIN counts c ON c.a = w.doc_id
+""")
 def op2(spark, sf_dir):
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
