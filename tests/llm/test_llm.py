@@ -244,6 +244,7 @@ def test_quality_of_odd_rows(odd, none, spark):
     ("<article><p>a < b &lt;c&gt; &#233;&#x1F600;<!-- no --><script>var x='</p>';</script><style>p{}</style>z",
      "a < b <c> é😀z"),
     ("<article><p>cut off <b", "cut off"), ("<p>x<aside>side</aside>y<form>f</form>", "x y"),
+    ("<nav><ul><li>menu<article><p>story</p></article><nav>more</nav>", "story"),
     ("<article><p title='a > b'>q</p><p hidden>secret</p></article>", "q"),
 ])
 def test_main_text(page, text):

@@ -65,8 +65,22 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
     return "hidden" in attributes.lower().split()
 
 
-def lines_of(page: str) -> Iterator[Line]:
-    """The lines that are left of a page; white space is not yet reduced, references not yet decoded."""
+def lines_of(page: str) -> list[Line]:
+    """The lines that are left of a page, references decoded and white space reduced.
+
+    An element that is never closed would swallow the rest of the page: elements
+    of its name are then kept.
+    """
+    kept: set[str] = set()
+    while True:
+        open_names: list[str] = []
+        lines = list(_walk(page, kept, open_names))
+        if not open_names:
+            return lines
+        kept.update(open_names)
+
+
+def _walk(page: str, kept: set[str], open_names: list[str]) -> Iterator[Line]:
     at = 0
     parts: list[str] = []
     linked = [0]
@@ -107,7 +121,7 @@ def lines_of(page: str) -> Iterator[Line]:
             continue
         if tag in _BLOCK:
             yield from flush()
-        if not closing and tag not in _VOID and _dropped(tag, token["attributes"], depth["article"] > 0):
+        if not closing and tag not in _VOID and tag not in kept and _dropped(tag, token["attributes"], depth["article"] > 0):
             yield from flush()
             if has_end(tag, at):
                 skipped.append((tag, 1))
@@ -116,6 +130,7 @@ def lines_of(page: str) -> Iterator[Line]:
             depth["article"] = max(0, depth["article"] + (-1 if closing else 1))
         elif tag == "a":
             depth["link"] = max(0, depth["link"] + (-1 if closing else 1))
+    open_names += [name for name, _ in skipped]
     if at < len(page) and not skipped:
         parts.append(page[at:])
     yield from flush()
@@ -151,7 +166,7 @@ def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> l
 
 
 def main_text(page: str | None) -> str:
-    return " ".join(line.text for line in main_lines(list(lines_of(page or ""))))
+    return " ".join(line.text for line in main_lines(lines_of(page or "")))
 
 
 def extract(pages: DataFrame) -> DataFrame:
