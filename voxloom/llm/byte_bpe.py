@@ -12,6 +12,7 @@ import base64
 import math
 import zlib
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from voxloom.llm.words import pack_arrays, text_batches, unpack_arrays
 
 #: Pre-tokens of a chunk, and text bytes for each bucket of distinct pre-tokens.
-CHUNK_TOKENS, BUCKET_BYTES = 1_500_000, 12 << 20
+CHUNK_TOKENS, BUCKET_BYTES = 1_000_000, 12 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -227,15 +228,16 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
     def run(batches):
         table = _token_bytes(ranks_path)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids))
-            rows = [None if row is None else b"".join([table[i] for i in row.tolist()])
-                    for row in (_values(column, k) for k in range(len(column)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())],
-                                             names=[*batch.schema.names, "bytes"])
+            for at in range(0, batch.num_rows, 500):    # few rows at a time: their bytes are held twice
+                part = batch.slice(at, 500)
+                rows = [None if row is None else b"".join([table[i] for i in row.tolist()])
+                        for row in _values(part.column(part.schema.get_field_index(ids)))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.binary())],
+                                                 names=[*part.schema.names, "bytes"])
 
     return encoded.mapInArrow(run, ", ".join([*fields, "bytes binary"]))
 
 
-def _values(column: pa.ListArray, k: int) -> np.ndarray | None:
-    scalar = column[k]
-    return scalar.values.to_numpy(zero_copy_only=False) if scalar.is_valid else None
+def _values(column: pa.ListArray) -> Iterator[np.ndarray | None]:
+    for scalar in column:
+        yield scalar.values.to_numpy(zero_copy_only=False) if scalar.is_valid else None
