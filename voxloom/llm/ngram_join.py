@@ -161,7 +161,7 @@ def candidate_groups(sketches: DataFrame, classes: DataFrame, least: float, node
                       .alias("group")))
     signed = placed.join(sketches.select("uid", "signature"), "uid")
     edges = signed.groupBy("group", "i", "j").applyInArrow(_tie_node(least), "a long, b long")
-    return star_roots(materialize(edges), [])
+    return star_roots(materialize(edges), [], hubs=True)
 
 
 def _verify(n: int, threshold: float):
@@ -271,7 +271,7 @@ def join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, trees: i
     found = materialize(cells.groupBy("group", "i", "j").applyInArrow(
         _verify(n, threshold), "uid long, root long, links long, texts long"))
     counts = found.groupBy("uid").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
-    roots = star_roots(found.where("uid <> root").select(F.col("uid").alias("a"), F.col("root").alias("b")), [])
+    roots = star_roots(found.where("uid <> root").select(F.col("uid").alias("a"), F.col("root").alias("b")), [], hubs=True)
     roots = roots.select(F.col("node").alias("uid"), "root")
     linked = (classes.join(counts, "uid", "left").join(roots, "uid", "left")
               .withColumn("root", F.coalesce("root", "uid")))
