@@ -83,6 +83,17 @@ def test_repeats_in_spans_and_untouched_texts(odd, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_rows_that_share_an_id_lose_only_their_own_repeats(spark):
+    a, b, c, d = (" ".join(f"{s}{k}" for k in range(60)) for s in "abcd")
+    rows = [(7, a), (7, a), (8, b), (8, c + " " + b), (8, d), (None, d), (None, d), (None, c), (9, a), (9, b + " " + d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substring_dedup.remove_repeats(docs, 20, bucket_windows=50, group_bytes=500)
+    texts = {(None, d): d, (None, c): c, (7, a): a, (8, b): b, (8, c + " " + b): "", (8, d): "", (9, a): "",
+             (9, b + " " + d): ""}
+    expected = sorted((str(i), texts[i, t], len(split(t))) for i, t in rows)
+    assert sorted((str(r.doc_id), r.text, r.n_words) for r in got.collect()) == expected
+
+
 # n-gram join
 
 def grams(text, n=5):

@@ -20,23 +20,57 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from voxloom.llm.words import (WINDOW_BASES, U64, Words, first_of_equal, mix, pack_arrays, text_batches,
+from voxloom.llm.words import (WINDOW_BASES, U64, Words, encode_text, first_of_equal, mix, pack_arrays, text_batches,
                                unpack_arrays)
 
 #: Words of windows per chunk of a task, windows per bucket and text bytes per group of documents.
 CHUNK_WORDS, BUCKET_WINDOWS, GROUP_BYTES = 1_000_000, 500_000, 6 << 20
+#: Bits of the table of ids that several rows have.
+SHARED_BITS = 1 << 20
 _PACKED = "key int, windows binary, repeats binary"
 _INT64 = np.iinfo(np.int64)
 
 
-def _group_of(ids: np.ndarray, groups: int) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(U64)) % U64(groups)).astype(np.int64)
+def _group_of(ids: np.ndarray, rows: np.ndarray, groups: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(U64) ^ mix(rows.astype(np.int64).view(U64))) % U64(groups)).astype(np.int64)
 
 
 def _ids(column: pa.Array) -> np.ndarray:
     return np.asarray(column.cast(pa.int64()).fill_null(_INT64.min), dtype=np.int64)
 
 
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.view(U64)) % U64(SHARED_BITS)).astype(np.int64)
+
+
+def _shared_ids(docs: DataFrame) -> np.ndarray:
+    """Packed bits by slot: set for every id that several rows have (and for the few others of its slot)."""
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slots(_ids(batch.column(0)))))], names=["slot"])
+
+    ids = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    bits = np.zeros(SHARED_BITS, dtype=bool)
+    bits[[r.slot for r in ids.mapInArrow(run, "slot long").distinct().collect()]] = True
+    return np.packbits(bits)
+
+
+def _rows_of(ids: np.ndarray, texts: list[str | None], shared: np.ndarray) -> np.ndarray:
+    """What tells rows under one id apart: 64 bits of the text, or 0 where no other row has the id."""
+    out = np.zeros(len(ids), dtype=np.int64)
+    slots = _slots(ids)
+    for k in np.flatnonzero(shared[slots >> 3] >> (7 - (slots & 7)) & 1):
+        digest = hashlib.blake2b(encode_text(texts[k]), digest_size=8).digest()
+        out[k] = int.from_bytes(digest, "little", signed=True)
+    return out
+
+
+def _later(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Windows that an equal one precedes: a smaller id, or the same id and a smaller start."""
+    at, first = first_of_equal(hashes, docs, starts)
+    return at[(docs[at] != docs[first]) | (starts[at] != starts[first])]
+
+
 def _by_key(key: np.ndarray, n: int, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     order = np.argsort(key, kind="stable")
     bounds = np.searchsorted(key[order], np.arange(n + 1))
@@ -49,32 +83,39 @@ def _delta(a: np.ndarray) -> np.ndarray:
     return np.diff(a, prepend=a.dtype.type(0))
 
 
-def _repeat_payload(docs: np.ndarray, starts: np.ndarray) -> bytes:
-    order = np.lexsort((starts, docs))
-    return pack_arrays(_delta(docs[order]), _delta(starts[order].astype(np.int32)))
+def _repeat_payload(docs: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> bytes:
+    order = np.lexsort((starts, rows, docs))
+    return pack_arrays(_delta(docs[order]), _delta(rows[order]), _delta(starts[order].astype(np.int32)))
 
 
-def _read_repeats(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    docs, starts = unpack_arrays(blob)
-    return np.cumsum(docs), np.cumsum(starts, dtype=np.int64)
+def _read_repeats(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    docs, rows, starts = unpack_arrays(blob)
+    return np.cumsum(docs), np.cumsum(rows), np.cumsum(starts, dtype=np.int64)
 
 
-def _window_rows(width: int, buckets: int, groups: int):
+def _window_rows(width: int, buckets: int, groups: int, shared: np.ndarray):
     schema = pa.schema([("key", pa.int32()), ("windows", pa.binary()), ("repeats", pa.binary())])
 
-    def chunk_rows(hashes, seconds, docs, starts):
+    def chunk_rows(hashes, seconds, docs, owners, starts):
         keep = np.ones(len(hashes), dtype=bool)
-        at, first = first_of_equal(hashes, docs, starts)
-        later = at[at != first]
+        later = _later(hashes, docs, starts)
         keep[later] = False
+        # equal rows under one id share their answer: one of them asks
+        twins = np.flatnonzero(keep & (owners != 0))
+        if len(twins):
+            by = twins[np.lexsort((starts[twins], owners[twins], docs[twins], hashes[twins]))]
+            a, b = by[1:], by[:-1]
+            keep[a[(hashes[a] == hashes[b]) & (docs[a] == docs[b]) & (owners[a] == owners[b])
+                   & (starts[a] == starts[b])]] = False
         rows = []
         bucket = (seconds[keep] >> U64(16)) % U64(buckets)
-        for k, (h, d, s) in _by_key(bucket.astype(np.int64), buckets, hashes[keep], docs[keep], starts[keep]):
-            rows.append((k, pack_arrays(h, _delta(d), _delta(s)), None))
+        for k, (h, d, o, s) in _by_key(bucket.astype(np.int64), buckets, hashes[keep], docs[keep], owners[keep],
+                                       starts[keep]):
+            rows.append((k, pack_arrays(h, _delta(d), _delta(o), _delta(s)), None))
         if len(later):
-            home = _group_of(docs[later], groups)
-            for k, (d, s) in _by_key(home, groups, docs[later], starts[later]):
-                rows.append((k % buckets, None, _repeat_payload(d, s)))
+            home = _group_of(docs[later], owners[later], groups)
+            for k, (d, o, s) in _by_key(home, groups, docs[later], owners[later], starts[later]):
+                rows.append((k % buckets, None, _repeat_payload(d, o, s)))
         return pa.RecordBatch.from_arrays(
             [pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else None
 
@@ -85,7 +126,8 @@ def _window_rows(width: int, buckets: int, groups: int):
             hashes, owner, start = words.windows(width)
             seconds = words.windows(width, WINDOW_BASES[1])[0]
             ids = _ids(batch.column(0))
-            held.append((hashes, seconds, ids[owner], start.astype(np.int32)))
+            rows = _rows_of(ids, texts, shared)
+            held.append((hashes, seconds, ids[owner], rows[owner], start.astype(np.int32)))
             size += len(hashes)
             if size >= CHUNK_WORDS:
                 out = chunk_rows(*map(np.concatenate, zip(*held)))
@@ -104,40 +146,33 @@ def _settle(groups: int):
     schema = pa.schema([("key", pa.int32()), ("windows", pa.binary()), ("repeats", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
-        docs, starts, hashes = [], [], []
-        found_docs, found_starts = [], []
+        held, found = [], []
         for windows, repeats in zip(table.column("windows").to_pylist(), table.column("repeats").to_pylist()):
             if windows is not None:
-                h, d, s = unpack_arrays(windows)
-                hashes.append(h)
-                docs.append(np.cumsum(d))
-                starts.append(np.cumsum(s, dtype=np.int64))
+                h, d, o, s = unpack_arrays(windows)
+                held.append((h, np.cumsum(d), np.cumsum(o), np.cumsum(s, dtype=np.int64)))
             else:
-                d, s = _read_repeats(repeats)
-                found_docs.append(d)
-                found_starts.append(s)
-        if hashes:
-            h, d, s = map(np.concatenate, (hashes, docs, starts))
-            at, first = first_of_equal(h, d, s)
-            later = at[at != first]
-            found_docs.append(d[later])
-            found_starts.append(s[later])
-        d, s = np.concatenate(found_docs), np.concatenate(found_starts)
-        rows = [(k, None, _repeat_payload(a, b)) for k, (a, b) in _by_key(_group_of(d, groups), groups, d, s)]
+                found.append(_read_repeats(repeats))
+        if held:
+            h, d, o, s = map(np.concatenate, zip(*held))
+            later = _later(h, d, s)
+            found.append((d[later], o[later], s[later]))
+        d, o, s = map(np.concatenate, zip(*found))
+        rows = [(k, None, _repeat_payload(*part)) for k, part in _by_key(_group_of(d, o, groups), groups, d, o, s)]
         return pa.table([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(schema)], schema=schema)
 
     return run
 
 
-def _pack_documents(groups: int):
+def _pack_documents(groups: int, shared: np.ndarray):
     """Rows of documents as compressed Arrow streams, one for each group in a batch."""
     out_schema = pa.schema([("key", pa.int32()), ("rows", pa.binary())])
 
     def run(batches):
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
-        for batch, _ in text_batches(batches, "text", 8 << 20):
-            at = batch.schema.get_field_index("doc_id")
-            home = _group_of(_ids(batch.column(at)), groups)
+        for batch, texts in text_batches(batches, "text", 8 << 20):
+            ids = _ids(batch.column(batch.schema.get_field_index("doc_id")))
+            home = _group_of(ids, _rows_of(ids, texts, shared), groups)
             keys, blobs = [], []
             for k, (index,) in _by_key(home, groups, np.arange(batch.num_rows)):
                 sink = pa.BufferOutputStream()
@@ -158,26 +193,29 @@ def _cover(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
     return [(int(p[0]), int(p[-1]) + width) for p in np.split(starts, cut)]
 
 
-def _rewrite(width: int, out_fields: list[pa.Field], names: list[str]):
+def _rewrite(width: int, shared: np.ndarray, out_fields: list[pa.Field], names: list[str]):
     def run(rows: pa.Table, repeats: pa.Table) -> pa.Table:
         parts = []
         for blob in repeats.column("repeats").to_pylist() if repeats.num_rows else []:
             parts.append(_read_repeats(blob))
         if parts:
-            docs, starts = map(np.concatenate, zip(*parts))
-            order = np.lexsort((starts, docs))
-            docs, starts = docs[order], starts[order]
+            docs, owners, starts = map(np.concatenate, zip(*parts))
+            order = np.lexsort((starts, owners, docs))
+            docs, owners, starts = docs[order], owners[order], starts[order]
         else:
-            docs = starts = np.zeros(0, dtype=np.int64)
+            docs = owners = starts = np.zeros(0, dtype=np.int64)
+        edges = np.flatnonzero((np.diff(docs) != 0) | (np.diff(owners) != 0)) + 1
+        edges = [0, *edges.tolist(), len(docs)] if len(docs) else [0]
+        found = {(int(docs[a]), int(owners[a])): starts[a:b] for a, b in zip(edges, edges[1:])}
         tables = []
         for blob in rows.column("rows").to_pylist():
             table = pa.ipc.open_stream(blob).read_all()
             ids = _ids(table.column("doc_id").combine_chunks())
-            low, high = np.searchsorted(docs, ids), np.searchsorted(docs, ids, side="right")
+            texts = table.column("text").to_pylist()
             new, n_words, n_removed, digest, spans = [], [], [], [], []
-            for text, a, b in zip(table.column("text").to_pylist(), low, high):
+            for text, key in zip(texts, zip(ids.tolist(), _rows_of(ids, texts, shared).tolist())):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
-                cover = _cover(np.unique(starts[a:b]), width) if b > a else []
+                cover = _cover(np.unique(found[key]), width) if key in found else []
                 kept, at = [], 0
                 for x, y in cover:
                     kept += words[at:x]
@@ -202,7 +240,8 @@ def remove_repeats(docs: DataFrame, width: int = 20, bucket_windows: int = BUCKE
                    group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Drop every word covered by a window of ``width`` words that also starts earlier.
 
-    Earlier means a smaller doc_id, or the same document and a smaller start.
+    Earlier means a smaller doc_id, or the same doc_id and a smaller start; an
+    equal start under the same id is not earlier.
     Returns all columns of ``docs`` with ``text`` replaced by the kept words
     joined by one space (texts that lose nothing are unchanged), and
     ``n_words``, ``n_removed``, ``kept_sha256`` and ``spans`` (removed word
@@ -210,8 +249,11 @@ def remove_repeats(docs: DataFrame, width: int = 20, bucket_windows: int = BUCKE
 
     A null text has no words and stays null; texts shorter than the window lose
     nothing.  A null doc_id counts as the smallest.  Rows that share a doc_id
-    count as one document whose texts overlay: keep ids unique.  An empty table
-    gives an empty result.
+    (or have none) lose only words of their own; those with the same text lose
+    the same words.  An empty table gives an empty result.
+
+    Rows under a shared id are told apart by 64 bits of their text.  Equal rows
+    under one id meet in one group of documents.
 
     Windows are equal when a stored 64-bit hash and the bucket, taken from a
     second hash, agree; the bucket count grows with the input, so the expected
@@ -224,9 +266,10 @@ def remove_repeats(docs: DataFrame, width: int = 20, bucket_windows: int = BUCKE
     buckets = max(1, math.ceil(size / 6 / bucket_windows))
     groups = max(1, math.ceil(size / group_bytes))
     source = docs.select("doc_id", "text")
-    settled = (source.mapInArrow(_window_rows(width, buckets, groups), _PACKED)
+    shared = _shared_ids(source)
+    settled = (source.mapInArrow(_window_rows(width, buckets, groups, shared), _PACKED)
                .groupBy("key").applyInArrow(_settle(groups), _PACKED).select("key", "repeats"))
-    packed = docs.mapInArrow(_pack_documents(groups), "key int, rows binary")
+    packed = docs.mapInArrow(_pack_documents(groups, shared), "key int, rows binary")
     schema = T.StructType([*docs.schema.fields,
                            T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                            T.StructField("kept_sha256", T.StringType()),
@@ -234,4 +277,4 @@ def remove_repeats(docs: DataFrame, width: int = 20, bucket_windows: int = BUCKE
                                T.StructField("first", T.LongType()), T.StructField("end", T.LongType())])))])
     fields = list(to_arrow_schema(schema))
     return packed.groupBy("key").cogroup(settled.groupBy("key")).applyInArrow(
-        _rewrite(width, fields, [f.name for f in fields]), schema)
+        _rewrite(width, shared, fields, [f.name for f in fields]), schema)
