@@ -345,6 +345,14 @@ def test_byte_bpe_round_trip(odd, none):
     assert byte_bpe.decode(byte_bpe.encode(none, RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
 
 
+def test_an_unbroken_run_of_very_many_ids(spark):
+    rng = random.Random(6)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(30_000))
+    docs = spark.createDataFrame([(1, text), (2, "two words")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in byte_bpe.decode(byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS).collect()}
+    assert len(rows[1].ids) > 65_535 and bytes(rows[1].bytes) == text.encode() and bytes(rows[2].bytes) == b"two words"
+
+
 def test_pre_tokens_equal_the_library():
     import regex
     ranks = byte_bpe.read_ranks(RANKS)
