@@ -219,6 +219,20 @@ def test_neighbours_and_odd_vectors(spark):
     assert binary_codes.search(few, few.where("vec_id = 0")).count() == 2
 
 
+def test_repeated_near_ids_take_one_place(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(60)]
+    near = [(100, [x + 1e-3 for x in rows[0][1]])] * 30
+    hot = [(101, [x + 1e-3 * (k + 2) for x in rows[0][1]]) for k in range(30)]
+    vectors = spark.createDataFrame(rows + near + hot, "vec_id long, embedding array<double>").coalesce(1)
+    got = binary_codes.search(vectors, vectors.where("vec_id = 0")).collect()
+    far = {}
+    for i, v in rows[1:] + near + hot:
+        d = np.linalg.norm(np.array(v) - rows[0][1])
+        far[i] = min(d, far.get(i, d))
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == sorted(far, key=far.get)[:10]
+
+
 # quality classifier
 
 def test_quality_on_held_out_rows(spark, sf):

@@ -67,10 +67,19 @@ def _encode(matrix: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np
     return np.packbits(turned > 0, axis=1), length, agreement
 
 
+def _once(ids: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without rows that repeat an earlier id and vector."""
+    if len(np.unique(ids)) == len(ids):
+        return ids, matrix
+    seen = set()
+    keep = [k for k, row in enumerate(zip(ids.tolist(), map(bytes, matrix))) if not (row in seen or seen.add(row))]
+    return ids[keep], matrix[keep]
+
+
 def index(vectors: DataFrame, model: dict) -> DataFrame:
     """Blocks of at most ``BLOCK_ROWS`` rows: ids, original vectors, packed codes and correction scalars.
 
-    Every usable row is indexed.  Vectors that are null, zero, of another
+    Every usable row is indexed; an id and vector once in a block.  Vectors that are null, zero, of another
     length, or hold null or non-finite components take no part; nor do null ids.
     """
     dimension = model["dimension"]
@@ -87,6 +96,7 @@ def index(vectors: DataFrame, model: dict) -> DataFrame:
                 ids = np.asarray(part.column(0).take(pa.array(rows)).cast(pa.int64()))
                 matrix = matrix.astype(np.float64) if part.column(1).type.value_type == pa.float64() else (
                     matrix.astype(np.float32))
+                ids, matrix = _once(ids, matrix)
                 codes, length, agreement = _encode(matrix, model)
                 kind = b"d" if matrix.dtype == np.float64 else b"f"
                 yield pa.RecordBatch.from_pydict({
@@ -132,6 +142,9 @@ def _nearest(model: dict, k: int, bound: float):
         turned = centred @ model["rotation"]
         turned = np.divide(turned, reach[:, None], out=np.zeros_like(turned), where=reach[:, None] > 0)
         error = bound * np.sqrt(np.maximum(1 / agreement ** 2 - 1, 0) / max(dimension - 1, 1))
+        # rows of one id side by side: an id counts once, at its smallest bound and distance
+        by = np.argsort(ids, kind="stable")
+        heads = np.flatnonzero(np.diff(ids[by], prepend=ids[by[0]] - 1))
         for at in range(0, len(query_ids), 64):
             part = slice(at, at + 64)
             cosine = (turned[part].astype(np.float32) @ signs.T) / agreement.astype(np.float32)
@@ -140,14 +153,17 @@ def _nearest(model: dict, k: int, bound: float):
             slack = scale * error[None]
             own = query_ids[part, None] == ids[None]
             upper = np.where(own, np.inf, square + slack)
-            need = min(k, len(ids)) - 1
+            if len(heads) < len(ids):
+                upper = np.minimum.reduceat(upper[:, by], heads, axis=1)
+            need = min(k, len(heads)) - 1
             limit = np.partition(upper, need, axis=1)[:, need]
             chosen = (square - slack <= limit[:, None] * (1 + 1e-5) + 1e-5) & ~own
             for q, mask in enumerate(chosen, at):
                 rows = np.flatnonzero(mask)
                 gap = vectors[rows].astype(np.float64) - queries[q]
                 distance = np.sqrt((gap * gap).sum(axis=1))
-                best = np.lexsort((ids[rows], distance))[:k]
+                best = np.lexsort((ids[rows], distance))
+                best = best[np.sort(np.unique(ids[rows[best]], return_index=True)[1])[:k]]
                 for r in best:
                     yield int(query_ids[q]), int(ids[rows[r]]), float(distance[r]), len(rows)
 
