@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm import ngram_join, packing, quality_classifier, rule_ledger, substring_dedup
-from voxloom.support import shared_dir
+from voxloom.support import materialize, shared_dir
 
 #: Version of the rule policy that filters, and the tokenizer that packs.
 POLICY, TOKENIZER = "v1", "word_bpe_49k.json"
@@ -30,14 +30,15 @@ def rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id.
+    """One row of each group of near duplicates: the one with the smallest doc_id, one of those if several have it.
 
-    Rows that share a doc_id stay or go together; a null doc_id counts as the smallest.
+    A null doc_id counts as the smallest.
     """
-    found = ngram_join.join(docs)
-    gone = (found.where(~F.col("doc_id").eqNullSafe(F.col("class_id")))
-            .select(F.col("doc_id").alias("__gone")).distinct().hint("merge"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    # numbers of rows are written down: they must be the same in the join and here
+    docs = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    gone = (ngram_join.join(docs, row="__row").where("uid <> class_uid")
+            .select(F.col("uid").alias("__row")).hint("merge"))
+    return docs.join(gone, "__row", "left_anti").drop("__row")
 
 
 def repeat_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

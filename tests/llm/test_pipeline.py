@@ -51,6 +51,17 @@ def test_pipeline_on_odd_rows(spark, odd, sf):
     check(spark, odd.dropDuplicates(["doc_id"]), sf)
 
 
+def test_one_row_of_each_group_stays(spark, sf):
+    a, b, c = (" ".join(f"{s}{k}" for k in range(60)) for s in "abc")
+    rows = [(None, a), (None, a), (None, a + " x"), (1, b), (1, b), (2, b), (2, c), (3, ""), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.near_duplicate_filter(spark, docs, sf)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert len(got) == 6 and [t for i, t in got if i is None and t][0] in (a, a + " x")
+    assert [r for r in got if r[0] is not None] == [(1, b), (2, c), (3, "")]
+
+
 def test_pipeline_on_no_rows(spark, none, sf):
     assert all(s.count() == 0 for s in by_stage(spark, none, sf))
 

@@ -68,8 +68,11 @@ def _minima(sets: list[np.ndarray], count: int) -> np.ndarray:
     return out
 
 
-def sketch(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
-    """uid, doc_id, set_a and set_b (128-bit identity of the n-gram set), n_grams, node keys and signature."""
+def sketch(docs: DataFrame, n: int, trees: int, depth: int, row: str | None = None) -> DataFrame:
+    """uid, doc_id, set_a and set_b (128-bit identity of the n-gram set), n_grams, node keys and signature.
+
+    The uid of a row is its value in column ``row``, where that is given.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["uid", "doc_id", "set_a", "set_b", "n_grams", "nodes", "signature"]
 
@@ -88,13 +91,13 @@ def sketch(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
                 nodes = mix(nodes + np.arange(trees, dtype=U64))
             short = np.ascontiguousarray((low & 0xFFFF).astype(np.uint16))
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.arange(uid, uid + len(sets))), batch.column(0), pa.array(a.view(np.int64)),
+                batch.column(2) if row else pa.array(np.arange(uid, uid + len(sets))), batch.column(0), pa.array(a.view(np.int64)),
                 pa.array(b.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(list(nodes.view(np.int64)), pa.list_(pa.int64())),
                 pa.array([r.tobytes() for r in short], pa.binary())], names=names)
             uid += len(sets)
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return docs.select("doc_id", "text", *([row] if row else [])).mapInArrow(
         run, f"uid long, doc_id {kind}, set_a long, set_b long, n_grams long, nodes array<long>, signature binary")
 
 
@@ -229,7 +232,7 @@ def _firsts(uid: np.ndarray) -> np.ndarray:
 
 
 def join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH,
-         recall: float = RECALL, cell: int = CELL) -> DataFrame:
+         recall: float = RECALL, cell: int = CELL, row: str | None = None) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, n_text_links, copies.
 
     Two documents are linked when the Jaccard similarity of their sets of word
@@ -242,12 +245,16 @@ def join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, trees: i
     none: it is linked to nothing and is its own class.  Null ids take part and
     count as smallest.  Rows that share a doc_id keep rows of their own.
 
+    ``row`` names a column of distinct longs that are stored with the rows.  The
+    result then also has ``uid``, the row's own, and ``class_uid``, that of the
+    row with the smallest (doc_id, uid) reachable over links.
+
     Candidates come from the forest, so a link at the threshold is met with a
     chance of ``recall`` at least; similarities are exact over 64-bit hashes.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", *([F.col(row).alias("__row")] if row else []))
     depth = prefix_depth(threshold, trees, depth, recall)
-    sketches = materialize(sketch(docs, n, trees, depth))
+    sketches = materialize(sketch(docs, n, trees, depth, "__row" if row else None))
     some = sketches.where("n_grams > 0")
     key = ["set_a", "set_b"]
     classes = materialize(some.groupBy(*key).agg(
@@ -265,7 +272,8 @@ def join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, trees: i
         "part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")))
     # the same plan at every size: texts are dealt out by id, never joined against a copied side
     members = members.withColumnRenamed("doc_id", "_id").hint("merge")
-    texts = docs.join(members, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "doc_id")
+    same = F.col("__row") == F.col("uid") if row else F.col("doc_id").eqNullSafe(F.col("_id"))
+    texts = docs.join(members, same).drop("_id", "doc_id")
     cells = (texts.withColumn("c", F.explode(_cells(F.col("part"), F.col("parts"))))
              .select("group", "c.i", "c.j", "uid", "part", "copies", *key, "text"))
     found = materialize(cells.groupBy("group", "i", "j").applyInArrow(
@@ -277,15 +285,16 @@ def join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, trees: i
               .withColumn("root", F.coalesce("root", "uid")))
     smallest = materialize(roots.select("root", "uid").unionByName(roots.select("root", F.col("root").alias("uid")))
                            .distinct().join(classes.select("uid", "doc_id"), "uid")
-                           .groupBy("root").agg(F.min(F.struct("doc_id")).alias("low")))
+                           .groupBy("root").agg(F.min(F.struct("doc_id", "uid")).alias("low")))
     table = (linked.join(smallest, "root", "left")
-             .select(*key, "copies", F.coalesce("links", F.lit(0)).alias("links"),
+             .select(*key, "copies", F.coalesce("low.uid", "uid").alias("class_uid"), F.coalesce("links", F.lit(0)).alias("links"),
                      F.coalesce("texts", F.lit(0)).alias("texts"),
                      F.when(F.col("low").isNotNull(), F.col("low.doc_id")).otherwise(F.col("doc_id")).alias("class_id")))
-    out = sketches.select("doc_id", *key, "n_grams").join(table, key, "left")
+    out = sketches.select("uid", "doc_id", *key, "n_grams").join(table, key, "left")
     empty = F.col("n_grams") == 0
+    rows = ["uid", F.when(empty, F.col("uid")).otherwise(F.col("class_uid")).alias("class_uid")] if row else []
     return out.select(
-        "doc_id", F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        *rows, "doc_id", F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(empty, F.lit(0)).otherwise(F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"),
         F.when(empty, F.lit(0)).otherwise(F.col("texts")).cast("long").alias("n_text_links"),
         F.when(empty, F.lit(1)).otherwise(F.col("copies")).cast("long").alias("copies"))
