@@ -284,6 +284,17 @@ def test_surge_and_dive_without_marks():
     assert "item" not in text and text.count("story") == 30 and text.endswith("5.")
 
 
+def test_a_story_beside_marked_teasers():
+    story = "".join(f"<p>{'long sentence of the story ' * 5}{k}.</p>" for k in range(12))
+    menu = "".join(f"<li><a href='/{k}'>item {k}</a></li>" for k in range(8))
+    teasers = "".join(f"<article class='card'><h3>Teaser {k}</h3></article>" for k in range(3))
+    apart = html_extract.main_text(f"<div>{story}</div><ul>{menu}</ul>{teasers}")
+    assert apart.count("story") == 60 and "Teaser" not in apart and "item" not in apart
+    assert html_extract.main_text(f"<div>{story}</div>{teasers}").count("story") == 60
+    posts = f"<article><p>One.</p></article><ul>{menu}</ul><article><p>Two.</p></article><p>&copy; x</p>"
+    assert html_extract.main_text(posts) == "One. Two."
+
+
 def test_pages_table(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>Hi</p>", "x")],
                                   "page_id long, url string, html string, text string")

@@ -3,8 +3,8 @@
 Markup is stripped first: scripts, styles, comments, menus, forms and other
 marked boilerplate go, and every block-level tag ends a line.  The lengths of
 the remaining lines are summed over a sliding window; the text starts at the
-surge and ends at the dive of that curve.  Where the page marks its article,
-the marked lines are the surge, so that short lines inside it stay.
+surge and ends at the dive of that curve.  Lines that the page marks as its
+article weigh more, so that short lines inside it stay.
 """
 
 from __future__ import annotations
@@ -141,28 +141,43 @@ def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> l
 
     A window's weight is the text outside links over ``window`` lines; lines of
     a marked article weigh ``surge`` more, so they always stand above the rest.
+    Unmarked lines at the edges of a marked stretch stay only where they surge
+    themselves.  If the stretch with the most text is marked, so may be other
+    parts of the article: all marked stretches stay.
     """
-    if any(line.article for line in lines):
-        return [line for line in lines if line.article]
-    weight = [max(0, len(line.text) - 2 * line.links) for line in lines]
+    plain = [max(0, len(line.text) - 2 * line.links) for line in lines]
+    weight = [w + surge * line.article for w, line in zip(plain, lines)]
     sums = [sum(weight[k:k + window]) for k in range(len(lines))]
-    best, total, k = (0, 0), 0, 0
+    found, k = [], 0
     while k < len(lines):
         if sums[k] >= surge and weight[k] > 0:
             end = k
             while end < len(lines) and sums[end] > 0:
                 end += 1
-            size = sum(weight[k:end])
-            if size > total:
-                best, total = (k, end), size
+            found.append((k, end))
             k = end
         k += 1
-    if not total:   # nothing surges: the page is short, all its unlinked lines are its text
+    if not found:   # nothing surges: the page is short, all its unlinked lines are its text
         return [line for line, w in zip(lines, weight) if w > 0]
-    first, end = best
-    while end > first and not weight[end - 1]:
-        end -= 1
-    return lines[first:end]
+
+    def marked(a: int, b: int) -> list[int]:
+        return [k for k in range(a, b) if lines[k].article]
+
+    def surges(a: int, b: int) -> bool:
+        return any(sum(plain[k:min(b, k + window)]) >= surge for k in range(a, b))
+
+    best = max(found, key=lambda f: (sum(weight[f[0]:f[1]]), -f[0]))
+    out: list[Line] = []
+    for first, end in [f for f in found if marked(*f)] if marked(*best) else [best]:
+        inside = marked(first, end)
+        if inside and not surges(first, inside[0]):
+            first = inside[0]
+        if inside and not surges(inside[-1] + 1, end):
+            end = inside[-1] + 1
+        while end > first and not weight[end - 1]:
+            end -= 1
+        out += lines[first:end]
+    return out
 
 
 def main_text(page: str | None) -> str:
