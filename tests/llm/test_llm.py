@@ -295,6 +295,18 @@ def test_a_story_beside_marked_teasers():
     assert html_extract.main_text(posts) == "One. Two."
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<div class='page has-sidebar'><article><p>story</p></article><div class='sidebar'>side</div></div>", "story"),
+    ("<div id='main-no-sidebar'><main><p>story</p></main></div>", "story"),
+    ("<article><div class='article-header'><h1>Head</h1></div><p>story</p><div class='share'>Share</div></article>",
+     "Head story"),
+    (f"<div class='content-with menu'><p>{'word ' * 40}end</p><div class='related'>Also</div></div>", "word " * 40 + "end"),
+    (f"<p>{'word ' * 40}end</p><div class='comments'><p>{'talk ' * 30}</p></div>", "word " * 40 + "end"),
+])
+def test_classes_of_layout_and_of_boilerplate(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_pages_table(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>Hi</p>", "x")],
                                   "page_id long, url string, html string, text string")

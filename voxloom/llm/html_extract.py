@@ -1,7 +1,8 @@
 """Main text of raw web pages by the distribution of text over line blocks.
 
-Markup is stripped first: scripts, styles, comments, menus, forms and other
-marked boilerplate go, and every block-level tag ends a line.  The lengths of
+Markup is stripped first: scripts, styles, comments, menus and forms go, and
+every block-level tag ends a line.  So do elements whose class or id names
+boilerplate, unless they wrap the article or most of the text.  The lengths of
 the remaining lines are summed over a sliding window; the text starts at the
 surge and ends at the dive of that curve.  Lines that the page marks as its
 article weigh more, so that short lines inside it stay.
@@ -48,6 +49,21 @@ class Line:
     text: str
     links: int
     article: bool
+    marks: tuple[int, ...] = ()     # the elements around it whose class or id names boilerplate
+
+
+@dataclass
+class _Mark:
+    tag: str
+    number: int
+    depth: int = 1
+
+
+def _named(attributes: str, in_article: bool) -> bool:
+    """A class or id names boilerplate; a header inside the article is part of it."""
+    return any(name.lower() in ("class", "id") and any(
+        not (in_article and m.group().strip(" \t\n\r\f\v_-").lower() in ("header", "masthead"))
+        for v in values for m in _MARKED.finditer(v)) for name, *values in _ATTRIBUTE.findall(attributes))
 
 
 def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
@@ -58,8 +74,6 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "")
         name = name.lower()
-        if name in ("class", "id") and _MARKED.search(value):
-            return True
         if name == "role" and value.lower() in _ROLES or name == "aria-hidden" and value.lower() == "true":
             return True
     return "hidden" in attributes.lower().split()
@@ -74,17 +88,41 @@ def lines_of(page: str) -> list[Line]:
     kept: set[str] = set()
     while True:
         open_names: list[str] = []
-        lines = list(_walk(page, kept, open_names))
+        wrappers: set[int] = set()
+        lines = list(_walk(page, kept, open_names, wrappers))
         if not open_names:
-            return lines
+            return _without_marked(lines, wrappers)
         kept.update(open_names)
 
 
-def _walk(page: str, kept: set[str], open_names: list[str]) -> Iterator[Line]:
+def _without_marked(lines: list[Line], wrappers: set[int]) -> list[Line]:
+    """Lines outside marked elements; those that hold an article, or surge and hold most of the text, are layout."""
+    weight = [_plain(line) for line in lines]
+    inside: dict[int, list[int]] = {}
+    for k, line in enumerate(lines):
+        for number in line.marks:
+            inside.setdefault(number, []).append(k)
+    total = sum(weight)
+    gone: set[int] = set()
+    for number, at in inside.items():
+        size = sum(weight[k] for k in at)
+        surge = any(sum(weight[k:min(k + WINDOW, at[-1] + 1)]) >= SURGE for k in at)
+        if number not in wrappers and not (surge and 2 * size > total):
+            gone.add(number)
+    return [line for line in lines if gone.isdisjoint(line.marks)]
+
+
+def _plain(line: Line) -> int:
+    return max(0, len(line.text) - 2 * line.links)
+
+
+def _walk(page: str, kept: set[str], open_names: list[str], wrappers: set[int]) -> Iterator[Line]:
     at = 0
     parts: list[str] = []
     linked = [0]
     skipped: list[tuple[str, int]] = []     # the dropped element and the depth of its own name inside it
+    marks: list[_Mark] = []
+    numbers = 0
     depth = {"article": 0, "link": 0}
     ends = {}
 
@@ -92,7 +130,7 @@ def _walk(page: str, kept: set[str], open_names: list[str]) -> Iterator[Line]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                yield Line(text, linked[0], depth["article"] > 0)
+                yield Line(text, linked[0], depth["article"] > 0, tuple(m.number for m in marks))
             parts.clear()
             linked[0] = 0
 
@@ -126,11 +164,27 @@ def _walk(page: str, kept: set[str], open_names: list[str]) -> Iterator[Line]:
             if has_end(tag, at):
                 skipped.append((tag, 1))
             continue
+        if any(m.tag == tag for m in marks):
+            yield from flush()
+            for m in marks:
+                if m.tag == tag:
+                    m.depth += -1 if closing else 1
+            shut = [k for k, m in enumerate(marks) if m.depth == 0]
+            if shut:
+                del marks[shut[0]:]
+        if (not closing and tag not in _VOID and tag not in kept and tag not in _ARTICLE
+                and tag not in ("body", "html") and _named(token["attributes"], depth["article"] > 0)):
+            yield from flush()
+            if has_end(tag, at):
+                numbers += 1
+                marks.append(_Mark(tag, numbers))
+        if tag in _ARTICLE and not closing:
+            wrappers.update(m.number for m in marks)
         if tag in _ARTICLE:
             depth["article"] = max(0, depth["article"] + (-1 if closing else 1))
         elif tag == "a":
             depth["link"] = max(0, depth["link"] + (-1 if closing else 1))
-    open_names += [name for name, _ in skipped]
+    open_names += [name for name, _ in skipped] + [m.tag for m in marks]
     if at < len(page) and not skipped:
         parts.append(page[at:])
     yield from flush()
@@ -145,7 +199,7 @@ def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> l
     themselves.  If the stretch with the most text is marked, so may be other
     parts of the article: all marked stretches stay.
     """
-    plain = [max(0, len(line.text) - 2 * line.links) for line in lines]
+    plain = [_plain(line) for line in lines]
     weight = [w + surge * line.article for w, line in zip(plain, lines)]
     sums = [sum(weight[k:k + window]) for k in range(len(lines))]
     found, k = [], 0
