@@ -417,6 +417,22 @@ def test_notices_are_found(spark, none, odd):
     assert license_scan.scan(none).count() == 0 and license_scan.scan(odd).count() == 0
 
 
+def test_deciding_words_and_whole_texts(spark):
+    whole = license_scan.whole_texts()
+    notices = [("Released under the BSD License", "BSD"), ("Licensed under CC BY-NC-ND 4.0", "CC-BY-NC-ND-4.0"),
+               ("This work is licensed under the GNU General Public License, version 2", "GPL-2.0"),
+               ("Released under the GNU Lesser General Public License, version 3.0", "LGPL-3.0"),
+               ("Licensed under the GNU Affero General Public License v3", "AGPL-3.0"),
+               ("before it " + whole["GPL-2.0-whole"] + " after it", "GPL-2.0-whole"),
+               (whole["BSD-2-Clause-whole"], "BSD-2-Clause-whole"), (whole["LGPL-2.1-whole"], "LGPL-2.1-whole")]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(notices)] + [(99, "Released under the XYZ License")],
+                                 "doc_id long, text string")
+    got = license_scan.scan(docs).collect()
+    assert {r.doc_id for r in got} == set(range(len(notices)))
+    for k, (_, name) in enumerate(notices):
+        assert max((r.n_matched, r.license) for r in got if r.doc_id == k)[1].startswith(name), (k, name)
+
+
 def test_alignment_is_a_common_subsequence():
     rng = random.Random(1)
     for _ in range(300):

@@ -3,7 +3,8 @@
 Words that occur once in a stretch of text and once in the template anchor the
 alignment; the longest increasing run of anchors stays, and the gaps between
 anchors are aligned the same way.  Coverage is the share of template words so
-matched.
+matched.  Short notices and whole licence texts are aligned alike; the name and
+version of a short notice must be among the matched words.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +21,8 @@ from pyspark.sql import DataFrame
 from voxloom.llm.words import text_batches
 
 COVERAGE = 0.8
+#: Templates of more words are tried at fewer starts.
+LONG = 200
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
 
 #: Fixed: notices as they appear in files, by licence.
@@ -40,12 +44,62 @@ TEMPLATES: dict[str, str] = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "reserved": "All rights reserved",
 }
+#: The words of a short notice that must match besides the coverage: name and version.
+DECIDING: dict[str, frozenset[str]] = {
+    "MIT": frozenset(["mit"]), "Apache-2.0": frozenset(["apache", "2.0"]), "GPL-3.0": frozenset(["general", "3"]),
+    "MPL-2.0": frozenset(["mozilla", "2.0"])}
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _add(name: str, deciding: str, *notices: str) -> None:
+    """Register every notice that is not a template yet; the first one under the plain name."""
+    for notice in notices:
+        known = [n for n, t in TEMPLATES.items() if t == notice]
+        key = known[0] if known else name if name not in TEMPLATES else f"{name}-{len(TEMPLATES)}"
+        TEMPLATES[key] = notice
+        DECIDING[key] = frozenset(words_of(deciding))
+
+
+for _full, _short, _versions in [("General", "GPL", "1 2 3"), ("Lesser General", "LGPL", "2.1 3"),
+                                 ("Library General", "LGPL", "2"), ("Affero General", "AGPL", "3")]:
+    for _v in _versions.split():
+        for _w in [_v] if "." in _v else [_v, f"{_v}.0"]:
+            _name = f"{_short}-{_v if '.' in _v else _v + '.0'}"
+            for _tail in (f"version {_w}", f"v{_w}"):
+                _add(_name, f"{_full} {_tail.split()[-1]}",
+                     *(f"{_start} the GNU {_full} Public License, {_tail}" for _start in
+                       ("This work is licensed under", "Licensed under", "Released under")))
+            for _code in (f"{_short}-{_w}", f"{_short}v{_w}"):
+                _add(_name, _code, *(f"{_start} the {_code}{_end}" for _start in ("Licensed under", "Released under")
+                                     for _end in ("", " License")))
+for _code, _words in [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"),
+                      ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+                      ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]:
+    for _v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+        _add(f"CC-{_code}-{_v}", f"{_code} {_v}", f"Licensed under CC {_code} {_v}")
+        _add(f"CC-{_code}-{_v}", f"CC-{_code}-{_v}", f"Licensed under CC-{_code}-{_v}")
+        _add(f"CC-{_code}-{_v}", f"{_words} {_v}",
+             f"Licensed under a Creative Commons {_words} {_v} International License",
+             f"Licensed under the Creative Commons {_words} {_v} License")
+_add("CC0-1.0", "CC0 1.0", "Released under CC0 1.0")
+_add("CC0-1.0", "CC0-1.0", "Licensed under CC0-1.0")
+for _start in ("Released under", "Licensed under"):
+    for _name, _code in [("MIT", "MIT"), ("BSD-notice", "BSD"), ("BSD-2-Clause", "BSD 2-Clause"), ("ISC-notice", "ISC"),
+                         ("BSD-3-Clause", "BSD 3-Clause")]:
+        _add(_name, _code, f"{_start} the {_code} License")
+    _add("Apache-2.0", "Apache 2.0", f"{_start} the Apache License, Version 2.0", f"{_start} the Apache License 2.0")
+    _add("MPL-2.0", "Mozilla 2.0", f"{_start} the Mozilla Public License, version 2.0")
+
+
+def whole_texts() -> dict[str, str]:
+    """Whole licence texts that come with the package, by name."""
+    folder = Path(__file__).parent / "licenses"
+    return {f"{path.stem}-whole": path.read_text("utf-8") for path in sorted(folder.glob("*.txt"))}
+
+
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Longest run of pairs, sorted by their first number, whose second numbers increase."""
     tails: list[int] = []
@@ -91,32 +145,41 @@ def align(text: Sequence[str], template: Sequence[str]) -> list[tuple[int, int]]
     return sorted(found)
 
 
-def scan_words(words: Sequence[str], template: Sequence[str], coverage: float) -> list[tuple[int, int, int]]:
+def scan_words(words: Sequence[str], template: Sequence[str], coverage: float,
+               deciding: frozenset[str] = frozenset()) -> list[tuple[int, int, int]]:
     """(first word, end word, matched words) of every place where enough of the template aligns.
 
     A stretch of at most twice the template's length is aligned around every
     group of template words; stretches that hold too few of its distinct words
-    cannot reach the coverage and are passed over.
+    cannot reach the coverage and are passed over.  All ``deciding`` words must
+    be matched.  A new word adds one match at most, so a long template that
+    lacks some is tried again that many words on.
     """
     need = max(1, -(-int(1000 * coverage) * len(template) // 1000))
     wanted = Counter(template)
     hits = [k for k, w in enumerate(words) if w in wanted]
     out: list[tuple[int, int, int]] = []
-    reach, at, done = 2 * len(template), 0, 0
-    while at < len(hits):
-        first = hits[at]
-        if first < done:
-            at += 1
-            continue
-        last = bisect_left(hits, first + reach, lo=at)
-        have = Counter(words[k] for k in hits[at:last])
-        if sum(min(n, wanted[w]) for w, n in have.items()) >= need:
+    reach, last, done = 2 * len(template), 0, 0
+    have: Counter[str] = Counter()
+    enough = 0      # template words, with their number, that the stretch from `first` holds
+    for first in hits:
+        while last < len(hits) and hits[last] < first + reach:
+            word = words[hits[last]]
+            enough += have[word] < wanted[word]
+            have[word] += 1
+            last += 1
+        if first >= done and enough >= need:
             pairs = align(words[first:first + reach], template)
-            if len(pairs) >= need and pairs[0][0] == 0:
-                end = first + pairs[-1][0] + 1
-                out.append((first, end, len(pairs)))
-                done = end
-        at += 1
+            if len(pairs) < need:
+                done = first + (need - len(pairs) if len(template) > LONG else 1)
+            elif pairs[0][0] > 0:
+                done = first + (pairs[0][0] if len(template) > LONG else 1)
+            elif deciding <= {template[k] for _, k in pairs}:
+                done = first + pairs[-1][0] + 1
+                out.append((first, done, len(pairs)))
+        word = words[first]
+        have[word] -= 1
+        enough -= have[word] < wanted[word]
     return out
 
 
@@ -129,7 +192,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     ids and repeated rows pass through; an empty table gives an empty result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    wanted = {name: words_of(text) for name, text in (templates or TEMPLATES).items()}
+    wanted = {name: words_of(text) for name, text in (templates or TEMPLATES | whole_texts()).items()}
+    deciding = {name: frozenset() if templates else DECIDING.get(name, frozenset()) for name in wanted}
     names = ["doc_id", "license", "first_word", "end_word", "n_matched", "coverage"]
 
     def run(batches):
@@ -141,8 +205,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                 words = words_of(text) if text else []
                 present = set(words)
                 found = [(-m, -m / len(wanted[n]), n, a, b) for n, (some, least) in sets.items()
-                         if len(some & present) >= least
-                         for a, b, m in scan_words(words, wanted[n], coverage)]
+                         if len(words) >= coverage * len(wanted[n]) - 1
+                         and deciding[n] <= present and len(some & present) >= least
+                         for a, b, m in scan_words(words, wanted[n], coverage, deciding[n])]
                 taken: list[tuple[int, int]] = []
                 for m, share, name, a, b in sorted(found):
                     if all(b <= x or y <= a for x, y in taken):
