@@ -1,10 +1,11 @@
-"""Near duplicates by word n-grams: MinHash LSH forest, then exact verification.
+"""Near duplicates by word n-grams: banded MinHash LSH, then exact verification.
 
 Texts with the same set of n-grams form a class at once.  Every class has one
-signature per tree; in each tree, sorted by signature, classes under a common
-prefix are neighbours.  Prefixes are shortened from the full depth until the
-chance of meeting a pair at the threshold in some tree reaches the target
-recall.  Neighbours whose signatures agree well enough tie classes into
+signature per tree (band); classes with the same prefix in a tree are
+neighbours.  The length of the prefix is fixed before the data is read: the
+longest at which the chance of meeting a pair at the threshold in some tree
+reaches the target recall.  No signature is sorted and no longer prefix is
+tried first: pairs that share one share this one too.  Neighbours whose signatures agree well enough tie classes into
 groups; groups are verified in cells of bounded size on their whole n-gram
 sets, where links are counted and never written out as pairs.
 """
