@@ -2,7 +2,6 @@
 
 import duckdb
 import pytest
-from conftest import SF
 
 import __spark_entry__ as entry_module
 from tools.check_oracle import TABLES, rows_of
@@ -11,10 +10,10 @@ QUERIES, ORACLE = entry_module.queries(), entry_module.oracle_sql()
 
 
 @pytest.fixture(scope="module")
-def con():
+def con(sf):
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     return con
 
 
