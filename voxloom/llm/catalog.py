@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import (binary_codes, byte_bpe, html_extract, license_scan, ngram_join, packing,
+from voxloom.llm import (binary_codes, byte_bpe, hard_negatives, html_extract, license_scan, ngram_join, packing,
                          quality_classifier, rule_ledger, substring_dedup, token_counts)
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +145,32 @@ FROM words w LEFT JOIN kept k USING (doc_id)
 def op10(spark, sf_dir):
     return (substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
             .select("doc_id", "n_words", "n_removed", "kept_sha256"))
+
+
+@query("op11_hard_negatives", """
+WITH usable AS (
+    SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+    SELECT a.uid, a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+           list_sum(list_transform(list_zip(a.v, r.v), lambda p: p[1] * p[2]))::BIGINT AS score
+    FROM usable a JOIN usable r ON a.uid <> r.uid WHERE a.vec_id % 100 = 0),
+positives AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS k
+                   FROM scores WHERE same) WHERE k <= 5),
+negatives AS (
+    SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score,
+           n.score AS negative_score,
+           row_number() OVER (PARTITION BY p.uid, p.k ORDER BY n.score DESC, n.vec_id) AS rank
+    FROM positives p JOIN scores n ON p.uid = n.uid AND NOT n.same
+     AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM negatives WHERE rank <= 5
+""")
+def op11(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
