@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import (binary_codes, byte_bpe, hard_negatives, html_extract, license_scan, ngram_join, packing,
-                         quality_classifier, rule_ledger, substring_dedup, token_counts)
+from voxloom.llm import (binary_codes, byte_bpe, filter_audit, hard_negatives, html_extract, license_scan, ngram_join,
+                         packing, quality_classifier, rule_ledger, substring_dedup, token_counts)
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -174,3 +174,42 @@ def op11(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@query("op12_filter_audit", f"""
+WITH {WORDS_SQL},
+judged AS (
+    SELECT w.doc_id, coalesce(d.lang, '') AS part, w.text, [
+        len(words) < 200,
+        100 * len(list_distinct(words)) < 50 * len(words),
+        100 * length(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 3 * length(w.text),
+        regexp_matches(w.text, '[#$%&*|]'),
+        coalesce(min(w.doc_id) OVER (PARTITION BY w.text) < w.doc_id, false)] AS fails
+    FROM words w JOIN documents d ON w.doc_id = d.doc_id),
+flags AS (SELECT doc_id, bool_or(coalesce(quality, 0) = 1) AS good, bool_or(coalesce(toxic, 0) = 1) AS toxic
+          FROM labels GROUP BY doc_id),
+docs AS (SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+         FROM judged LEFT JOIN flags USING (doc_id) GROUP BY ALL),
+filters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest(range(1, 6)) AS k),
+orders AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS o, a.f || b.f || c.f || d.f || e.f AS filter_order
+           FROM filters a, filters b, filters c, filters d, filters e
+           WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+steps AS (SELECT o, filter_order, s AS step, o[s] AS k FROM orders, range(1, 6) AS t(s)),
+counted AS (
+    SELECT part, filter_order, step, k,
+           sum(CASE WHEN NOT list_bool_or(list_transform(o[1:step], lambda j: fails[j])) THEN n ELSE 0 END) AS kept,
+           sum(CASE WHEN first THEN n ELSE 0 END) AS removed,
+           sum(CASE WHEN fails[k] AND NOT first THEN n ELSE 0 END) AS redundant,
+           sum(CASE WHEN fails[k] AND len(list_filter(fails, lambda x: x)) = 1 THEN n ELSE 0 END) AS unique_fails,
+           sum(CASE WHEN first AND good THEN n ELSE 0 END) AS good_lost,
+           sum(CASE WHEN first AND toxic THEN n ELSE 0 END) AS toxic_lost
+    FROM (SELECT *, fails[k] AND NOT coalesce(list_bool_or(list_transform(o[1:step - 1], lambda j: fails[j])), false)
+                 AS first FROM docs, steps)
+    GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+       toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley
+FROM counted
+""")
+def op12(spark, sf_dir):
+    return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
