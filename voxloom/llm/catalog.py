@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import (binary_codes, byte_bpe, filter_audit, hard_negatives, html_extract, license_scan, ngram_join,
-                         packing, quality_classifier, rule_ledger, substring_dedup, token_counts)
+from voxloom.llm import (binary_codes, byte_bpe, filter_audit, hard_negatives, html_extract, license_scan, lsh_forest,
+                         ngram_join, packing, quality_classifier, rule_ledger, substring_dedup, token_counts)
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -213,3 +213,25 @@ FROM counted
 """)
 def op12(spark, sf_dir):
     return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_lsh_forest", f"""
+WITH RECURSIVE {WORDS_SQL},
+lowered AS (SELECT doc_id, list_transform(words, lambda w:
+    translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS words FROM words),
+shingles AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(
+    CASE WHEN len(words) >= 4 THEN list_transform(range(len(words) - 3), lambda i: array_to_string(words[i + 1:i + 4], ' '))
+         WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS g FROM lowered)),
+sets AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+           FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+          WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+lowest AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id,
+       least(d.doc_id, coalesce(l.b, d.doc_id)) = d.doc_id AS kept
+FROM documents d LEFT JOIN sets s ON s.doc_id = d.doc_id LEFT JOIN lowest l ON l.a = d.doc_id
+""")
+def op13(spark, sf_dir):
+    return lsh_forest.components(table(spark, sf_dir, "documents"))
