@@ -130,6 +130,7 @@ def interactions(docs: DataFrame, labels: DataFrame, part: str = "lang") -> Data
     """The audit of ``FILTERS`` over whole ``docs``, by ``part``.
 
     Null and empty texts fail A; they are equal to each other.  Repeated rows count each for itself, a document with
-    several label rows is good (toxic) if one of them says so.  Other columns of either table are dropped.
+    several label rows is good (toxic) if one of them says so, labels of a null id belong to none.  Other columns of
+    either table are dropped.
     """
     return audit(masks(docs, labels, FILTERS, part))
