@@ -31,5 +31,6 @@ def load() -> None:
         graphs,
         labels,
         morphology,
+        shapes,
         spatial,
     )

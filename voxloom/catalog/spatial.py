@@ -16,11 +16,11 @@ SMALL_TILE = (16, 16, 16)
 LIN = "(CAST(z AS BIGINT) * 43 + y) * 47 + x"
 
 
-def component_sql(name, source, connectivity, code=None, where="TRUE"):
+def component_sql(name, source, connectivity, code=None, where="TRUE", lin=LIN):
     """Recursive components of ``source`` as ``name``(volume_id, lin, code, component)."""
     code = code or "1"
     offsets = ", ".join(f"({dz}, {dy}, {dx})" for dz, dy, dx in full_offsets(connectivity))
-    return f"""{name}_v AS (SELECT volume_id, z, y, x, {code} AS code, {LIN} AS lin FROM {source} WHERE {where}),
+    return f"""{name}_v AS (SELECT volume_id, z, y, x, {code} AS code, {lin} AS lin FROM {source} WHERE {where}),
 {name}_o(dz, dy, dx) AS (VALUES {offsets}),
 {name}_e AS (SELECT a.volume_id, a.lin AS a, b.lin AS b FROM (SELECT v.*, z + dz AS nz, y + dy AS ny, x + dx AS nx FROM {name}_v v, {name}_o) a
   JOIN {name}_v b ON a.volume_id = b.volume_id AND a.nz = b.z AND a.ny = b.y AND a.nx = b.x AND a.code = b.code),

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from voxloom.operators.geometry import SHAPE, Dims, one_tile, placed
 from voxloom.support import ZYX, attach, half_offsets, materialize, offset_array, spread
 
 TILE = (64, 64, 64)
@@ -70,8 +71,12 @@ def star_roots(edges: DataFrame, keys: Sequence[str], hubs: bool = False) -> Dat
     """
     keys = list(keys)
 
-    def signature(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*keys, "a", "b").cast("decimal(38,0)"))).first())
+    def stars(df: DataFrame) -> bool:
+        # a node points to one root, and a root to none
+        ends = df.select(*keys, F.col("a").alias("n"), F.lit(1).alias("from")).unionByName(
+            df.select(*keys, F.col("b").alias("n"), F.lit(0).alias("from")))
+        seen = ends.groupBy(*keys, "n").agg(F.sum("from").alias("out"), F.min("from").alias("into"))
+        return seen.where((F.col("out") > 1) | (F.col("out") > 0) & (F.col("into") == 0)).isEmpty()
 
     def hook(df: DataFrame, large: bool) -> DataFrame:
         # df: directed (a, b); every neighbour beyond a moves to the smallest one
@@ -87,32 +92,28 @@ def star_roots(edges: DataFrame, keys: Sequence[str], hubs: bool = False) -> Dat
 
     high, low = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     current = materialize(edges.select(*keys, high, low).distinct())
-    seen = signature(current)
-    while True:
+    while not stars(current):
         both = current.unionByName(current.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
         grown = hook(both, large=True)
         ordered = grown.select(*keys, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         current = materialize(hook(ordered, large=False))
-        now = signature(current)
-        if now == seen:
-            break
-        seen = now
     return current.select(*keys, F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def connected_components(voxels: DataFrame, keys: Sequence[str], dims: Sequence[int], connectivity: int = 6,
+def connected_components(voxels: DataFrame, keys: Sequence[str], dims: Dims, connectivity: int = 6,
                          code: str | None = None, tile: Sequence[int] = TILE) -> DataFrame:
     """Add ``component`` to voxels (keys, z, y, x, ...), unique per position.
 
-    With ``code`` only voxels of equal code connect.
+    With ``code`` only voxels of equal code connect.  ``dims`` is one shape or a
+    geometry table; a voxel outside the shape of its volume is an error.
     """
     keys = list(keys)
     columns = voxels.columns
-    rows = voxels.withColumns({f"_t{a}": F.floor(F.col(a) / s).cast("int") for a, s in zip(ZYX, tile)})
+    rows = placed(voxels, keys, dims).withColumns({f"_t{a}": F.floor(F.col(a) / s).cast("int") for a, s in zip(ZYX, tile)})
     schema = T.StructType(list(voxels.schema.fields) + [T.StructField("component", T.LongType())])
-    height, width = int(dims[1]), int(dims[2])
 
     def label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, height, width = (int(n) for n in pdf[list(SHAPE)].iloc[0])
         points = pdf[list(ZYX)].to_numpy(np.int64)
         lin = (points[:, 0] * height + points[:, 1]) * width + points[:, 2]
         order = np.argsort(lin)
@@ -125,10 +126,10 @@ def connected_components(voxels: DataFrame, keys: Sequence[str], dims: Sequence[
         return out
 
     labelled = spread(rows, *keys, "_tz", "_ty", "_tx").groupBy(*keys, "_tz", "_ty", "_tx").applyInPandas(label_tile, schema)
-    if all(d <= s for d, s in zip(dims, tile)):
-        return labelled  # one tile per volume: nothing can cross a tile face
+    if one_tile(dims, tile):
+        return labelled  # nothing can cross a tile face
     labelled = materialize(labelled)
-    return _join_tiles(labelled, keys, dims, connectivity, code, tile)
+    return _join_tiles(labelled, keys, connectivity, code, tile)
 
 
 def touching_pairs(labelled: DataFrame, keys: Sequence[str], connectivity: int, code: str | None,
@@ -150,7 +151,7 @@ def touching_pairs(labelled: DataFrame, keys: Sequence[str], connectivity: int,
             .where(F.col("a") != F.col("b")).select(*keys, "a", "b").distinct())
 
 
-def _join_tiles(labelled, keys, dims, connectivity, code, tile):
+def _join_tiles(labelled, keys, connectivity, code, tile):
     pairs = touching_pairs(labelled, keys, connectivity, code, tile)
     roots = star_roots(pairs, keys)
     return (labelled.join(roots.select(*keys, F.col("node").alias("component"), "root"), [*keys, "component"], "left")
@@ -256,7 +257,7 @@ def filter_organs(sizes: DataFrame, keys: Sequence[str], code: str, methods: dic
     return out
 
 
-def keep_largest_per_group(voxels: DataFrame, keys: Sequence[str], label: str, dims: Sequence[int],
+def keep_largest_per_group(voxels: DataFrame, keys: Sequence[str], label: str, dims: Dims,
                            groups: Sequence[Sequence[int]], floors: dict[tuple[int, ...], float] | None = None,
                            connectivity: int = 6, tile: Sequence[int] = TILE) -> DataFrame:
     """Apply a largest-object decision: each group of classes is one foreground

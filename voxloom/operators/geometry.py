@@ -1,4 +1,10 @@
-"""Volumes of different shapes in one plan."""
+"""Volumes of different shapes in one plan.
+
+Spatial operators take ``dims``: the shape (z, y, x) all volumes have, or a
+geometry table (keys, depth, height, width and, where it matters, spacing_z,
+spacing_y, spacing_x).  Either way each row carries the shape of its own volume
+to the task that works on its tile, so one plan serves any number of shapes.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +15,57 @@ from pyspark.sql import functions as F
 
 from voxloom.support import ZYX, attach, materialize
 
-#: Axis sizes of a geometry table, in the order of (z, y, x).
+#: Axis sizes and voxel sizes of a geometry table, in the order of (z, y, x), and the names they travel under.
 SIZES = ("depth", "height", "width")
+SPACINGS = ("spacing_z", "spacing_y", "spacing_x")
+SHAPE, STEP = ("_dz", "_dy", "_dx"), ("_sz", "_sy", "_sx")
+
+Dims = Sequence[int] | DataFrame
+Spacing = Sequence[float] | DataFrame
+
+
+def placed(voxels: DataFrame, keys: Sequence[str], dims: Dims, spacing: Spacing | None = None) -> DataFrame:
+    """Voxels with the shape of their volume in ``SHAPE`` (and its spacing in ``STEP``), as tile tasks expect them.
+
+    A geometry table is joined on those of the ``keys`` that it has.  A voxel outside its volume's shape, or of a volume without one, is an error when the plan runs.
+    """
+    names = [(*n, "int") for n in zip(SIZES, SHAPE)] if isinstance(dims, DataFrame) else []
+    steps = [(*n, "double") for n in zip(SPACINGS, STEP)] if isinstance(spacing, DataFrame) else []
+    out = voxels
+    for table, columns in ((dims, names), (spacing, steps)):
+        if columns:
+            on = [k for k in keys if k in table.columns]
+            out = attach(out, table.select(*on, *[F.col(a).cast(kind).alias(b) for a, b, kind in columns]), on, "left")
+    if not names:
+        out = out.withColumns({c: F.lit(int(n)) for c, n in zip(SHAPE, dims)})
+    if spacing is not None and not steps:
+        out = out.withColumns({c: F.lit(float(s)) for c, s in zip(STEP, spacing)})
+    inside = F.lit(True)
+    for axis, size in zip(ZYX, SHAPE):
+        inside = inside & (F.col(axis) >= 0) & (F.col(axis) < F.col(size))
+    if steps:
+        inside = inside & F.col(STEP[0]).isNotNull()
+    wrong = F.raise_error(F.concat(F.lit("a voxel lies outside the shape of its volume: "), F.to_json(F.struct(*keys, *ZYX))))
+    return out.withColumn(SHAPE[0], F.when(F.coalesce(inside, F.lit(False)), F.col(SHAPE[0])).otherwise(wrong.cast("int")))
+
+
+def one_tile(dims: Dims, tile: Sequence[int]) -> bool:
+    """Whether every volume is known to fit in one tile; ``placed`` has then ruled out any other voxel."""
+    return not isinstance(dims, DataFrame) and all(d <= s for d, s in zip(dims, tile))
+
+
+def keep_axis(new: Dims, old: Dims, axis: int, keys: Sequence[str]) -> Dims:
+    """The shapes ``new`` with the size along one axis of ``old``."""
+    name = SIZES[axis]
+    if not isinstance(new, DataFrame) and not isinstance(old, DataFrame):
+        return [*new[:axis], old[axis], *new[axis + 1:]]
+    if not isinstance(old, DataFrame):
+        return new.withColumn(name, F.lit(int(old[axis])))
+    on = [k for k in keys if k in old.columns]
+    sizes = old.select(*on, *SIZES)
+    if isinstance(new, DataFrame):
+        return sizes.select(*on, name).join(new.drop(name), on)
+    return sizes.withColumns({n: F.lit(int(v)) for n, v in zip(SIZES, new) if n != name})
 
 
 def with_shape(voxels: DataFrame, geometry: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -30,8 +85,9 @@ def per_shape(voxels: DataFrame, geometry: DataFrame, keys: Sequence[str],
               run: Callable[[DataFrame, tuple[int, int, int]], DataFrame], limit: int = 64) -> DataFrame:
     """Union of ``run(voxels of one shape, shape)`` over the shapes of the geometry table.
 
-    One branch of the plan per shape, so at most ``limit`` different shapes;
-    more are an error, never a subset.
+    For operators of one shape from elsewhere; those of this library take the
+    geometry table itself as ``dims``.  One branch of the plan per shape, so at
+    most ``limit`` different shapes; more are an error, never a subset.
     """
     shapes = [tuple(r) for r in geometry.select(*SIZES).distinct().orderBy(*SIZES).limit(limit + 1).collect()]
     if len(shapes) > limit:

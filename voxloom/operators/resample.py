@@ -2,7 +2,8 @@
 
 Target index i reads source coordinate scale * (i + 0.5) - 0.5, clamped to the
 volume. Each source voxel computes the targets it contributes to, so resampling
-is a projection plus, for interpolation, one aggregation.
+is a projection plus, for interpolation, one aggregation. Old and new shapes are
+given for all volumes, or by geometry tables with the shapes of each.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxloom.operators.geometry import SHAPE, SIZES, Dims, placed
 from voxloom.support import ZYX, attach, spread
 
 ANISOTROPY_LIMIT = 3.0
+#: New axis sizes, as they travel with the voxels.
+TARGET = ("_nz", "_ny", "_nx")
 
 
 def new_shape(shape: Column, spacing: Column, target: Column) -> Column:
@@ -40,62 +44,85 @@ def separate_axis(spacing: Column, target: Column, limit: float = ANISOTROPY_LIM
     return F.when(anisotropic(spacing), lowres(spacing)).when(anisotropic(target), lowres(target))
 
 
-def _source(i: Column, old: int, new: int) -> Column:
-    c = (i + F.lit(0.5)) * F.lit(old / new) - F.lit(0.5)
-    return F.least(F.greatest(c, F.lit(0.0)), F.lit(float(old - 1)))
+Size = int | Column
 
 
-def _candidates(s: Column, old: int, new: int) -> Column:
+def _column(value: float | Column) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def _source(i: Column, old: Size, new: Size) -> Column:
+    c = (i + F.lit(0.5)) * _column(old / new) - F.lit(0.5)
+    return F.least(F.greatest(c, F.lit(0.0)), _column(old - 1).cast("double"))
+
+
+def _candidates(s: Column, old: Size, new: Size) -> Column:
     # targets whose clamped coordinate can lie within one step of source s
     ratio = new / old
     low = F.when(s == 0, F.lit(0)).otherwise(F.floor((s - 1) * ratio).cast("int") - 1)
-    high = F.when(s == old - 1, F.lit(new - 1)).otherwise(F.ceil((s + 2) * ratio).cast("int") + 1)
-    return F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.lit(new - 1)))
+    high = F.when(s == old - 1, _column(new - 1)).otherwise(F.ceil((s + 2) * ratio).cast("int") + 1)
+    return F.sequence(F.greatest(low, F.lit(0)), F.least(high, _column(new - 1)))
 
 
-def nearest_targets(axis: str, old: int, new: int) -> Column:
+def nearest_targets(axis: str, old: Size, new: Size) -> Column:
     s = F.col(axis)
     return F.filter(_candidates(s, old, new), lambda i: F.rint(_source(i, old, new)) == s)
 
 
-def linear_targets(axis: str, old: int, new: int) -> Column:
+def linear_targets(axis: str, old: Size, new: Size) -> Column:
     s = F.col(axis)
     weighted = F.transform(_candidates(s, old, new), lambda i: F.struct(
         i.alias("i"), (1 - F.abs(_source(i, old, new) - s)).alias("w")))
     return F.filter(weighted, lambda t: t["w"] > 0)
 
 
-def resample_nearest(voxels: DataFrame, old: Sequence[int], new: Sequence[int]) -> DataFrame:
-    out = voxels
-    for axis, a, b in zip(ZYX, old, new):
-        if a != b:
-            out = out.withColumn(axis, F.explode(nearest_targets(axis, a, b)))
-    return out
+def with_target(voxels: DataFrame, keys: Sequence[str], old: Dims, new: Dims) -> DataFrame:
+    """Placed voxels with the new sizes of their volume in ``TARGET``; a volume without one is an error."""
+    out = placed(voxels, keys, old)
+    if not isinstance(new, DataFrame):
+        return out.withColumns({c: F.lit(int(n)) for c, n in zip(TARGET, new)})
+    on = [k for k in keys if k in new.columns]
+    out = attach(out, new.select(*on, *[F.col(a).cast("int").alias(b) for a, b in zip(SIZES, TARGET)]), on, "left")
+    missing = F.raise_error(F.lit("a volume has no new shape")).cast("int")
+    return out.withColumn(TARGET[0], F.coalesce(TARGET[0], missing))
+
+
+def _sized(voxels: DataFrame, keys: Sequence[str], old: Dims, new: Dims) -> tuple[DataFrame, list[tuple[str, Size, Size]]]:
+    """Voxels and (axis, old size, new size) of the axes that change, as numbers or as columns of the voxels."""
+    if not isinstance(old, DataFrame) and not isinstance(new, DataFrame):
+        return voxels, [(axis, int(a), int(b)) for axis, a, b in zip(ZYX, old, new) if a != b]
+    return with_target(voxels, keys, old, new), [(axis, F.col(a), F.col(b)) for axis, a, b in zip(ZYX, SHAPE, TARGET)]
+
+
+def resample_nearest(voxels: DataFrame, old: Dims, new: Dims, keys: Sequence[str] = ()) -> DataFrame:
+    """Each new voxel takes the nearest old one. Geometry tables are joined on their columns among ``keys``."""
+    out, axes = _sized(voxels, keys, old, new)
+    for axis, a, b in axes:
+        out = out.withColumn(axis, F.explode(nearest_targets(axis, a, b)))
+    return out.select(*voxels.columns)
 
 
-def _spread(voxels: DataFrame, old: Sequence[int], new: Sequence[int]) -> DataFrame:
-    out = voxels.withColumn("_w", F.lit(1.0))
-    for axis, a, b in zip(ZYX, old, new):
-        if a != b:
-            out = (out.withColumn("_t", F.explode(linear_targets(axis, a, b)))
-                   .withColumns({axis: F.col("_t.i"), "_w": F.col("_w") * F.col("_t.w")}).drop("_t"))
+def _spread(voxels: DataFrame, keys: Sequence[str], old: Dims, new: Dims) -> DataFrame:
+    out, axes = _sized(voxels.withColumn("_w", F.lit(1.0)), keys, old, new)
+    for axis, a, b in axes:
+        out = (out.withColumn("_t", F.explode(linear_targets(axis, a, b)))
+               .withColumns({axis: F.col("_t.i"), "_w": F.col("_w") * F.col("_t.w")}).drop("_t"))
     return out
 
 
-def resample_linear(voxels: DataFrame, keys: Sequence[str], value: str, old: Sequence[int], new: Sequence[int],
-                    ) -> DataFrame:
+def resample_linear(voxels: DataFrame, keys: Sequence[str], value: str, old: Dims, new: Dims) -> DataFrame:
     """Linear interpolation of the zero-background volume; zero results are absent."""
-    return (_spread(voxels, old, new).groupBy(*keys, *ZYX)
+    return (_spread(voxels, keys, old, new).groupBy(*keys, *ZYX)
             .agg(F.sum(F.col(value) * F.col("_w")).alias(value)).where(F.col(value) != 0))
 
 
-def resample_labels(voxels: DataFrame, keys: Sequence[str], label: str, old: Sequence[int], new: Sequence[int],
+def resample_labels(voxels: DataFrame, keys: Sequence[str], label: str, old: Dims, new: Dims,
                     first_wins: bool = False) -> DataFrame:
     """Linear interpolation of each label's indicator, kept from one half on.
 
     On overlap the later label wins, or the first one for slice upsampling.
     """
-    cover = (_spread(voxels.where(F.col(label) > 0), old, new).groupBy(*keys, *ZYX, label)
+    cover = (_spread(voxels.where(F.col(label) > 0), keys, old, new).groupBy(*keys, *ZYX, label)
              .agg(F.round(F.sum("_w"), 9).alias("_c")).where(F.col("_c") >= 0.5))
     pick = F.min if first_wins else F.max
     return cover.groupBy(*keys, *ZYX).agg(pick(label).alias(label))
@@ -131,7 +158,7 @@ def cubic_lines(lines: np.ndarray, new: int, margin: int = 12) -> np.ndarray:
     return out
 
 
-def resample_cubic(voxels: DataFrame, keys: Sequence[str], value: str, old: Sequence[int], new: Sequence[int],
+def resample_cubic(voxels: DataFrame, keys: Sequence[str], value: str, old: Dims, new: Dims,
                    bundle: Sequence[int] = (8, 64)) -> DataFrame:
     """Cubic spline resampling, clipped to the value range of each case.
 
@@ -139,26 +166,32 @@ def resample_cubic(voxels: DataFrame, keys: Sequence[str], value: str, old: Sequ
     most bundle[0] x bundle[1] of them; values below 1e-12 are dropped.
     """
     keys = list(keys)
-    rows = voxels.select(*keys, *ZYX, F.col(value).cast("double").alias("_v"))
     # absent voxels are 0 and belong to the range
     limits = voxels.groupBy(*keys).agg(F.least(F.min(value), F.lit(0)).alias("_lo"), F.greatest(F.max(value), F.lit(0)).alias("_hi"))
+    rows = with_target(voxels.select(*keys, *ZYX, F.col(value).cast("double").alias("_v")), keys, old, new)
+    inner = [*keys, *SHAPE, *TARGET]
+    rows = rows.select(*inner, *ZYX, "_v")
     schema = T.StructType(rows.schema.fields)
-    for axis, (a, b) in enumerate(zip(old, new)):
-        if a == b:
+    fixed = not isinstance(old, DataFrame) and not isinstance(new, DataFrame)
+    for axis in range(3):
+        if fixed and old[axis] == new[axis]:
             continue
         rest = [x for x in ZYX if x != ZYX[axis]]
         blocks = {f"_b{i}": F.floor(F.col(c) / s).cast("int") for i, (c, s) in enumerate(zip(rest, bundle))}
-        rows = spread(rows.withColumns(blocks), *keys, "_b0", "_b1").groupBy(*keys, "_b0", "_b1").applyInPandas(
-            _line_resampler(keys, axis, rest, int(a), int(b), tuple(bundle)), schema)
+        rows = spread(rows.withColumns(blocks), *keys, "_b0", "_b1").groupBy(*inner, "_b0", "_b1").applyInPandas(
+            _line_resampler(inner, axis, rest, tuple(bundle)), schema)
     clipped = F.least(F.greatest(F.col("_v"), F.col("_lo")), F.col("_hi"))
     return (attach(rows, limits, keys).withColumn(value, clipped).where(F.abs(value) > 1e-12)
             .select(*keys, *ZYX, value))
 
 
-def _line_resampler(keys, axis, rest, old, new, bundle):
+def _line_resampler(keys, axis, rest, bundle):
     name = ZYX[axis]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        old, new = int(pdf[SHAPE[axis]].iloc[0]), int(pdf[TARGET[axis]].iloc[0])
+        if old == new:
+            return pdf[[*keys, *ZYX, "_v"]]
         corner = [int(pdf[f"_b{i}"].iloc[0]) * bundle[i] for i in range(2)]
         grid = np.zeros((old, *bundle))
         grid[pdf[name], pdf[rest[0]] - corner[0], pdf[rest[1]] - corner[1]] = pdf["_v"]
@@ -172,8 +205,7 @@ def _line_resampler(keys, axis, rest, old, new, bundle):
     return run
 
 
-def average_pool(voxels: DataFrame, keys: Sequence[str], label: str, factors: Sequence[int],
-                 dims: Sequence[int]) -> DataFrame:
+def average_pool(voxels: DataFrame, keys: Sequence[str], label: str, factors: Sequence[int], dims: Dims) -> DataFrame:
     """Share of each label per pooling window; background shares are left implicit.
 
     Windows of ``factors`` cells start (f - 1) // 2 cells before the edge of
@@ -183,12 +215,12 @@ def average_pool(voxels: DataFrame, keys: Sequence[str], label: str, factors: Se
     pads = [(f - 1) // 2 for f in factors]
     window = [F.floor((F.col(a) + p) / f).cast("int").alias(a) for a, f, p in zip(ZYX, factors, pads)]
     cells, fits = F.lit(1), F.lit(True)
-    for a, f, p, size in zip(ZYX, factors, pads, dims):
+    for a, f, p, size in zip(ZYX, factors, pads, map(F.col, SHAPE)):
         start = F.col(a) * f - p
-        cells = cells * (F.least(start + f, F.lit(size)) - F.greatest(start, F.lit(0)))
-        fits = fits & (F.col(a) < (size + 2 * p - f) // f + 1)
-    return (voxels.groupBy(*keys, *window, label).agg(F.count("*").alias("_n")).where(fits)
-            .withColumn("share", F.round(F.col("_n") / cells.cast("double"), 6)).drop("_n"))
+        cells = cells * (F.least(start + f, size) - F.greatest(start, F.lit(0)))
+        fits = fits & (F.col(a) < F.floor((size + (2 * p - f)) / f) + 1)
+    return (placed(voxels, keys, dims).groupBy(*keys, *SHAPE, *window, label).agg(F.count("*").alias("_n")).where(fits)
+            .withColumn("share", F.round(F.col("_n") / cells.cast("double"), 6)).drop("_n", *SHAPE))
 
 
 def pad_to_multiple(size: Column, multiple: Column) -> Column:

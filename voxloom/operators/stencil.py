@@ -1,8 +1,10 @@
 """Neighbourhood operators on tiles with a halo.
 
 Each voxel goes to its own tile and to the tiles whose halo it lies in; a task
-sees one tile plus halo, never a volume. Long-range growth runs in rounds of a
-few steps, each round written to the shared folder.
+sees one tile plus halo, never a volume. The shape of a volume travels in its
+rows (``geometry.placed``) and is one of the grouping keys inside this module.
+Long-range growth runs in rounds of a few steps, each round written to the
+shared folder.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.operators.components import connected_components, label_points, star_roots
+from voxloom.operators.components import connected_components, label_points, star_roots, touching_pairs
+from voxloom.operators.geometry import SHAPE, STEP, Dims, Spacing, one_tile, placed
 from voxloom.support import ZYX, attach, full_offsets, materialize, spread, stage
 
 TILE = (64, 64, 64)
@@ -25,12 +28,12 @@ TILE_COLUMNS = ("_tz", "_ty", "_tx")
 Offsets = Sequence[tuple[int, int, int]]
 
 
-def with_halo(rows: DataFrame, dims: Sequence[int], tile: Sequence[int], halo: Sequence[int]) -> DataFrame:
-    """Add tile indices, repeating the rows that neighbouring tiles need."""
+def with_halo(rows: DataFrame, tile: Sequence[int], halo: Sequence[int]) -> DataFrame:
+    """Add tile indices to placed rows, repeating the rows that neighbouring tiles need."""
     out = rows
-    for axis, column, size, extent, reach in zip(ZYX, TILE_COLUMNS, tile, dims, halo):
+    for axis, column, size, extent, reach in zip(ZYX, TILE_COLUMNS, tile, SHAPE, halo):
         low = F.greatest(F.lit(0), F.floor((F.col(axis) - reach) / size)).cast("int")
-        high = F.least(F.lit((extent - 1) // size), F.floor((F.col(axis) + reach) / size)).cast("int")
+        high = F.least(F.floor((F.col(extent) - 1) / size), F.floor((F.col(axis) + reach) / size)).cast("int")
         out = out.withColumn(column, F.explode(F.sequence(low, high)) if reach else low)
     return out
 
@@ -38,9 +41,10 @@ def with_halo(rows: DataFrame, dims: Sequence[int], tile: Sequence[int], halo: S
 class Window:
     """The part of a volume one task sees: tile core, halo, and their bounds."""
 
-    def __init__(self, pdf: pd.DataFrame, dims, tile, halo):
+    def __init__(self, pdf: pd.DataFrame, tile, halo):
         index = pdf[list(TILE_COLUMNS)].iloc[0].to_numpy(np.int64)
-        size, extent, reach = np.array(tile), np.array(dims), np.array(halo)
+        self.extent = extent = pdf[list(SHAPE)].iloc[0].to_numpy(np.int64)
+        size, reach = np.array(tile), np.array(halo)
         self.core_low = index * size
         self.core_high = np.minimum(self.core_low + size, extent)
         self.low = np.maximum(self.core_low - reach, 0)
@@ -86,7 +90,7 @@ def _key_frame(pdf: pd.DataFrame, keys: Sequence[str], points: np.ndarray, **val
     return pd.DataFrame(frame)
 
 
-def border_voxels(voxels: DataFrame, keys: Sequence[str], code: str, dims: Sequence[int], offsets: Offsets,
+def border_voxels(voxels: DataFrame, keys: Sequence[str], code: str, dims: Dims, offsets: Offsets,
                   outside_is_border: bool, tile: Sequence[int] = TILE) -> DataFrame:
     """Voxels that an erosion of their own code removes.
 
@@ -95,10 +99,10 @@ def border_voxels(voxels: DataFrame, keys: Sequence[str], code: str, dims: Seque
     """
     halo = tuple(int(r) for r in reach_of(offsets))
     columns = [*keys, *ZYX, code]
-    rows = with_halo(voxels.select(*columns), dims, tile, halo)
+    rows = with_halo(placed(voxels.select(*columns), keys, dims), tile, halo)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        window = Window(pdf, dims, tile, halo)
+        window = Window(pdf, tile, halo)
         grid = np.zeros(window.shape, np.int64)
         place = window.place(pdf)
         codes = pdf[code].to_numpy(np.int64)
@@ -107,7 +111,7 @@ def border_voxels(voxels: DataFrame, keys: Sequence[str], code: str, dims: Seque
         for offset in offsets:
             near = [p + d for p, d in zip(place, offset)]
             absolute = [n + o for n, o in zip(near, window.low)]
-            inside = np.logical_and.reduce([(a >= 0) & (a < n) for a, n in zip(absolute, dims)])
+            inside = np.logical_and.reduce([(a >= 0) & (a < n) for a, n in zip(absolute, window.extent)])
             # beyond the halo only for rows that are themselves in the halo
             known = np.logical_and.reduce([(n >= 0) & (n < s) for n, s in zip(near, window.shape)])
             value = grid[tuple(np.clip(n, 0, s - 1) for n, s in zip(near, window.shape))]
@@ -188,13 +192,13 @@ def _tile_fields() -> list[T.StructField]:
     return [T.StructField(c, T.IntegerType()) for c in TILE_COLUMNS]
 
 
-def packed_tiles(voxels: DataFrame, keys: Sequence[str], value: str | None, dims, tile, dtype) -> DataFrame:
-    """One row per tile with its dense, compressed block (``block``)."""
-    rows = with_halo(voxels.select(*keys, *ZYX, *([value] if value else [])), dims, tile, (0, 0, 0))
+def packed_tiles(voxels: DataFrame, keys: Sequence[str], value: str | None, tile, dtype) -> DataFrame:
+    """One row per tile of placed voxels with its dense, compressed block (``block``); ``SHAPE`` is part of ``keys``."""
+    rows = with_halo(voxels.select(*keys, *ZYX, *([value] if value else [])), tile, (0, 0, 0))
     schema = T.StructType([*_key_fields(voxels, keys), *_tile_fields(), T.StructField("block", T.BinaryType())])
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        window = Window(pdf, dims, tile, (0, 0, 0))
+        window = Window(pdf, tile, (0, 0, 0))
         grid = np.zeros(window.shape, dtype)
         grid[window.place(pdf)] = pdf[value].to_numpy() if value else 1
         out = pdf[[*keys, *TILE_COLUMNS]].iloc[:1].copy()
@@ -203,7 +207,7 @@ def packed_tiles(voxels: DataFrame, keys: Sequence[str], value: str | None, dims
     return spread(rows, *keys, *TILE_COLUMNS).groupBy(*keys, *TILE_COLUMNS).applyInPandas(pack, schema)
 
 
-def unpacked_voxels(tiles: DataFrame, keys: Sequence[str], block: str, value: str | None, dims, tile, dtype) -> DataFrame:
+def unpacked_voxels(tiles: DataFrame, keys: Sequence[str], block: str, value: str | None, tile, dtype) -> DataFrame:
     """Nonzero voxels of the blocks."""
     fields = [*_key_fields(tiles, keys), *[T.StructField(a, T.IntegerType()) for a in ZYX]]
     if value:
@@ -213,7 +217,7 @@ def unpacked_voxels(tiles: DataFrame, keys: Sequence[str], block: str, value: st
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.iloc[i:i + 1]
-                window = Window(row, dims, tile, (0, 0, 0))
+                window = Window(row, tile, (0, 0, 0))
                 grid = _unpack(row[block].iloc[0], window.shape, dtype)
                 points, inside = window.core_points(grid != 0)
                 extra = {value: grid[tuple(inside.T)].astype(np.int64)} if value else {}
@@ -221,21 +225,21 @@ def unpacked_voxels(tiles: DataFrame, keys: Sequence[str], block: str, value: st
     return spread(tiles.select(*keys, *TILE_COLUMNS, block), *keys, *TILE_COLUMNS).mapInPandas(unpack, T.StructType(fields))
 
 
-def halo_pieces(tiles: DataFrame, keys: Sequence[str], block: str, dims, tile, halo, dtype) -> DataFrame:
+def halo_pieces(tiles: DataFrame, keys: Sequence[str], block: str, tile, halo, dtype) -> DataFrame:
     """Send each tile's block to itself and, cut to what they need, to the tiles
     whose halo overlaps it. Empty cuts are not sent."""
     corner = [T.StructField(c + a, T.IntegerType()) for c in ("_lo", "_hi") for a in ZYX]
     schema = T.StructType([*_key_fields(tiles, keys), *_tile_fields(), *corner, T.StructField("piece", T.BinaryType())])
-    size, extent, reach = np.array(tile), np.array(dims), np.array(halo)
+    size, reach = np.array(tile), np.array(halo)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.iloc[i:i + 1]
-                window = Window(row, dims, tile, (0, 0, 0))
+                window = Window(row, tile, (0, 0, 0))
                 grid = _unpack(row[block].iloc[0], window.shape, dtype)
                 first = np.maximum(window.core_low - reach, 0) // size
-                last = np.minimum(window.core_high - 1 + reach, extent - 1) // size
+                last = np.minimum(window.core_high - 1 + reach, window.extent - 1) // size
                 found = []
                 for target in itertools.product(*[range(f, n + 1) for f, n in zip(first, last)]):
                     low = np.maximum(np.array(target) * size - reach, window.core_low)
@@ -261,9 +265,9 @@ def _assemble(pdf: pd.DataFrame, window: Window, dtype) -> np.ndarray:
     return grid
 
 
-def _dilator(keys: Sequence[str], dims, tile, halo, boxes, iterations: int) -> Callable:
+def _dilator(keys: Sequence[str], tile, halo, boxes, iterations: int) -> Callable:
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        window = Window(pdf, dims, tile, halo)
+        window = Window(pdf, tile, halo)
         grid = _assemble(pdf, window, np.uint8)
         for _ in range(iterations):
             if grid[window.core].all():
@@ -275,27 +279,27 @@ def _dilator(keys: Sequence[str], dims, tile, halo, boxes, iterations: int) -> C
     return grow
 
 
-def dilate(voxels: DataFrame, keys: Sequence[str], dims: Sequence[int], boxes: Sequence[Sequence[int]],
+def dilate(voxels: DataFrame, keys: Sequence[str], dims: Dims, boxes: Sequence[Sequence[int]],
            iterations: int = 1, per_round: int = 16, tile: Sequence[int] = TILE) -> DataFrame:
     """Binary dilation by a union of boxes, repeated ``iterations`` times inside the volume.
 
     Between rounds the volume travels as compressed tile blocks, not as voxels.
     """
-    keys = list(keys)
-    state = packed_tiles(voxels, keys, None, dims, tile, np.uint8)
+    outer, keys = list(keys), [*keys, *SHAPE]
+    state = packed_tiles(placed(voxels, outer, dims), keys, None, tile, np.uint8)
     schema = state.schema
     for start in range(0, iterations, per_round):
         steps = min(per_round, iterations - start)
         halo = tuple(int(r) * steps for r in np.max(boxes, axis=0))
-        pieces = halo_pieces(state, keys, "block", dims, tile, halo, np.uint8)
-        grow = _dilator(keys, dims, tile, halo, boxes, steps)
+        pieces = halo_pieces(state, keys, "block", tile, halo, np.uint8)
+        grow = _dilator(keys, tile, halo, boxes, steps)
         state = spread(pieces, *keys, *TILE_COLUMNS).groupBy(*keys, *TILE_COLUMNS).applyInPandas(grow, schema)
         if start + steps < iterations:
             state = materialize(state)
-    return unpacked_voxels(state, keys, "block", None, dims, tile, np.uint8)
+    return unpacked_voxels(state, keys, "block", None, tile, np.uint8).drop(*SHAPE)
 
 
-def expand_labels(voxels: DataFrame, keys: Sequence[str], label: str, dims: Sequence[int], radius: int,
+def expand_labels(voxels: DataFrame, keys: Sequence[str], label: str, dims: Dims, radius: int,
                   tile: Sequence[int] = TILE) -> DataFrame:
     """Every background voxel within ``radius`` takes the nearest label.
 
@@ -304,10 +308,10 @@ def expand_labels(voxels: DataFrame, keys: Sequence[str], label: str, dims: Sequ
     """
     halo = (radius,) * 3
     limit = 1 << 31
-    rows = with_halo(voxels.where(F.col(label) > 0).select(*keys, *ZYX, label), dims, tile, halo)
+    rows = with_halo(placed(voxels.where(F.col(label) > 0).select(*keys, *ZYX, label), keys, dims), tile, halo)
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        window = Window(pdf, dims, tile, halo)
+        window = Window(pdf, tile, halo)
         far = np.int64(3 * radius * radius + 1) * limit
         grid = np.full(window.shape, far, np.int64)
         grid[window.place(pdf)] = pdf[label].to_numpy(np.int64)
@@ -327,27 +331,26 @@ def expand_labels(voxels: DataFrame, keys: Sequence[str], label: str, dims: Sequ
     return spread(rows, *keys, *TILE_COLUMNS).groupBy(*keys, *TILE_COLUMNS).applyInPandas(nearest, schema)
 
 
-def fill_holes(mask: DataFrame, keys: Sequence[str], dims: Sequence[int], tile: Sequence[int] = TILE) -> DataFrame:
+def fill_holes(mask: DataFrame, keys: Sequence[str], dims: Dims, tile: Sequence[int] = TILE) -> DataFrame:
     """Background voxels that no face path connects to the volume edge.
 
     Background components are labelled per tile; their face voxels are matched
     across tiles and the components that reach the edge are removed.
     """
     keys = list(keys)
-    counts = [(d + s - 1) // s for d, s in zip(dims, tile)]
-    grid = mask.select(*keys).distinct()
-    for column, n in zip(TILE_COLUMNS, counts):
-        grid = grid.withColumn(column, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    own = with_halo(placed(mask.select(*keys, *ZYX), keys, dims), tile, (0, 0, 0))
+    grid = own.select(*keys, *SHAPE).distinct()
+    for column, extent, s in zip(TILE_COLUMNS, SHAPE, tile):
+        grid = grid.withColumn(column, F.explode(F.sequence(F.lit(0), F.floor((F.col(extent) - 1) / s).cast("int"))))
     # one marker row per tile, so that tiles without any mask voxel are seen too
     marker = grid.withColumns({a: F.lit(-1) for a in ZYX})
-    own = with_halo(mask.select(*keys, *ZYX), dims, tile, (0, 0, 0))
     rows = own.unionByName(marker.select(*own.columns))
     schema = T.StructType([*mask.select(*keys, *ZYX).schema.fields, T.StructField("component", T.LongType()),
                            T.StructField("open", T.BooleanType())])
-    extent = np.array(dims)
 
     def background(pdf: pd.DataFrame) -> pd.DataFrame:
-        window = Window(pdf, dims, tile, (0, 0, 0))
+        window = Window(pdf, tile, (0, 0, 0))
+        extent = window.extent
         free = np.ones(window.shape, bool)
         real = pdf[pdf["z"] >= 0]
         free[window.place(real)] = False
@@ -365,10 +368,9 @@ def fill_holes(mask: DataFrame, keys: Sequence[str], dims: Sequence[int], tile:
         return _key_frame(pdf, keys, points[keep], component=lin[roots][keep], open=is_open[keep])
 
     found = spread(rows, *keys, *TILE_COLUMNS).groupBy(*keys, *TILE_COLUMNS).applyInPandas(background, schema)
-    if all(n == 1 for n in counts):
+    if one_tile(dims, tile):
         return found.where(~F.col("open")).select(*keys, *ZYX)
     found = materialize(found)
-    from voxloom.operators.components import touching_pairs
     roots = star_roots(touching_pairs(found, keys, 6, None, tile), keys)
     roots = roots.withColumnRenamed("node", "component")
     # verdicts on components, not voxels: the open outside of a volume is one row per tile component
@@ -395,16 +397,16 @@ def growth_steps(spacing: Sequence[float], count: int, done: int = 0) -> list[Of
     return out[done:]
 
 
-def _instance_grower(keys: Sequence[str], dims, tile, halo, steps: Sequence[Offsets]) -> Callable:
+def _instance_grower(keys: Sequence[str], tile, halo, count: int, done: int) -> Callable:
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        window = Window(pdf, dims, tile, halo)
+        window = Window(pdf, tile, halo)
         asking = pdf["asked"]
         grid = _assemble(pdf[~asking], window, np.int64)
         wanted = np.zeros([h - c for c, h in zip(window.core_low, window.core_high)], np.uint8)
         for data in pdf.loc[asking, "piece"]:
             wanted = _unpack(data, wanted.shape, np.uint8).copy()
         answer = np.zeros(wanted.shape, np.int64)
-        for structure in steps:
+        for structure in growth_steps(tuple(pdf[list(STEP)].iloc[0]), count, done):
             free = grid[window.core] == 0
             grid = _dilate_grid(grid, structure)
             fresh = free & (wanted > 0) & (grid[window.core] > 0)
@@ -420,54 +422,60 @@ def _instance_grower(keys: Sequence[str], dims, tile, halo, steps: Sequence[Offs
     return grow
 
 
-def grow_instances(cores: DataFrame, border: DataFrame, keys: Sequence[str], dims: Sequence[int],
-                   spacing: Sequence[float] = (1.0, 1.0, 1.0), instance: str = "instance", per_round: int = 6,
+def grow_instances(cores: DataFrame, border: DataFrame, keys: Sequence[str], dims: Dims,
+                   spacing: Spacing = (1.0, 1.0, 1.0), instance: str = "instance", per_round: int = 6,
                    tile: Sequence[int] = TILE) -> DataFrame:
     """Give each border voxel the instance whose growth reaches it first.
 
     Instances grow through the whole volume; where several arrive together the
     largest id wins. Volumes without any core leave their border at 0. Between
     rounds labels and open border voxels travel as compressed tile blocks.
+    Shapes and spacings may differ from volume to volume.
     """
-    keys = list(keys)
-    columns = [*keys, *ZYX]
+    outer = list(keys)
+    keys = [*outer, *SHAPE, *STEP]
+    columns = [*outer, *ZYX]
     seeds = cores.select(*columns, F.col(instance).cast("long").alias("label"))
-    state = packed_tiles(seeds, keys, "label", dims, tile, np.int64)
-    left = packed_tiles(border, keys, None, dims, tile, np.uint8).withColumnRenamed("block", "wanted")
-    schema = T.StructType([*_key_fields(cores, keys), *_tile_fields(), *[
+    state = packed_tiles(placed(seeds, outer, dims, spacing), keys, "label", tile, np.int64)
+    key_fields = _key_fields(state, keys)
+    left = packed_tiles(placed(border.select(*columns), outer, dims, spacing), keys, None, tile, np.uint8)
+    left = left.withColumnRenamed("block", "wanted")
+    schema = T.StructType([*key_fields, *_tile_fields(), *[
         T.StructField(n, T.BinaryType()) for n in ("block", "wanted", "answer")],
         T.StructField("open", T.LongType()), T.StructField("grown", T.BooleanType())])
     result = seeds.withColumnRenamed("label", instance)
     # cases with border but no core can never be answered
-    started = cores.select(*keys).distinct()
+    started = materialize(cores.select(*outer).distinct())
     result = result.unionByName(
-        border.select(*columns).join(materialize(started), keys, "left_anti").withColumn(instance, F.lit(0).cast("long")))
-    left = left.join(materialize(started), keys, "left_semi")
+        border.select(*columns).join(started, outer, "left_anti").withColumn(instance, F.lit(0).cast("long")))
+    left = left.join(started, outer, "left_semi")
+    # no axis moves more than once a step, whatever the spacing of a volume
+    halo = ((per_round,) * 3 if isinstance(spacing, DataFrame) else None)
     done = 0
     rounds: list[str] = []
     while True:
-        steps = growth_steps(spacing, per_round, done)
-        halo = tuple(int(r) for r in sum(reach_of(s) for s in steps))
-        done += per_round
-        pieces = halo_pieces(state, keys, "block", dims, tile, halo, np.int64).withColumn("asked", F.lit(False))
+        reach = halo or tuple(int(r) for r in sum(reach_of(s) for s in growth_steps(spacing, per_round, done)))
+        pieces = halo_pieces(state, keys, "block", tile, reach, np.int64).withColumn("asked", F.lit(False))
         asking = left.select(*keys, *TILE_COLUMNS, *[F.lit(0).alias(c + a) for c in ("_lo", "_hi") for a in ZYX],
                              F.col("wanted").alias("piece"), F.lit(True).alias("asked"))
-        grow = _instance_grower(keys, dims, tile, halo, steps)
+        grow = _instance_grower(keys, tile, reach, per_round, done)
+        done += per_round
         rows = spread(pieces.unionByName(asking), *keys, *TILE_COLUMNS)
         rounds.append(stage(rows.groupBy(*keys, *TILE_COLUMNS).applyInPandas(grow, schema)))
         out = cores.sparkSession.read.schema(schema).parquet(rounds[-1])
-        waiting = materialize(out.groupBy(*keys).agg(F.sum("open").alias("_o")).where(F.col("_o") > 0).select(*keys))
+        waiting = materialize(out.groupBy(*outer).agg(F.sum("open").alias("_o")).where(F.col("_o") > 0).select(*outer))
         if waiting.isEmpty():
             # the answers of all rounds as one table: the plan does not grow with their number
             answers = cores.sparkSession.read.schema(schema).parquet(*rounds)
-            return result.unionByName(unpacked_voxels(answers, keys, "answer", instance, dims, tile, np.int64))
+            return result.unionByName(unpacked_voxels(answers, keys, "answer", instance, tile, np.int64)
+                                      .drop(*SHAPE, *STEP))
         # only the cases that still wait go on
-        state = attach(out.where("grown").select(*keys, *TILE_COLUMNS, "block"), waiting, keys, "left_semi")
+        state = attach(out.where("grown").select(*keys, *TILE_COLUMNS, "block"), waiting, outer, "left_semi")
         left = out.where(F.col("open") > 0).select(*keys, *TILE_COLUMNS, "wanted")
 
 
-def instances_from_core_and_border(voxels: DataFrame, keys: Sequence[str], code: str, dims: Sequence[int],
-                                   spacing: Sequence[float] = (1.0, 1.0, 1.0), small_core: int | None = None,
+def instances_from_core_and_border(voxels: DataFrame, keys: Sequence[str], code: str, dims: Dims,
+                                   spacing: Spacing = (1.0, 1.0, 1.0), small_core: int | None = None,
                                    isolated_border: int | None = None, tile: Sequence[int] = TILE) -> DataFrame:
     """Instances from a map of 1 (core) and 2 (border).
 
@@ -499,7 +507,7 @@ def instances_from_core_and_border(voxels: DataFrame, keys: Sequence[str], code:
             .withColumn("instance", F.coalesce("_own", "instance")).drop("_own"))
 
 
-def isolated_objects(parts: DataFrame, keys: Sequence[str], code: str, dims: Sequence[int], minimum: int,
+def isolated_objects(parts: DataFrame, keys: Sequence[str], code: str, dims: Dims, minimum: int,
                      tile: Sequence[int] = TILE) -> DataFrame:
     """Voxels (with ``_own`` object id) of objects that contain no core."""
     keys = list(keys)
@@ -511,16 +519,16 @@ def isolated_objects(parts: DataFrame, keys: Sequence[str], code: str, dims: Seq
             .select(*keys, *ZYX, F.col("component").alias("_own")))
 
 
-def neighbour_count(voxels: DataFrame, keys: Sequence[str], code: str, dims: Sequence[int], connectivity: int = 6,
+def neighbour_count(voxels: DataFrame, keys: Sequence[str], code: str, dims: Dims, connectivity: int = 6,
                     tile: Sequence[int] = TILE) -> DataFrame:
     """Number of equal-code neighbours of each voxel."""
     keys = list(keys)
     columns = [*keys, *ZYX, code]
-    rows = with_halo(voxels.select(*columns), dims, tile, (1, 1, 1))
+    rows = with_halo(placed(voxels.select(*columns), keys, dims), tile, (1, 1, 1))
     schema = T.StructType([*voxels.select(*columns).schema.fields, T.StructField("neighbours", T.LongType())])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        window = Window(pdf, dims, tile, (1, 1, 1))
+        window = Window(pdf, tile, (1, 1, 1))
         grid = np.zeros([n + 2 for n in window.shape], np.int64)
         z, y, x = (p + 1 for p in window.place(pdf))
         codes = pdf[code].to_numpy(np.int64)

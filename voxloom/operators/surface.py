@@ -2,7 +2,10 @@
 
 The exact distance to the nearest surface voxel is found axis by axis. A task
 holds a bundle of lines along one axis (at most ``LINES`` x ``WIDTH`` of them),
-never a volume, and no pairs of surface voxels are formed.
+never a volume, and no pairs of surface voxels are formed. Along x a block of
+columns knows the sites inside it and the nearest one before and after; along y
+and z the minimum over all sites is the lower envelope of parabolas, built and
+read in one scan each.
 """
 
 from __future__ import annotations
@@ -10,114 +13,178 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from voxloom.functions.metrics import SURFACE_METRICS
+from voxloom.operators.geometry import SHAPE, STEP, Dims, Spacing, placed
 from voxloom.operators.stencil import TILE, border_voxels
 from voxloom.support import ZYX, attach, div0, full_offsets, materialize, spread
 
-WIDTH, LINES = 64, 8
+WIDTH, LINES = 64, 32
+#: Up to so many sites a minimum is taken over all of them at once.
+FEW = 48
 # Fixed value: distance reported when only one of the masks is empty.
 MISSING_DISTANCE = 373.12866
 
 
-def surface(voxels: DataFrame, keys: Sequence[str], code: str, dims: Sequence[int], tile: Sequence[int] = TILE,
-            ) -> DataFrame:
+def surface(voxels: DataFrame, keys: Sequence[str], code: str, dims: Dims, tile: Sequence[int] = TILE) -> DataFrame:
     """Voxels with a face neighbour of another code; the volume edge counts as one."""
     return border_voxels(voxels, keys, code, dims, full_offsets(6), outside_is_border=True, tile=tile)
 
 
-def _line_gaps(lines: np.ndarray, width: int, columns: np.ndarray, batch: int = 256) -> np.ndarray:
-    """Steps from each of the columns to the nearest occupied one, per line."""
-    out = np.empty((len(lines), len(columns)), np.int64)
-    every = np.arange(width)
-    for start in range(0, len(lines), batch):
-        part = lines[start:start + batch]
-        owner = np.repeat(np.arange(len(part)), [len(xs) for xs in part])
-        taken = np.concatenate(part)
-        left = np.full((len(part), width), -2 * width)
-        left[owner, taken] = taken
-        right = np.full((len(part), width), 3 * width)
-        right[owner, taken] = taken
-        left = np.maximum.accumulate(left, axis=1)
-        right = np.minimum.accumulate(right[:, ::-1], axis=1)[:, ::-1]
-        out[start:start + batch] = np.minimum(every - left, right - every)[:, columns]
+def _gaps(owner: np.ndarray, site: np.ndarray, count: int) -> np.ndarray:
+    """Steps from each of ``WIDTH`` columns to the nearest site of its line; sites are relative to the block."""
+    far = 1 << 40
+    left, right = np.full((count, WIDTH), -far), np.full((count, WIDTH), far)
+    inside = (site >= 0) & (site < WIDTH)
+    left[owner[inside], site[inside]] = right[owner[inside], site[inside]] = site[inside]
+    np.maximum.at(left[:, 0], owner[site < 0], site[site < 0])
+    np.minimum.at(right[:, -1], owner[site >= WIDTH], site[site >= WIDTH])
+    left = np.maximum.accumulate(left, axis=1)
+    right = np.minimum.accumulate(right[:, ::-1], axis=1)[:, ::-1]
+    at = np.arange(WIDTH)
+    return np.minimum(at - left, right - at)
+
+
+def lower_envelope(sites: np.ndarray, height: np.ndarray, rows: np.ndarray, step: float) -> np.ndarray:
+    """Minimum over sites of height + ((row - site) * step)**2 for each row and column.
+
+    ``sites`` and ``rows`` ascend; ``height`` is (sites, columns). The parabolas of all columns are stacked side by
+    side: a new one takes away those it hides, so the work grows with sites plus rows.
+    """
+    place, asked = sites * step, rows * step
+    if len(sites) <= FEW:
+        out = np.full((len(rows), height.shape[1]), np.inf)
+        for p, h in zip(place, height):
+            np.minimum(out, h + ((asked - p) ** 2)[:, None], out=out)
+        return out
+    lines = np.arange(height.shape[1])
+    stack = np.zeros(height.shape, dtype=np.int64)
+    begins = np.full(height.shape, -np.inf)
+    top = np.zeros(height.shape[1], dtype=np.int64)
+    lifted = height + (place ** 2)[:, None]
+    for k in range(1, len(sites)):
+        open_lines = lines
+        start = np.empty(len(lines))
+        while len(open_lines):
+            below = stack[top[open_lines], open_lines]
+            start[open_lines] = (lifted[k, open_lines] - lifted[below, open_lines]) / (2 * (place[k] - place[below]))
+            open_lines = open_lines[start[open_lines] <= begins[top[open_lines], open_lines]]
+            top[open_lines] -= 1
+        top += 1
+        stack[top, lines] = k
+        begins[top, lines] = start
+    out = np.empty((len(rows), len(lines)))
+    reached = np.zeros(len(lines), dtype=np.int64)
+    for i, at in enumerate(asked):
+        go = lines
+        while len(go):
+            following = np.minimum(reached[go] + 1, top[go])
+            go = go[(reached[go] < top[go]) & (begins[following, go] <= at)]
+            reached[go] += 1
+        # beside a boundary the two parabolas are equal up to rounding: the smaller value counts
+        near = [stack[np.clip(reached + d, 0, top), lines] for d in (-1, 0, 1)]
+        out[i] = np.min([height[v, lines] + (at - place[v]) ** 2 for v in near], axis=0)
     return out
 
 
-def nearest_distance(points: DataFrame, targets: DataFrame, keys: Sequence[str], dims: Sequence[int],
-                     spacing: Sequence[float] = (1.0, 1.0, 1.0)) -> DataFrame:
+def _blocks_of_lines(targets: DataFrame, needed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per occupied line and needed block of columns: its sites ``xs``, in it and nearest to both sides."""
+    line = [*keys, *STEP, "z", "y"]
+    occupied = (targets.repartition(*[F.col(c) for c in line]).withColumn("_xb", F.floor(F.col("x") / WIDTH).cast("int"))
+                .groupBy(*line, "_xb").agg(F.collect_list("x").alias("xs"), F.min("x").alias("_lo"), F.max("x").alias("_hi")))
+    along = W.partitionBy(*line).orderBy("_xb")
+    occupied = occupied.withColumns({"_before": F.lag("_hi").over(along), "_after": F.lead("_lo").over(along),
+                                     "_next": F.lead("_xb").over(along)})
+    rows = attach(occupied, needed, keys)
+
+    def blocks(first: Column, last: Column, sites: Column) -> Column:
+        each = F.transform(F.sequence(first, last), lambda b: F.struct(b.alias("_xb"), sites.alias("xs")))
+        return F.when(first <= last, each).otherwise(F.array().cast("array<struct<_xb:int,xs:array<int>>>"))
+
+    own = F.array_compact(F.concat("xs", F.array("_before", "_after")))
+    here = F.greatest("_xb", "_x0")
+    found = F.concat(
+        blocks(here, F.least("_xb", "_x1"), own),
+        blocks(F.greatest(F.col("_xb") + 1, F.col("_x0")), F.least(F.coalesce(F.col("_next") - 1, F.col("_x1")), F.col("_x1")),
+               F.array_compact(F.array("_hi", "_after"))),
+        F.when(F.col("_before").isNull(), blocks(F.col("_x0"), F.least(F.col("_xb") - 1, F.col("_x1")), F.array("_lo")))
+        .otherwise(F.array().cast("array<struct<_xb:int,xs:array<int>>>")))
+    return rows.select(*line, "_y0", "_y1", F.inline(found))
+
+
+def nearest_distance(points: DataFrame, targets: DataFrame, keys: Sequence[str], dims: Dims,
+                     spacing: Spacing = (1.0, 1.0, 1.0)) -> DataFrame:
     """Squared distance ``d2`` from each point to its nearest target of the same keys.
 
-    Points whose keys have no target are dropped.
+    Points whose keys have no target are dropped. Shapes and spacings may come from a geometry table.
     """
     keys = list(keys)
-    sz, sy, sx = (float(s) for s in spacing)
-    height, width = int(dims[1]), int(dims[2])
-    key_fields = [points.schema[k] for k in keys]
-    asked = points.select(*keys, *ZYX).withColumns({
-        "_yb": F.floor(F.col("y") / LINES).cast("int"), "_xb": F.floor(F.col("x") / WIDTH).cast("int")})
+    block = {"_yb": F.floor(F.col("y") / LINES).cast("int"), "_xb": F.floor(F.col("x") / WIDTH).cast("int")}
+    # comparing the shape keeps the check of it in the plan
+    asked = (placed(points.select(*keys, *ZYX), keys, dims, spacing).where(F.col(SHAPE[0]) > 0)
+             .drop(*SHAPE).withColumns(block))
+    sites = placed(targets.select(*keys, *ZYX), keys, dims, spacing).where(F.col(SHAPE[0]) > 0).drop(*SHAPE)
     # distances are only needed where points lie: their range of row and column blocks
     needed = asked.groupBy(*keys).agg(F.min("_yb").alias("_y0"), F.max("_yb").alias("_y1"),
                                       F.min("_xb").alias("_x0"), F.max("_xb").alias("_x1"))
-    # along x: one row per occupied line, repeated for each needed block of columns
-    lines = targets.groupBy(*keys, "z", "y").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    lines = attach(lines, needed, keys).select(
-        *keys, "z", "y", "xs", "_y0", "_y1", F.explode(F.sequence("_x0", "_x1")).alias("_xb"),
-        F.floor(F.col("z") / LINES).cast("int").alias("_zb"))
-    # block distances travel as raw bytes, one row per plane and row block
-    planes = T.StructType([*key_fields, T.StructField("z", T.IntegerType()), T.StructField("_yb", T.IntegerType()),
-                           T.StructField("_xb", T.IntegerType()),
-                           T.StructField("d2", T.BinaryType())])
-
-    def along_y(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = int(pdf["_xb"].iloc[0]) * WIDTH
-        columns = np.arange(first, min(first + WIDTH, width))
-        low, high = int(pdf["_y0"].iloc[0]) * LINES, min((int(pdf["_y1"].iloc[0]) + 1) * LINES, height)
-        rows = np.arange(low, high)
-        levels, plane = np.unique(pdf["z"].to_numpy(), return_inverse=True)
-        best = np.full((len(levels), len(rows), len(columns)), np.inf)
-        ys = pdf["y"].to_numpy()
-        square = (_line_gaps(pdf["xs"].to_numpy(), width, columns) * sx) ** 2
-        along = np.full((len(levels), len(columns)), np.inf)
-        for y in np.unique(ys):
-            here = ys == y
-            along[:] = np.inf
-            along[plane[here]] = square[here]
-            np.minimum(best, along[:, None, :] + (((rows - y) * sy) ** 2)[None, :, None], out=best)
-        out = [(z, yb, best[i, yb * LINES - low:(yb + 1) * LINES - low].tobytes())
-               for i, z in enumerate(levels) for yb in range(int(pdf["_y0"].iloc[0]), int(pdf["_y1"].iloc[0]) + 1)]
-        frame = pd.DataFrame(out, columns=["z", "_yb", "d2"])
-        frame["_xb"] = int(pdf["_xb"].iloc[0])
-        for k in keys:
-            frame[k] = pdf[k].iloc[0]
-        return frame[[*keys, "z", "_yb", "_xb", "d2"]]
-
-    flat = spread(lines, *keys, "_zb", "_xb").groupBy(*keys, "_zb", "_xb").applyInPandas(along_y, planes)
-    answer = T.StructType([*points.select(*keys, *ZYX).schema.fields, T.StructField("d2", T.DoubleType())])
-
-    def along_z(query: pd.DataFrame, planes_here: pd.DataFrame) -> pd.DataFrame:
-        if not len(query) or not len(planes_here):
-            return pd.DataFrame({f.name: [] for f in answer})
-        wide = min((int(query["_xb"].iloc[0]) + 1) * WIDTH, width) - int(query["_xb"].iloc[0]) * WIDTH
-        z, y, x = (query[a].to_numpy(np.int64) for a in ZYX)
-        index = (y - int(query["_yb"].iloc[0]) * LINES) * wide + (x - int(query["_xb"].iloc[0]) * WIDTH)
-        best = np.full(len(query), np.inf)
-        for level, values in zip(planes_here["z"].to_numpy(), planes_here["d2"].to_numpy()):
-            np.minimum(best, np.frombuffer(values)[index] + ((z - level) * sz) ** 2, out=best)
-        out = query[[*keys, *ZYX]].copy()
-        out["d2"] = best
-        return out
+    lines = _blocks_of_lines(sites, needed, keys).withColumn("_zb", F.floor(F.col("z") / LINES).cast("int"))
+    key_types = [f"{points.schema[k].name} {points.schema[k].dataType.simpleString()}" for k in keys]
+
+    def along_y(table: pa.Table) -> pa.Table:
+        first = {c: table.column(c)[0].as_py() for c in (*keys, *STEP, "_xb", "_y0", "_y1")}
+        z, y = (np.asarray(table.column(c)).astype(np.int64) for c in ("z", "y"))
+        xs = table.column("xs").combine_chunks()
+        owner = np.repeat(np.arange(len(z)), np.diff(np.asarray(xs.offsets)))
+        site = np.asarray(xs.flatten()).astype(np.int64) - first["_xb"] * WIDTH
+        square = (_gaps(owner, site, len(z)) * first["_sx"]) ** 2
+        rows = np.arange(first["_y0"] * LINES, (first["_y1"] + 1) * LINES)
+        order = np.lexsort((y, z))
+        z, y, square = z[order], y[order], square[order]
+        cuts = [0, *(np.flatnonzero(np.diff(z)) + 1).tolist(), len(z)]
+        levels, blocks, values = [], [], []
+        for a, b in zip(cuts, cuts[1:]):
+            best = lower_envelope(y[a:b], square[a:b], rows, first["_sy"])
+            for k in range(first["_y1"] - first["_y0"] + 1):
+                levels.append(int(z[a]))
+                blocks.append(first["_y0"] + k)
+                values.append(best[k * LINES:(k + 1) * LINES].tobytes())
+        same = [pa.array([first[c]] * len(levels), table.schema.field(c).type) for c in (*keys, "_xb")]
+        return pa.table([*same[:-1], pa.array(levels, pa.int32()), pa.array(blocks, pa.int32()), same[-1],
+                         pa.array(values, pa.binary())], names=[*keys, "z", "_yb", "_xb", "d2"])
+
+    flat = spread(lines, *keys, "_zb", "_xb").groupBy(*keys, "_zb", "_xb").applyInArrow(
+        along_y, ", ".join([*key_types, "z int, _yb int, _xb int, d2 binary"]))
+    kinds = {a: points.schema[a].dataType.simpleString() for a in ZYX}
+
+    def along_z(query: pa.Table, planes: pa.Table) -> pa.Table:
+        if not planes.num_rows:
+            query = query.slice(0, 0)
+        if not query.num_rows:
+            best = np.zeros(0)
+        else:
+            step = query.column("_sz")[0].as_py()
+            z, y, x = (np.asarray(query.column(a)).astype(np.int64) for a in ZYX)
+            places, line = np.unique((y % LINES) * WIDTH + x % WIDTH, return_inverse=True)
+            level = np.asarray(planes.column("z")).astype(np.int64)
+            order = np.argsort(level)
+            stored = planes.column("d2").to_pylist()
+            height = np.stack([np.frombuffer(stored[k])[places] for k in order])
+            rows, row = np.unique(z, return_inverse=True)
+            best = lower_envelope(level[order], height, rows, step)[row, line]
+        return pa.table([*[query.column(c) for c in (*keys, *ZYX)], pa.array(best, pa.float64())],
+                        names=[*keys, *ZYX, "d2"])
 
     group = [*keys, "_yb", "_xb"]
-    return asked.groupBy(*group).cogroup(flat.groupBy(*group)).applyInPandas(along_z, answer)
+    return (spread(asked, *group).groupBy(*group).cogroup(spread(flat, *group).groupBy(*group)).applyInArrow(
+        along_z, ", ".join([*key_types, *[f"{a} {k}" for a, k in kinds.items()], "d2 double"])))
 
 
-def distance_counts(test: DataFrame, reference: DataFrame, keys: Sequence[str], dims: Sequence[int],
-                    spacing: Sequence[float] = (1.0, 1.0, 1.0)) -> DataFrame:
+def distance_counts(test: DataFrame, reference: DataFrame, keys: Sequence[str], dims: Dims,
+                    spacing: Spacing = (1.0, 1.0, 1.0)) -> DataFrame:
     """Number of surface voxels per (keys, from_test, distance), both directions."""
     both = materialize(test.select(*keys, *ZYX, F.lit(True).alias("from_test"))
                        .unionByName(reference.select(*keys, *ZYX, F.lit(False).alias("from_test"))))

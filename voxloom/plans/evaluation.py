@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators import components, evaluate, selection, tiles
+from voxloom.operators.geometry import Dims
 from voxloom.support import materialize
 
 
@@ -64,7 +65,7 @@ def consolidate_folds(folds: Sequence[DataFrame], keys: Sequence[str]) -> DataFr
 
 
 def mean_dice(reference: DataFrame, test: DataFrame, keys: Sequence[str], reference_label: str, test_label: str,
-              classes: Sequence[int], cells: int) -> DataFrame:
+              classes: Sequence[int], cells: int | None) -> DataFrame:
     """(label, dice): mean over the cases where the Dice is defined."""
     pairs = evaluate.pair_counts(reference, test, keys, reference_label, test_label)
     counts = evaluate.confusion(pairs, keys, {str(c): [c] for c in classes}, cells)
@@ -73,7 +74,7 @@ def mean_dice(reference: DataFrame, test: DataFrame, keys: Sequence[str], refere
 
 
 def determine_postprocessing(predicted: DataFrame, reference: DataFrame, keys: Sequence[str], label: str,
-                             reference_label: str, dims: Sequence[int], classes: Sequence[int], threshold: float = 0.0,
+                             reference_label: str, dims: Dims, classes: Sequence[int], threshold: float = 0.0,
                              ) -> DataFrame:
     """Which largest-object filters help: first all foreground as one, then class by class.
 
@@ -81,7 +82,7 @@ def determine_postprocessing(predicted: DataFrame, reference: DataFrame, keys: S
     before and after. The class steps start from the result of the joint step if
     that is applied.
     """
-    cells = dims[0] * dims[1] * dims[2]
+    cells = None if isinstance(dims, DataFrame) else dims[0] * dims[1] * dims[2]
     predicted = materialize(predicted.where(F.col(label).isin(list(classes))))
     joint = materialize(components.keep_largest_per_group(predicted, keys, label, dims, [list(classes)]))
     score = lambda df: materialize(mean_dice(reference, df, keys, reference_label, label, classes, cells))

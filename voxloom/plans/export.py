@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators import masking, resample, tiles
+from voxloom.operators.geometry import Dims, keep_axis
 from voxloom.support import ZYX
 
 
-def export_segmentation(scores: DataFrame, keys: Sequence[str], old: Sequence[int], new: Sequence[int],
+def export_segmentation(scores: DataFrame, keys: Sequence[str], old: Dims, new: Dims,
                         boxes: DataFrame, cls: str = "class", p: str = "p", regions: Sequence[int] | None = None,
                         separate: int | None = None, postprocess: Callable[[DataFrame], DataFrame] | None = None,
                         ) -> DataFrame:
@@ -21,14 +22,13 @@ def export_segmentation(scores: DataFrame, keys: Sequence[str], old: Sequence[in
     linearly, or nearest along a ``separate`` low-resolution axis.  The class of
     the highest score wins, or with ``regions`` codes are painted in that order
     where a region's score is above one half.  ``postprocess`` sees the labels
-    before they are put back at their box.  Absent scores are 0.
+    before they are put back at their box.  Absent scores are 0.  Shapes are
+    those of all cases, or geometry tables.
     """
-    middle = list(new)
-    if separate is not None:
-        middle[separate] = old[separate]
+    middle = new if separate is None else keep_axis(new, old, separate, keys)
     dense = resample.resample_linear(scores, [*keys, cls], p, old, middle)
     if separate is not None:
-        dense = resample.resample_nearest(dense, middle, new)
+        dense = resample.resample_nearest(dense, middle, new, keys)
     # sums of the same shares in another order must not decide ties
     dense = dense.withColumn(p, F.round(p, 9))
     place = [*keys, *ZYX]

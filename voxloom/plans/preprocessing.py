@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators import intensity, masking, resample
+from voxloom.operators.geometry import Dims, keep_axis
 from voxloom.operators.stencil import fill_holes
 from voxloom.support import ZYX, attach, div0, literal_map, materialize
 
@@ -32,7 +33,7 @@ def crop_and_normalize(voxels: DataFrame, keys: Sequence[str], value: str, seg:
     return intensity.normalize_z(cropped, keys, value, F.col(seg) >= 0)
 
 
-def preprocess_cases(images: DataFrame, seg: DataFrame, keys: Sequence[str], dims: Sequence[int],
+def preprocess_cases(images: DataFrame, seg: DataFrame, keys: Sequence[str], dims: Dims,
                      schemes: Mapping[int | str, str], dataset_stats: DataFrame | None = None, use_mask: bool = False,
                      modality: str = "modality", value: str = "value", label: str = "label") -> DataFrame:
     """Cropped, normalized cases as dense rows: keys, z, y, x (in the crop), modality, normalized, label.
@@ -79,19 +80,17 @@ def preprocess_cases(images: DataFrame, seg: DataFrame, keys: Sequence[str], dim
     return rows.select(*keys, *moved, modality, F.round(F.when(keep, scaled).otherwise(0.0), 6).alias("normalized"), label)
 
 
-def resample_case_set(voxels: DataFrame, keys: Sequence[str], value: str, seg: str, old: Sequence[int],
-                      new: Sequence[int], separate: int | None) -> DataFrame:
+def resample_case_set(voxels: DataFrame, keys: Sequence[str], value: str, seg: str, old: Dims, new: Dims,
+                      separate: int | None) -> DataFrame:
     """Cubic data and label-wise linear segmentation on the new grid.
 
     With a separate low-resolution axis that axis is read nearest for both.
     """
-    middle = list(new)
-    if separate is not None:
-        middle[separate] = old[separate]
+    middle = new if separate is None else keep_axis(new, old, separate, keys)
     data = resample.resample_cubic(voxels.select(*keys, "z", "y", "x", value), keys, value, old, middle)
     labels = resample.resample_labels(voxels, keys, seg, old, middle)
     joined = data.join(labels, [*keys, "z", "y", "x"], "full").fillna(0)
-    return joined if separate is None else resample.resample_nearest(joined, middle, new)
+    return joined if separate is None else resample.resample_nearest(joined, middle, new, keys)
 
 
 def fingerprint_table(voxels: DataFrame, case: str, modality: str, value: str, seg: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators import components, quantify, stencil, tiles
+from voxloom.operators.geometry import Dims
 
 
 def nerve_quantification(tile_scores: DataFrame, organs: DataFrame, keys: Sequence[str], score: str, label: str,
@@ -22,7 +23,7 @@ def nerve_quantification(tile_scores: DataFrame, organs: DataFrame, keys: Sequen
     return quantify.overlap(organs.withColumnRenamed(label, "label"), mask, keys)
 
 
-def prepare_organs(organs: DataFrame, keys: Sequence[str], label: str, dims: Sequence[int], head: int,
+def prepare_organs(organs: DataFrame, keys: Sequence[str], label: str, dims: Dims, head: int,
                    head_iterations: int, radius: int) -> tuple[DataFrame, DataFrame]:
     """The grown head mask, and the other organs with their labels expanded."""
     grown = stencil.dilate(organs.where(F.col(label) == head), keys, dims, stencil.HEAD_BOXES, head_iterations)
@@ -30,7 +31,7 @@ def prepare_organs(organs: DataFrame, keys: Sequence[str], label: str, dims: Seq
     return grown, others
 
 
-def clean_prediction(labels: DataFrame, keys: Sequence[str], label: str, dims: Sequence[int], connectivity: int = 6,
+def clean_prediction(labels: DataFrame, keys: Sequence[str], label: str, dims: Dims, connectivity: int = 6,
                      floors: dict[int, int] | None = None) -> DataFrame:
     """Keep the largest object of each class and all objects above its floor."""
     from voxloom.support import materialize
