@@ -201,8 +201,8 @@ def test_components_of_odd_rows(spark, odd, none):
     assert components_of(spark.createDataFrame(case, "doc_id long, text string")) == grouped(case)
 
 
-@pytest.mark.parametrize("cell, node", [(256, 1024), (5, 7)])
-def test_components_of_families(spark, cell, node):
+@pytest.mark.parametrize("cell, node, worth", [(256, 1024, 1), (5, 7, 1), (5, 7, 10 ** 6)])
+def test_components_of_families(spark, cell, node, worth):
     """Families of near copies around the threshold, a chain and a boilerplate that unlinked texts share."""
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(10 ** 6)}"
@@ -223,7 +223,7 @@ def test_components_of_families(spark, cell, node):
     rng.shuffle(texts)
     rows = list(enumerate(texts))
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert components_of(frame, cell=cell, node=node) == grouped(rows)
+    assert components_of(frame, cell=cell, node=node, worth=worth) == grouped(rows)
 
 
 def test_sorted_orders_find_every_run(spark):

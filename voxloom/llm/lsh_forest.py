@@ -185,27 +185,25 @@ def _linked(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int)
 
 
 def _verify_pairs(n: int, percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
-
     def run(texts: pa.Table, pairs: pa.Table) -> pa.Table:
         uid = np.asarray(texts.column("uid"))
         sets = shingle_sets(texts.column("text").to_pylist(), n)
         by = np.argsort(uid)
-        a, b = (np.asarray(pairs.column(c)) for c in ("a", "b"))
-        place = [by[np.searchsorted(uid[by], side)] for side in (a, b)]
-        return pa.table([pa.array(a), pa.array(b), pa.array(_linked(sets, *place, percent))], schema=schema)
+        place = [by[np.searchsorted(uid[by], np.asarray(pairs.column(c)))] for c in ("a", "b")]
+        return (pairs.select(["a", "b", "ca", "cb"])
+                .append_column("linked", pa.array(_linked(sets, *place, percent), pa.bool_())))
 
     return run
 
 
 def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b, linked): each pair decided on whole sets, in buckets of about ``BUCKET`` pairs."""
+    """(a, b, ca, cb, linked): each pair decided on whole sets, in buckets of about ``BUCKET`` pairs."""
     buckets = max(1, math.ceil(pairs.count() / BUCKET))
     bucket = F.pmod(F.xxhash64("a"), F.lit(buckets))
     ends = pairs.select(bucket.alias("lot"), F.explode(F.array("a", "b")).alias("uid")).distinct()
-    dealt = pairs.select(bucket.alias("bucket"), "a", "b").groupBy("bucket")
+    dealt = pairs.select(bucket.alias("bucket"), "a", "b", "ca", "cb").groupBy("bucket")
     return (ends.join(texts, "uid").groupBy("lot").cogroup(dealt)
-            .applyInArrow(_verify_pairs(n, percent), "a long, b long, linked boolean"))
+            .applyInArrow(_verify_pairs(n, percent), "a long, b long, ca long, cb long, linked boolean"))
 
 
 def _relabel(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
@@ -213,34 +211,64 @@ def _relabel(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
             .withColumn(column, F.coalesce("root", column)).drop("root"))
 
 
-def close_regions(members: DataFrame, texts: DataFrame, n: int, percent: int) -> list[DataFrame]:
-    """Links along the sorted orders, as staged tables of (a, b).
+def _follow(labels: DataFrame, up: DataFrame) -> DataFrame:
+    """``labels`` (node, root) with each root replaced by its own root in ``up``."""
+    then = up.select(F.col("node").alias("middle"), "root")
+    return (labels.select("node", F.col("root").alias("middle")).join(then, "middle", "left")
+            .select("node", F.coalesce("root", "middle").alias("root")))
+
+
+def _merge(found: DataFrame) -> DataFrame:
+    """(node, root) for all components with a link: the smallest one within a few links.
+
+    Where a chain of links is longer than that, its parts meet again later; ``components`` closes the rest.
+    """
+    both = found.select(F.col("ca").alias("node"), F.col("cb").alias("root")).unionByName(
+        found.select(F.col("cb").alias("node"), F.col("ca").alias("root")))
+    up = materialize(both.groupBy("node").agg(F.least("node", F.min("root")).alias("root")))
+    twice = _follow(up, up)
+    return materialize(_follow(twice, up))
+
+
+def close_regions(members: DataFrame, texts: DataFrame, n: int, percent: int, worth: int = BUCKET,
+                  ) -> tuple[list[DataFrame], DataFrame | None]:
+    """Links along the sorted orders as staged tables of (a, b), and the labels (node, root) they lead to.
 
     In each round every component offers its pair with the longest common prefix; components that found a link go on
-    with what they have become, others rest.  Each round leaves at most half of those that go on.
+    with what they have become, others rest.  Sets of one label are connected by links that were verified.  A round
+    of fewer than ``worth`` pairs is left to the cells of ``remaining_links``, which find the same links.
     """
     pair = [F.least("uid", "previous").alias("a"), F.greatest("uid", "previous").alias("b")]
     beside = members.where(F.col("previous").isNotNull()).groupBy(*pair).agg(F.max("shared").alias("shared"))
     edges = materialize(beside.select("a", "b", "shared", F.col("a").alias("ca"), F.col("b").alias("cb"),
                                       F.lit(True).alias("go_a"), F.lit(True).alias("go_b")))
-    links = []
-    while not edges.isEmpty():
-        offers = edges.where("go_a").select(F.col("ca").alias("c"), "a", "b", "shared").unionByName(
-            edges.where("go_b").select(F.col("cb").alias("c"), "a", "b", "shared"))
-        best = offers.groupBy("c").agg(F.max(F.struct("shared", "a", "b")).alias("p"))
-        tested = materialize(verify(materialize(best.select("p.a", "p.b").distinct()), texts, n, percent))
-        found = materialize(tested.where("linked").join(edges, ["a", "b"]).select("a", "b", "ca", "cb"))
-        if found.isEmpty():
+    links, moves = [], []
+    while True:
+        columns = ["a", "b", "ca", "cb", "shared"]
+        offers = edges.where("go_a").select(F.col("ca").alias("c"), *columns).unionByName(
+            edges.where("go_b").select(F.col("cb").alias("c"), *columns))
+        best = offers.groupBy("c").agg(F.max(F.struct("shared", "a", "b", "ca", "cb")).alias("p"))
+        pairs = materialize(best.select("p.a", "p.b", "p.ca", "p.cb").distinct())
+        if pairs.count() < worth:
             break
-        links.append(found.select("a", "b"))
-        roots = star_roots(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")), [], hubs=True)
-        merged = roots.select("root").distinct().select(F.col("root").alias("c"), F.lit(True).alias("go"))
-        left = edges.join(tested.select("a", "b"), ["a", "b"], "left_anti").drop("go_a", "go_b")
-        left = _relabel(_relabel(left, roots, "ca"), roots, "cb").where("ca <> cb")
+        tested = materialize(verify(pairs, texts, n, percent))
+        up = _merge(tested.where("linked"))
+        if up.isEmpty():
+            break
+        links.append(tested.where("linked").select("a", "b"))
+        moves.append(up)
+        left = edges.select(*columns).join(tested.select("a", "b"), ["a", "b"], "left_anti")
         for side in "ab":
-            left = left.join(merged.withColumnsRenamed({"c": f"c{side}", "go": f"go_{side}"}), f"c{side}", "left")
-        edges = materialize(left.fillna(False, ["go_a", "go_b"]).where("go_a OR go_b"))
-    return links
+            new = up.select(F.col("node").alias(f"c{side}"), F.col("root").alias("to"))
+            left = (left.join(new, f"c{side}", "left").withColumn(f"go_{side}", F.col("to").isNotNull())
+                    .withColumn(f"c{side}", F.coalesce("to", f"c{side}")).drop("to"))
+        edges = materialize(left.where("ca <> cb AND (go_a OR go_b)"))
+    if not moves:
+        return links, None
+    labels = moves[0]
+    for up in moves[1:]:
+        labels = _follow(labels, up).unionByName(up.join(labels.select("node"), "node", "left_anti"))
+    return links, materialize(labels)
 
 
 def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -325,19 +353,13 @@ def _verify_cell(n: int, percent: int):
     return run
 
 
-def remaining_links(members: DataFrame, classes: DataFrame, texts: DataFrame, links: list[DataFrame], n: int,
+def remaining_links(members: DataFrame, classes: DataFrame, texts: DataFrame, labels: DataFrame | None, n: int,
                     percent: int, count: int, cell: int = CELL, node: int = NODE) -> DataFrame:
-    """Links between sets that share a node and that the rounds left in different components: staged (a, b)."""
+    """Links between sets that share a node and that the rounds left with different labels: staged (a, b)."""
     def components(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("comp", F.col("uid"))
-        return _relabel(rows, roots, "comp") if roots is not None else rows
-
-    roots = None
-    if links:
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        roots = star_roots(every, [], hubs=True)
+        return _relabel(rows, labels, "comp") if labels is not None else rows
+
     cells = materialize(_in_cells(materialize(components(members.select("node", "uid").distinct())), node, "node"))
     groups = max(1, cells.count() // 2000)
     # cells of small nodes share a call
@@ -355,7 +377,7 @@ def remaining_links(members: DataFrame, classes: DataFrame, texts: DataFrame, li
 
 
 def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, least: int = LEAST_DEPTH,
-               depth: int = DEPTH, cell: int = CELL, node: int = NODE) -> DataFrame:
+               depth: int = DEPTH, cell: int = CELL, node: int = NODE, worth: int = BUCKET) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     A document's set holds its distinct ``n``-word shingles, letters A-Z in lower case; a text of fewer words is one
@@ -383,13 +405,17 @@ def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, trees:
     rows = docs.withColumn("digest", F.xxhash64("text")).withColumnRenamed("doc_id", "_id").hint("merge")
     texts = materialize(rows.join(wanted.hint("merge"), (F.col("_id").eqNullSafe(F.col("doc_id")))
                                   & (rows.digest == wanted.digest)).select("uid", "text").dropDuplicates(["uid"]))
-    links = close_regions(members, texts, n, percent)
-    links.append(remaining_links(members, classes, texts, links, n, percent, count, cell, node))
+    links, labels = close_regions(members, texts, n, percent, worth)
+    links.append(remaining_links(members, classes, texts, labels, n, percent, count, cell, node))
     every = links[0]
     for more in links[1:]:
         every = every.unionByName(more)
-    roots = star_roots(every, [], hubs=True)
-    placed = materialize(_relabel(sets.withColumn("comp", F.col("uid")), roots, "comp"))
+    placed = sets.withColumn("comp", F.col("uid"))
+    if labels is not None:
+        every = _relabel(_relabel(every, labels, "a"), labels, "b")
+        placed = _relabel(placed, labels, "comp")
+    roots = star_roots(materialize(every.where("a <> b")), [], hubs=True)
+    placed = materialize(_relabel(placed, roots, "comp"))
     lowest = materialize(placed.groupBy("comp").agg(F.min("low").alias("component_id")))
     found = placed.join(lowest, "comp").select(*key, "component_id")
     out = sketches.select("doc_id", *key, "n_shingles").join(found, key, "left")
