@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 import os
 import struct
 import uuid
@@ -35,13 +34,14 @@ def to_planes(voxels: DataFrame, key: str, value: str, height: int, width: int,
     return rows.groupBy(key, "z").applyInPandas(build, PLANE)
 
 
-def nifti_header(shape: Sequence[int], dtype: np.dtype, spacing: Sequence[float] = (1.0, 1.0, 1.0)) -> bytes:
-    """Header of a (z, y, x) volume, x fastest, shown with x and y reversed."""
+def nifti_header(shape: Sequence[int], dtype: np.dtype, spacing: Sequence[float] = (1.0, 1.0, 1.0), channels: int = 1,
+                 ) -> bytes:
+    """Header of (z, y, x) volumes, x fastest, shown with x and y reversed; several channels are a fourth axis."""
     code = {v: k for k, v in NIFTI_TYPES.items()}[dtype.str[1:]]
     z, y, x = shape
     out = bytearray(HEADER_BYTES)
     struct.pack_into("<i", out, 0, 348)
-    struct.pack_into("<8h", out, 40, 3, x, y, z, 1, 1, 1, 1)
+    struct.pack_into("<8h", out, 40, 3 if channels == 1 else 4, x, y, z, channels, 1, 1, 1)
     struct.pack_into("<2h", out, 70, code, dtype.itemsize * 8)
     struct.pack_into("<8f", out, 76, 1.0, spacing[2], spacing[1], spacing[0], 0, 0, 0, 0)
     struct.pack_into("<3f", out, 108, float(HEADER_BYTES), 1.0, 0.0)
@@ -51,53 +51,10 @@ def nifti_header(shape: Sequence[int], dtype: np.dtype, spacing: Sequence[float]
     return bytes(out)
 
 
-def write_nifti(planes: DataFrame, folder: str, depth: int, compress: bool = False) -> None:
-    """One file per volume.
-
-    Uncompressed files are filled by many tasks at once, each plane at its own
-    offset, so a repeated task only writes the same bytes again. A compressed
-    file is streamed in z order by one task that holds one plane at a time.
-    """
-    os.makedirs(folder, exist_ok=True)
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                head = nifti_header((depth, row.height, row.width), np.dtype(row.dtype))
-                handle = os.open(os.path.join(folder, f"{row.volume_id}.nii"), os.O_RDWR | os.O_CREAT, 0o644)
-                try:
-                    # the same length from every task: an older, longer file is cut
-                    os.ftruncate(handle, HEADER_BYTES + depth * len(row.pixels))
-                    os.pwrite(handle, head, 0)
-                    os.pwrite(handle, row.pixels, HEADER_BYTES + row.z * len(row.pixels))
-                finally:
-                    os.close(handle)
-            yield pd.DataFrame({"planes": [len(batch)]})
-
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, out, temporary = None, None, None
-
-        def finish() -> None:
-            if out is not None:
-                out.close()
-                os.replace(temporary, os.path.join(folder, f"{current}.nii.gz"))
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                if row.volume_id != current:
-                    finish()
-                    current = row.volume_id
-                    temporary = os.path.join(folder, f".{current}-{uuid.uuid4().hex}")
-                    out = gzip.open(temporary, "wb")
-                    out.write(nifti_header((depth, row.height, row.width), np.dtype(row.dtype)))
-                out.write(row.pixels)
-            yield pd.DataFrame({"planes": [len(batch)]})
-        finish()
-
-    if compress:
-        ordered = planes.repartition("volume_id").sortWithinPartitions("volume_id", "z")
-        ordered.mapInPandas(stream, "planes long").agg(F.sum("planes")).collect()
-    else:
-        planes.mapInPandas(fill, "planes long").agg(F.sum("planes")).collect()
+def write_nifti(planes: DataFrame, folder: str, depth: int | DataFrame | None = None, compress: bool = False) -> None:
+    """One file per volume, published once all of them are whole; see ``sinks.volumes.write_volumes``."""
+    from voxloom.sinks.volumes import write_volumes
+    write_volumes(planes, folder, depth, compress)
 
 
 def tiff_bytes(plane: np.ndarray) -> bytes:

@@ -13,6 +13,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,25 +31,52 @@ WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, ROWS, COUNTS, FORMAT = 256, 257, 258,
 TIFF_KINDS = {1: "u", 2: "i", 3: "f"}
 
 
-def nifti_volumes(content: bytes) -> np.ndarray:
-    """(channel, z, y, x) array of a single-file NIfTI-1 or ANALYZE image, scaled if the header says so.
+@dataclass
+class Layout:
+    """Where the values of an image file are and what they mean: shape is (channel, z, y, x)."""
+    shape: tuple[int, int, int, int]
+    spacing: list[float]
+    dtype: np.dtype
+    offset: int
+    slope: float
+    inter: float
+
+    @property
+    def plane_bytes(self) -> int:
+        return self.shape[2] * self.shape[3] * self.dtype.itemsize
+
+    @property
+    def planes(self) -> int:
+        return self.shape[0] * self.shape[1]
+
+    def scaled(self, values: np.ndarray) -> np.ndarray:
+        if self.slope in (0.0, 1.0) and self.inter == 0.0:
+            return values
+        return values.astype(np.float64) * (self.slope or 1.0) + self.inter
+
+
+def nifti_layout(header: bytes) -> Layout:
+    """Layout of a NIfTI-1 or ANALYZE image from its first 352 bytes.
 
     Axes beyond the third (time, modality, vector) together count the channels.
     """
+    order = "<" if struct.unpack("<i", header[:4])[0] == 348 else ">"
+    dims = struct.unpack(order + "8h", header[40:56])
+    steps = struct.unpack(order + "8f", header[76:108])
+    code = struct.unpack(order + "h", header[70:72])[0]
+    offset, slope, inter = struct.unpack(order + "3f", header[108:120])
+    axes = [max(1, int(d)) for d in dims[1:1 + dims[0]]] + [1] * (3 - dims[0])
+    return Layout((int(np.prod(axes[3:], dtype=np.int64)), *axes[2::-1]), [float(s) for s in steps[3:0:-1]],
+                  np.dtype(order + NIFTI_TYPES[code]), int(offset) or 352, slope, inter)
+
+
+def nifti_volumes(content: bytes) -> np.ndarray:
+    """(channel, z, y, x) array of a whole image, scaled if the header says so."""
     if content[:2] == b"\x1f\x8b":
         content = gzip.decompress(content)
-    order = "<" if struct.unpack("<i", content[:4])[0] == 348 else ">"
-    dims = struct.unpack(order + "8h", content[40:56])
-    code = struct.unpack(order + "h", content[70:72])[0]
-    offset = int(struct.unpack(order + "f", content[108:112])[0]) or 352
-    slope, inter = struct.unpack(order + "2f", content[112:120])
-    axes = [max(1, d) for d in dims[1:1 + dims[0]]] + [1] * (3 - dims[0])
-    shape = [*axes[:3], int(np.prod(axes[3:], dtype=np.int64))]
-    data = np.frombuffer(content, order + NIFTI_TYPES[code], count=int(np.prod(shape)), offset=offset)
-    volume = data.reshape(shape[::-1])
-    if slope not in (0.0, 1.0) or inter != 0.0:
-        volume = volume.astype(np.float64) * (slope or 1.0) + inter
-    return volume
+    layout = nifti_layout(content[:352])
+    data = np.frombuffer(content, layout.dtype, count=int(np.prod(layout.shape)), offset=layout.offset)
+    return layout.scaled(data.reshape(layout.shape))
 
 
 def nifti_volume(content: bytes) -> np.ndarray:
@@ -59,17 +87,6 @@ def nifti_volume(content: bytes) -> np.ndarray:
     return volumes[0]
 
 
-def nifti_geometry(content: bytes) -> tuple:
-    """Size and spacing as (z, y, x), and the number of channels, from a header."""
-    if content[:2] == b"\x1f\x8b":
-        content = zlib.decompressobj(31).decompress(content, 352)
-    order = "<" if struct.unpack("<i", content[:4])[0] == 348 else ">"
-    dims = struct.unpack(order + "8h", content[40:56])
-    steps = struct.unpack(order + "8f", content[76:108])
-    axes = [max(1, int(d)) for d in dims[1:1 + dims[0]]] + [1] * (3 - dims[0])
-    return axes[2::-1], [float(s) for s in steps[3:0:-1]], int(np.prod(axes[3:], dtype=np.int64))
-
-
 def tiff_pages(content: bytes) -> Iterator[np.ndarray]:
     """Pages of a grey strip TIFF, uncompressed or deflate-packed."""
     order = "<" if content[:2] == b"II" else ">"
@@ -158,32 +175,26 @@ def _binary(spark: SparkSession, path: str, glob: str) -> DataFrame:
             .option("recursiveFileLookup", "true").load(path))
 
 
-def read_nifti(spark: SparkSession, path: str, glob: str = "*.nii*") -> DataFrame:
+def read_nifti(spark: SparkSession, path: str, glob: str = "*.nii*", **bounds) -> DataFrame:
     """Planes of every NIfTI file below ``path``, all channels.
 
-    The volume id is the file's path below ``path`` without its suffix.
+    The volume id is the file's path below ``path`` without its suffix.  See ``sources.volumes.scan`` for how files
+    are cut, and for the bounds z, channel and volume that spare reading the rest.
     """
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["volume_id"], batch["content"]):
-                for channel, volume in enumerate(nifti_volumes(content)):
-                    for z, plane in enumerate(volume):
-                        yield _frame([(*_plane_row(name, z, plane), channel)], "channel")
-    name = F.regexp_replace(_below(path), r"\.(nii|img)(\.gz)?$", "")
-    return (_binary(spark, path, glob).select(name.alias("volume_id"), "content")
-            .mapInPandas(decode, PLANE + ", channel int"))
+    from voxloom.sources.volumes import scan
+    return scan(spark, path, "planes", glob, **bounds)
+
+
+def read_nifti_voxels(spark: SparkSession, path: str, glob: str = "*.nii*", **bounds) -> DataFrame:
+    """Nonzero voxels of every NIfTI file below ``path``, decoded where the file is read; bounds as for ``read_nifti``."""
+    from voxloom.sources.volumes import scan
+    return scan(spark, path, "voxels", glob, **bounds)
 
 
 def read_geometry(spark: SparkSession, path: str, glob: str = "*.nii*") -> DataFrame:
-    """Size and spacing per file, for the integrity rules."""
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [nifti_geometry(c) for c in batch["content"]]
-            yield pd.DataFrame({"volume_id": batch["volume_id"], "size": [g[0] for g in found],
-                                "spacing": [g[1] for g in found], "channels": [g[2] for g in found]})
-    name = F.regexp_replace(_below(path), r"\.(nii|img)(\.gz)?$", "")
-    return (_binary(spark, path, glob).select(name.alias("volume_id"), "content")
-            .mapInPandas(decode, "volume_id string, size array<int>, spacing array<double>, channels int"))
+    """Size and spacing per file from its header alone, for the integrity rules."""
+    from voxloom.sources.volumes import scan
+    return scan(spark, path, "geometry", glob)
 
 
 def read_analyze(spark: SparkSession, path: str) -> DataFrame:
