@@ -70,3 +70,13 @@ def test_run(spark, sf):
     pieces = corpus_pipeline.run(spark, sf)
     assert pieces.count() > 0 and pieces.columns[:3] == ["doc_id", "start", "length"]
     assert grams("a b") == {("a", "b")}
+
+
+def test_columns_of_any_name_come_through(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    names = ["row", "_row", "__row", "other", "rule_n_words", "uid", "none", "n_removed"]
+    wide = docs.withColumns({n: F.lit(n) for n in names})
+    for frame in (docs, wide):
+        steps = by_stage(spark, frame, sf)
+        assert all(s.columns == frame.columns for s in steps[:5]) and steps[4].count() > 50
+    assert all(r[n] == n for r in steps[4].collect() for n in names)

@@ -79,8 +79,8 @@ def op5(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-@query("op6_rule_ledger", f"""
-WITH {WORDS_SQL},
+#: All measurements of the rule ledger in DuckDB.
+MEASURED_SQL = f"""{WORDS_SQL},
 lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)),
                                      lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM words),
 runs AS (SELECT doc_id, s, array_to_string(words[s + 1:s + 3], ' ') AS k
@@ -90,23 +90,43 @@ covered AS (SELECT doc_id, count(DISTINCT s + i) AS n FROM again, range(3) AS t(
 measured AS (
     SELECT w.doc_id, len(words)::BIGINT AS n_words,
            length(array_to_string(words, ''))::BIGINT AS word_chars,
-           length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+           length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines) AS n_lines,
            (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
            coalesce(n, 0)::BIGINT AS n_repeat_words,
-           length(regexp_replace(text, '\\P{{Lu}}', '', 'g')) AS n_upper
-    FROM words w JOIN lines l ON w.doc_id = l.doc_id LEFT JOIN covered c ON w.doc_id = c.doc_id),
+           length(regexp_replace(text, '\\P{{Lu}}', '', 'g')) AS n_upper,
+           length(regexp_replace(text, '\\P{{L}}', '', 'g')) AS n_letters
+    FROM words w JOIN lines l ON w.doc_id = l.doc_id LEFT JOIN covered c ON w.doc_id = c.doc_id)"""
+
+
+@query("op6_rule_ledger", f"""
+WITH {MEASURED_SQL},
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_upper > word_chars) AS kept
 FROM judged
 """)
 def op6(spark, sf_dir):
-    entries = rule_ledger.ledger(table(spark, sf_dir, "documents"))
+    entries = rule_ledger.store(table(spark, sf_dir, "documents"))
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                           (~rule_ledger.passes("base")).alias("base_failed"),
                           rule_ledger.passes("v1").alias("kept"))
 
 
+@query("rule_ablation", f"""
+WITH {MEASURED_SQL},
+failed AS (SELECT unnest(['few_words', 'repeated_words', 'symbols', 'repeated_lines', 'short_words', 'long_words',
+                          'upper_case', 'few_letters']) AS rule,
+                  unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > n_words,
+                          10 * n_dup_lines > 3 * n_lines, word_chars < 2 * n_words, word_chars > 20 * n_words,
+                          2 * n_upper > word_chars, 2 * n_letters < word_chars]) AS fails, doc_id FROM measured),
+others AS (SELECT *, (sum(fails::INT) OVER (PARTITION BY doc_id) - fails::INT) AS other FROM failed)
+SELECT rule, count(CASE WHEN fails THEN 1 END) AS failed, count(CASE WHEN fails AND other = 0 THEN 1 END) AS alone,
+       count(CASE WHEN other = 0 THEN 1 END) AS kept FROM others GROUP BY rule
+""")
+def ablation_of_rules(spark, sf_dir):
+    return rule_ledger.ablation(rule_ledger.store(table(spark, sf_dir, "documents")), "v3")
+
+
 @query("op7_token_counts")
 def op7(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -10,7 +10,7 @@ version of a short notice must be among the matched words.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Sequence
 from pathlib import Path
@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from voxloom.llm.words import text_batches
 
 COVERAGE = 0.8
-#: Templates of more words are tried at fewer starts.
-LONG = 200
+#: Templates of so many words get a bound on what later starts can reach; it spares work and changes no result.
+BOUNDED = 64
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
 
 #: Fixed: notices as they appear in files, by licence.
@@ -145,15 +145,31 @@ def align(text: Sequence[str], template: Sequence[str]) -> list[tuple[int, int]]
     return sorted(found)
 
 
+def common_length(text: Sequence[str], template: Sequence[str]) -> int:
+    """Length of the longest common subsequence, all template positions at once in the bits of one number."""
+    at: dict[str, int] = {}
+    for k, word in enumerate(template):
+        at[word] = at.get(word, 0) | 1 << k
+    full = (1 << len(template)) - 1
+    free = full
+    for word in text:
+        if word in at:
+            met = free & at[word]
+            free = ((free + met) | (free - met)) & full
+    return len(template) - free.bit_count()
+
+
 def scan_words(words: Sequence[str], template: Sequence[str], coverage: float,
                deciding: frozenset[str] = frozenset()) -> list[tuple[int, int, int]]:
     """(first word, end word, matched words) of every place where enough of the template aligns.
 
-    A stretch of at most twice the template's length is aligned around every
-    group of template words; stretches that hold too few of its distinct words
-    cannot reach the coverage and are passed over.  All ``deciding`` words must
-    be matched.  A new word adds one match at most, so a long template that
-    lacks some is tried again that many words on.
+    Every template word is tried as a start: a stretch of twice the template's
+    length is aligned from there, and counts if the first word, ``deciding``
+    words and enough others are matched.  After a notice the search goes on
+    behind it.  Starts are passed over only where no alignment can be long
+    enough: where the stretch holds too few of the template's words, or where
+    the longest common subsequence of an earlier stretch, plus the template
+    words that came in since, stays below what is needed.
     """
     need = max(1, -(-int(1000 * coverage) * len(template) // 1000))
     wanted = Counter(template)
@@ -169,20 +185,36 @@ def scan_words(words: Sequence[str], template: Sequence[str], coverage: float,
             have[word] += 1
             last += 1
         if first >= done and enough >= need:
-            pairs = align(words[first:first + reach], template)
-            if len(pairs) < need:
-                done = first + (need - len(pairs) if len(template) > LONG else 1)
-            elif pairs[0][0] > 0:
-                done = first + (pairs[0][0] if len(template) > LONG else 1)
-            elif deciding <= {template[k] for _, k in pairs}:
+            stretch = words[first:first + reach]
+            pairs = align(stretch, template)
+            if len(pairs) >= need and pairs[0][0] == 0 and deciding <= {template[k] for _, k in pairs}:
                 done = first + pairs[-1][0] + 1
                 out.append((first, done, len(pairs)))
+            elif len(pairs) < need and len(template) >= BOUNDED:
+                missing = need - common_length(stretch, template)
+                if missing > 0:     # so many template words must come in first
+                    if last + missing > len(hits):
+                        break
+                    done = hits[last + missing - 1] - reach + 1
         word = words[first]
         have[word] -= 1
         enough -= have[word] < wanted[word]
     return out
 
 
+def apart(found: list[tuple]) -> list[tuple]:
+    """Of (..., first, end) in order of preference those that overlap none taken before."""
+    taken: list[tuple[int, int]] = []
+    out = []
+    for item in found:
+        first, end = item[-2:]
+        k = bisect_left(taken, (end, -1))     # taken stretches are apart, so only the one before `end` can reach in
+        if k == 0 or taken[k - 1][1] <= first:
+            insort(taken, (first, end))
+            out.append(item)
+    return out
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """One row per notice found: doc_id, license, first_word, end_word, n_matched and coverage.
 
@@ -190,6 +222,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     case.  Of notices that overlap, the one with most matched words stays, then
     the higher coverage, then the name.  Null and empty texts have none; null
     ids and repeated rows pass through; an empty table gives an empty result.
+    Texts of any length are scanned whole, a template at every word of it that
+    occurs; other columns are dropped.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     wanted = {name: words_of(text) for name, text in (templates or TEMPLATES | whole_texts()).items()}
@@ -208,12 +242,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                          if len(words) >= coverage * len(wanted[n]) - 1
                          and deciding[n] <= present and len(some & present) >= least
                          for a, b, m in scan_words(words, wanted[n], coverage, deciding[n])]
-                taken: list[tuple[int, int]] = []
-                for m, share, name, a, b in sorted(found):
-                    if all(b <= x or y <= a for x, y in taken):
-                        taken.append((a, b))
-                        at.append(k)
-                        rows.append((name, a, b, -m, -share))
+                for m, share, name, a, b in apart(sorted(found)):
+                    at.append(k)
+                    rows.append((name, a, b, -m, -share))
             if rows:
                 columns = zip(*rows)
                 types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]

@@ -108,8 +108,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_texts: int = SAMPLE_TEXTS,
     picked = [known.where(F.col("quality") == q).orderBy(mixed, "doc_id").limit(sample_texts) for q in (0, 1)]
     # at most 2 * sample_texts ids
     chosen = F.broadcast(picked[0].unionByName(picked[1]))
+    # one text for each id, the smallest: repeated rows of an id do not add to what reaches the driver
     rows = (docs.where(F.octet_length("text").between(1, sample_bytes)).select("doc_id", "text")
-            .join(chosen, "doc_id").select("doc_id", "quality", "text").collect())
+            .join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect())
     rows.sort(key=lambda r: (r.quality, r.doc_id, r.text))
     halves: dict[tuple[int, int], list[str]] = {(q, h): [] for q in (0, 1) for h in (0, 1)}
     for k, r in enumerate(rows):

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.support import materialize
+
 _BLANK = r"[\x20\x09-\x0D]+"
 _SYMBOLS = "#*$%&|<>"
 
@@ -31,6 +33,7 @@ POLICIES: dict[str, int] = {
     "base": BASE,
     "v1": BASE | BIT["symbols"] | BIT["upper_case"],
     "v2": BASE | BIT["symbols"] | BIT["upper_case"] | BIT["short_words"] | BIT["long_words"] | BIT["few_letters"],
+    "v3": sum(BIT.values()),
 }
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters"]
 
@@ -100,6 +103,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measure(docs.select("doc_id", "text")).drop("text").withColumn("failed", failure_bits())
 
 
+def store(docs: DataFrame) -> DataFrame:
+    """The ledger of ``docs`` as a table in the shared folder: texts are read once, policies and ablations read this."""
+    return materialize(ledger(docs))
+
+
 def passes(policy: str, failed: str = "failed") -> Column:
     """True where the ledger's bits hold none that the policy rejects."""
     return F.col(failed).bitwiseAND(F.lit(POLICIES[policy]).cast("long")) == 0
@@ -113,7 +121,8 @@ def apply_policies(entries: DataFrame, policies: list[str] | None = None) -> Dat
 def ablation(entries: DataFrame, policy: str) -> DataFrame:
     """How many texts each rule rejects, rejects alone, and how many stay without it: (rule, failed, alone, kept).
 
-    The ledger is first counted by bitmask (at most 2**len(RULES) rows).
+    The ledger is first counted by bitmask (at most 2**len(RULES) rows). A text is rejected alone by a rule if no
+    other rule of the policy fails it. An empty ledger gives no rows.
     """
     mask = POLICIES[policy]
     counts = entries.groupBy("failed").agg(F.count("*").alias("n"))
