@@ -15,6 +15,13 @@ from voxloom.support import materialize, shared_dir
 POLICY, TOKENIZER = "v1", "word_bpe_49k.json"
 
 
+def free_name(docs: DataFrame, wish: str) -> str:
+    """A column name that the documents do not have."""
+    while wish.lower() in {c.lower() for c in docs.columns}:
+        wish = f"_{wish}"
+    return wish
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold; the model learns from the labelled rows among ``docs``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -23,7 +30,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose failure bits hold none of the policy's."""
-    prefix = "__rule_"
+    prefix = "rule_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
     measured = rule_ledger.measure(docs, prefix=prefix)
     bits = rule_ledger.failure_bits(prefix).bitwiseAND(F.lit(rule_ledger.POLICIES[POLICY]).cast("long"))
     return measured.where(bits == 0).select(*docs.columns)
@@ -34,21 +43,23 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     A null doc_id counts as the smallest.
     """
+    row = free_name(docs, "row")
     # numbers of rows are written down: they must be the same in the join and here
-    docs = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
-    gone = (ngram_join.join(docs, row="__row").where("uid <> class_uid")
-            .select(F.col("uid").alias("__row")).hint("merge"))
-    return docs.join(gone, "__row", "left_anti").drop("__row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    gone = (ngram_join.join(numbered, row=row).where("uid <> class_uid")
+            .select(F.col("uid").alias(row)).hint("merge"))
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def repeat_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the word windows that start earlier, in another document or the same; n_chars follows."""
+    """Documents without the word windows that start earlier, in another document or the same; n_chars follows, if any."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     # in a struct, no column of the documents meets one that the operator adds
-    kept = substring_dedup.remove_repeats(docs.select("doc_id", "text", F.struct(*others).alias("other")))
-    length = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("other.n_chars"))
+    kept = substring_dedup.remove_repeats(docs.select("doc_id", "text", F.struct(*(others or [F.lit(0).alias("none")])).alias("other")))
     columns = {c: F.col(f"other.`{c}`") for c in others} | {c: F.col(c) for c in ("doc_id", "text")}
-    columns["n_chars"] = length.cast(docs.schema["n_chars"].dataType)
+    if "n_chars" in others:
+        length = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("other.n_chars"))
+        columns["n_chars"] = length.cast(docs.schema["n_chars"].dataType)
     return kept.select(*[columns[c].alias(c) for c in docs.columns])
 
 
