@@ -33,4 +33,5 @@ def load() -> None:
         morphology,
         shapes,
         spatial,
+        store,
     )

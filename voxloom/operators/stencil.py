@@ -540,3 +540,32 @@ def neighbour_count(voxels: DataFrame, keys: Sequence[str], code: str, dims: Dim
                                 for dz, dy, dx in full_offsets(connectivity))
         return out
     return spread(rows, *keys, *TILE_COLUMNS).groupBy(*keys, *TILE_COLUMNS).applyInPandas(count, schema)
+
+
+def halo_map(voxels: DataFrame, keys: Sequence[str], value: str, dims: Dims, halo: Sequence[int],
+             function: Callable[[np.ndarray], np.ndarray], tile: Sequence[int] = TILE, dtype: str = "f8",
+             edge: str = "constant") -> DataFrame:
+    """Apply a numpy function to whole volumes, tile by tile.
+
+    ``function`` takes a dense block (absent voxels are 0) and returns one of the same shape; each of its results may
+    depend on the ``halo`` cells around it.  Blocks are handed over with that halo, beyond the volume filled as
+    ``np.pad`` does in mode ``edge``, and the cores of the answers are put together: nonzero voxels as keys, z, y, x,
+    ``value`` (double).  Tiles without a voxel within their halo are taken to stay zero.
+    """
+    keys = list(keys)
+    halo = tuple(int(h) for h in halo)
+    rows = with_halo(placed(voxels.select(*keys, *ZYX, value), keys, dims), tile, halo)
+    schema = T.StructType([*voxels.select(*keys, *ZYX).schema.fields, T.StructField(value, T.DoubleType())])
+
+    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
+        window = Window(pdf, tile, halo)
+        grid = np.zeros(window.shape, dtype)
+        grid[window.place(pdf)] = pdf[value].to_numpy()
+        missing = [(r - (c - w), r - (v - h)) for r, c, w, v, h in zip(
+            halo, window.core_low, window.low, window.high, window.core_high)]
+        answer = np.asarray(function(np.pad(grid, [(int(a), int(b)) for a, b in missing], mode=edge)))
+        inner = tuple(slice(r, r + int(h - c)) for r, c, h in zip(halo, window.core_low, window.core_high))
+        points, inside = window.core_points(answer[inner] != 0)
+        return _key_frame(pdf, keys, points, **{value: answer[inner][tuple(inside.T)].astype(np.float64)})
+
+    return spread(rows, *keys, *TILE_COLUMNS).groupBy(*keys, *TILE_COLUMNS).applyInPandas(apply, schema)

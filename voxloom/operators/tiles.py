@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from voxloom.support import ZYX, div0
+from voxloom.support import ZYX, div0, spread
 
 
 def window_starts(image: int, patch: int, step: float) -> list[int]:
@@ -144,3 +148,57 @@ def patch_boxes(centres: DataFrame, patch: Sequence[int], dims: Sequence[int], p
 def forced_in_batch(index: Column, batch: int, share: float) -> Column:
     """The last part of a batch must contain foreground."""
     return index >= F.lit(round(batch * (1 - share)))
+
+
+def patch_crops(voxels: DataFrame, boxes: DataFrame, keys: Sequence[str], patch_key: Sequence[str], value: str,
+                patch: Sequence[int], tile: Sequence[int] = (32, 32, 32), dtype: str = "<f8", padding: float = 0.0,
+                dims: Sequence[int] | None = None) -> DataFrame:
+    """Dense padded patches (patch_key, block) for the boxes of ``patch_boxes``.
+
+    Voxels are packed into tiles once.  A box meets the tiles it overlaps through the tile grid (an equi-join on the
+    tile's number), each tile is cut to the box, and the pieces of a patch are put together: a task holds one patch, and
+    no voxel is repeated as a row.  Cells without a voxel are 0; with the shape ``dims`` of the volumes those outside it
+    hold ``padding``.  A box without any voxel gives a patch as well.
+    """
+    keys, patch_key = list(keys), list(patch_key)
+    numbers = [F.floor(F.col(a) / s).cast("int").alias(f"_t{a}") for a, s in zip(ZYX, tile)]
+    schema = T.StructType([*[voxels.schema[k] for k in keys], *[T.StructField(f"_t{a}", T.IntegerType()) for a in ZYX],
+                           T.StructField("block", T.BinaryType())])
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = np.zeros(tile, dtype)
+        grid[tuple((pdf[a].to_numpy() % s) for a, s in zip(ZYX, tile))] = pdf[value].to_numpy()
+        out = pdf[[*keys, "_tz", "_ty", "_tx"]].iloc[:1].copy()
+        out["block"] = [zlib.compress(grid.tobytes(), 1)]
+        return out
+
+    grid_key = [*keys, "_tz", "_ty", "_tx"]
+    packed = spread(voxels.select(*keys, *ZYX, value, *numbers), *grid_key).groupBy(*grid_key).applyInPandas(pack, schema)
+    wanted = boxes.select(*keys, *[c for c in patch_key if c not in keys], "z0", "y0", "x0")
+    met = wanted
+    for axis, size, s in zip(ZYX, patch, tile):
+        first = F.floor(F.col(axis + "0") / s).cast("int")
+        met = met.withColumn(f"_t{axis}", F.explode(F.sequence(first, F.floor((F.col(axis + "0") + (size - 1)) / s).cast("int"))))
+    pieces = met.join(packed, grid_key, "left")
+    answer = T.StructType([*[wanted.schema[k] for k in patch_key], T.StructField("block", T.BinaryType())])
+
+    def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
+        corner = pdf[["z0", "y0", "x0"]].iloc[0].to_numpy(np.int64)
+        out = np.zeros(patch, dtype)
+        for tz, ty, tx, block in zip(pdf["_tz"], pdf["_ty"], pdf["_tx"], pdf["block"]):
+            if block is None:
+                continue
+            start = np.array([tz, ty, tx]) * np.array(tile)
+            low, high = np.maximum(corner, start), np.minimum(corner + np.array(patch), start + np.array(tile))
+            cut = np.frombuffer(zlib.decompress(block), dtype).reshape(tile)[tuple(slice(a, b) for a, b in zip(low - start, high - start))]
+            out[tuple(slice(a, b) for a, b in zip(low - corner, high - corner))] = cut
+        if dims is not None:
+            inside = tuple(slice(max(0, -c), max(0, min(n, d - c))) for n, c, d in zip(patch, corner, dims))
+            padded = np.full(patch, padding, dtype)
+            padded[inside] = out[inside]
+            out = padded
+        row = pdf[patch_key].iloc[:1].copy()
+        row["block"] = [out.tobytes()]
+        return row
+
+    return spread(pieces, *patch_key).groupBy(*patch_key).applyInPandas(assemble, answer)

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -87,6 +88,17 @@ def nifti_volume(content: bytes) -> np.ndarray:
     return volumes[0]
 
 
+def tiff_page_count(content: bytes) -> int:
+    """Number of pages from the chain of directories, without reading any of them."""
+    order = "<" if content[:2] == b"II" else ">"
+    at, pages = struct.unpack(order + "I", content[4:8])[0], 0
+    while at:
+        pages += 1
+        entries = struct.unpack(order + "H", content[at:at + 2])[0]
+        at = struct.unpack(order + "I", content[at + 2 + 12 * entries:at + 6 + 12 * entries])[0]
+    return pages
+
+
 def tiff_pages(content: bytes) -> Iterator[np.ndarray]:
     """Pages of a grey strip TIFF, uncompressed or deflate-packed."""
     order = "<" if content[:2] == b"II" else ">"
@@ -114,6 +126,26 @@ def tiff_pages(content: bytes) -> Iterator[np.ndarray]:
         at = struct.unpack(order + "I", content[at + 2 + 12 * count:at + 6 + 12 * count])[0]
 
 
+def _unfilter(modes: np.ndarray, coded: np.ndarray) -> np.ndarray:
+    """Bytes (row, pixel, byte) from their filtered form.
+
+    A byte depends on those to the left, above, and above left, so all pixels of one diagonal are taken at once.
+    """
+    height, width, step = coded.shape
+    out = np.zeros((height + 1, width + 1, step), np.int64)
+    for d in range(height + width - 1):
+        r = np.arange(max(0, d - width + 1), min(height, d + 1))
+        i = d - r
+        left, above, corner = out[r + 1, i], out[r, i + 1], out[r, i]
+        guess = left + above - corner
+        near = np.abs(np.stack([guess - left, guess - above, guess - corner]))
+        paeth = np.choose(near.argmin(axis=0), [left, above, corner])
+        mode = modes[r][:, None]
+        value = np.select([mode == 1, mode == 2, mode == 3, mode == 4], [left, above, (left + above) // 2, paeth], 0)
+        out[r + 1, i + 1] = (coded[r, i] + value) % 256
+    return out[1:, 1:].astype(np.uint8)
+
+
 def png_page(content: bytes) -> np.ndarray:
     """A grey, non-interlaced PNG of 8 or 16 bits."""
     at, packed, header = 8, b"", None
@@ -130,28 +162,8 @@ def png_page(content: bytes) -> np.ndarray:
         raise ValueError("only grey non-interlaced PNG of 8 or 16 bits is supported")
     step = bits // 8
     lines = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, 1 + width * step)
-    out = np.zeros((height + 1, width * step), np.int64)
-    for r in range(height):
-        mode, line, above = lines[r, 0], lines[r, 1:].astype(np.int64), out[r]
-        if mode == 0:
-            out[r + 1] = line
-        elif mode == 1:
-            for s in range(step):
-                out[r + 1, s::step] = np.cumsum(line[s::step]) % 256
-        elif mode == 2:
-            out[r + 1] = (line + above) % 256
-        else:
-            row = out[r + 1]
-            for i in range(len(line)):
-                left, corner = (row[i - step], above[i - step]) if i >= step else (0, 0)
-                if mode == 3:
-                    guess = (left + above[i]) // 2
-                else:
-                    p = left + above[i] - corner
-                    guess = min((abs(p - left), 0, left), (abs(p - above[i]), 1, above[i]), (abs(p - corner), 2, corner))[2]
-                row[i] = (line[i] + guess) % 256
-    flat = out[1:].astype(np.uint8).tobytes()
-    return np.frombuffer(flat, ">u2" if step == 2 else "u1").reshape(height, width)
+    out = _unfilter(lines[:, 0], lines[:, 1:].reshape(height, width, step))
+    return np.frombuffer(out.tobytes(), ">u2" if step == 2 else "u1").reshape(height, width)
 
 
 def _plane_row(volume_id: str, z: int, plane: np.ndarray) -> tuple:
@@ -216,7 +228,7 @@ def read_analyze(spark: SparkSession, path: str) -> DataFrame:
     return both.mapInPandas(decode, PLANE + ", channel int")
 
 
-def _stack(spark: SparkSession, path: str, glob: str, pages) -> DataFrame:
+def _stack(spark: SparkSession, path: str, glob: str, pages, pages_in) -> DataFrame:
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, z, content in zip(batch["volume_id"], batch["z"], batch["content"]):
@@ -224,7 +236,7 @@ def _stack(spark: SparkSession, path: str, glob: str, pages) -> DataFrame:
                     yield _frame([_plane_row(name, int(z) + page, plane)])
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "pages": [sum(1 for _ in pages(c)) for c in batch["content"]]})
+            yield pd.DataFrame({"path": batch["path"], "pages": [pages_in(c) for c in batch["content"]]})
 
     files = _binary(spark, path, glob)
     below = F.regexp_replace(_below(path), r"/?[^/]+$", "")
@@ -240,11 +252,11 @@ def _stack(spark: SparkSession, path: str, glob: str, pages) -> DataFrame:
 
 def read_tiff_stack(spark: SparkSession, path: str, glob: str = "*.tif*") -> DataFrame:
     """Planes of TIFF stacks, one folder per volume, ordered by file name."""
-    return _stack(spark, path, glob, tiff_pages)
+    return _stack(spark, path, glob, tiff_pages, tiff_page_count)
 
 
 def read_png_stack(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
-    return _stack(spark, path, glob, lambda content: [png_page(content)])
+    return _stack(spark, path, glob, lambda content: [png_page(content)], lambda content: 1)
 
 
 def _unpack_chunk(content: bytes, codec: str | None) -> bytes:
@@ -255,6 +267,12 @@ def _unpack_chunk(content: bytes, codec: str | None) -> bytes:
     if codec == "zstd":
         import zstandard
         return zstandard.ZstdDecompressor().decompressobj().decompress(content)
+    if codec == "blosc":
+        from voxloom.sources.blosc import decode
+        return decode(content)
+    if codec == "lz4":
+        # the size of the chunk, then one raw block
+        return pa.Codec("lz4_raw").decompress(content[4:], struct.unpack("<I", content[:4])[0]).to_pybytes()
     raise ValueError(f"chunk codec {codec} is not supported")
 
 
