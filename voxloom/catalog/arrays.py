@@ -15,7 +15,7 @@ from voxloom.support import materialize
 V = ["volume_id"]
 PLACE = ["volume_id", "z", "y", "x"]
 
-MODAL = f"""{VOX}, modal AS (SELECT volume_id, z, y, x, gt, 0 AS modality, intensity AS value FROM vox
+MODAL = f"""{VOX}, modal AS MATERIALIZED (SELECT volume_id, z, y, x, gt, 0 AS modality, intensity AS value FROM vox
 UNION ALL SELECT volume_id, z, y, x, gt, 1, intensity * gt FROM vox)"""
 STATS = """ROUND(QUANTILE_CONT(value, 0.5), 6) AS median, ROUND(AVG(value), 6) AS mean, ROUND(STDDEV_POP(value), 6) AS sd,
 CAST(MIN(value) AS DOUBLE) AS min, CAST(MAX(value) AS DOUBLE) AS max,
@@ -75,7 +75,7 @@ def target_spacing(spark, sf):
 
 
 FG = f"""{MODAL}, fgr AS (SELECT modality, value, ROW_NUMBER() OVER (PARTITION BY volume_id, modality ORDER BY z, y, x) - 1 AS r FROM modal WHERE gt > 0),
-st AS (SELECT modality, {STATS} FROM fgr WHERE r % 10 = 0 GROUP BY 1)"""
+st AS MATERIALIZED (SELECT modality, {STATS} FROM fgr WHERE r % 10 = 0 GROUP BY 1)"""
 
 
 @query("normalize_ct", f"""WITH {FG}
@@ -275,11 +275,13 @@ PATCH = (16, 16, 16)
 STARTS = [tiles.window_starts(n, p, 0.5) for n, p in zip(LATTICE, PATCH)]
 
 
-def _windows_sql(name, starts):
-    return f"{name}(w, s) AS (VALUES {', '.join(f'({i}, {s})' for i, s in enumerate(starts))})"
+def _windows_sql(name, size):
+    # as many windows of 16 as half steps of 8 need, evenly spread up to the last possible start
+    count = f"CAST(CEIL(({size} - 16) / 8.0::DOUBLE) AS INT)"
+    return f"{name} AS (SELECT i AS w, CAST(ROUND_EVEN(({size} - 16) / CAST({count} AS DOUBLE) * i, 0) AS INT) AS s FROM range({count} + 1) t(i))"
 
 
-TILED = f"""{VOX}, {', '.join(_windows_sql(n, s) for n, s in zip(('wz', 'wy', 'wx'), STARTS))},
+TILED = f"""{VOX}, {', '.join(_windows_sql(n, s) for n, s in zip(('wz', 'wy', 'wx'), LATTICE))},
 tiled AS (SELECT volume_id, z, y, x, intensity, wz.w AS w0, wy.w AS w1, wx.w AS w2, z - wz.s AS o0, y - wy.s AS o1, x - wx.s AS o2
 FROM vox JOIN wz ON z >= wz.s AND z < wz.s + 16 JOIN wy ON y >= wy.s AND y < wy.s + 16 JOIN wx ON x >= wx.s AND x < wx.s + 16)"""
 

@@ -204,22 +204,26 @@ def postprocess_decision(spark, sf):
 
 
 
-def _class_dice(name, column):
+def _class_dice(name, column, source):
     return f"""{name} AS (SELECT l, AVG(d) AS dice FROM (SELECT volume_id, l, CAST(2 * COUNT(CASE WHEN gt = l AND {column} = l THEN 1 END) AS DOUBLE)
-  / NULLIF(COUNT(CASE WHEN gt = l THEN 1 END) + COUNT(CASE WHEN {column} = l THEN 1 END), 0) AS d FROM filtered, (VALUES (1), (2), (3)) t(l) GROUP BY 1, 2) GROUP BY 1)"""
+  / NULLIF(COUNT(CASE WHEN gt = l THEN 1 END) + COUNT(CASE WHEN {column} = l THEN 1 END), 0) AS d FROM {source}, (VALUES (1), (2), (3)) t(l) GROUP BY 1, 2) GROUP BY 1)"""
 
 
-@query("postprocess_plan", f"""WITH RECURSIVE {VOX}, {component_sql('ca', 'vox', 6, where='pred > 0')}, {component_sql('cp', 'vox', 6, 'pred', where='pred > 0')},
+@query("postprocess_plan", f"""WITH RECURSIVE {VOX}, {component_sql('ca', 'vox', 6, where='pred > 0')},
 ta AS (SELECT volume_id, component FROM (SELECT volume_id, component, RANK() OVER (PARTITION BY volume_id ORDER BY COUNT(*) DESC) AS r FROM ca GROUP BY 1, 2) WHERE r = 1),
+jointly AS (SELECT v.volume_id, v.z, v.y, v.x, v.gt, v.pred, CASE WHEN ta.component IS NULL THEN 0 ELSE v.pred END AS joint FROM vox v
+  LEFT JOIN ca ON ca.volume_id = v.volume_id AND ca.z = v.z AND ca.y = v.y AND ca.x = v.x LEFT JOIN ta ON ta.volume_id = ca.volume_id AND ta.component = ca.component),
+{_class_dice('raw', 'pred', 'jointly')}, {_class_dice('j', 'joint', 'jointly')},
+choice AS (SELECT BOOL_OR(j.dice > raw.dice) AND NOT BOOL_OR(j.dice < raw.dice) AS apply FROM raw JOIN j USING (l)),
+source AS (SELECT volume_id, z, y, x, gt, CASE WHEN apply THEN joint ELSE pred END AS pred FROM jointly, choice),
+{component_sql('cp', 'source', 6, 'pred', where='pred > 0')},
 tp AS (SELECT volume_id, component FROM (SELECT volume_id, code, component, RANK() OVER (PARTITION BY volume_id, code ORDER BY COUNT(*) DESC) AS r FROM cp GROUP BY 1, 2, 3) WHERE r = 1),
-filtered AS (SELECT v.volume_id, v.gt, v.pred, CASE WHEN ta.component IS NULL THEN 0 ELSE v.pred END AS joint, CASE WHEN tp.component IS NULL THEN 0 ELSE v.pred END AS single
-  FROM vox v LEFT JOIN ca ON ca.volume_id = v.volume_id AND ca.z = v.z AND ca.y = v.y AND ca.x = v.x LEFT JOIN ta ON ta.volume_id = ca.volume_id AND ta.component = ca.component
-  LEFT JOIN cp ON cp.volume_id = v.volume_id AND cp.z = v.z AND cp.y = v.y AND cp.x = v.x LEFT JOIN tp ON tp.volume_id = cp.volume_id AND tp.component = cp.component),
-{_class_dice('raw', 'pred')}, {_class_dice('j', 'joint')}, {_class_dice('s', 'single')}
+single AS (SELECT s.volume_id, s.gt, s.pred, CASE WHEN tp.component IS NULL THEN 0 ELSE s.pred END AS kept FROM source s
+  LEFT JOIN cp ON cp.volume_id = s.volume_id AND cp.z = s.z AND cp.y = s.y AND cp.x = s.x LEFT JOIN tp ON tp.volume_id = cp.volume_id AND tp.component = cp.component),
+{_class_dice('base', 'pred', 'single')}, {_class_dice('s', 'kept', 'single')}
 SELECT CAST(NULL AS INT) AS label, ROUND(AVG(raw.dice), 6) AS before, ROUND(AVG(j.dice), 6) AS after, BOOL_OR(j.dice > raw.dice) AND NOT BOOL_OR(j.dice < raw.dice) AS apply FROM raw JOIN j USING (l)
-UNION ALL SELECT l, ROUND(raw.dice, 6), ROUND(s.dice, 6), s.dice > raw.dice FROM raw JOIN s USING (l)""")
+UNION ALL SELECT l, ROUND(base.dice, 6), ROUND(s.dice, 6), s.dice > base.dice FROM base JOIN s USING (l)""")
 def postprocess_plan(spark, sf):
-    # the joint step does not help on this table, so the class steps start from the raw prediction
     vox = _fg(spark, sf)
     return determine_postprocessing(vox.select(*PLACE, "pred"), vox, V, "pred", "gt", LATTICE, (1, 2, 3))
 

@@ -124,11 +124,25 @@ def border_voxels(voxels: DataFrame, keys: Sequence[str], code: str, dims: Dims,
 
 
 def ball_offsets(radius: float, spacing: Sequence[float]) -> list[tuple[int, int, int]]:
-    """Offsets of a ball given in millimetres, at least one voxel where it rounds up."""
-    reach = [int(np.rint(radius / s)) for s in spacing]
-    grid = np.stack(np.meshgrid(*[np.arange(-r, r + 1) for r in reach], indexing="ij"), -1).reshape(-1, 3)
-    scale = np.array([max(r, 1) for r in reach])
-    return [tuple(int(c) for c in o) for o in grid[((grid / scale) ** 2).sum(axis=1) <= 1.0]]
+    """Offsets of a ball of ``radius`` millimetres in voxels of the given spacing.
+
+    A fine ball of twice as many cells as the widest axis has is read at the voxel centres, linearly between its cells;
+    offsets where more than one half of it is found belong to the ball.
+    """
+    reach = np.rint(radius / np.asarray(spacing, float)).astype(int)
+    sizes = 2 * reach + 1
+    fine = 2 * int(sizes.max())
+    low, share = [], []
+    for n in sizes:
+        at = (np.arange(n) + 0.5) * (2 * fine + 1) / n - 0.5 - fine
+        low.append(np.floor(at))
+        share.append(at - np.floor(at))
+    found = np.zeros(sizes)
+    for corner in itertools.product((0, 1), repeat=3):
+        z, y, x = np.ix_(*[(b + c) ** 2 for b, c in zip(low, corner)])
+        wz, wy, wx = np.ix_(*[f if c else 1 - f for f, c in zip(share, corner)])
+        found += (z + y + x <= fine * fine) * wz * wy * wx
+    return [tuple(int(c) for c in o) for o in np.argwhere(found > 0.5) - reach]
 
 
 # Half sizes (z, y, x) of the three centre planes of a box of 7 slices by 3 by 3.
