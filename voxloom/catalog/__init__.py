@@ -28,6 +28,7 @@ def load() -> None:
         arrays,
         datasets,
         evaluation,
+        files,
         fullsize,
         graphs,
         labels,

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.sources.images import NIFTI_TYPES, PLANE
+from voxloom.sources.volumes import open_folder
 
 HEADER_BYTES = 352
 
@@ -75,18 +76,18 @@ def write_tiff_slices(planes: DataFrame, folder: str, prefix: str = "label_Z", d
                       ) -> None:
     """One TIFF per plane below ``folder/volume_id``; with ``skip_existing`` finished files are kept."""
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, root = open_folder(folder)
         for batch in batches:
             written = 0
             for row in batch.itertuples(index=False):
-                target = os.path.join(folder, row.volume_id)
-                os.makedirs(target, exist_ok=True)
-                path = os.path.join(target, f"{prefix}{row.z:0{digits}d}.tif")
-                if skip_existing and os.path.exists(path):
+                path = f"{root}/{row.volume_id}/{prefix}{row.z:0{digits}d}.tif"
+                files.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                if skip_existing and files.get_file_info(path).type != FileType.NotFound:
                     continue
                 temporary = f"{path}.{uuid.uuid4().hex}"
-                with open(temporary, "wb") as out:
+                with files.open_output_stream(temporary) as out:
                     out.write(tiff_bytes(np.frombuffer(row.pixels, row.dtype).reshape(row.height, row.width)))
-                os.replace(temporary, path)
+                files.move(temporary, path)
                 written += 1
             yield pd.DataFrame({"planes": [written]})
     planes.mapInPandas(write, "planes long").agg(F.sum("planes")).collect()

@@ -147,7 +147,7 @@ def _unfilter(modes: np.ndarray, coded: np.ndarray) -> np.ndarray:
 
 
 def png_page(content: bytes) -> np.ndarray:
-    """A grey, non-interlaced PNG of 8 or 16 bits."""
+    """A non-interlaced PNG of 8 or 16 bits: (height, width), or with colour (height, width, channel)."""
     at, packed, header = 8, b"", None
     while at < len(content):
         size, kind = struct.unpack(">I4s", content[at:at + 8])
@@ -158,12 +158,14 @@ def png_page(content: bytes) -> np.ndarray:
             packed += body
         at += 12 + size
     width, height, bits, colour, _, _, interlace = header
-    if colour != 0 or interlace or bits not in (8, 16):
-        raise ValueError("only grey non-interlaced PNG of 8 or 16 bits is supported")
-    step = bits // 8
+    samples = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
+    if samples is None or interlace or bits not in (8, 16):
+        raise ValueError("only non-interlaced PNG of 8 or 16 bits without palette is supported")
+    step = bits // 8 * samples
     lines = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, 1 + width * step)
     out = _unfilter(lines[:, 0], lines[:, 1:].reshape(height, width, step))
-    return np.frombuffer(out.tobytes(), ">u2" if step == 2 else "u1").reshape(height, width)
+    shape = (height, width) if samples == 1 else (height, width, samples)
+    return np.frombuffer(out.tobytes(), ">u2" if bits == 16 else "u1").reshape(shape)
 
 
 def _plane_row(volume_id: str, z: int, plane: np.ndarray) -> tuple:
@@ -259,6 +261,19 @@ def read_png_stack(spark: SparkSession, path: str, glob: str = "*.png") -> DataF
     return _stack(spark, path, glob, lambda content: [png_page(content)], lambda content: 1)
 
 
+def read_png_images(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
+    """Every PNG file as a volume of one plane for each colour channel; the volume id is its path without the suffix."""
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["volume_id"], batch["content"]):
+                page = png_page(content)
+                for channel, plane in enumerate(page[None] if page.ndim == 2 else np.moveaxis(page, 2, 0)):
+                    yield _frame([(*_plane_row(name, 0, plane), channel)], "channel")
+    name = F.regexp_replace(_below(path), r"\.[^./]+$", "")
+    return (_binary(spark, path, glob).select(name.alias("volume_id"), "content")
+            .mapInPandas(decode, PLANE + ", channel int"))
+
+
 def _unpack_chunk(content: bytes, codec: str | None) -> bytes:
     if codec is None:
         return content
