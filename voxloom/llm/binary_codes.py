@@ -3,8 +3,9 @@
 A vector is centred, rotated at random and stored as the signs of its
 components with two correction scalars: its length and its inner product with
 its own code.  These give an unbiased estimate of every distance and a bound of
-its error; only vectors whose lower bound reaches the k-th smallest upper bound
-are ranked again on the original components.
+its error.  Vectors whose lower bound reaches the k-th smallest upper bound are
+candidates; they are ranked on the original components in the order of their
+lower bounds, until these exceed the k-th distance found.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from voxloom.support import materialize
 #: Bounded sample for the centre and length; rows of a block; queries of a block; width of the error bound.
 SAMPLE_ROWS, BLOCK_ROWS, BLOCK_QUERIES, BOUND, SEED = 10_000, 16_384, 1_024, 3.0, 7
 _LANES = 32
+#: Vectors ranked on their components before the bounds are looked at again.
+_STEP = 32
 _BLOCK = ("block long, ids binary, vectors binary, codes binary, lengths binary, agreement binary")
 
 
@@ -160,12 +163,23 @@ def _nearest(model: dict, k: int, bound: float):
             chosen = (square - slack <= limit[:, None] * (1 + 1e-5) + 1e-5) & ~own
             for q, mask in enumerate(chosen, at):
                 rows = np.flatnonzero(mask)
-                gap = vectors[rows].astype(np.float64) - queries[q]
-                distance = np.sqrt((gap * gap).sum(axis=1))
-                best = np.lexsort((ids[rows], distance))
-                best = best[np.sort(np.unique(ids[rows[best]], return_index=True)[1])[:k]]
-                for r in best:
-                    yield int(query_ids[q]), int(ids[rows[r]]), float(distance[r]), len(rows)
+                lower = (square - slack)[q - at, rows]
+                order = np.argsort(lower, kind="stable")
+                rows, lower = rows[order], lower[order]
+                near, distance, ranked = rows[:0], np.zeros(0), 0
+                while ranked < len(rows):
+                    if len(near) == k and lower[ranked] > distance[-1] ** 2 * (1 + 1e-5) + 1e-5:
+                        break
+                    part = rows[ranked:ranked + _STEP]
+                    ranked += len(part)
+                    gap = vectors[part].astype(np.float64) - queries[q]
+                    near = np.concatenate([near, part])
+                    distance = np.concatenate([distance, np.sqrt((gap * gap).sum(axis=1))])
+                    best = np.lexsort((ids[near], distance))
+                    best = best[np.sort(np.unique(ids[near[best]], return_index=True)[1])[:k]]
+                    near, distance = near[best], distance[best]
+                for r, d in zip(near, distance):
+                    yield int(query_ids[q]), int(ids[r]), float(d), ranked
 
     def run(batches):
         for batch in batches:
@@ -192,7 +206,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bound: float = B
     ``n_ranked`` counts the vectors of the row's block that were ranked on
     their original components.  The query's own id is no candidate; ties go to
     the smaller id; repeated ids count once, at their smallest distance.
-    Queries without a usable vector have no rows.
+    Queries without a usable vector have no rows, nor has an empty table; other
+    columns are dropped.  Components are read as float32, or as float64 if they
+    are stored so.
 
     Every query block meets every row block once: the query blocks are joined by
     their number, so Spark broadcasts them only while their measured size is

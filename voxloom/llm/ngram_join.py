@@ -32,7 +32,7 @@ _SEED = 0x243F6A8885A308D3
 
 
 def prefix_depth(threshold: float, trees: int, depth: int, recall: float) -> int:
-    """Shorten the matched prefix from ``depth`` until a pair at the threshold is met with chance ``recall``."""
+    """The longest band, of at most ``depth`` values, at which a pair at the threshold is met with chance ``recall``."""
     while depth > 1 and 1 - (1 - threshold ** depth) ** trees < recall:
         depth -= 1
     return depth
@@ -148,7 +148,7 @@ def _cells(index: Column, parts: Column) -> Column:
 
 
 def candidate_groups(sketches: DataFrame, classes: DataFrame, least: float, node_size: int = NODE) -> DataFrame:
-    """(node, root): classes tied through the forest, by uid; classes without a neighbour are absent."""
+    """(node, root): classes tied through shared bands, by uid; classes without a neighbour are absent."""
     entries = (sketches.join(classes.select("uid"), "uid").where("n_grams > 0")
                .select("uid", F.explode("nodes").alias("node")))
     sizes = entries.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
@@ -250,8 +250,8 @@ def join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, trees: i
     result then also has ``uid``, the row's own, and ``class_uid``, that of the
     row with the smallest (doc_id, uid) reachable over links.
 
-    Candidates come from the forest, so a link at the threshold is met with a
-    chance of ``recall`` at least; similarities are exact over 64-bit hashes.
+    Candidates share a band, so a link at the threshold is met with a chance of
+    ``recall`` at least; similarities are exact over 64-bit hashes.
     """
     docs = docs.select("doc_id", "text", *([F.col(row).alias("__row")] if row else []))
     depth = prefix_depth(threshold, trees, depth, recall)
