@@ -104,6 +104,17 @@ def moving_average(curve: DataFrame, run: Sequence[str], step: str, value: str,
     return _scan(curve, run, step, value, f"`{step}` {kind}, ma double", walk).withColumn("ma", F.round("ma", 6))
 
 
+def decayed_sums(values: np.ndarray, beta: float, block: int = 512) -> np.ndarray:
+    """Sum of beta**(n - k) * values[k] over all k up to n, for every n; blocks keep the powers in range."""
+    out, before = np.empty(len(values)), 0.0
+    for at in range(0, len(values), block):
+        part = values[at:at + block]
+        power = beta ** np.arange(len(part))
+        out[at:at + block] = power * (np.cumsum(part / power) + beta * before)
+        before = out[at + len(part) - 1]
+    return out
+
+
 def corrected_average(curve: DataFrame, run: Sequence[str], step: str, value: str, beta: float = 0.98,
                       lr0: float = 1e-6, lr1: float = 10.0, iterations: int = 1000) -> DataFrame:
     """Bias-corrected average over the learning-rate sweep, cut when it explodes.
@@ -111,18 +122,14 @@ def corrected_average(curve: DataFrame, run: Sequence[str], step: str, value: st
     The loss is shifted by one. The curve ends before the first step (after the
     first) whose corrected average exceeds four times the best one so far.
     """
-    grow = (lr1 / lr0) ** (1 / iterations)
+    rate = np.log10(lr1 / lr0) / iterations     # decades of the learning rate per step
 
     def walk(steps: np.ndarray, values: np.ndarray) -> pd.DataFrame:
-        average, best, found = 0.0, 0.0, []
-        for n, new in enumerate(values, 1):
-            average = average * beta + (new + 1) * (1 - beta)
-            smooth = average / (1 - beta ** n)
-            if n > 1 and smooth > best * 4:
-                break
-            best = smooth if n == 1 else min(best, smooth)
-            found.append((n, smooth, np.log10(lr0 * grow ** (n - 1))))
-        return pd.DataFrame(found, columns=["step", "smoothed", "log_lr"])
+        number = np.arange(1, len(values) + 1)
+        smooth = (1 - beta) * decayed_sums(values + 1, beta) / (1 - beta ** number)
+        exploded = np.flatnonzero(smooth[1:] > 4 * np.minimum.accumulate(smooth)[:-1])
+        end = exploded[0] + 1 if len(exploded) else len(values)
+        return pd.DataFrame({"step": number, "smoothed": smooth, "log_lr": np.log10(lr0) + rate * (number - 1)})[:end]
     out = _scan(curve, run, step, value, "step int, smoothed double, log_lr double", walk)
     return out.withColumns({"smoothed": F.round("smoothed", 6), "log_lr": F.round("log_lr", 6)})
 
