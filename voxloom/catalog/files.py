@@ -64,18 +64,18 @@ def tiff_round_trip(spark, sf):
     return images.planes_to_voxels(images.read_tiff_stack(spark, folder))
 
 
-@query("task_import", f"""WITH {VOX}, f AS (SELECT 'imagesT' || CASE WHEN volume_id % 3 = 0 THEN 's' ELSE 'r' END || '/' || volume_id || '_0000' AS volume_id, intensity AS v, z, y, x FROM vox
-  UNION ALL SELECT 'imagesT' || CASE WHEN volume_id % 3 = 0 THEN 's' ELSE 'r' END || '/' || volume_id || '_0001', intensity * gt, z, y, x FROM vox
-  UNION ALL SELECT 'labelsTr/' || volume_id, gt, z, y, x FROM vox WHERE volume_id % 3 <> 0)
+@query("task_import", f"""WITH {VOX}, r AS (SELECT *, 'imagesTr/' AS role FROM vox UNION ALL SELECT *, 'imagesTs/' FROM vox WHERE volume_id % 3 = 0),
+f AS (SELECT role || volume_id || '_0000' AS volume_id, intensity AS v, z, y, x FROM r UNION ALL SELECT role || volume_id || '_0001', intensity * gt, z, y, x FROM r
+  UNION ALL SELECT 'labelsTr/' || volume_id, gt, z, y, x FROM vox)
 SELECT volume_id, COUNT(*) AS n, CAST(SUM(v * ((z * 43 + y) * 47 + x)) AS DOUBLE) AS digest FROM f WHERE v <> 0 GROUP BY 1""")
 def task_import(spark, sf):
+    # every third volume is a test case as well
     folder = f"{_folder(spark, 'import')}/Task07_Mouse"
-    both = _two_channels(spark, sf)
     number = F.regexp_extract("volume_id", r"(\d+)$", 1)
-    test = number.cast("long") % 3 == 0
-    named = both.withColumn("volume_id", F.concat(F.when(test, "imagesTs/").otherwise("imagesTr/"), number))
-    sink.write_nifti(named, folder, LATTICE[0], compress=True)
-    labels = _planes(voxels(spark, sf).where("volume_id % 3 <> 0"), "gt", "u1")
+    roles = F.array_compact(F.array(F.lit("imagesTr/"), F.when(number.cast("long") % 3 == 0, "imagesTs/")))
+    named = _two_channels(spark, sf).withColumn("_role", F.explode(roles)).withColumn("volume_id", F.concat("_role", number))
+    sink.write_nifti(named.drop("_role"), folder, LATTICE[0], compress=True)
+    labels = _planes(voxels(spark, sf), "gt", "u1")
     sink.write_nifti(labels.withColumn("volume_id", F.concat(F.lit("labelsTr/"), number)), folder, LATTICE[0], compress=True)
     out = _folder(spark, "tasks")
     datasets.import_task(spark, folder, out, {"0": "A", "1": "B"}, {"0": "background"})
