@@ -2,8 +2,10 @@
 
 Target index i reads source coordinate scale * (i + 0.5) - 0.5, clamped to the
 volume. Each source voxel computes the targets it contributes to, so resampling
-is a projection plus, for interpolation, one aggregation. Old and new shapes are
-given for all volumes, or by geometry tables with the shapes of each.
+is a projection plus, for interpolation, one aggregation. That aggregation runs
+where the voxels of a target slice meet: source voxels are shuffled, not their
+contributions, over as many tasks as the contributions need. Old and new shapes
+are given for all volumes, or by geometry tables with the shapes of each.
 """
 
 from __future__ import annotations
@@ -17,11 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.operators.geometry import SHAPE, SIZES, Dims, placed
-from voxloom.support import ZYX, attach, spread
+from voxloom.support import ZYX, attach, materialize, spread, tasks_for
 
 ANISOTROPY_LIMIT = 3.0
 #: New axis sizes, as they travel with the voxels.
 TARGET = ("_nz", "_ny", "_nx")
+#: Contributions one task of an interpolation aggregates.
+TASK_ROWS = 2_000_000
 
 
 def new_shape(shape: Column, spacing: Column, target: Column) -> Column:
@@ -69,8 +73,24 @@ def nearest_targets(axis: str, old: Size, new: Size) -> Column:
     return F.filter(_candidates(s, old, new), lambda i: F.rint(_source(i, old, new)) == s)
 
 
+def _linear_table(old: int, new: int) -> Column:
+    """Targets and weights of every source index of one axis, as one literal."""
+    targets: list[list[str]] = [[] for _ in range(old)]
+    for i in range(new):
+        c = min(max((i + 0.5) * (old / new) - 0.5, 0.0), float(old - 1))
+        for s in range(max(int(c) - 1, 0), min(int(c) + 3, old)):
+            if 1 - abs(c - s) > 0:
+                targets[s].append(f"named_struct('i', {i}, 'w', {1 - abs(c - s)!r}D)")
+    # a column of its own type, also where no source or not every one has a target
+    rows = ", ".join(f"cast(array({', '.join(t)}) as array<struct<i:int,w:double>>)" for t in targets)
+    return F.expr(f"array({rows})")
+
+
 def linear_targets(axis: str, old: Size, new: Size) -> Column:
     s = F.col(axis)
+    if not isinstance(old, Column) and not isinstance(new, Column):
+        # numbers: looked up, where sizes that differ by volume are computed row by row
+        return F.get(_linear_table(old, new), s)
     weighted = F.transform(_candidates(s, old, new), lambda i: F.struct(
         i.alias("i"), (1 - F.abs(_source(i, old, new) - s)).alias("w")))
     return F.filter(weighted, lambda t: t["w"] > 0)
@@ -102,17 +122,42 @@ def resample_nearest(voxels: DataFrame, old: Dims, new: Dims, keys: Sequence[str
     return out.select(*voxels.columns)
 
 
-def _spread(voxels: DataFrame, keys: Sequence[str], old: Dims, new: Dims) -> DataFrame:
+def _spread(voxels: DataFrame, keys: Sequence[str], old: Dims, new: Dims, within: Sequence[str] | None = None) -> DataFrame:
+    """Each voxel once per target it contributes to, with its weight ``_w``.
+
+    The rows are partitioned by ``within`` (the keys) and z, so grouping by these and more needs no further shuffle.
+    """
     out, axes = _sized(voxels.withColumn("_w", F.lit(1.0)), keys, old, new)
+    out = materialize(out)
+    shares = F.lit(1.0)
+    for _, a, b in axes:
+        # about two targets' worth of contributions per old voxel and new one
+        shares = shares * F.greatest(F.lit(1.0), _column(b).cast("double") * 2 / _column(a))
+    total = out.agg(F.sum(shares)).first()[0] or 0.0
+    meet = [*(keys if within is None else within), "z"]
+    parts = tasks_for(voxels.sparkSession, total, TASK_ROWS)
+
+    def to_targets(rows: DataFrame, axis: str, a: Size, b: Size) -> DataFrame:
+        return (rows.withColumn("_t", F.explode(linear_targets(axis, a, b)))
+                .withColumns({axis: F.col("_t.i"), "_w": F.col("_w") * F.col("_t.w")}).drop("_t"))
     for axis, a, b in axes:
-        out = (out.withColumn("_t", F.explode(linear_targets(axis, a, b)))
-               .withColumns({axis: F.col("_t.i"), "_w": F.col("_w") * F.col("_t.w")}).drop("_t"))
+        if axis == "z":
+            out = to_targets(out, axis, a, b)
+    out = out.repartition(parts, *meet)
+    for axis, a, b in axes:
+        if axis != "z":
+            out = to_targets(out, axis, a, b)
     return out
 
 
-def resample_linear(voxels: DataFrame, keys: Sequence[str], value: str, old: Dims, new: Dims) -> DataFrame:
-    """Linear interpolation of the zero-background volume; zero results are absent."""
-    return (_spread(voxels, keys, old, new).groupBy(*keys, *ZYX)
+def resample_linear(voxels: DataFrame, keys: Sequence[str], value: str, old: Dims, new: Dims,
+                    within: Sequence[str] | None = None) -> DataFrame:
+    """Linear interpolation of the zero-background volume; zero results are absent.
+
+    The result is partitioned by ``within``, some or all of the keys, and z: a later grouping by them and the position
+    needs no shuffle.
+    """
+    return (_spread(voxels, keys, old, new, within).groupBy(*keys, *ZYX)
             .agg(F.sum(F.col(value) * F.col("_w")).alias(value)).where(F.col(value) != 0))
 
 

@@ -26,7 +26,7 @@ def export_segmentation(scores: DataFrame, keys: Sequence[str], old: Dims, new:
     those of all cases, or geometry tables.
     """
     middle = new if separate is None else keep_axis(new, old, separate, keys)
-    dense = resample.resample_linear(scores, [*keys, cls], p, old, middle)
+    dense = resample.resample_linear(scores, [*keys, cls], p, old, middle, within=keys)
     if separate is not None:
         dense = resample.resample_nearest(dense, middle, new, keys)
     # sums of the same shares in another order must not decide ties
