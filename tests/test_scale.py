@@ -1,10 +1,15 @@
 """Tasks grow in number, not in size, and small files share tasks."""
 
+import uuid
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from voxloom.operators import resample, tiles
+from voxloom.sinks import images as sink
+from voxloom.sources import volumes
 from voxloom.support import tasks_for
 
 KEY = ["volume_id"]
@@ -44,3 +49,46 @@ def test_looked_up_targets_equal_computed_ones(spark, sizes):
     rows = spark.range(sizes[0]).select(F.col("id").cast("int").alias("x"), *[F.lit(n).alias(c) for n, c in zip(sizes, "ab")])
     both = rows.select(resample.linear_targets("x", *sizes).alias("t"), resample.linear_targets("x", F.col("a"), F.col("b")).alias("c"))
     assert all([tuple(t) for t in r.t] == [tuple(c) for c in r.c] for r in both.collect())
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    voxels = spark.createDataFrame([(f"v{k}", k % 3, 1, 2, k) for k in range(1, 200)], "volume_id string, z int, y int, x int, value int")
+    sink.write_nifti(sink.to_planes(voxels, "volume_id", "value", 3, 4, "i2", 3), str(tmp_path), 3)
+    pieces = volumes.NiftiReader({"path": str(tmp_path)}, "voxels").partitions()
+    assert len(pieces) <= 100 and sum(len(p.files) for p in pieces) == 199
+    found = volumes.scan(spark, str(tmp_path), "voxels").collect()
+    assert sorted((r.volume_id, r.z, r.y, r.x, r.value) for r in found) == sorted((f"v{k}", k % 3, 1, 2, k) for k in range(1, 200))
+
+
+def test_planes_are_filled_across_batches(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    grid = (rng.random((4, 6, 7, 9)) < 0.4) * rng.integers(1, 99, (4, 6, 7, 9))
+    grid[2, 3] = 0
+    points = np.argwhere(grid)
+    pdf = pd.DataFrame(points, columns=["v", "z", "y", "x"]).astype("int32").assign(value=grid[tuple(points.T)])
+    monkeypatch.setattr(sink, "PLANE_BYTES", 3 * 7 * 9 * 2)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for rows in ("5", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            planes = sink.to_planes(spark.createDataFrame(pdf), "v", "value", 7, 9, "i2", 6).collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        assert len(planes) == 24
+        for p in planes:
+            assert np.array_equal(np.frombuffer(p.pixels, p.dtype).reshape(7, 9), grid[int(p.volume_id), p.z])
+
+
+def test_planes_are_built_once_for_a_write(spark, tmp_path):
+    marks = tmp_path / "marks"
+    marks.mkdir()
+    where = str(marks)
+
+    def mark(batches):
+        for batch in batches:
+            open(f"{where}/{uuid.uuid4().hex}", "w").close()
+            yield batch
+    row = [("a", z, 2, 2, "<i2", bytes(8)) for z in range(3)]
+    schema = "volume_id string, z int, height int, width int, dtype string, pixels binary"
+    sink.write_nifti(spark.createDataFrame(row, schema).coalesce(1).mapInPandas(mark, schema), str(tmp_path / "out"), 3, compress=True)
+    assert len(list(marks.iterdir())) == 1

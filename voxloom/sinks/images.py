@@ -14,25 +14,61 @@ from pyspark.sql import functions as F
 
 from voxloom.sources.images import NIFTI_TYPES, PLANE
 from voxloom.sources.volumes import open_folder
+from voxloom.support import spread
 
 HEADER_BYTES = 352
+#: Planes that a task fills at once.
+PLANE_BYTES = 16 << 20
 
 
 def to_planes(voxels: DataFrame, key: str, value: str, height: int, width: int, dtype: str, depth: int) -> DataFrame:
-    """Dense planes of sparse voxels, also the empty ones; a task holds one plane."""
+    """Dense planes of sparse voxels, also the empty ones.
+
+    Rows arrive sorted by volume and plane, so planes are filled as they come, a bounded number at a time.
+    """
     every = (voxels.select(key).distinct()
              .select(key, F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("z"))
              .withColumns({"y": F.lit(-1), "x": F.lit(-1), "_v": F.lit(0.0)}))
     rows = voxels.select(key, "z", "y", "x", F.col(value).cast("double").alias("_v")).unionByName(every)
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        plane = np.zeros((height, width), dtype)
-        real = pdf[pdf["y"] >= 0]
-        plane[real["y"], real["x"]] = real["_v"].astype(dtype)
-        return pd.DataFrame({"volume_id": [str(pdf[key].iloc[0])], "z": [pdf["z"].iloc[0]], "height": [height],
-                             "width": [width], "dtype": [np.dtype(dtype).newbyteorder("<").str],
-                             "pixels": [plane.tobytes()]})
-    return rows.groupBy(key, "z").applyInPandas(build, PLANE)
+    code = np.dtype(dtype).newbyteorder("<").str
+    at_once = max(1, PLANE_BYTES // (height * width * np.dtype(dtype).itemsize))
+
+    def frame(names: list, planes: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"volume_id": [str(k) for k, _ in names], "z": [z for _, z in names], "height": height,
+                             "width": width, "dtype": code, "pixels": [p.tobytes() for p in planes]})
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting, last = None, None  # the plane that the next rows may still belong to
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            ids = [pd.factorize(pdf[c], use_na_sentinel=False)[0] for c in (key, "z")]
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(ids[0]) != 0) | (np.diff(ids[1]) != 0)]))
+            ends = np.append(first[1:], len(pdf))
+            k, z = pdf[key].iloc[first], pdf["z"].iloc[first]
+            names = [(a, None if pd.isna(b) else int(b)) for a, b in zip(k, z)]
+            names = [(None if pd.isna(a) else a, b) for a, b in names]
+            if waiting is not None and names[0] != waiting:
+                yield frame([waiting], last)
+                waiting, last = None, None
+            number = np.repeat(np.arange(len(first)), ends - first)
+            real = (pdf["y"] >= 0).to_numpy()
+            for low in range(0, len(first), at_once):
+                high = min(low + at_once, len(first))
+                planes = np.zeros((high - low, height, width), dtype)
+                if low == 0 and last is not None:
+                    planes[0] = last[0]
+                here = np.arange(first[low], ends[high - 1])
+                here = here[real[here]]
+                part = pdf.iloc[here]
+                planes[number[here] - low, part["y"].to_numpy(np.int64), part["x"].to_numpy(np.int64)] = part["_v"].to_numpy().astype(dtype)
+                done = high - low - (high == len(first))
+                if done:
+                    yield frame(names[low:low + done], planes[:done])
+            waiting, last = names[-1], planes[-1:].copy()
+        if waiting is not None:
+            yield frame([waiting], last)
+    return spread(rows, key, "z").sortWithinPartitions(key, "z").mapInPandas(build, PLANE)
 
 
 def nifti_header(shape: Sequence[int], dtype: np.dtype, spacing: Sequence[float] = (1.0, 1.0, 1.0), channels: int = 1,

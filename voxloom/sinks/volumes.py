@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import posixpath
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,11 +24,14 @@ from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 
 from voxloom.sinks.images import nifti_header
 from voxloom.sources.volumes import FORMAT, NiftiSource, open_folder
-from voxloom.support import attach
+from voxloom.support import attach, materialize, tasks_for
 
 #: Columns of the rows that the writer takes, in this order of volume_id, channel and z.
 COLUMNS = ("volume_id", "channel", "z", "height", "width", "dtype", "pixels", "depth", "channels", "spacing")
 BATCH_BYTES = 64 << 20
+#: Pixels that one task writes, unless a volume is larger.
+TASK_BYTES = 64 << 20
+GZIP_LEVEL = 6
 
 
 @dataclass
@@ -42,10 +46,15 @@ class _File:
     def __init__(self, files: pf.FileSystem, path: str, row: dict, compress: bool):
         self.row, self.next = row, 0
         files.create_dir(posixpath.dirname(path), recursive=True)
-        self.out = files.open_output_stream(path, compression="gzip" if compress else None)
+        self.out = files.open_output_stream(path, compression=None)
+        # Arrow's own gzip stream takes the highest level, several times as long for hardly smaller files
+        self.packer = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, 31) if compress else None
         kind = np.dtype(row["dtype"])
-        self.out.write(nifti_header((row["depth"], row["height"], row["width"]), kind, row["spacing"] or (1.0, 1.0, 1.0),
-                                    row["channels"]))
+        self._put(nifti_header((row["depth"], row["height"], row["width"]), kind, row["spacing"] or (1.0, 1.0, 1.0),
+                               row["channels"]))
+
+    def _put(self, data: bytes) -> None:
+        self.out.write(data if self.packer is None else self.packer.compress(data))
 
     def add(self, row: dict) -> None:
         same = all(row[c] == self.row[c] for c in ("height", "width", "dtype", "depth", "channels"))
@@ -55,17 +64,19 @@ class _File:
             raise ValueError(f"plane {row['z']} of channel {row['channel']} of {row['volume_id']} is "
                              + ("outside the volume" if not inside else "of another kind" if not same else "given twice"))
         self._skip(number)
-        self.out.write(row["pixels"])
+        self._put(row["pixels"])
         self.next += 1
 
     def _skip(self, number: int) -> None:
         empty = bytes(self.row["height"] * self.row["width"] * np.dtype(self.row["dtype"]).itemsize)
         while self.next < number:
-            self.out.write(empty)
+            self._put(empty)
             self.next += 1
 
     def close(self) -> None:
         self._skip(self.row["depth"] * self.row["channels"])
+        if self.packer is not None:
+            self.out.write(self.packer.flush())
         self.out.close()
 
 
@@ -84,8 +95,8 @@ class NiftiWriter(DataSourceArrowWriter):
         moves: list[tuple[str, str]] = []
         current: _File | None = None
         for batch in iterator:
-            for k in range(batch.num_rows):
-                row = {c: batch.column(batch.schema.get_field_index(c))[k].as_py() for c in COLUMNS}
+            for values in zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in COLUMNS]):
+                row = dict(zip(COLUMNS, values))
                 if current is None or row["volume_id"] != current.row["volume_id"]:
                     if current is not None:
                         current.close()
@@ -106,8 +117,9 @@ class NiftiWriter(DataSourceArrowWriter):
         if len(set(targets)) < len(targets):
             self.abort(messages)
             raise ValueError("two tasks wrote the same volume: rows of a volume must be in one partition")
+        for folder in sorted({posixpath.dirname(target) for target in targets}):
+            files.create_dir(folder, recursive=True)
         for source, target in moves:
-            files.create_dir(posixpath.dirname(target), recursive=True)
             files.move(source, target)
         self.abort(messages)
 
@@ -130,9 +142,10 @@ def write_volumes(planes: DataFrame, folder: str, depth: int | DataFrame | None
     extra = set(planes.columns) - {*known, "channel"}
     if extra:
         raise ValueError(f"the writer does not know the columns {sorted(extra)}")
-    rows = planes if "channel" in planes.columns else planes.withColumn("channel", F.lit(0))
+    # planes are costly to build and needed twice
+    rows = materialize(planes if "channel" in planes.columns else planes.withColumn("channel", F.lit(0)))
     sizes = rows.groupBy("volume_id").agg((F.max("channel") + 1).alias("channels"), (F.max("z") + 1).alias("_planes"),
-                                          F.max(F.length("pixels")).alias("_bytes"))
+                                          F.max(F.length("pixels")).alias("_bytes"), F.sum(F.length("pixels")).alias("_all"))
     steps = ("spacing_z", "spacing_y", "spacing_x")
     spacing = F.lit(None).cast("array<double>")
     if isinstance(depth, DataFrame):
@@ -142,17 +155,19 @@ def write_volumes(planes: DataFrame, folder: str, depth: int | DataFrame | None
     else:
         deep = F.col("_planes") if depth is None else F.lit(int(depth))
         sizes = sizes.withColumns({"depth": deep.cast("int"), "spacing": spacing})
-    largest = sizes.agg(F.max("_bytes")).first()[0] or 1
+    sizes = materialize(sizes)
+    largest, whole_bytes = (n or 1 for n in sizes.agg(F.max("_bytes"), F.sum("_all")).first())
     spark = planes.sparkSession
     spark.dataSource.register(NiftiSource)
-    whole = attach(rows, sizes.drop("_planes", "_bytes"), ["volume_id"], "left").select(
+    whole = attach(rows, sizes.drop("_planes", "_bytes", "_all"), ["volume_id"], "left", staged=True).select(
         *[F.col(c).cast("int") if c in ("channel", "channels", "depth", "z") else F.col(c) for c in COLUMNS])
     # one task has all planes of a volume in order, a bounded number of them at a time
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
     spark.conf.set(name, str(max(1, min(int(before), BATCH_BYTES // largest))))
     try:
-        (whole.repartition("volume_id").sortWithinPartitions("volume_id", "channel", "z").write.format(FORMAT)
+        parts = tasks_for(spark, whole_bytes, TASK_BYTES)
+        (whole.repartition(parts, "volume_id").sortWithinPartitions("volume_id", "channel", "z").write.format(FORMAT)
          .option("compress", str(compress).lower()).mode("append").save(folder))
     finally:
         spark.conf.set(name, before)

@@ -2,7 +2,8 @@
 
 A file is cut by its size alone, as Spark cuts splittable files: a task reads
 the header and then the planes whose first byte lies in its range, so an
-uncompressed volume is as many tasks as it has ``split_bytes``.  A range of
+uncompressed volume is as many tasks as it has ``split_bytes``, and small files
+share a task up to that size.  A range of
 planes, a channel or a volume reach the reader as options; other planes are not
 read.  Geometry takes the header's 352 bytes of each file.
 
@@ -31,6 +32,8 @@ from voxloom.sources.images import nifti_layout
 FORMAT = "voxloom_nifti"
 HEADER = 352
 SPLIT_BYTES, BATCH_BYTES, GEOMETRY_FILES = 32 << 20, 8 << 20, 256
+#: What opening a file counts for when small files are put into one task.
+OPEN_BYTES, LEAST_PIECES = 1 << 20, 64
 SCHEMAS = {
     "planes": "volume_id string, z int, height int, width int, dtype string, pixels binary, channel int",
     "voxels": "volume_id string, channel int, z int, y int, x int, value double",
@@ -69,7 +72,7 @@ class NiftiReader(DataSourceReader):
         found = [info] if info.type == pf.FileType.File else files.get_file_info(pf.FileSelector(root, recursive=True))
         base = posixpath.dirname(root) if info.type == pf.FileType.File else root
         whole: list[tuple[str, str, int, int]] = []
-        pieces = []
+        ranges: list[tuple[str, str, int, int]] = []
         for f in sorted((f for f in found if f.type == pf.FileType.File), key=lambda f: f.path):
             below = posixpath.relpath(f.path, base)
             hidden = any(part[0] in "._" for part in below.split("/"))
@@ -79,10 +82,19 @@ class NiftiReader(DataSourceReader):
             if self.rows == "geometry":
                 whole.append((name, f.path, 0, f.size))
             elif f.path.endswith(".gz"):
-                pieces.append(Piece([(name, f.path, 0, f.size)]))
+                ranges.append((name, f.path, 0, f.size))
             else:
-                pieces += [Piece([(name, f.path, a, min(a + self.split, f.size))])
-                           for a in range(0, max(1, f.size), self.split)]
+                ranges += [(name, f.path, a, min(a + self.split, f.size)) for a in range(0, max(1, f.size), self.split)]
+        # small files share a task, once there are more of them than a cluster runs at a time
+        most = min(self.split, sum(b - a + OPEN_BYTES for _, _, a, b in ranges) // LEAST_PIECES)
+        pieces, room = [], 0
+        for part in ranges:
+            cost = part[3] - part[2] + OPEN_BYTES
+            if not pieces or cost > room:
+                pieces.append(Piece([]))
+                room = most
+            pieces[-1].files.append(part)
+            room -= cost
         pieces += [Piece(whole[k:k + GEOMETRY_FILES]) for k in range(0, len(whole), GEOMETRY_FILES)]
         return pieces or [Piece([])]
 
