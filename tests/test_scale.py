@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from voxloom import bindings
 from voxloom.operators import resample, tiles
 from voxloom.sinks import images as sink
 from voxloom.sources import volumes
@@ -51,6 +52,16 @@ def test_looked_up_targets_equal_computed_ones(spark, sizes):
     assert all([tuple(t) for t in r.t] == [tuple(c) for c in r.c] for r in both.collect())
 
 
+def test_voxels_are_grouped_in_as_many_tasks_as_the_lines_need(spark, tmp_path, monkeypatch):
+    line = "id as l_orderkey, id * 7 % 200 as l_partkey, id % 10 as l_suppkey, cast(1 + id % 7 as int) as l_linenumber, " \
+           "'A' as l_returnflag, 'F' as l_linestatus, cast(1 + id % 50 as double) as l_quantity"
+    spark.range(3000).selectExpr(*line.split(", ")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    plain = sorted(map(tuple, bindings.voxels(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(bindings, "TASK_ROWS", 100)
+    many = bindings.voxels(spark, str(tmp_path))
+    assert many.rdd.getNumPartitions() == 30 and sorted(map(tuple, many.collect())) == plain
+
+
 def test_small_files_share_a_task(spark, tmp_path):
     voxels = spark.createDataFrame([(f"v{k}", k % 3, 1, 2, k) for k in range(1, 200)], "volume_id string, z int, y int, x int, value int")
     sink.write_nifti(sink.to_planes(voxels, "volume_id", "value", 3, 4, "i2", 3), str(tmp_path), 3)
