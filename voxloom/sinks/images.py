@@ -52,7 +52,7 @@ def to_planes(voxels: DataFrame, key: str, value: str, height: int, width: int,
                 yield frame([waiting], last)
                 waiting, last = None, None
             number = np.repeat(np.arange(len(first)), ends - first)
-            real = (pdf["y"] >= 0).to_numpy()
+            real = ~(pdf["y"] < 0).to_numpy()  # a row without a place is an error below
             for low in range(0, len(first), at_once):
                 high = min(low + at_once, len(first))
                 planes = np.zeros((high - low, height, width), dtype)
