@@ -24,13 +24,13 @@ from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 
 from voxloom.sinks.images import nifti_header
 from voxloom.sources.volumes import FORMAT, NiftiSource, open_folder
-from voxloom.support import attach, materialize, tasks_for
+from voxloom.support import attach, materialize
 
 #: Columns of the rows that the writer takes, in this order of volume_id, channel and z.
 COLUMNS = ("volume_id", "channel", "z", "height", "width", "dtype", "pixels", "depth", "channels", "spacing")
 BATCH_BYTES = 64 << 20
 #: Pixels that one task writes, unless a volume is larger.
-TASK_BYTES = 64 << 20
+TASK_BYTES = 4 << 20
 GZIP_LEVEL = 6
 
 
@@ -166,7 +166,7 @@ def write_volumes(planes: DataFrame, folder: str, depth: int | DataFrame | None
     before = spark.conf.get(name)
     spark.conf.set(name, str(max(1, min(int(before), BATCH_BYTES // largest))))
     try:
-        parts = tasks_for(spark, whole_bytes, TASK_BYTES)
+        parts = -(-whole_bytes // TASK_BYTES)
         (whole.repartition(parts, "volume_id").sortWithinPartitions("volume_id", "channel", "z").write.format(FORMAT)
          .option("compress", str(compress).lower()).mode("append").save(folder))
     finally:
