@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from voxloom.bindings import CELLS, LATTICE, VOX, voxels
 from voxloom.catalog import query
 from voxloom.catalog.spatial import component_sql
-from voxloom.operators import evaluate, stencil, surface
+from voxloom.operators import evaluate, geometry, stencil, surface
+from voxloom.operators.geometry import free_cells
 from voxloom.plans import preprocessing
 from voxloom.support import full_offsets, materialize
 
@@ -91,10 +92,8 @@ def expand_labels(spark, sf):
 
 
 def _complement(vox):
-    cells = vox.select("volume_id").distinct()
-    for axis, n in zip("zyx", LATTICE):
-        cells = cells.withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return cells.join(vox, PLACE, "left_anti")
+    sizes = {n: F.lit(int(s)) for n, s in zip(geometry.SIZES, LATTICE)}
+    return free_cells(vox.select("volume_id").distinct().withColumns(sizes), vox)
 
 
 # the mask is everything outside the voxels, so its holes are the closed voxel clusters
@@ -224,8 +223,12 @@ near AS (SELECT a.volume_id, a.code, a.from_test, a.z, a.y, a.x, SQRT(MIN((a.z -
   FROM surfaces a JOIN surfaces b ON a.volume_id = b.volume_id AND a.code = b.code AND a.from_test <> b.from_test GROUP BY ALL)"""
 
 
-def _counts(spark, sf):
-    vox = voxels(spark, sf)
+def _staged(spark, sf):
+    # both sides of a comparison read the voxels: they are grouped once
+    return materialize(voxels(spark, sf).select(*PLACE, "gt", "pred"))
+
+
+def _counts(vox):
     ref = surface.surface(vox.select(*PLACE, F.col("gt").alias("code")), V, "code", LATTICE)
     test = surface.surface(vox.where(F.col("pred") > 0).select(*PLACE, F.col("pred").alias("code")), V, "code", LATTICE)
     return surface.distance_counts(test, ref, ["volume_id", "code"], LATTICE, (2.0, 1.0, 1.0))
@@ -236,14 +239,14 @@ SELECT volume_id, code, ROUND(MAX(distance), 6) AS hd, ROUND(QUANTILE_CONT(dista
   ROUND(AVG(CASE WHEN from_test THEN distance END), 6) AS asd,
   ROUND((AVG(CASE WHEN from_test THEN distance END) + AVG(CASE WHEN NOT from_test THEN distance END)) / 2, 6) AS assd FROM near GROUP BY 1, 2""")
 def surface_distance(spark, sf):
-    return surface.distance_metrics(_counts(spark, sf), ["volume_id", "code"])
+    return surface.distance_metrics(_counts(_staged(spark, sf)), ["volume_id", "code"])
 
 
 @query("surface_dice", f"""WITH {SURFACE}
 SELECT volume_id, code, ROUND((AVG(CASE WHEN from_test THEN CAST(distance <= 1 AS INT) END) + AVG(CASE WHEN NOT from_test THEN CAST(distance <= 1 AS INT) END)) / (2 + 1e-8), 6) AS surface_dice
 FROM near GROUP BY 1, 2""")
 def surface_dice(spark, sf):
-    return surface.surface_dice(_counts(spark, sf), ["volume_id", "code"], 1.0)
+    return surface.surface_dice(_counts(_staged(spark, sf)), ["volume_id", "code"], 1.0)
 
 
 
@@ -256,12 +259,12 @@ SELECT volume_id, code, 'Hausdorff Distance' AS metric, ROUND(hd, 6) AS value FR
 UNION ALL SELECT volume_id, code, 'Avg. Surface Distance', ROUND(asd, 6) FROM j UNION ALL SELECT volume_id, code, 'Avg. Symmetric Surface Distance', ROUND(assd, 6) FROM j
 UNION ALL SELECT volume_id, code, 'hd95 with sentinel', CASE WHEN g = 0 AND p = 0 THEN 0.0 WHEN g = 0 OR p = 0 THEN 373.12866 ELSE ROUND(hd95, 6) END FROM j""")
 def surface_metric_table(spark, sf):
-    vox = voxels(spark, sf)
+    vox = _staged(spark, sf)
     pairs = evaluate.pair_counts(vox.where(F.col("gt") > 0), vox.where(F.col("pred") > 0), V, "gt", "pred")
     flags = (evaluate.confusion(pairs, V, {str(c): [c] for c in (1, 2, 3, 4)}, CELLS)
              .withColumn("code", F.col("label").cast("int")))
     key = ["volume_id", "code"]
-    metrics = materialize(surface.distance_metrics(_counts(spark, sf), key))
+    metrics = materialize(surface.distance_metrics(_counts(vox), key))
     plain = surface.with_empty_masks(metrics, flags, key)
     kept = surface.with_empty_masks(metrics, flags, key, sentinel=True)
     return surface.metric_rows(plain, key).unionByName(kept.select(
@@ -282,7 +285,7 @@ d AS (SELECT volume_id, code, ROUND(CAST(2 * COUNT(CASE WHEN gt >= lo AND pred >
 SELECT volume_id, CASE code WHEN 0 THEN 'whole' WHEN 1 THEN 'core' ELSE 'enh' END AS region, dice, hd95 FROM d JOIN h USING (volume_id, code)""")
 def region_case_table(spark, sf):
     regions = {"whole": [1, 2, 3], "core": [2, 3], "enh": [3]}
-    vox = voxels(spark, sf)
+    vox = _staged(spark, sf)
     pairs = evaluate.pair_counts(vox.where(F.col("gt") > 0), vox.where(F.col("pred") > 0), V, "gt", "pred")
     counts = evaluate.confusion(pairs, V, regions, CELLS).withColumnRenamed("label", "region")
     dice = counts.withColumn("dice", F.round(evaluate.dice_with_policy("lenient"), 6))

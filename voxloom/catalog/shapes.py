@@ -8,6 +8,7 @@ from voxloom.bindings import VOX, voxels
 from voxloom.catalog import query
 from voxloom.catalog.spatial import component_sql
 from voxloom.operators import components, resample, stencil, surface
+from voxloom.operators.geometry import free_cells
 from voxloom.support import full_offsets, materialize
 
 V = ["volume_id"]
@@ -75,10 +76,7 @@ open AS (SELECT DISTINCT volume_id, component FROM cc JOIN g USING (volume_id) W
 SELECT volume_id, z, y, x FROM cc ANTI JOIN open USING (volume_id, component)""")
 def holes_by_shape(spark, sf):
     rows, geometry = _shaped(spark, sf)
-    cells = geometry
-    for axis, size in zip("zyx", ("depth", "height", "width")):
-        cells = cells.withColumn(axis, F.explode(F.sequence(F.lit(0), F.col(size) - 1)))
-    mask = cells.select(*PLACE).join(rows.select(*PLACE), PLACE, "left_anti")
+    mask = free_cells(geometry, rows)
     return stencil.fill_holes(mask, V, geometry, tile=(32, 32, 32))
 
 
@@ -106,6 +104,7 @@ SELECT volume_id, code, ROUND(MAX(distance), 6) AS hd, ROUND(QUANTILE_CONT(dista
   ROUND((AVG(CASE WHEN from_test THEN distance END) + AVG(CASE WHEN NOT from_test THEN distance END)) / 2, 6) AS assd FROM near GROUP BY 1, 2""")
 def surface_by_shape(spark, sf):
     rows, geometry = _shaped(spark, sf)
+    rows = materialize(rows.select(*PLACE, "gt", "pred"))
     ref = surface.surface(rows.select(*PLACE, F.col("gt").alias("code")), V, "code", geometry)
     test = surface.surface(rows.where("pred > 0").select(*PLACE, F.col("pred").alias("code")), V, "code", geometry)
     key = ["volume_id", "code"]

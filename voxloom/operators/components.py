@@ -1,7 +1,7 @@
 """Connected components of sparse voxels, tile by tile and then across tiles.
 
-A tile holds at most ``tile`` volume cells, so no task depends on the size of a
-volume. Voxels on tile faces are joined with their neighbours in other tiles;
+A tile holds at most ``tile`` volume cells, or a whole volume of no more cells than
+a default tile, so no task depends on the size of a volume. Voxels on tile faces are joined with their neighbours in other tiles;
 the contracted graph of touching tile components is solved by alternating
 min-label star steps, each an aggregation and an equi-join. Component ids are
 the smallest C-order index of a member.
@@ -12,14 +12,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from voxloom.operators.geometry import SHAPE, Dims, one_tile, placed
-from voxloom.support import ZYX, attach, half_offsets, materialize, offset_array, spread
+from voxloom.operators.geometry import SHAPE, Dims, fits, one_tile, placed
+from voxloom.operators.grouped import map_groups
+from voxloom.support import ZYX, attach, half_offsets, materialize, offset_array
 
 TILE = (64, 64, 64)
 
@@ -108,25 +108,27 @@ def connected_components(voxels: DataFrame, keys: Sequence[str], dims: Dims, con
     geometry table; a voxel outside the shape of its volume is an error.
     """
     keys = list(keys)
-    columns = voxels.columns
-    rows = placed(voxels, keys, dims).withColumns({f"_t{a}": F.floor(F.col(a) / s).cast("int") for a, s in zip(ZYX, tile)})
+    single = one_tile(dims, tile)
+    rows = placed(voxels, keys, dims)
+    places = ["_tz", "_ty", "_tx"]
+    if not single:
+        rows = rows.withColumns({name: F.floor(F.col(axis) / F.when(fits(), F.col(size)).otherwise(s)).cast("int")
+                                 for name, axis, size, s in zip(places, ZYX, SHAPE, tile)})
     schema = T.StructType(list(voxels.schema.fields) + [T.StructField("component", T.LongType())])
 
-    def label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, height, width = (int(n) for n in pdf[list(SHAPE)].iloc[0])
-        points = pdf[list(ZYX)].to_numpy(np.int64)
-        lin = (points[:, 0] * height + points[:, 1]) * width + points[:, 2]
+    def label_tile(first: dict, part: dict) -> tuple:
+        points = np.stack([part[a].astype(np.int64) for a in ZYX], axis=1)
+        lin = (points[:, 0] * first[SHAPE[1]] + points[:, 1]) * first[SHAPE[2]] + points[:, 2]
         order = np.argsort(lin)
-        codes = pdf[code].to_numpy()[order] if code else np.zeros(len(pdf), np.int8)
+        codes = part[code][order] if code else np.zeros(len(lin), np.int8)
         roots = label_points(points[order], codes, connectivity)
-        out = pdf[columns].copy()
-        component = np.empty(len(pdf), np.int64)
+        component = np.empty(len(lin), np.int64)
         component[order] = lin[order][roots]
-        out["component"] = component
-        return out
+        return np.arange(len(lin)), {"component": component}
 
-    labelled = spread(rows, *keys, "_tz", "_ty", "_tx").groupBy(*keys, "_tz", "_ty", "_tx").applyInPandas(label_tile, schema)
-    if one_tile(dims, tile):
+    labelled = map_groups(rows, [*keys, *([] if single else places), *SHAPE], label_tile, schema,
+                          [*ZYX, *([code] if code else [])], keys if single else None)
+    if single:
         return labelled  # nothing can cross a tile face
     labelled = materialize(labelled)
     return _join_tiles(labelled, keys, connectivity, code, tile)

@@ -10,16 +10,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.support import ZYX, attach, materialize
+from voxloom.support import ZYX, attach, materialize, spread
 
 #: Axis sizes and voxel sizes of a geometry table, in the order of (z, y, x), and the names they travel under.
 SIZES = ("depth", "height", "width")
 SPACINGS = ("spacing_z", "spacing_y", "spacing_x")
 SHAPE, STEP = ("_dz", "_dy", "_dx"), ("_sz", "_sy", "_sx")
 
+#: A volume of at most so many cells, those of a default tile, is never cut, nor is one of so many where a task holds a dense grid only.
+WHOLE, DENSE = 64 ** 3, 1 << 22
+#: Longest axis of a volume that is not cut.
+LONGEST = 512
+
 Dims = Sequence[int] | DataFrame
 Spacing = Sequence[float] | DataFrame
 
@@ -49,9 +54,40 @@ def placed(voxels: DataFrame, keys: Sequence[str], dims: Dims, spacing: Spacing
     return out.withColumn(SHAPE[0], F.when(F.coalesce(inside, F.lit(False)), F.col(SHAPE[0])).otherwise(wrong.cast("int")))
 
 
-def one_tile(dims: Dims, tile: Sequence[int]) -> bool:
-    """Whether every volume is known to fit in one tile; ``placed`` has then ruled out any other voxel."""
-    return not isinstance(dims, DataFrame) and all(d <= s for d, s in zip(dims, tile))
+def fits(cells: int | None = None, names: Sequence[str] = SHAPE) -> Column:
+    """Whether the volume of a placed row has at most ``cells`` (``WHOLE``) cells, so that one task takes all of it."""
+    sizes = [F.col(n).cast("long") for n in names]
+    return (sizes[0] * sizes[1] * sizes[2] <= (WHOLE if cells is None else cells)) & (F.greatest(*sizes) <= LONGEST)
+
+
+def tile_for(extent: Sequence[int], tile: Sequence[int], cells: int | None = None) -> Sequence[int]:
+    """The tile of a volume: the volume itself where it ``fits``."""
+    size = int(extent[0]) * int(extent[1]) * int(extent[2])
+    return extent if size <= (WHOLE if cells is None else cells) and max(extent) <= LONGEST else tile
+
+
+def one_tile(dims: Dims, tile: Sequence[int], cells: int | None = None) -> bool:
+    """Whether every volume is known to be one tile; ``placed`` has then ruled out any other voxel."""
+    if not isinstance(dims, DataFrame):
+        return all(d <= s for d, s in zip(dims, tile_for(dims, tile, cells)))
+    wider = F.lit(False)
+    for name, s in zip(SIZES, tile):
+        wider = wider | (F.col(name) > s)
+    return dims.where(wider & ~fits(cells, SIZES)).isEmpty()
+
+
+def free_cells(volumes: DataFrame, voxels: DataFrame, key: str = "volume_id") -> DataFrame:
+    """Cells (key, z, y, x) of the volumes, which have a depth, height and width, that hold no voxel.
+
+    The voxels of a plane meet its cells as one array, so that the cells themselves are not shuffled.
+    """
+    planes = volumes.select(key, "height", "width", F.explode(F.sequence(F.lit(0), F.col("depth") - 1)).alias("z"))
+    taken = voxels.groupBy(key, "z").agg(F.collect_set(F.struct("y", "x")).alias("_taken"))
+    line = F.col("width").cast("int")
+    used = F.transform("_taken", lambda p: p["y"] * line + p["x"])
+    cells = F.array_except(F.sequence(F.lit(0), F.col("height") * line - 1), F.coalesce(used, F.array().cast("array<int>")))
+    free = spread(planes, key, "z").join(taken, [key, "z"], "left").select(key, "z", line.alias("_w"), F.explode(cells).alias("_c"))
+    return free.select(key, "z", F.expr("cast(_c div _w as int)").alias("y"), F.expr("cast(_c % _w as int)").alias("x"))
 
 
 def keep_axis(new: Dims, old: Dims, axis: int, keys: Sequence[str]) -> Dims:

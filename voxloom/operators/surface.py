@@ -17,9 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxloom.functions.metrics import SURFACE_METRICS
-from voxloom.operators.geometry import SHAPE, STEP, Dims, Spacing, placed
+from voxloom.operators import geometry
+from voxloom.operators.geometry import SHAPE, STEP, Dims, Spacing, fits, one_tile, placed
+from voxloom.operators.grouped import map_groups
 from voxloom.operators.stencil import TILE, border_voxels
 from voxloom.support import ZYX, attach, div0, full_offsets, materialize, spread
 
@@ -183,11 +186,94 @@ def nearest_distance(points: DataFrame, targets: DataFrame, keys: Sequence[str],
         along_z, ", ".join([*key_types, *[f"{a} {k}" for a, k in kinds.items()], "d2 double"])))
 
 
+def grid_distance(points: Sequence[np.ndarray], sites: Sequence[np.ndarray], shape: Sequence[int],
+                  step: Sequence[float]) -> np.ndarray:
+    """Squared distance from each point to its nearest site in a volume that one task takes whole.
+
+    Axis by axis as for larger ones.  Along y and z rows ever further away are looked at, until they are further than
+    anything that is still to be improved.
+    """
+    width = np.arange(shape[2])
+    z, y, x = sites
+    held = np.zeros(tuple(shape), bool)
+    held[z, y, x] = True
+    lines = np.flatnonzero(held.reshape(-1, shape[2]).any(axis=1))
+    own = held.reshape(-1, shape[2])[lines]
+    left = np.maximum.accumulate(np.where(own, width, -1 << 40), axis=1)
+    right = np.minimum.accumulate(np.where(own, width, 1 << 40)[:, ::-1], axis=1)[:, ::-1]
+    flat = np.full((shape[0] * shape[1], shape[2]), np.inf)
+    flat[lines] = (np.minimum(width - left, right - width) * step[2]) ** 2
+    flat = flat.reshape(tuple(shape))
+    # only planes with a site have anything to spread
+    levels = np.unique(z)
+    first = flat[levels]
+    best = first.copy()
+    for d in range(1, shape[1]):
+        more = (d * step[1]) ** 2
+        if more >= best.max():
+            break
+        np.minimum(best[:, d:], first[:, :-d] + more, out=best[:, d:])
+        np.minimum(best[:, :-d], first[:, d:] + more, out=best[:, :-d])
+    planes = np.full(tuple(shape), np.inf)
+    planes[levels] = best
+    z, y, x = points
+    found = planes[z, y, x]
+    for d in range(1, shape[0]):
+        more = (d * step[0]) ** 2
+        behind = np.flatnonzero(found > more)
+        if not len(behind):
+            break
+        for side in (-d, d):
+            level = z[behind] + side
+            on = (level >= 0) & (level < shape[0])
+            at = behind[on]
+            found[at] = np.minimum(found[at], planes[level[on], y[at], x[at]] + more)
+    return found
+
+
+def _whole_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distance counts of placed surface voxels of volumes that one task takes whole."""
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("from_test", T.BooleanType()),
+                           T.StructField("distance", T.DoubleType()), T.StructField("n", T.LongType())])
+
+    def count(first: dict, part: dict) -> tuple | None:
+        test = part["from_test"]
+        if test.all() or not test.any():
+            return None
+        shape, step = [first[c] for c in SHAPE], [first[c] for c in STEP]
+        sides, distances, numbers = [], [], []
+        for side in (True, False):
+            points, sites = ([part[a][test == s] for a in ZYX] for s in (side, not side))
+            found, n = np.unique(np.sqrt(grid_distance(points, sites, shape, step)), return_counts=True)
+            sides.append(np.full(len(n), side))
+            distances.append(found)
+            numbers.append(n)
+        sides = np.concatenate(sides)
+        return np.zeros(len(sides), np.int64), {"from_test": sides, "distance": np.concatenate(distances), "n": np.concatenate(numbers)}
+    # as with cut volumes, voxels without a key are not compared
+    return map_groups(rows.dropna(subset=list(keys)), [*keys, *SHAPE, *STEP], count, schema, [*ZYX, "from_test"], keys)
+
+
 def distance_counts(test: DataFrame, reference: DataFrame, keys: Sequence[str], dims: Dims,
                     spacing: Spacing = (1.0, 1.0, 1.0)) -> DataFrame:
-    """Number of surface voxels per (keys, from_test, distance), both directions."""
-    both = materialize(test.select(*keys, *ZYX, F.lit(True).alias("from_test"))
-                       .unionByName(reference.select(*keys, *ZYX, F.lit(False).alias("from_test"))))
+    """Number of surface voxels per (keys, from_test, distance), both directions.
+
+    A volume of no more cells than a default tile is worked on in one task; larger ones in bundles of lines.
+    """
+    keys = list(keys)
+    both = test.select(*keys, *ZYX, F.lit(True).alias("from_test")).unionByName(
+        reference.select(*keys, *ZYX, F.lit(False).alias("from_test")))
+    if one_tile(dims, (0, 0, 0)):
+        return _whole_counts(placed(both, keys, dims, spacing), keys)
+    both = materialize(both)
+    if not isinstance(dims, DataFrame) or not geometry.WHOLE:
+        return _cut_counts(both, keys, dims, spacing)
+    sized = placed(both, keys, dims, spacing)
+    rest = sized.where(~fits()).select(*both.columns)
+    return _whole_counts(sized.where(fits()), keys).unionByName(_cut_counts(rest, keys, dims, spacing))
+
+
+def _cut_counts(both: DataFrame, keys: Sequence[str], dims: Dims, spacing: Spacing) -> DataFrame:
     # each side asks for the other side's surface
     other = both.withColumn("from_test", ~F.col("from_test"))
     found = nearest_distance(both, other, [*keys, "from_test"], dims, spacing)

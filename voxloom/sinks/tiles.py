@@ -11,14 +11,15 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.operators.geometry import SHAPE, Dims, placed
-from voxloom.operators.stencil import TILE, TILE_COLUMNS, Window, _key_frame, _pack, _unpack, with_halo
-from voxloom.support import ZYX, spread
+from voxloom.operators.grouped import WRITE, map_groups
+from voxloom.operators.stencil import TILE, TILE_COLUMNS, Window, _pack, _unpack, with_halo
+from voxloom.support import ZYX, materialize
 
 #: Columns of the store besides the keys: first and end corner, what the block holds, and the block.
 LOW, HIGH = ("z0", "y0", "x0"), ("z1", "y1", "x1")
@@ -35,17 +36,18 @@ def tiles_of(voxels: DataFrame, keys: Sequence[str], value: str, dims: Dims, til
         T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType()), T.StructField("nonzero", T.LongType()),
         T.StructField("dtype", T.StringType()), T.StructField("block", T.BinaryType())])
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        window = Window(pdf, tile, (0, 0, 0))
+    def pack(first: dict, part: dict) -> tuple | None:
+        window = Window(first, tile, (0, 0, 0))
         grid = np.zeros(window.shape, dtype)
-        grid[window.place(pdf)] = pdf[value].to_numpy()
-        out = pdf[keys].iloc[:1].copy()
-        for names, corner in ((LOW, window.core_low), (HIGH, window.core_high)):
-            out[list(names)] = corner.astype(np.int32)
-        out["low"], out["high"], out["nonzero"] = float(grid.min()), float(grid.max()), int(np.count_nonzero(grid))
-        out["dtype"], out["block"] = grid.dtype.str, [_pack(grid)]
-        return out[schema.names] if grid.any() else out[schema.names].iloc[:0]
-    return spread(rows, *keys, *TILE_COLUMNS).groupBy(*keys, *SHAPE, *TILE_COLUMNS).applyInPandas(pack, schema)
+        grid[window.place(part)] = part[value]
+        if not grid.any():
+            return None
+        corners = {c: window.core_low[i:i + 1].astype(np.int32) for i, c in enumerate(LOW)}
+        corners |= {c: window.core_high[i:i + 1].astype(np.int32) for i, c in enumerate(HIGH)}
+        return np.zeros(1, np.int64), {
+            **corners, "low": np.array([float(grid.min())]), "high": np.array([float(grid.max())]),
+            "nonzero": np.array([np.count_nonzero(grid)]), "dtype": [grid.dtype.str], "block": [_pack(grid)]}
+    return map_groups(rows, [*keys, *TILE_COLUMNS, *SHAPE], pack, schema, [*ZYX, value])
 
 
 def write_tiles(tiles: DataFrame, keys: Sequence[str], path: str | None = None, table: str | None = None,
@@ -56,6 +58,8 @@ def write_tiles(tiles: DataFrame, keys: Sequence[str], path: str | None = None,
         (tiles.repartition(buckets, *keys).sortWithinPartitions(*order).write.mode("overwrite").format("parquet")
          .option("parquet.block.size", row_group).bucketBy(buckets, *keys).sortBy(*order).saveAsTable(table))
         return
+    # the bounds of the ranges are found by a pass of its own: the tiles are packed once
+    tiles = materialize(tiles)
     parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (tiles.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.mode("overwrite")
      .option("parquet.block.size", row_group).parquet(path))
@@ -78,20 +82,29 @@ def voxels_of(tiles: DataFrame, keys: Sequence[str], value: str = "value", low:
     schema = T.StructType([*[tiles.schema[k] for k in keys], *[T.StructField(a, T.IntegerType()) for a in ZYX],
                            T.StructField(value, T.DoubleType())])
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(len(batch)):
-                row = batch.iloc[k:k + 1]
-                first, end = (row[list(c)].iloc[0].to_numpy(np.int64) for c in (LOW, HIGH))
-                grid = _unpack(row["block"].iloc[0], end - first, row["dtype"].iloc[0])
-                points = np.argwhere(grid)
-                values = grid[tuple(points.T)].astype(np.float64)
-                points = points + first
+            corners = np.stack([batch.column(c).to_numpy() for c in (*LOW, *HIGH)], axis=1).astype(np.int64).reshape(-1, 6)
+            found, size = [], 0
+            for k, (corner, kind, block) in enumerate(zip(corners, batch.column("dtype").to_pylist(), batch.column("block"))):
+                first = corner[:3]
+                grid = _unpack(block.as_py(), corner[3:] - first, kind)
                 if low is not None:
-                    inside = ((points >= np.array(low)) & (points < np.array(high))).all(axis=1)
-                    points, values = points[inside], values[inside]
-                yield _key_frame(row, keys, points, **{value: values})
-    return tiles.select(*keys, *LOW, *HIGH, "dtype", "block").mapInPandas(unpack, schema)
+                    # only the cells of the box are looked at
+                    start = np.maximum(np.array(low) - first, 0)
+                    stop = np.maximum(np.array(high) - first, start)
+                    grid, first = grid[tuple(slice(a, b) for a, b in zip(start, stop))], first + start
+                inside = np.nonzero(grid)
+                found.append((np.full(len(inside[0]), k), *[p + o for p, o in zip(inside, first)], grid[inside].astype(np.float64)))
+                size += len(inside[0])
+                if size >= WRITE or k == batch.num_rows - 1:
+                    rows, *points, values = (np.concatenate(c) for c in zip(*found))
+                    index = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [*[batch.column(c).take(index) for c in keys], *[pa.array(p.astype(np.int32)) for p in points], pa.array(values)],
+                        names=schema.names)
+                    found, size = [], 0
+    return tiles.select(*keys, *LOW, *HIGH, "dtype", "block").mapInArrow(unpack, schema)
 
 
 def box_slice(spark: SparkSession, path: str, keys: Sequence[str], low: Sequence[int], high: Sequence[int],
