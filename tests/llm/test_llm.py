@@ -4,11 +4,13 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -83,6 +85,23 @@ def test_repeats_in_spans_and_untouched_texts(odd, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_window_chunks_hold_few_copies():
+    """A chunk of a million windows takes less than a hundred bytes a window."""
+    rng = np.random.default_rng(7)
+    batches = [pa.RecordBatch.from_arrays([
+        pa.array(np.arange(k, k + 4)),
+        pa.array([" ".join(map(str, rng.integers(10_000, 100_000, 16_000))) for _ in range(4)])], names=["doc_id", "text"])
+        for k in range(0, 64, 4)]
+    shared = np.packbits(np.zeros(substring_dedup.SHARED_BITS, dtype=bool))
+    tracemalloc.start()
+    out = list(substring_dedup._window_rows(20, 4, 4, shared)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    windows = sum(len(unpack_arrays(blob.as_py())[0]) for batch in out for blob in batch.column("windows"))
+    assert windows == 64 * (16_000 - 19)
+    assert peak < 100 * windows
+
+
 def test_rows_that_share_an_id_lose_only_their_own_repeats(spark):
     a, b, c, d = (" ".join(f"{s}{k}" for k in range(60)) for s in "abcd")
     rows = [(7, a), (7, a), (8, b), (8, c + " " + b), (8, d), (None, d), (None, d), (None, c), (9, a), (9, b + " " + d)]

@@ -79,6 +79,13 @@ def _by_key(key: np.ndarray, n: int, *arrays: np.ndarray) -> Iterator[tuple[int,
         yield int(k), [a[at] for a in arrays]
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts in one array; the list is emptied, so that they do not stay beside it."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
 def _delta(a: np.ndarray) -> np.ndarray:
     return np.diff(a, prepend=a.dtype.type(0))
 
@@ -96,46 +103,55 @@ def _read_repeats(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _window_rows(width: int, buckets: int, groups: int, shared: np.ndarray):
     schema = pa.schema([("key", pa.int32()), ("windows", pa.binary()), ("repeats", pa.binary())])
 
-    def chunk_rows(hashes, seconds, docs, owners, starts):
+    def chunk_rows(hashes, bucket, text, starts, ids, owners):
+        """Consumes the lists it is given; ``text`` is the place of a window's row in ``ids`` and ``owners``."""
+        hashes, bucket, text, starts, ids, owners = map(_joined, (hashes, bucket, text, starts, ids, owners))
         keep = np.ones(len(hashes), dtype=bool)
-        later = _later(hashes, docs, starts)
+        later = _later(hashes, ids[text], starts)
         keep[later] = False
         # equal rows under one id share their answer: one of them asks
-        twins = np.flatnonzero(keep & (owners != 0))
-        if len(twins):
-            by = twins[np.lexsort((starts[twins], owners[twins], docs[twins], hashes[twins]))]
+        if owners.any():
+            twins = np.flatnonzero(keep & (owners != 0)[text])
+            by = twins[np.lexsort((starts[twins], owners[text[twins]], ids[text[twins]], hashes[twins]))]
             a, b = by[1:], by[:-1]
-            keep[a[(hashes[a] == hashes[b]) & (docs[a] == docs[b]) & (owners[a] == owners[b])
+            keep[a[(hashes[a] == hashes[b]) & (ids[text[a]] == ids[text[b]]) & (owners[text[a]] == owners[text[b]])
                    & (starts[a] == starts[b])]] = False
         rows = []
-        bucket = (seconds[keep] >> U64(16)) % U64(buckets)
-        for k, (h, d, o, s) in _by_key(bucket.astype(np.int64), buckets, hashes[keep], docs[keep], owners[keep],
-                                       starts[keep]):
-            rows.append((k, pack_arrays(h, _delta(d), _delta(o), _delta(s)), None))
+        # places are dealt out, not values: no array of the chunk is copied whole
+        for k, (at,) in _by_key(bucket[keep], buckets, np.flatnonzero(keep)):
+            rows.append((k, pack_arrays(hashes[at], _delta(ids[text[at]]), _delta(owners[text[at]]), _delta(starts[at])),
+                         None))
         if len(later):
-            home = _group_of(docs[later], owners[later], groups)
-            for k, (d, o, s) in _by_key(home, groups, docs[later], owners[later], starts[later]):
-                rows.append((k % buckets, None, _repeat_payload(d, o, s)))
+            home = _group_of(ids, owners, groups)[text[later]]
+            for k, (at,) in _by_key(home, groups, later):
+                rows.append((k % buckets, None, _repeat_payload(ids[text[at]], owners[text[at]], starts[at])))
         return pa.RecordBatch.from_arrays(
             [pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else None
 
+    def windows_of(texts, first):
+        """Hash, bucket, place of the row (from ``first`` on) and start of every window."""
+        words = Words(texts)
+        hashes, owner, start = words.windows(width)
+        seconds = words.windows(width, WINDOW_BASES[1])[0]
+        return (hashes, ((seconds >> U64(16)) % U64(buckets)).astype(np.int32), (owner + first).astype(np.int32),
+                start.astype(np.int32))
+
     def run(batches):
-        held, size = [], 0
-        for batch, texts in text_batches(batches, "text", 2 << 20):
-            words = Words(texts)
-            hashes, owner, start = words.windows(width)
-            seconds = words.windows(width, WINDOW_BASES[1])[0]
+        held, size, n_rows = tuple([] for _ in range(6)), 0, 0
+        for batch, texts in text_batches(batches, "text", 1 << 20):
             ids = _ids(batch.column(0))
-            rows = _rows_of(ids, texts, shared)
-            held.append((hashes, seconds, ids[owner], rows[owner], start.astype(np.int32)))
-            size += len(hashes)
-            if size >= CHUNK_WORDS:
-                out = chunk_rows(*map(np.concatenate, zip(*held)))
-                held, size = [], 0
+            for column, values in zip(held, (*windows_of(texts, n_rows), ids, _rows_of(ids, texts, shared))):
+                column.append(values)
+            size += len(held[0][-1])
+            n_rows += len(ids)
+            if max(size, n_rows) >= CHUNK_WORDS:
+                out = chunk_rows(*held)
+                size = n_rows = 0
                 if out is not None:
                     yield out
+                    del out
         if size:
-            out = chunk_rows(*map(np.concatenate, zip(*held)))
+            out = chunk_rows(*held)
             if out is not None:
                 yield out
 

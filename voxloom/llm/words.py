@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 import zstandard
 
 U64 = np.uint64
-_SLICE = 1 << 20
+_SLICE = 1 << 17
 _BYTE_BASE = 0x9E3779B97F4A7C15
 #: Odd multipliers of the two polynomial hashes over words.
 WINDOW_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -165,7 +165,9 @@ def unpack_arrays(blob: bytes) -> list[np.ndarray]:
 def first_of_equal(keys: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For values that occur twice or more: (index, index of the smallest by ``order``) per occurrence."""
     by = np.argsort(keys, kind="stable")
-    same = keys[by][1:] == keys[by][:-1]
+    ordered = keys[by]
+    same = ordered[1:] == ordered[:-1]
+    del ordered
     inside = np.zeros(len(keys), dtype=bool)
     inside[1:] |= same
     inside[:-1] |= same
