@@ -7,9 +7,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_spatial import DIMS, TILE, dense, frame, random_grid
 
-from voxloom.operators import stencil, tiles
+from voxloom.operators import geometry, stencil, tiles
 from voxloom.sinks import tiles as store
 from voxloom.sources import blosc, images
 
@@ -132,3 +133,46 @@ def test_patches_with_padding(spark):
     assert rows.keys() == set(range(len(corners)))
     for k, c in enumerate(corners):
         assert np.array_equal(rows[k], wide[tuple(slice(60 + a, 60 + a + n) for a, n in zip(c, patch))])
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_patches_of_whole_and_of_cut_volumes(spark, cut, monkeypatch):
+    if cut:
+        monkeypatch.setattr(geometry, "WHOLE", 0)
+    monkeypatch.setattr(tiles, "PATCH_BYTES", 3 * 6 * 5 * 9 * 4)
+    grids, patch = {0: random_grid(2, 0.3, 50), 1: random_grid(3, 0.01, 50)}, (6, 5, 9)
+    corners = [tuple(int(c) for c in np.random.default_rng(4).integers(-8, 14, 3)) for _ in range(25)] + [(-90, 0, 0), (0, 99, 0)]
+    voxels = frame(spark, grids[0]).unionByName(frame(spark, grids[1]).withColumn("volume_id", F.lit(1)))
+    stray = spark.createDataFrame([(1, -1, 0, 0, 9), (None, 1, 1, 1, 9)], "volume_id long, z int, y int, x int, label int")
+    asked = [(v, k, *c) for v in (0, 1, 7, None) for k, c in enumerate(corners)]
+    boxes = spark.createDataFrame([*asked, asked[3], (0, 99, None, 0, 0)], "volume_id long, patch int, z0 int, y0 int, x0 int")
+    rows = voxels.select(*KEY, *"zyx", F.col("label").cast("int").alias("label")).unionByName(stray)
+    got = tiles.patch_crops(rows, boxes, KEY, ["volume_id", "patch"], "label", patch, (4, 4, 4), "<i4", -7, DIMS)
+    # patches of volumes that are one tile are cut many per call of a worker
+    assert ("FlatMapGroupsInPandas" in got._jdf.queryExecution().executedPlan().toString()) == cut
+    found = got.collect()
+    assert len(found) == len(asked)
+    for r in found:
+        wide = np.full([d + 300 for d in DIMS], -7)
+        wide[150:150 + DIMS[0], 150:150 + DIMS[1], 150:150 + DIMS[2]] = grids.get(r.volume_id, 0)
+        want = wide[tuple(slice(150 + a, 150 + a + n) for a, n in zip(corners[r.patch], patch))]
+        assert np.array_equal(np.frombuffer(r.block, "<i4").reshape(patch), want)
+
+
+def test_patches_without_a_shape(spark):
+    grid = random_grid(6, 0.3, 50)
+    corners = [(-3, 2, 4), (1, 1, 1), (30, 0, 0)]
+    boxes = spark.createDataFrame([(0, k, *c) for k, c in enumerate(corners)], "volume_id long, patch int, z0 int, y0 int, x0 int")
+    got = tiles.patch_crops(frame(spark, grid), boxes, KEY, ["patch"], "label", (5, 5, 5), (4, 4, 4), "<f8").collect()
+    wide = np.pad(grid, 40)
+    assert sorted(r.patch for r in got) == [0, 1, 2]
+    for r in got:
+        want = wide[tuple(slice(40 + c, 45 + c) for c in corners[r.patch])]
+        assert np.array_equal(np.frombuffer(r.block, "<f8").reshape(5, 5, 5), want)
+
+
+def test_a_voxel_without_a_place_is_no_patch(spark):
+    rows = spark.createDataFrame([(0, 1, None, 1, 5)], "volume_id long, z int, y int, x int, label int")
+    boxes = spark.createDataFrame([(0, 0, 0, 0, 0)], "volume_id long, patch int, z0 int, y0 int, x0 int")
+    with pytest.raises(Exception, match="has no place"):
+        tiles.patch_crops(rows, boxes, KEY, ["patch"], "label", (2, 2, 2), (4, 4, 4), "<i4", -1, DIMS).collect()

@@ -14,7 +14,7 @@ from voxloom.catalog.arrays import EXPORT, RESAMPLED, _scores_and_boxes
 from voxloom.operators import stencil, tiles
 from voxloom.plans import export
 from voxloom.sinks import tiles as store
-from voxloom.support import full_offsets, shared_dir
+from voxloom.support import full_offsets, materialize, shared_dir
 
 V = ["volume_id"]
 PLACE = ["volume_id", "z", "y", "x"]
@@ -93,7 +93,8 @@ SELECT w.volume_id, w.gt, slice, COUNT(*) AS filled, CAST(8 * 12 * 16 - inside A
 FROM w JOIN vox v ON v.volume_id = w.volume_id AND v.z >= z0 AND v.z < z0 + 8 AND v.y >= y0 AND v.y < y0 + 12 AND v.x >= x0 AND v.x < x0 + 16
 GROUP BY w.volume_id, w.gt, slice, inside""")
 def patch_crops(spark, sf):
-    rows = voxels(spark, sf)
+    # the centres and the patches come from the same voxels
+    rows = materialize(voxels(spark, sf).select(*PLACE, "gt", "intensity"))
     first = rows.groupBy("volume_id", "gt", "z").agg(F.min(F.col("y") * 100 + F.col("x")).alias("yx"))
     centres = first.select("volume_id", "gt", F.col("z").alias("slice"), "z", F.expr("yx div 100").cast("int").alias("y"),
                            (F.col("yx") % 100).cast("int").alias("x"))
@@ -104,9 +105,11 @@ def patch_crops(spark, sf):
     def digest(batches):
         weight = np.arange(1, np.prod(PATCH) + 1)
         for batch in batches:
-            blocks = [np.frombuffer(b, "<i2").astype(np.int64) for b in batch["block"]]
-            out = batch[["volume_id", "gt", "slice"]].copy()
-            out["filled"], out["outside"] = [int((b > 0).sum()) for b in blocks], [int((b < 0).sum()) for b in blocks]
-            out["digest"] = [int((np.maximum(b, 0) * weight).sum()) for b in blocks]
-            yield out
+            for low in range(0, len(batch), 1024):
+                part = batch.iloc[low:low + 1024]
+                blocks = np.frombuffer(b"".join(part["block"]), "<i2").reshape(len(part), -1)
+                out = part[["volume_id", "gt", "slice"]].copy()
+                out["filled"], out["outside"] = (blocks > 0).sum(axis=1), (blocks < 0).sum(axis=1)
+                out["digest"] = np.maximum(blocks, 0) @ weight
+                yield out
     return crops.mapInPandas(digest, "volume_id long, gt int, slice int, filled long, outside long, digest long")
