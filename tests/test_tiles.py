@@ -1,5 +1,6 @@
 """Stored tiles, tile functions, patches and the Blosc codec against numpy."""
 
+import itertools
 import json
 import struct
 import zlib
@@ -10,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 from test_spatial import DIMS, TILE, dense, frame, random_grid
 
-from voxloom.operators import geometry, stencil, tiles
+from voxloom.catalog import arrays
+from voxloom.operators import geometry, grouped, stencil, tiles
 from voxloom.sinks import tiles as store
 from voxloom.sources import blosc, images
 
@@ -176,3 +178,47 @@ def test_a_voxel_without_a_place_is_no_patch(spark):
     boxes = spark.createDataFrame([(0, 0, 0, 0, 0)], "volume_id long, patch int, z0 int, y0 int, x0 int")
     with pytest.raises(Exception, match="has no place"):
         tiles.patch_crops(rows, boxes, KEY, ["patch"], "label", (2, 2, 2), (4, 4, 4), "<i4", -1, DIMS).collect()
+
+
+@pytest.mark.parametrize("key", ["volume_id", "name"])
+def test_windows_are_predicted_in_the_task_of_their_volume(spark, key, monkeypatch):
+    def halves(window, tile):
+        above = tile["label"] > tile["label"].mean()
+        return np.flatnonzero(above), {"p": above[above] * 1.0 + window["w0"], "order": np.arange(above.sum(), dtype=np.int32)}
+    monkeypatch.setattr(grouped, "READ", 50)
+    patch = (5, 4, 6)
+    starts = [tiles.window_starts(n, p, 0.4) for n, p in zip(DIMS, patch)]
+    known = [(v, *map(int, p), int(g[tuple(p)])) for v, g in enumerate([random_grid(1, 0.3, 50), random_grid(2, 0.1, 50)]) for p in np.argwhere(g)]
+    known += [(7, 0, 0, 0, 3), (7, 40, 0, 0, 9), (7, -1, 0, 0, 9), (7, None, 0, 0, 9), (None, 1, 1, 1, 4), (None, 1, 1, 2, 6)]
+    rows = spark.createDataFrame(known, "volume_id long, z int, y int, x int, label int").withColumn("name", F.concat(F.lit("v"), "volume_id"))
+    rows = rows.select(key, *"zyx", "label")
+    kind = "string" if key == "name" else "long"
+    predict = lambda tiled: tiles.predict_tiles(
+        tiled, halves, f"{key} {kind}, z int, y int, x int, w0 int, w2 int, w1 int, p double, order int", [key, "w0", "w1", "w2"])
+    at_once, apart = tiles.assign_windows(rows, starts, patch, lists=True), tiles.assign_windows(rows, starts, patch)
+    want = {}
+    for v, *place, label in known:
+        inside = [[k for k, s in enumerate(axis) if c is not None and s <= c < s + p] for axis, c, p in zip(starts, place, patch)]
+        for w in itertools.product(*inside):
+            want.setdefault((f"v{v}" if key == "name" and v is not None else v, *w), []).append((*place, label))
+    want = sorted((str(k[0]), *r[:3], *k[1:], 1.0 + k[1]) for k, part in want.items() for r in part if r[3] > np.mean([q[3] for q in part]))
+    for tiled in (at_once, apart):
+        got = predict(tiled)
+        assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted((str(r[key]), r.z, r.y, r.x, r.w0, r.w1, r.w2, r.p) for r in got.collect()) == want and want
+    assert at_once.count() < apart.count()
+    monkeypatch.setattr(tiles, "WINDOW_ROWS", 10)
+    assert sorted(map(str, tiles.assign_windows(rows, starts, patch, lists=True).collect())) == sorted(map(str, apart.collect()))
+
+
+def test_windows_without_a_volume(spark):
+    rows = frame(spark, random_grid(1, 0.3, 50)).drop("volume_id")
+    tiled = tiles.assign_windows(rows, [[0, 4], [0], [0, 6]], (8, 8, 8), lists=True)
+    got = tiles.predict_tiles(tiled, lambda window, tile: (np.zeros(1, int), {"n": np.array([len(tile["z"])])}), "w0 int, w2 int, n long", ["w0", "w1", "w2"])
+    want = tiles.assign_windows(rows, [[0, 4], [0], [0, 6]], (8, 8, 8)).groupBy("w0", "w2").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_prediction_shuffles_voxels_and_not_windows(spark, sf):
+    plan = arrays.tiled_prediction(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "FlatMapGroupsInPandas" not in plan
