@@ -211,3 +211,51 @@ def test_slice_stream_matches_batch(spark, tmp_path):
     assert bounds.count() == 6
     got = slices.running_envelope(bounds, ["volume_id"]).collect()
     assert got == envelope(spark.createDataFrame(everything, schema), ["volume_id"], "z", "value", 2).collect()
+
+
+def test_stacks_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    rng, want = np.random.default_rng(8), {}
+    for name in ("one/v/b.tif", "one/v/a.tif", "one/v/c.tiff", "two words/v/x1.tif", "two words/a=1/_k=2/x.tif", "top.tif",
+                 "one/v/.a.tif", "_hidden/v/a.tif", "one/_v/a.tif", "one/v/a.png", "one/v/d.tif._COPYING_"):
+        path = tmp_path / "in" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        want[name] = rng.integers(1, 99, (3, 4)).astype("u2")
+        path.write_bytes(out.tiff_bytes(want[name]))
+    (tmp_path / "none").mkdir()
+    root = str(tmp_path / "in")
+    rows = lambda path, glob="*.tif*": sorted(map(tuple, images.read_tiff_stack(spark, path, glob).collect()))
+    places = [(root,), (root + "/",), ("file:" + root,), (root, "{a,x}*.tif"), (root, "[bx]?.tif"), (root + "/one/v/b.tif",),
+              (root + "/*/v",), (str(tmp_path / "none"),)]
+    plan = images.read_tiff_stack(spark, root)._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan and "Join" not in plan
+    monkeypatch.setattr(images, "BATCH_BYTES", 50)
+    found = [rows(*place) for place in places]
+    assert {(r[0], r[1]): r[5] for r in found[0]} == {
+        (v, z): want[n].tobytes() for v, z, n in [("one/v", 0, "one/v/a.tif"), ("one/v", 1, "one/v/b.tif"), ("one/v", 2, "one/v/c.tiff"),
+                                                  ("two words/v", 0, "two words/v/x1.tif"), ("two words/a=1/_k=2", 0, "two words/a=1/_k=2/x.tif"),
+                                                  ("in", 0, "top.tif")]}
+    # where only Spark opens the folder its own reader gives the same
+    monkeypatch.setattr(images, "_roots", lambda spark, path: None)
+    assert found == [rows(*place) for place in places] and [len(f) for f in found] == [6, 6, 6, 3, 1, 1, 5, 0]
+
+
+def test_a_stack_that_is_not_there_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        images.read_tiff_stack(spark, str(tmp_path / "no"))
+
+
+@pytest.mark.parametrize("keep_zero", [False, True])
+def test_voxels_of_planes_of_several_kinds(spark, keep_zero, monkeypatch):
+    monkeypatch.setattr(images, "BATCH_CELLS", 40)
+    rng, rows, want = np.random.default_rng(2), [], set()
+    for z in range(30):
+        kind, shape = [("<u2", (3, 4)), ("<f4", (3, 4)), ("|u1", (5, 2)), (">i2", (9, 9))][z // 4 % 4], [(3, 4), (3, 4), (5, 2), (9, 9)][z // 4 % 4]
+        plane = rng.integers(0, 3, shape).astype(kind)
+        if kind == "<f4":
+            plane[0, 0] = np.nan
+        rows.append((f"v{z % 3}", z, *shape, kind, plane.tobytes(), z % 2))
+        want |= {(f"v{z % 3}", z % 2, z, y, x, str(float(v))) for (y, x), v in np.ndenumerate(plane) if v != 0 or keep_zero}
+    planes = spark.createDataFrame(rows, images.PLANE + ", channel int").coalesce(1)
+    got = images.planes_to_voxels(planes, keep_zero).collect()
+    assert {(r.volume_id, r.channel, r.z, r.y, r.x, str(r.value)) for r in got} == want and len(got) == len(want)
+    assert images.planes_to_voxels(planes.drop("channel"), keep_zero).count() == len(want)

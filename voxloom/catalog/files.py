@@ -7,12 +7,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from voxloom.bindings import LATTICE, VOX, voxels
+from voxloom.bindings import LATTICE, VOX, voxel_tasks, voxels
 from voxloom.catalog import query
 from voxloom.plans import datasets
 from voxloom.sinks import images as sink
 from voxloom.sources import images
-from voxloom.support import shared_dir
+from voxloom.support import materialize, shared_dir
 
 CHANNELS = f"""{VOX}, chan AS (SELECT 'mouse/' || volume_id AS volume_id, 0 AS channel, z, y, x, CAST(intensity AS DOUBLE) AS value FROM vox
 UNION ALL SELECT 'mouse/' || volume_id, 1, z, y, x, intensity * gt FROM vox)"""
@@ -22,9 +22,9 @@ def _folder(spark, name):
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def _planes(rows, value, dtype):
+def _planes(rows, value, dtype, tasks=None):
     named = rows.withColumn("volume_id", F.concat(F.lit("mouse/"), F.col("volume_id")))
-    return sink.to_planes(named, "volume_id", value, LATTICE[1], LATTICE[2], dtype, LATTICE[0])
+    return sink.to_planes(named, "volume_id", value, LATTICE[1], LATTICE[2], dtype, LATTICE[0], tasks)
 
 
 def _two_channels(spark, sf):
@@ -60,7 +60,9 @@ def nifti_geometry(spark, sf):
 @query("tiff_round_trip", f"WITH {VOX} SELECT 'mouse/' || volume_id AS volume_id, z, y, x, CAST(intensity AS DOUBLE) AS value FROM vox WHERE intensity <> 0")
 def tiff_round_trip(spark, sf):
     folder = _folder(spark, "tiff")
-    sink.write_tiff_slices(_planes(voxels(spark, sf), "intensity", "u2"), folder)
+    # the voxels are needed twice: for their planes and for the planes that hold none
+    rows = materialize(voxels(spark, sf).select("volume_id", "z", "y", "x", "intensity"))
+    sink.write_tiff_slices(_planes(rows, "intensity", "u2", voxel_tasks(spark, sf)), folder)
     return images.planes_to_voxels(images.read_tiff_stack(spark, folder))
 
 

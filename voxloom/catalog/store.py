@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
-from voxloom.bindings import LATTICE, VOX, voxels
+from voxloom.bindings import LATTICE, VOX, voxel_tasks, voxels
 from voxloom.catalog import query
 from voxloom.catalog.arrays import EXPORT, RESAMPLED, _scores_and_boxes
 from voxloom.operators import stencil, tiles
@@ -100,7 +100,7 @@ def patch_crops(spark, sf):
                            (F.col("yx") % 100).cast("int").alias("x"))
     boxes = tiles.patch_boxes(centres, PATCH, LATTICE, padded=(12, 12, 32))
     crops = tiles.patch_crops(rows.select(*PLACE, "intensity"), boxes, V, ["volume_id", "gt", "slice"], "intensity", PATCH,
-                              (16, 16, 16), "<i2", -1, LATTICE)
+                              (16, 16, 16), "<i2", -1, LATTICE, voxel_tasks(spark, sf))
 
     def digest(batches):
         weight = np.arange(1, np.prod(PATCH) + 1)

@@ -21,10 +21,12 @@ HEADER_BYTES = 352
 PLANE_BYTES = 16 << 20
 
 
-def to_planes(voxels: DataFrame, key: str, value: str, height: int, width: int, dtype: str, depth: int) -> DataFrame:
+def to_planes(voxels: DataFrame, key: str, value: str, height: int, width: int, dtype: str, depth: int,
+              tasks: int | None = None) -> DataFrame:
     """Dense planes of sparse voxels, also the empty ones.
 
-    Rows arrive sorted by volume and plane, so planes are filled as they come, a bounded number at a time.
+    Rows arrive sorted by volume and plane, so planes are filled as they come, a bounded number at a time.  ``tasks`` is as
+    for ``support.spread``.
     """
     every = (voxels.select(key).distinct()
              .select(key, F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("z"))
@@ -68,7 +70,7 @@ def to_planes(voxels: DataFrame, key: str, value: str, height: int, width: int,
             waiting, last = names[-1], planes[-1:].copy()
         if waiting is not None:
             yield frame([waiting], last)
-    return spread(rows, key, "z").sortWithinPartitions(key, "z").mapInPandas(build, PLANE)
+    return spread(rows, key, "z", tasks=tasks).sortWithinPartitions(key, "z").mapInPandas(build, PLANE)
 
 
 def nifti_header(shape: Sequence[int], dtype: np.dtype, spacing: Sequence[float] = (1.0, 1.0, 1.0), channels: int = 1,
@@ -113,11 +115,14 @@ def write_tiff_slices(planes: DataFrame, folder: str, prefix: str = "label_Z", d
     """One TIFF per plane below ``folder/volume_id``; with ``skip_existing`` finished files are kept."""
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, root = open_folder(folder)
+        made = set()
         for batch in batches:
             written = 0
             for row in batch.itertuples(index=False):
                 path = f"{root}/{row.volume_id}/{prefix}{row.z:0{digits}d}.tif"
-                files.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                if row.volume_id not in made:
+                    files.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                    made.add(row.volume_id)
                 if skip_existing and files.get_file_info(path).type != FileType.NotFound:
                     continue
                 temporary = f"{path}.{uuid.uuid4().hex}"

@@ -18,10 +18,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from voxloom.support import materialize, spread, tasks_for
+
 PLANE = "volume_id string, z int, height int, width int, dtype string, pixels binary"
 VOXEL = "volume_id string, z int, y int, x int, value double"
 
@@ -30,6 +33,8 @@ NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u
 # TIFF tags read here, and sample formats 1 to 3.
 WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, ROWS, COUNTS, FORMAT = 256, 257, 258, 259, 273, 278, 279, 339
 TIFF_KINDS = {1: "u", 2: "i", 3: "f"}
+#: Folders that a task lists; files and bytes that a task decodes; pixels, and cells looked through, of a batch.
+LIST_FOLDERS, TASK_FILES, TASK_BYTES, BATCH_BYTES, BATCH_CELLS = 256, 4096, 64 << 20, 8 << 20, 1 << 20
 
 
 @dataclass
@@ -177,6 +182,12 @@ def _frame(rows: list, *more: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["volume_id", "z", "height", "width", "dtype", "pixels", *more])
 
 
+def _plane_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
+                                      names=["volume_id", "z", "height", "width", "dtype", "pixels"])
+
+
 def _below(root: str, path: str = "path") -> Column:
     """A file's path below ``root``, so that equal names in different folders stay apart."""
     base = re.sub(r"^[a-z0-9]+:/*", "/", root).rstrip("/")
@@ -230,26 +241,104 @@ def read_analyze(spark: SparkSession, path: str) -> DataFrame:
     return both.mapInPandas(decode, PLANE + ", channel int")
 
 
+def _roots(spark: SparkSession, path: str) -> list[str] | None:
+    """Files and folders that ``path`` names, as Arrow opens them; None where only Spark does, or if there are none."""
+    from voxloom.sources.volumes import open_folder
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    uris = [status.getPath().toUri() for status in found or ()]
+    roots = [u.getPath() if u.getScheme() in (None, "file") else u.toString() for u in uris]
+    try:
+        known = all(root.endswith(open_folder(root)[1]) for root in roots)
+    except (pa.ArrowInvalid, NotImplementedError, OSError):
+        known = False
+    return roots if roots and known else None
+
+
+def _listed(spark: SparkSession, roots: list[str], glob: str) -> DataFrame:
+    """Path and length of the files below ``roots`` whose names match ``glob``.
+
+    Tasks list the folders, one level after the other, so the driver holds no list of files.  Hidden names are left out as
+    Spark's readers do.
+    """
+    from voxloom.sources.volumes import open_folder
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                files, root = open_folder(path)
+                info = files.get_file_info(root)
+                found = [info] if info.type == FileType.File else files.get_file_info(FileSelector(root))
+                found = [f for f in found if not (f.base_name[0] == "." or f.base_name[0] == "_" and "=" not in f.base_name
+                                                  or f.base_name.endswith("._COPYING_"))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path.removesuffix(root) + f.path for f in found], pa.string()),
+                     pa.array([f.size or 0 for f in found], pa.int64()),
+                     pa.array([f.type == FileType.Directory for f in found], pa.bool_())], names=["path", "length", "folder"])
+
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()
+    folders, files = spark.createDataFrame([(root,) for root in roots], "path string").coalesce(1), None
+    while True:
+        level = materialize(folders.mapInArrow(look, "path string, length long, folder boolean"))
+        files = level if files is None else files.unionByName(level)
+        folders = level.where("folder").select("path")
+        count = folders.count()
+        if not count:
+            break
+        folders = spread(folders, "path", tasks=min(count, tasks_for(spark, count, LIST_FOLDERS)))
+    return files.where(~F.col("folder") & F.regexp_extract("path", r"([^/]+)$", 1).rlike(pattern)).select("path", "length")
+
+
+def _contents(batch: pa.RecordBatch) -> Iterator[bytes]:
+    """The files of a batch, read here if only their paths are in it."""
+    from voxloom.sources.volumes import open_folder
+    if "content" in batch.schema.names:
+        yield from (value.as_py() for value in batch.column("content"))
+        return
+    for path in batch.column("path").to_pylist():
+        files, root = open_folder(path)
+        with files.open_input_file(root) as f:
+            yield f.read()
+
+
 def _stack(spark: SparkSession, path: str, glob: str, pages, pages_in) -> DataFrame:
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
         for batch in batches:
-            for name, z, content in zip(batch["volume_id"], batch["z"], batch["content"]):
+            names, firsts = batch.column("volume_id").to_pylist(), batch.column("z").to_pylist()
+            for name, z, content in zip(names, firsts, _contents(batch)):
                 for page, plane in enumerate(pages(content)):
-                    yield _frame([_plane_row(name, int(z) + page, plane)])
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                    waiting.append(_plane_row(name, z + page, plane))
+                    size += len(waiting[-1][-1])
+                    if size >= BATCH_BYTES:
+                        yield _plane_batch(waiting)
+                        waiting, size = [], 0
+        if waiting:
+            yield _plane_batch(waiting)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "pages": [pages_in(c) for c in batch["content"]]})
-
-    files = _binary(spark, path, glob)
+            found = pa.array([pages_in(c) for c in _contents(batch)], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), found], names=["path", "pages"])
+
+    # files that Arrow opens are read by the tasks that decode them, so that no file is shuffled
+    roots = _roots(spark, path)
+    files = _binary(spark, path, glob).select("path", "content") if roots is None else _listed(spark, roots, glob)
+    if roots is not None:
+        number, length = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        tasks = max(tasks_for(spark, number, TASK_FILES), tasks_for(spark, length, TASK_BYTES))
+        files = spread(files.select("path"), "path", tasks=tasks)
     below = F.regexp_replace(_below(path), r"/?[^/]+$", "")
     folder = F.when(below == "", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)).otherwise(below)
     # a plane's number is the count of pages in the folder's earlier files, in the order of their names
-    order = (files.select("path", "content").mapInPandas(count, "path string, pages int")
+    order = (files.mapInArrow(count, "path string, pages int")
              .withColumn("volume_id", folder)
              .withColumn("z", F.coalesce(F.sum("pages").over(
                  W.partitionBy("volume_id").orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
              .drop("pages"))
-    return files.select("path", "content").join(order, "path").select("volume_id", "z", "content").mapInPandas(decode, PLANE)
+    if roots is None:
+        return files.join(order, "path").select("volume_id", "z", "content").mapInArrow(decode, PLANE)
+    return spread(order, "path", tasks=tasks).mapInArrow(decode, PLANE)
 
 
 def read_tiff_stack(spark: SparkSession, path: str, glob: str = "*.tif*") -> DataFrame:
@@ -353,17 +442,29 @@ def read_chunked_array(spark: SparkSession, path: str) -> DataFrame:
 def planes_to_voxels(planes: DataFrame, keep_zero: bool = False) -> DataFrame:
     """Voxel rows of the planes (with their channel, if they have one), without zeros unless asked for."""
     channel = "channel" in planes.columns
+    kinds = {"y": pa.int32(), "x": pa.int32(), "value": pa.float64()}
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                plane = np.frombuffer(row.pixels, row.dtype).reshape(row.height, row.width)
-                points = np.argwhere(np.ones_like(plane, bool) if keep_zero else plane != 0)
-                more = {"channel": np.int32(row.channel)} if channel else {}
-                yield pd.DataFrame({"volume_id": row.volume_id, **more, "z": np.int32(row.z),
-                                    "y": points[:, 0].astype(np.int32), "x": points[:, 1].astype(np.int32),
-                                    "value": plane[tuple(points.T)].astype(np.float64)})
-    return planes.mapInPandas(spread, VOXEL.replace(", z", ", channel int, z", 1) if channel else VOXEL)
+            kind = list(zip(*[batch.column(c).to_pylist() for c in ("height", "width", "dtype")]))
+            low = 0
+            while low < len(kind):
+                # planes of one kind are looked through together, a bounded number of cells at a time
+                height, width, dtype = kind[low]
+                high, most = low + 1, low + max(1, BATCH_CELLS // max(1, height * width))
+                while high < min(len(kind), most) and kind[high] == kind[low]:
+                    high += 1
+                block = np.frombuffer(b"".join(batch.column("pixels").slice(low, high - low).to_pylist()), dtype).reshape(-1, height, width)
+                k, y, x = np.nonzero(np.ones_like(block, bool) if keep_zero else block)
+                rows, found = pa.array(k + low), {"y": y, "x": x, "value": block[k, y, x]}
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c).take(rows) for c in ("volume_id", *(["channel"] if channel else []), "z")],
+                     *[pa.array(found[c].astype(t.to_pandas_dtype()), t) for c, t in kinds.items()]],
+                    names=["volume_id", *(["channel"] if channel else []), "z", *kinds])
+                low = high
+    return (planes.select(F.col("volume_id").cast("string").alias("volume_id"), *([F.col("channel").cast("int").alias("channel")] if channel else []), F.col("z").cast("int").alias("z"),
+                          "height", "width", "dtype", "pixels")
+            .mapInArrow(unpack, VOXEL.replace(", z", ", channel int, z", 1) if channel else VOXEL))
 
 
 def scanner_orientation(voxels: DataFrame, depth: int, height: int) -> DataFrame:
