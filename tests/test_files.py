@@ -249,7 +249,7 @@ def test_voxels_of_planes_of_several_kinds(spark, keep_zero, monkeypatch):
     monkeypatch.setattr(images, "BATCH_CELLS", 40)
     rng, rows, want = np.random.default_rng(2), [], set()
     for z in range(30):
-        kind, shape = [("<u2", (3, 4)), ("<f4", (3, 4)), ("|u1", (5, 2)), (">i2", (9, 9))][z // 4 % 4], [(3, 4), (3, 4), (5, 2), (9, 9)][z // 4 % 4]
+        kind, shape = [("<u2", (3, 4)), ("<f4", (3, 4)), ("|u1", (5, 2)), (">i2", (9, 9))][z // 4 % 4]
         plane = rng.integers(0, 3, shape).astype(kind)
         if kind == "<f4":
             plane[0, 0] = np.nan
